@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, quality, token_counts
+from . import common, fingerprints, language, packing, quality, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,24 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = common.durable(spark, simhash.fingerprint(docs).select("doc_id", "simhash"), "simhash")
+    found = simhash.components(spark, prints)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = language.predict(spark, docs.select("doc_id", "text"), language.fit(spark, docs))
+    return found.select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(spark, common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(spark, common.table(spark, sf_dir, "documents"))
 
@@ -31,6 +49,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op4_simhash": op4_simhash,
+    "op5_language": op5_language,
+    "op6_packing": op6_packing,
     "op8_fingerprints": op8_fingerprints,
     "op10_token_counts": op10_token_counts,
 }
