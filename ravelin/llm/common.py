@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,29 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
-def shards(spark: SparkSession, df: DataFrame, text: str, each: int = 4 << 20) -> int:
-    """How many groups hold about ``each`` bytes of text apiece: grows with the data, never with one key."""
-    total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(8, int(total // each) + 1)
+def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 4 << 20, most: int = 64 << 20) -> tuple[DataFrame, int]:
+    """df with ``shard``, the number of a range of doc_id (null ids are in the last one), and the bytes of text.
+
+    Ranges hold about the same number of rows and ``least`` to ``most`` bytes of text on
+    average. Their bounds come from a distributed sort of the ids alone and are broadcast: 8
+    bytes for each range, 100 TB in ranges of 64 MB make 12 MB.
+    """
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()
+    each = min(max(size // 2048, least), most)
+    k = max(1, -(-rows // max(int(size // each), 8)))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange((-seen - 1) % k, batch.num_rows, k)))
+            seen += batch.num_rows
+
+    ids = df.select(F.col(doc_id).cast("bigint").alias("id")).where("id is not null").repartitionByRange("id").sortWithinPartitions("id")
+    bounds = np.unique(np.array([r[0] for r in ids.mapInArrow(pick, "id bigint").collect()], np.int64))
+    known = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def shard(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(known.value, ids.fill_null(2**63 - 1).to_numpy(zero_copy_only=False), "right"), pa.int32())
+
+    return df.withColumn("shard", shard(F.col(doc_id).cast("bigint"))), size

@@ -99,27 +99,17 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
 
     Edited: the last floor(n/2) code points replaced by as many first ones of the next
     document (or all it has). After the last document comes the first. Rows of one doc_id
-    follow one another by descending text, null ids come last; null text is empty text.
+    follow one another by descending text, null ids come first (as the largest); null text is empty text.
     Rows are dealt by ranges of doc_id; each range gets one further row, the first of the
     next range, so no task sees more than a range.
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    if not rows:
-        return spark.createDataFrame([], RESULT)
-    each = min(max(size // 2048, 4 << 20), 64 << 20)
-    bounds = _every(d, -(-rows // max(int(size // each), 8)))
-    # 8 bytes for each range of documents: 100 TB in ranges of 64 MB make 12 MB
-    known = spark.sparkContext.broadcast(bounds)
-
-    @F.arrow_udf("int")
-    def shard(ids: pa.Array) -> pa.Array:
-        found = np.searchsorted(known.value, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
-        return pa.array(found, pa.int32())
-
-    dealt = d.withColumn("shard", shard("doc_id"))
+    dealt, _ = common.in_ranges(spark, d, "doc_id", "text")
     # a row for each range: as many as there are bounds
-    used = sorted((r["shard"], r["head"]) for r in dealt.groupBy("shard").agg(F.max("doc_id").alias("head")).collect())
+    largest = F.max(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    used = sorted((r[0], r[1]["doc_id"]) for r in dealt.groupBy("shard").agg(largest).collect())
+    if not used:
+        return spark.createDataFrame([], RESULT)
     # the head of a range goes to the next higher range, that of the highest one to the lowest
     wanted = spark.createDataFrame([(s, h, used[(i + 1) % len(used)][0]) for i, (s, h) in enumerate(used)], "own int, head bigint, to int")
     heads = dealt.join(F.broadcast(wanted), (F.col("shard") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
@@ -128,19 +118,6 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     return both.groupBy("shard").applyInArrow(_compare, RESULT)
 
 
-def _every(d: DataFrame, k: int) -> np.ndarray:
-    """About every k-th doc_id in ascending order, from a distributed sort of the ids alone."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
-        for batch in batches:
-            yield batch.take(pa.array(np.arange((-seen - 1) % k, batch.num_rows, k)))
-            seen += batch.num_rows
-
-    ids = d.select("doc_id").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return np.unique(np.array([r[0] for r in ids.mapInArrow(pick, "doc_id bigint").collect()], np.int64))
-
-
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, resembles_edited double"
 
 
@@ -149,7 +126,7 @@ def _compare(group: pa.Table) -> pa.Table:
 
     if group.num_rows == 0:
         return pa.table({"doc_id": pa.array([], pa.int64())})
-    group = group.combine_chunks().sort_by([("extra", "ascending"), ("doc_id", "descending"), ("text", "descending")])
+    group = group.append_column("known", pc.is_valid(group["doc_id"])).combine_chunks().sort_by([("extra", "ascending"), ("known", "ascending"), ("doc_id", "descending"), ("text", "descending")])
     n = group.num_rows - int(pc.sum(group["extra"]).as_py())
     texts = group["text"].to_pylist()
     edited = []

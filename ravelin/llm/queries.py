@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, language, packing, quality, simhash, token_counts
+from . import common, fingerprints, language, packing, quality, secrets, simhash, substrings, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -14,6 +14,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove(spark, docs, give=("n_words", "n_removed", "kept_sha256", "factors")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = quality.fit(spark, docs, common.table(spark, sf_dir, "labels"))
@@ -43,16 +48,31 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(spark, common.table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("base_secrets", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secrets.as_text(F.col("base_secrets")), 256).alias("base_sha256"),
+        secrets.as_text(F.col("secrets")).alias("spans"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
 }
 
