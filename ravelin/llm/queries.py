@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, language, packing, quality, secrets, simhash, substrings, token_counts
+from . import common, embeddings, fingerprints, language, packing, quality, secrets, simhash, substrings, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -44,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near(spark, common.table(spark, sf_dir, "embeddings"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(spark, common.table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
+    "op7_embeddings": op7_embeddings,
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
