@@ -103,8 +103,120 @@ def components(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id") -> Da
     return named.join(of, "simhash").select("doc_id", "simhash", "component_id")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row of smallest doc_id stays."""
-    prints = common.durable(spark, fingerprint(docs.select(doc_id, text), text, k).select(doc_id, "simhash"), "simhash")
-    keep = components(spark, prints, doc_id).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(keep, docs[doc_id] == keep["doc_id"], "left_semi")
+#: Bits of the fingerprints that similarity is judged by.
+WIDE = 126
+
+
+def wide(texts: textops.Texts, k: int) -> np.ndarray:
+    """(texts, 2) words of 63 bits: SimHash over hashes of k-word shingles, fewer words as one shingle."""
+    out = np.zeros((texts.size, 2), np.int64)
+    for first, end in texts.groups():
+        starts, ends, first_word = texts.words(first, end)
+        words = texts.hashes(starts, ends)
+        runs = textops.shingles(words, k)
+        for i in range(first, end):
+            a, b = first_word[i - first], first_word[i - first + 1]
+            if a == b:
+                continue
+            own = runs[a : b - k + 1] if b - a >= k else textops.shingles(words[a:b], int(b - a))
+            for half, hashes in enumerate((own, textops.mix(own + np.uint64(0xD1B54A32D192ED03)))):
+                sums = sum(_bit_sums(hashes[x : x + 8192]) for x in range(0, len(hashes), 8192))
+                bits = sums * 2 > len(hashes)
+                bits[63] = False
+                out[i, half] = np.packbits(bits, bitorder="little").view(np.int64)[0]
+    return out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents whose shingles of k words have an estimated similarity
+    (shared part of the union) of ``similarity`` or more are linked.
+
+    For similarity s the cosine is 2s/(1+s) and the share of differing bits its angle over pi.
+    Segments are as wide as the number of distinct fingerprints asks for; both sides enter
+    the ball of radius 1, so fingerprints meet that are 2 bits apart in any segment. At 0.8
+    and 18 bits a pair is missed in under 1 of 100 cases. Null and empty texts are copies of
+    one another; null ids are left out.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = wide(textops.Texts(batch.column(1)), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[:, 0]), pa.array(made[:, 1])], ["doc_id", "a", "b"])
+
+    prints = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    prints = common.durable(spark, prints.mapInArrow(sketch, "doc_id bigint, a bigint, b bigint"), "wide-simhash")
+    classes = prints.groupBy("a", "b").agg(F.min("doc_id").alias("id"))
+    n = max(2, classes.count())
+    width = min(max(16, (n - 1).bit_length()), 31)
+    tables = WIDE // width
+    most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * WIDE + 1)
+    groups = max(8, n * tables * (width + 1) // 100_000)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = np.array([0, *(1 << x for x in range(width))], np.uint64)
+        mask = np.uint64((1 << width) - 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                keys = []
+                for t in range(tables):
+                    # bits t*width.. of the 126, the second word's behind the first's 63
+                    low, shift = t * width, np.uint64(t * width % 63)
+                    x, y = (a, b) if low < 63 else (b, np.zeros_like(b))
+                    own = x.view(np.uint64) >> shift | y.view(np.uint64) << (np.uint64(63) - shift)
+                    keys.append(((own & mask)[:, None] ^ flips[None, :]) + np.uint64(t << 32))
+                key = np.stack(keys, 1).reshape(-1)
+                row = np.repeat(np.arange(len(a)), tables * (width + 1))
+                g = (textops.mix(key) % np.uint64(groups)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in range(3))], ["g", "key", "a", "b", "id"])
+
+    entered = classes.select("a", "b", "id").mapInArrow(enter, "g int, key bigint, a bigint, b bigint, id bigint")
+    edges = entered.groupBy("g").applyInArrow(_tied(most), "a bigint, b bigint").distinct()
+    found = connected(spark, edges, "near")
+    of = classes.join(found, F.col("id") == F.col("node"), "left").select("a", "b", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(of, ["a", "b"]).select("doc_id", "component_id")
+
+
+#: Fingerprints under one key that are held together; beyond it only one of each group found so far is.
+HELD = 20_000
+
+
+def _tied(most: int):
+    def tied(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        key, ids = group["key"].to_numpy(), group["id"].to_numpy()
+        code = np.stack([group["a"].to_numpy(), group["b"].to_numpy()], 1).view(np.uint64)
+        order = np.lexsort((ids, key))
+        bounds = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, int)
+        src, dst = [], []
+        for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=False):
+            if hi - lo < 2:
+                continue
+            heads = np.zeros(0, np.int64)
+            for at in range(lo, hi, HELD):
+                left = np.concatenate([heads, order[at : min(at + HELD, hi)]])
+                heads_now = []
+                while len(left):  # a group: all that is reached from its smallest by steps of few bits
+                    top, queue, left = left[0], [left[0]], left[1:]
+                    heads_now.append(top)
+                    while queue and len(left):
+                        x = queue.pop()
+                        apart = np.bitwise_count(code[left] ^ code[x]).sum(1)
+                        hit = apart <= most
+                        if hit.any():
+                            src.append(ids[left[hit]])
+                            dst.append(np.full(int(hit.sum()), ids[top]))
+                            queue += left[hit].tolist()
+                            left = left[~hit]
+                heads = np.array(heads_now, np.int64)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"a": join(src), "b": join(dst)}).group_by(["a", "b"]).aggregate([])
+
+    return tied
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near copies: of each component the rows of its smallest doc_id stay; rows without an id all stay."""
+    gone = near_duplicates(spark, docs, k, similarity, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs[doc_id].cast("bigint") == F.col("__gone"), "left_anti")
