@@ -9,6 +9,9 @@ MOST_KEPT pieces, and hands only new pieces to the library.
 from __future__ import annotations
 
 import os
+from array import array
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -35,6 +38,49 @@ class Kept:
         return list(map(self.known.__getitem__, pieces))
 
 
+class Table:
+    """Ids of pieces by the 64-bit hash of a piece, as sorted arrays: some 40 bytes a piece."""
+
+    MOST = 2_000_000
+
+    def __init__(self, encode_many):
+        self.encode_many = encode_many
+        self._empty()
+
+    def _empty(self) -> None:
+        self.hash, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), array("I")
+
+    def of(self, hashes: np.ndarray, fetch) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``flat``, number of ids) for each hash; ``fetch(i)`` is the piece of the i-th."""
+        wanted, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hash) > self.MOST:
+            self._empty()
+        place = np.searchsorted(self.hash, wanted)
+        have = np.zeros(len(wanted), bool)
+        if len(self.hash):
+            have = self.hash[np.minimum(place, len(self.hash) - 1)] == wanted
+        new = np.flatnonzero(~have)
+        if len(new):
+            begin, sizes = len(self.flat), []
+            for ids in self.encode_many([fetch(i) for i in first[new].tolist()]):
+                sizes.append(len(ids))
+                self.flat.extend(ids)
+            n = np.array(sizes, np.int64)
+            hash_, at = np.concatenate([self.hash, wanted[new]]), np.concatenate([self.at, begin + np.cumsum(n) - n])
+            order = np.argsort(hash_, kind="stable")
+            self.hash, self.at, self.n = hash_[order], at[order], np.concatenate([self.n, n])[order]
+            place = np.searchsorted(self.hash, wanted)
+        return self.at[place][back], self.n[place][back]
+
+
+def joined(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[at : at + n] of all, one behind the other."""
+    total = np.cumsum(n)
+    if not len(n) or not total[-1]:
+        return flat[:0]
+    return flat[np.arange(total[-1]) + np.repeat(at - (total - n), n)]
+
+
 _LOADED: dict = {}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, fingerprints, language, packing, quality, secrets, simhash, substrings, token_counts
+from . import common, embeddings, fingerprints, language, packing, quality, secrets, sentencepieces, simhash, substrings, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    return sentencepieces.digest(sentencepieces.encode(spark, common.table(spark, sf_dir, "documents"), path), path)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = common.durable(spark, simhash.fingerprint(docs).select("doc_id", "simhash"), "simhash")
@@ -72,6 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_quality": op2_quality,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
     "op6_packing": op6_packing,

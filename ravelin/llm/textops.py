@@ -15,6 +15,9 @@ import xxhash
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: 0x20 alone.
+SPACE = np.arange(256) == 0x20
+
 _SEGMENT = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -63,11 +66,11 @@ class Texts:
             yield first, end
             first = end
 
-    def words(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, first: int, end: int, separators: np.ndarray = _SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words of texts first..end in the buffer, and for each text the index of its first word (one more at the end)."""
         lo, hi = int(self.offsets[first]), int(self.offsets[end])
         inside = np.zeros(hi - lo + 2, bool)
-        inside[1:-1] = ~_SEPARATORS[self.data[lo:hi]]
+        inside[1:-1] = ~separators[self.data[lo:hi]]
         edge = inside[1:] != inside[:-1]
         at = np.flatnonzero(edge)
         starts, ends = at[::2], at[1::2]

@@ -87,6 +87,46 @@ def test_op1(spark, where):
     assert not got
 
 
+def test_op3(spark, where):
+    from sentencepiece import SentencePieceProcessor
+
+    from ravelin.llm import sentencepieces
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    library = SentencePieceProcessor(model_file=path)
+    docs = documents(spark, where)
+    got = {r["doc_id"]: r for r in result(spark, "op3_sentencepiece", where)}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        ids = library.encode(t)
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    # every document as a giant one
+    table = spark.read.parquet(f"{where}/documents.parquet").where("doc_id % 4 = 0")
+    split = {r["doc_id"]: r["ids"] for r in sentencepieces.encode(spark, table, path, chunk=200).collect()}
+    assert split == {i: library.encode(t) for i, t in docs if i % 4 == 0}
+    back = sentencepieces.decode(sentencepieces.encode(spark, table, path, chunk=200), path).collect()
+    assert all(r["decoded"] == library.decode(r["ids"]) for r in back)
+
+
+def test_op3_matrices_are_associative():
+    from ravelin.llm import sentencepieces as S
+
+    model = S.Model(queries.vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(2)
+    for _ in range(10):
+        t = "".join(rng.choice(["ab", "the", "ing", "x", "é", "你", " ", "zz"], 200, p=[0.2, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05, 0.1]))
+        u = S.SPACE + t.replace(" ", S.SPACE)
+        cuts = [0, 70, 140, 210, len(u)]
+        chunks = [S.Chunk(model, u, a, b, a == 0, b == len(u)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        m = [c.matrix() for c in chunks]
+        full = lambda x: x["whole"] if "whole" in x else x["into"][:, None] + x["out"][None, :]
+        left = S.combined(S.combined(S.combined(m[0], m[1]), m[2]), m[3])
+        right = S.combined(m[0], S.combined(m[1], S.combined(m[2], m[3])))
+        assert np.array_equal(full(left), full(right)) and full(left).max() == 0
+        assert sum((c.ids(*x) for c, x in zip(chunks, S.borders(m), strict=True)), []) == model.library.encode(t)
+
+
 def test_op4(spark, where):
     prints = {}
     for i, t in documents(spark, where):
@@ -213,3 +253,87 @@ def test_awkward_models(spark, awkward):
     assert len(result(spark, "op2_quality", awkward)) == len(AWKWARD)
     lang = {r["doc_id"]: r["lang_pred"] for r in result(spark, "op5_language", awkward)}
     assert lang[2] == lang[3] == lang[11] == "und" and len(lang) == len(AWKWARD)
+
+
+def links_by_force(rows):
+    """{vec_id: (n_links, component_id)} by all pairs."""
+    unit = {}
+    for i, v in rows:
+        x = None if v is None or any(c is None for c in v) else np.array(v, np.float32).astype(float)
+        if x is not None and np.isfinite(x).all() and x.any():
+            unit[i] = x / np.linalg.norm(x)
+    of, n = {i: i for i, _ in rows}, {i: 0 for i, _ in rows}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    ids = sorted(unit)
+    for a in ids:
+        for b in ids:
+            if a < b and unit[a] @ unit[b] >= 0.95:
+                n[a] += 1
+                n[b] += 1
+                x, y = sorted((top(a), top(b)))
+                of[y] = x
+    return {i: (n[i], top(i)) for i in of}
+
+
+def test_op7(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16))
+    rows = [(k, (base[k % 40] + rng.normal(size=16) * (0.02 + 0.1 * (k % 3))).tolist()) for k in range(300)]
+    rows += [(300 + k, base[0].tolist()) for k in range(30)]
+    bad = [None, [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [], [-0.0] * 16]
+    rows += [(400 + k, v) for k, v in enumerate(bad)]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r for r in result(spark, "op7_embeddings", str(tmp_path))}
+    want = links_by_force(rows)
+    assert len(got) == len(want) == len(rows)
+    found, there = sum(r["n_links"] for r in got.values()), sum(n for n, _ in want.values())
+    assert there > 500 and 0.9 * there <= found <= there
+    assert all(got[i]["n_links"] <= want[i][0] for i in want)
+    assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in want)
+    assert all((got[400 + k]["n_links"], got[400 + k]["component_id"]) == (0, 400 + k) for k in range(len(bad)))
+
+
+def test_components(spark):
+    from ravelin.llm.components import connected
+
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(5, 5)]
+    of = {}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in edges:
+        of.setdefault(a, a)
+        of.setdefault(b, b)
+        x, y = sorted((top(a), top(b)))
+        of[y] = x
+    got = {r["node"]: r["component"] for r in connected(spark, spark.createDataFrame(edges, "a bigint, b bigint"), "test").collect()}
+    loose = {a for a, b in edges if a == b} - {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {i: top(i) for i in of if i not in loose}
+
+
+def test_extra_and_clashing_columns(spark, awkward):
+    from ravelin.llm import fingerprints, language, quality, secrets, simhash, substrings
+
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    for c in ("score", "simhash", "sketch", "secrets", "lang_pred", "shard", "factors", "__id"):
+        docs = docs.withColumn(c, docs["doc_id"].cast("string"))
+    twice = docs.unionByName(docs)
+    labels = spark.read.parquet(f"{awkward}/labels.parquet")
+    n = twice.count()
+    assert quality.score(twice, quality.fit(spark, docs, labels)).count() == n
+    assert language.predict(spark, twice, language.fit(spark, docs)).count() == n
+    assert fingerprints.fingerprint(twice).count() == n
+    assert fingerprints.compare_with_next(spark, twice).count() == n
+    assert simhash.components(spark, simhash.fingerprint(twice)).count() == n
+    assert secrets.find(twice).count() == n
+    assert substrings.remove(spark, twice, give=("factors",)).count() == n
+    assert simhash.deduplicate(spark, twice).columns == twice.columns
