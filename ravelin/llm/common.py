@@ -50,21 +50,24 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 4 << 20, most: int = 64 << 20) -> tuple[DataFrame, int]:
     """df with ``shard``, the number of a range of doc_id (null ids are in the last one), and the bytes of text.
 
-    Ranges hold about the same number of rows and ``least`` to ``most`` bytes of text on
-    average. Their bounds come from a distributed sort of the ids alone and are broadcast: 8
-    bytes for each range, 100 TB in ranges of 64 MB make 12 MB.
+    A range holds ``least`` to ``most`` bytes of text, or one longer text and what follows it
+    up to that. The bounds come from a distributed sort of the ids with the sizes of their
+    texts and are broadcast: 8 bytes for each range, 100 TB in ranges of 64 MB make 12 MB.
     """
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()
-    each = min(max(size // 2048, least), most)
-    k = max(1, -(-rows // max(int(size // each), 8)))
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+    each = int(min(max(size // 2048, least), most))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
+        so_far = 0
         for batch in batches:
-            yield batch.take(pa.array(np.arange((-seen - 1) % k, batch.num_rows, k)))
-            seen += batch.num_rows
-
-    ids = df.select(F.col(doc_id).cast("bigint").alias("id")).where("id is not null").repartitionByRange("id").sortWithinPartitions("id")
+            end = so_far + np.cumsum(batch.column(1).to_numpy())
+            if len(end):
+                begin = np.append(so_far, end[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.flatnonzero(end // each > begin // each)))], ["id"])
+                so_far = int(end[-1])
+
+    ids = df.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint").alias("n")).where("id is not null")
+    ids = ids.repartitionByRange("id").sortWithinPartitions("id")
     bounds = np.unique(np.array([r[0] for r in ids.mapInArrow(pick, "id bigint").collect()], np.int64))
     known = spark.sparkContext.broadcast(bounds)
 
