@@ -9,20 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoints
+
 #: Ranges of the key; their totals are all that one task sees together.
 RANGES = 1024
 
 
-def _ranged(df: DataFrame, key: str) -> DataFrame:
-    low, high = df.agg(F.min(key), F.max(key)).first()
+def once(df: DataFrame) -> DataFrame:
+    """df computed and kept in the checkpoint folder: for keys that several passes read."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
+def _ranged(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """df with the range of each key, and its number of rows."""
+    low, high, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // RANGES))
-    return df.withColumn("__range", F.floor((F.col(key) - low) / width).cast("int"))
+    return df.withColumn("__range", F.floor((F.col(key) - low) / width).cast("int")), rows
 
 
 def running_total(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
     """df with the sum of value over all smaller keys and its own (keys whole numbers and unique)."""
-    ranged = _ranged(df, key)
+    return _total(_ranged(df, key)[0], key, value, to)
+
+
+def _total(ranged: DataFrame, key: str, value: str, to: str) -> DataFrame:
     totals = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__base"))  # RANGES rows
@@ -37,9 +49,11 @@ def row_numbers(df: DataFrame, key: str, to: str = "row_number") -> DataFrame:
 
 def contiguous(df: DataFrame, key: str, slices: int, to: str = "clique_idx") -> DataFrame:
     """df with a slice number: n div k rows each by ascending key, the last one takes the rest; all in the last if n < k."""
-    each = df.count() // slices
+    ranged, rows = _ranged(df.withColumn("__one", F.lit(1).cast("bigint")), key)
+    each = rows // slices
     number = F.floor((F.col("__rn") - 1) / each) if each else F.lit(slices - 1)
-    return row_numbers(df, key, "__rn").withColumn(to, F.least(number, F.lit(slices - 1)).cast("int")).drop("__rn")
+    numbered = _total(ranged, key, "__one", "__rn")
+    return numbered.withColumn(to, F.least(number, F.lit(slices - 1)).cast("int")).drop("__rn", "__one")
 
 
 def last_keys(df: DataFrame, key: str, slice_column: str = "clique_idx") -> DataFrame:
@@ -52,6 +66,7 @@ def range_starts(counts: DataFrame, key: str, n: str, slices: int) -> DataFrame:
 
     start_0 = 0; start_i is the first place after 0 where a new key begins at or behind i * (E div slices), else E.
     """
+    counts = once(counts)
     places = running_total(counts, key, n, "__end").select((F.col("__end") - F.col(n)).alias("pos"))
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     step = total // slices

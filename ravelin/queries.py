@@ -106,7 +106,7 @@ def argsort(spark, sf_dir):
 
 
 def contig_split(spark, sf_dir):
-    rows = terms(spark, sf_dir).select("row_id").distinct()
+    rows = P.once(terms(spark, sf_dir).select("row_id").distinct())
     return P.contiguous(rows, "row_id", K, "slice")
 
 
