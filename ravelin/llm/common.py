@@ -33,11 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends in replicated files."""
-    path = f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ravelin-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that durable() wrote in this application: once the results are written, nothing reads it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a frame that durable() made, once nothing reads it any more."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
@@ -48,7 +58,7 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 
 def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 4 << 20, most: int = 64 << 20) -> tuple[DataFrame, int]:
-    """df with ``shard``, the number of a range of doc_id (null ids are in the last one), and the bytes of text.
+    """df with ``__shard``, the number of a range of doc_id (null ids are in the last one), and the bytes of text.
 
     A range holds ``least`` to ``most`` bytes of text, or one longer text and what follows it
     up to that. The bounds come from a distributed sort of the ids with the sizes of their
@@ -75,4 +85,4 @@ def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least:
     def shard(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(known.value, ids.fill_null(2**63 - 1).to_numpy(zero_copy_only=False), "right"), pa.int32())
 
-    return df.withColumn("shard", shard(F.col(doc_id).cast("bigint"))), size
+    return df.withColumn("__shard", shard(F.col(doc_id).cast("bigint"))), size

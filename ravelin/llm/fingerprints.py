@@ -107,14 +107,14 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     dealt, _ = common.in_ranges(spark, d, "doc_id", "text")
     # a row for each range: as many as there are bounds
     largest = F.max(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    used = sorted((r[0], r[1]["doc_id"]) for r in dealt.groupBy("shard").agg(largest).collect())
+    used = sorted((r[0], r[1]["doc_id"]) for r in dealt.groupBy("__shard").agg(largest).collect())
     if not used:
         return spark.createDataFrame([], RESULT)
     # the head of a range goes to the next higher range, that of the highest one to the lowest
     wanted = spark.createDataFrame([(s, h, used[(i + 1) % len(used)][0]) for i, (s, h) in enumerate(used)], "own int, head bigint, to int")
-    heads = dealt.join(F.broadcast(wanted), (F.col("shard") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    heads = dealt.join(F.broadcast(wanted), (F.col("__shard") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
     heads = heads.groupBy(F.col("to").alias("shard"), "doc_id").agg(F.max("text").alias("text"))
-    both = dealt.select("doc_id", "text", "shard", F.lit(False).alias("extra")).unionByName(heads.withColumn("extra", F.lit(True)))
+    both = dealt.select("doc_id", "text", F.col("__shard").alias("shard"), F.lit(False).alias("extra")).unionByName(heads.withColumn("extra", F.lit(True)))
     return both.groupBy("shard").applyInArrow(_compare, RESULT)
 
 

@@ -142,15 +142,15 @@ def descend(rows: list, dim: int, epochs: int, rate: float, seed: int) -> Model:
     return Model(vectors, layer, bias)
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with ``score`` double: the probability of label 1. Null and empty texts get the model's constant.
+def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
+    """df with a column ``to`` double: the probability of label 1. Null and empty texts get the model's constant.
 
     Nothing but the text is read for the score; other columns and repeated rows stay as they
-    are, a column ``score`` in df is replaced. Texts are read whole.
+    are, a column of that name in df is replaced. Texts are read whole.
     """
     from pyspark.sql import types as T
 
-    kept = df.drop("score")
+    kept = df.drop(to)
     at = kept.columns.index(text)
     table, bias = model.weights()
 
@@ -163,6 +163,6 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 total = np.bincount(owner, table[rows], end - first)
                 means.append(total / np.maximum(np.bincount(owner, minlength=end - first), 1))
             logit = np.clip((np.concatenate(means) if means else np.zeros(0)) + bias, -40, 40)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-logit)))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-logit)))], [*batch.schema.names, to])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(to, T.DoubleType())]))

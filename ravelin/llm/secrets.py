@@ -124,8 +124,8 @@ def as_text(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of secrets in the text replaced by the mark, overlapping ones by one mark."""
-    found = find(df, text)
-    t = F.col(text)
+    found = find(df.select(F.col(text).alias("__text"), F.struct(*df.columns).alias("__row")), "__text")
+    t = F.col("__text")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -135,4 +135,4 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(joined, acc["out"]).otherwise(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])).alias("out"))
 
     rest = F.aggregate(F.col("secrets"), zero, step, lambda acc: F.concat(acc["out"], F.substr(t, (acc["at"] + 1).cast("int"))))
-    return found.select(*[F.when(F.size("secrets") > 0, rest).otherwise(t).alias(c) if c == text else F.col(c) for c in df.columns])
+    return found.select(*[F.when(F.size("secrets") > 0, rest).otherwise(t).alias(c) if c == text else F.col("__row")[c].alias(c) for c in df.columns])

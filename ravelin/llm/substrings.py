@@ -94,7 +94,7 @@ def _index(k: int, buckets: int):
     def index(group: pa.Table) -> pa.Table:
         block = Block(group["__id"], group["__text"], k, buckets)
         rows = [(bucket, b - a, _pack(block.runs[a:b], 7)) for bucket, a, b in block.by_bucket()]
-        own = group["shard"][0].as_py() if group.num_rows else 0
+        own = group["__shard"][0].as_py() if group.num_rows else 0
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([own] * len(rows), pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "runs": pa.array([r[2] for r in rows], pa.binary())})
 
     return index
@@ -128,7 +128,7 @@ def _parse(k: int, buckets: int, columns: list[str], text: str):
     def parse(group: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(group["__id"], group["__text"], k, buckets)
         group = group.take(pa.array(block.order))
-        own = group["shard"][0].as_py() if group.num_rows else 0
+        own = group["__shard"][0].as_py() if group.num_rows else 0
         source = np.full(len(block.runs), -1, np.int64)
         found = {r["bucket"]: r for r in answers.select(["bucket", "bits", "blocks"]).to_pylist()}
         for bucket, a, b in block.by_bucket():
@@ -206,15 +206,16 @@ def remove(spark: SparkSession, docs: DataFrame, k: int = WORDS, doc_id: str = "
     n_removed, kept_sha256 (kept words joined by one space), factors (start and length in
     words, reference block). Leave the text out of the result by selecting others. Null text
     stays null and has no words; rows of one doc_id don't remove one another's passages; a
-    null doc_id counts as larger than any. Columns that clash with those given are replaced.
+    null doc_id counts as larger than any. Columns that clash with those given are replaced; names that begin with __ are
+    the operator's own.
     Texts without a duplicate passage come back unchanged.
     """
-    carried = docs.drop(*give, "shard", "__id", "__text")
+    carried = docs.drop(*give)
     columns = [*carried.columns, *give]
     plain = carried.select("*", F.col(doc_id).cast("bigint").alias("__id"), F.col(text).alias("__text")).drop(text)
     dealt, size = common.in_ranges(spark, plain, "__id", "__text")
     buckets = max(16, int(size // (8 << 20)))
-    blocks = dealt.groupBy("shard")
+    blocks = dealt.groupBy("__shard")
     index = blocks.applyInArrow(_index(k, buckets), "bucket int, shard int, n int, runs binary")
     answers = index.groupBy("bucket").applyInArrow(_first_blocks, "shard int, bucket int, bits binary, blocks binary")
     types = {f.name: f.dataType for f in carried.schema.fields} | FIELDS

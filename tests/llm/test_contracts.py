@@ -324,7 +324,7 @@ def test_extra_and_clashing_columns(spark, awkward):
     from ravelin.llm import fingerprints, language, quality, secrets, simhash, substrings
 
     docs = spark.read.parquet(f"{awkward}/documents.parquet")
-    for c in ("score", "simhash", "sketch", "secrets", "lang_pred", "shard", "factors", "__id"):
+    for c in ("score", "simhash", "sketch", "secrets", "lang_pred", "shard", "factors", "id", "key", "w0"):
         docs = docs.withColumn(c, docs["doc_id"].cast("string"))
     twice = docs.unionByName(docs)
     labels = spark.read.parquet(f"{awkward}/labels.parquet")

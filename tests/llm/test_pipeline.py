@@ -74,3 +74,20 @@ def test_whole_run(spark, data):
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert all(n == 1024 or n & (n - 1) == 0 for n in fill.values())
     assert kept <= set(docs)
+
+
+def test_stages_keep_columns_and_bear_nulls(spark, data):
+    rows = [(1, "a b c", "en", None, None), (1, "a b c", "en", None, None), (None, None, None, "s", 3), (None, prose(1, 90), None, None, None), (2, "", None, "s", 0), (3, prose(1, 90), "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = ("score", "simhash", "secrets", "base_secrets", "shard", "factors", "g", "key", "id", "w0", "component_id", "ids", "part", "tokens")
+    for c in names:
+        docs = docs.withColumn(c, docs["text"])
+    for held in (docs, docs.limit(0)):
+        for _, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, held, data)
+            assert out.columns == docs.columns
+            assert out.where("not (score <=> simhash)").isEmpty()
+            kept = out.count()
+            assert kept == 0 if held is not docs else kept >= 3
+        pieces = pipeline.STAGES[-1][1](spark, held, data)
+        assert pieces.count() >= (6 if held is docs else 0)
