@@ -23,20 +23,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .pieces import Kept, once
+from . import common, textops
+from .pieces import Table, joined, once
 
 #: Windows in a frame.
 FRAME = 64
 #: A served piece is no shorter, unless a window, a quota or a document ends.
 LEAST = 128
 _ONE = 1 << 64
-#: A space beside other white space.
-_TIGHT = re.compile(r" \s|\s ")
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE file whose pre-tokenizer joins at most one space to what follows."""
+    """Ids of texts by a byte-level BPE file whose pre-tokenizer joins at most one space to what follows.
+
+    So a border of pre-tokens lies before every space that stands between two characters
+    that are no white space, and each piece from one such space to the next is encoded once.
+    Pieces are told apart by 64-bit hashes. Other texts, and those with strings of special
+    tokens, are encoded whole.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -46,36 +50,76 @@ class Encoder:
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ranked = _by_rank(path)
-        self.kept = Kept(self._many)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.table = Table(self._many)
+        self.end = np.array([end_id], np.uint32)
 
-    def _many(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with the space before it."""
+    def _many(self, pieces: list[str]) -> list[list[int]]:
         if self.ranked:
-            return [np.array(self.ranked(" " + p), "<u4").tobytes() for p in pieces]
-        ends = np.cumsum([len(p) + 1 for p in pieces])
-        made = self.library.encode(" " + " ".join(pieces), add_special_tokens=False)
-        ids = np.array(made.ids, "<u4")
-        # the space of a token that begins with one is trimmed from its offsets, so ask for its end
-        stops = np.array(made.offsets, np.int64).reshape(-1, 2)[:, 1]
-        cut = np.searchsorted(stops, ends, "right")
-        return [ids[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
-
-    def _whole(self, text: str) -> bytes:
+            return list(map(self.ranked, pieces))
+        return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _whole(self, text: str) -> np.ndarray:
         if self.ranked and not any(s in text for s in self.special):
-            return np.array(self.ranked(text), "<u4").tobytes()
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.ranked(text), np.uint32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def __call__(self, texts: textops.Texts, first: int, end: int) -> list[np.ndarray]:
+        """Ids of texts first .. end, the end id last."""
+        raw = texts.data[texts.offsets[first] : texts.offsets[end]]
+        odd = self._odd(texts, first, end, raw)
+        starts, ends, first_word = texts.words(first, end, textops.SPACE)
+        hashes = texts.hashes(starts, ends)
+        head = np.isin(starts, texts.offsets[first:end])
+        hashes[head] = textops.mix(hashes[head] + np.uint64(1))
+        use = np.ones(len(starts), bool)
+        for i in np.flatnonzero(odd):
+            use[first_word[i] : first_word[i + 1]] = False
+        chosen = np.flatnonzero(use)
+        data, lo, hi, plain = texts.data, starts[chosen], ends[chosen], head[chosen]
+        fetch = lambda i: ("" if plain[i] else " ") + data[lo[i] : hi[i]].tobytes().decode("utf-8", "replace")
+        at, n = self.table.of(hashes[chosen], fetch)
+        flat = joined(np.frombuffer(self.table.flat, np.uint32) if self.table.flat else np.zeros(0, np.uint32), at, n)
+        sizes = np.zeros(len(starts) + 1, np.int64)
+        sizes[chosen + 1] = n
+        cut = np.cumsum(sizes)[first_word]
+        out = []
+        for i in range(end - first):
+            if odd[i]:
+                own = self._whole(texts.bytes_of(first + i).decode("utf-8", "replace"))
+            else:
+                own = flat[cut[i] : cut[i + 1]]
+            out.append(np.concatenate([own, self.end]))
+        return out
+
+    def _odd(self, texts: textops.Texts, first: int, end: int, raw: np.ndarray) -> np.ndarray:
+        """Texts in which a space stands at the end or beside other white space, or that may hold a special token."""
+        out = np.zeros(end - first, bool)
+        if not len(raw):
+            return out
+        space, white = raw == 0x20, _WHITE[raw]
+        hit = np.zeros(len(raw), bool)
+        hit[:-1] = (space[:-1] & white[1:]) | (white[:-1] & space[1:])
+        bounds = texts.offsets[first : end + 1] - texts.offsets[first]
+        hit[np.maximum(bounds[1:-1] - 1, 0)] = False  # what stands beside the next text's start isn't beside it
+        filled = np.flatnonzero(np.diff(bounds) > 0)
+        hit[bounds[filled + 1] - 1] |= space[bounds[filled + 1] - 1]
+        out[np.searchsorted(bounds, np.flatnonzero(hit), "right") - 1] = True
+        marks = [s.encode() for s in self.special]
+        blob = raw.tobytes()
+        if any(m in blob for m in marks):
+            for i in np.flatnonzero(~out):
+                own = blob[bounds[i] : bounds[i + 1]]
+                out[i] = any(m in own for m in marks)
+        rare = np.flatnonzero(_RARE[raw])
+        for i in np.unique(np.searchsorted(bounds, rare, "right") - 1):
+            out[i] |= _TIGHT.search(blob[bounds[i] : bounds[i + 1]].decode("utf-8", "replace")) is not None
+        return out
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian 32-bit ids, the end id last."""
-        if not text:
-            return self.end
-        # one space between two other characters is a border of pre-tokens; anything else goes whole
-        if text[-1] == " " or _TIGHT.search(text) or any(s in text for s in self.special):
-            return self._whole(text) + self.end
-        head, *rest = text.split(" ")
-        return b"".join([self._whole(head), *self.kept.of(rest), self.end])
 
+#: Bytes of ASCII white space, and first bytes of other white space (which many letters share).
+_WHITE = np.isin(np.arange(256), [*range(9, 14), *range(0x1C, 0x20), 0x20])
+_RARE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_TIGHT = re.compile(r" \s|\s ")
 
 #: The pattern of pre-tokens of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -213,18 +257,17 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = 1024, en
         encoder = once(("encoder", path, end_id), lambda: Encoder(path, end_id))
         part, so_far = TaskContext.get().partitionId(), {}
         for batch in batches:
-            texts, sources = batch.column(1), batch.column(2).to_pylist()
-            for at in range(0, batch.num_rows, 512):
-                own = batch.slice(at, 512)
-                ids = [encoder(t or "") for t in texts.slice(at, 512).to_pylist()]
+            texts, sources = textops.Texts(batch.column(1)), batch.column(2).to_pylist()
+            for first, end in texts.groups():
+                own = batch.slice(first, end - first)
+                ids = encoder(texts, first, end)
                 before = []
-                for s, x in zip(sources[at : at + 512], ids, strict=True):
+                for s, x in zip(sources[first:end], ids, strict=True):
                     before.append(so_far.get(s, 0))
-                    so_far[s] = before[-1] + len(x) // 4
-                small = [np.frombuffer(x, "<u4") for x in ids]
+                    so_far[s] = before[-1] + len(x)
                 # two bytes an id where all fit; the table's codec does the rest
-                packed = [x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\0" + x.tobytes() for x in small]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) for x in small], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "source", "part", "before", "tokens", "ids"])
+                packed = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\0" + x.astype("<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "source", "part", "before", "tokens", "ids"])
 
     made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
     made = common.durable(spark, made.mapInArrow(encode, f"doc_id {kind}, source string, part int, before bigint, tokens bigint, ids binary"), "tokens")
