@@ -41,36 +41,46 @@ class Kept:
 class Table:
     """Ids of pieces by the 64-bit hash of a piece, as sorted arrays: some 40 bytes a piece."""
 
-    MOST = 2_000_000
+    #: Pieces held at most, and those that wait to be sorted in among them.
+    MOST, RECENT = 600_000, 60_000
 
     def __init__(self, encode_many):
         self.encode_many = encode_many
         self._empty()
 
     def _empty(self) -> None:
-        self.hash, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), array("I")
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.sorted, self.recent, self.flat = none, none, array("I")
+
+    @staticmethod
+    def _with(known: tuple, more: tuple) -> tuple:
+        hash_ = np.concatenate([known[0], more[0]])
+        order = np.argsort(hash_, kind="stable")
+        return hash_[order], *(np.concatenate([a, b])[order] for a, b in zip(known[1:], more[1:], strict=True))
 
     def of(self, hashes: np.ndarray, fetch) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``flat``, number of ids) for each hash; ``fetch(i)`` is the piece of the i-th."""
         wanted, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hash) > self.MOST:
+        if len(self.sorted[0]) > self.MOST:
             self._empty()
-        place = np.searchsorted(self.hash, wanted)
-        have = np.zeros(len(wanted), bool)
-        if len(self.hash):
-            have = self.hash[np.minimum(place, len(self.hash) - 1)] == wanted
-        new = np.flatnonzero(~have)
-        if len(new):
+        at, n = np.zeros(len(wanted), np.int64), np.full(len(wanted), -1, np.int64)
+        for known in (self.sorted, self.recent):
+            if len(known[0]):
+                place = np.minimum(np.searchsorted(known[0], wanted), len(known[0]) - 1)
+                have = known[0][place] == wanted
+                at[have], n[have] = known[1][place[have]], known[2][place[have]]
+        new = np.flatnonzero(n < 0)
+        for some in np.split(new, range(20_000, len(new), 20_000)):
             begin, sizes = len(self.flat), []
-            for ids in self.encode_many([fetch(i) for i in first[new].tolist()]):
+            for ids in self.encode_many([fetch(i) for i in first[some].tolist()]) if len(some) else []:
                 sizes.append(len(ids))
                 self.flat.extend(ids)
-            n = np.array(sizes, np.int64)
-            hash_, at = np.concatenate([self.hash, wanted[new]]), np.concatenate([self.at, begin + np.cumsum(n) - n])
-            order = np.argsort(hash_, kind="stable")
-            self.hash, self.at, self.n = hash_[order], at[order], np.concatenate([self.n, n])[order]
-            place = np.searchsorted(self.hash, wanted)
-        return self.at[place][back], self.n[place][back]
+            n[some] = sizes
+            at[some] = begin + np.cumsum(n[some]) - n[some]
+        self.recent = self._with(self.recent, (wanted[new], at[new], n[new].astype(np.int32)))
+        if len(self.recent[0]) > self.RECENT:
+            self.sorted, self.recent = self._with(self.sorted, self.recent), tuple(x[:0] for x in self.recent)
+        return at[back], n[back]
 
 
 def joined(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:

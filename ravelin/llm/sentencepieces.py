@@ -388,16 +388,17 @@ def digest(df: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [x or [] for x in part.column(1).to_pylist()]
-                texts = [model.library.decode(x) for x in ids]
+                marks = [hashlib.sha256(model.library.decode(x).encode()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                        pa.array([t == (o or "") for t, o in zip(texts, part.column(2).to_pylist(), strict=True)], pa.bool_()),
+                        pa.array(marks, pa.string()),
+                        pa.array([a == b for a, b in zip(marks, part.column(2).to_pylist(), strict=True)], pa.bool_()),
                     ],
                     ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "exact"],
                 )
 
-    return df.select("doc_id", "ids", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, exact boolean")
+    mark = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return df.select("doc_id", "ids", mark.alias("mark")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, exact boolean")
