@@ -1,15 +1,17 @@
 """Near-duplicate vectors by iterative quantisation.
 
 A rotation of the centred principal components is learned so that the signs of the rotated
-vector make a balanced binary code that keeps angles well. The code is cut into segments,
-each with a table of its values; a vector is looked up in every table under all values
-within one bit of its own. Codes that meet are compared whole, and what stays near is
-reranked by cosine of the original vectors in double precision.
+vector make a balanced binary code that keeps angles well; signs under further, random
+rotations fill the code up to 128 bits. Each of several tables holds about log2(n) bits of
+it; a vector is looked up in every table under all values within one bit of its own. There
+are as many tables as the wanted recall at the least cosine asks for, however many vectors
+there are. Codes that meet are compared whole, and what stays near is reranked by cosine of
+the original vectors in double precision.
 
 A pair counts in the first table in which it meets, so each is counted once. Equal vectors
 are one entry. A value that very many codes share is dealt out in chunks, and no pair ever
 becomes a row: a chunk gives each vector's number of links and a star for each group of
-linked vectors.
+linked vectors. Of two values one bit apart, the one with an even number of bits is looked up.
 """
 
 from __future__ import annotations
@@ -30,32 +32,64 @@ from .components import connected
 CHUNK = 4096
 #: Rows of a group of table values.
 GROUP = 100_000
+#: Bits of a code, and the share of the pairs at the least cosine that must meet in a table.
+BITS, RECALL = 128, 0.99
+#: Beyond so many tables, values are made narrower instead.
+MOST_TABLES = 64
 
 
 @dataclass(frozen=True)
 class Model:
     mean: np.ndarray
-    project: np.ndarray  # (dim, bits)
+    project: np.ndarray  # (dim, BITS)
+    spread: float  # squared length of a centred vector that nine of ten reach
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
+    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, BITS) bits and the same packed in (rows, BITS / 64) words."""
         bits = ((x - self.mean) @ self.project > 0).astype(np.uint8)
-        out = np.zeros((len(x), 64), np.uint8)
-        out[:, : bits.shape[1]] = bits
-        return np.packbits(out, axis=1, bitorder="little").view("<u8").ravel()
+        return bits, np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+    def share(self, least: float) -> float:
+        """Part of the bits in which two vectors of cosine ``least`` differ: their angle, seen from the mean, over pi."""
+        return float(np.arccos(max(1 - (1 - least) / max(self.spread, 1e-9), 0.0)) / np.pi)
 
 
 def learn(x: np.ndarray, rounds: int = 30, seed: int = 7) -> Model:
-    """x: rows of length 1. Codes have as many bits as x has dimensions, 64 at most."""
+    """x: rows of length 1. One rotation is learned, the others are random; each has as many bits as x has dimensions, 64 at most."""
     bits = min(64, x.shape[1])
     mean = x.mean(0)
     _, basis = np.linalg.eigh((x - mean).T @ (x - mean))
     basis = basis[:, ::-1][:, :bits]
     z = (x - mean) @ basis
-    turn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
+    rng = np.random.default_rng(seed)
+    turn, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
     for _ in range(rounds):
         u, _, v = np.linalg.svd(z.T @ np.where(z @ turn > 0, 1.0, -1.0))
         turn = u @ v
-    return Model(mean, basis @ turn)
+    turns = [turn, *(np.linalg.qr(rng.normal(size=(bits, bits)))[0] for _ in range(-(-BITS // bits) - 1))]
+    return Model(mean, (basis @ np.hstack(turns))[:, :BITS], float(np.quantile((z**2).sum(1), 0.1)))
+
+
+def recall(share: float, width: int, tables: int) -> float:
+    """Part of the pairs that differ in ``share`` of the bits by expectation that some table of ``width`` bits has within one bit."""
+    apart = np.arange(BITS + 1)
+    odds = np.array([math.comb(BITS, d) * share**d * (1 - share) ** (BITS - d) for d in apart.tolist()])
+    met = [(math.comb(BITS - d, width) + d * math.comb(BITS - d, width - 1)) / math.comb(BITS, width) for d in apart.tolist()]
+    return float((odds * (1 - (1 - np.array(met)) ** tables)).sum())
+
+
+def plan(n: int, share: float, target: float = RECALL) -> np.ndarray:
+    """(tables, width) bits of each table: about log2(n) bits, so that a value holds about one random code, and
+    as many tables as the target asks for at any n."""
+    width = max(16, math.ceil(math.log2(n + 1)))
+    while width > 1 and recall(share, width, MOST_TABLES) < target:
+        width -= 1
+    tables = next((t for t in range(1, MOST_TABLES) if recall(share, width, t) >= target), MOST_TABLES)
+    rng, cuts = np.random.default_rng(11), []
+    while len(cuts) < tables:  # disjoint ones first, then of another order of the bits
+        order = rng.permutation(BITS)
+        cuts += [order[a : a + width] for a in range(0, BITS - width + 1, width)]
+    return np.array(cuts[:tables])
 
 
 def _unit(blobs: pa.Array, dim: int) -> np.ndarray:
@@ -75,7 +109,8 @@ def near(spark: SparkSession, df: DataFrame, least: float = 0.95, vec_id: str =
 
     A row for each row of df. Vectors that are null, zero, hold a null or a component that
     isn't finite, or have another length than most link with nothing. Other columns are not
-    read. Links that are missed are those of more than one bit's difference in every segment.
+    read. Links that are missed are those of more than one bit's difference in every table, at
+    the least cosine about 1 - RECALL of them.
     """
     raw = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     fine = F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
@@ -106,88 +141,111 @@ def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> t
     """(id, links: rows of other classes linked with it) and edges (a, b) between linked classes."""
     n = vectors.count()
     model = fit(spark, vectors, dim)
-    bits = min(64, dim)
-    # segments of about log2(n) bits, so a table value holds about one random code
-    segments = max(1, bits // max(16, math.ceil(math.log2(n + 1)))) if n else 1
-    width = -(-bits // segments) if bits else 1
-    known = spark.sparkContext.broadcast(model)  # dim x 64 numbers
+    share = model.share(least) if n else 0.0
+    cuts = plan(n, share)
+    tables, width = cuts.shape
+    masks = _masks(cuts)
+    known = spark.sparkContext.broadcast(model)  # dim x 128 numbers
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 1 << np.arange(width)
         for batch in batches:
-            codes = known.value.codes(_unit(batch.column(2), dim)) if batch.num_rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["id", "code"])
-
-    codes = common.durable(spark, vectors.mapInArrow(enter, "id bigint, code bigint"), "codes")
-    mask = (1 << width) - 1
-    value = lambda s: F.shiftrightunsigned("code", s * width).bitwiseAND(F.lit(mask))
-    own = F.array(*[F.struct(F.lit(s).alias("s"), value(s).alias("v")) for s in range(segments)])
-    ball = [F.struct(F.lit(s).alias("s"), value(s).bitwiseXOR(F.lit(flip)).alias("v")) for s in range(segments) for flip in (0, *(1 << b for b in range(min(width, bits - s * width))))]
-    members = codes.select("id", "code", F.explode(own).alias("k")).select("id", "code", "k.s", "k.v")
-    probes = codes.select("id", "code", F.explode(F.array(*ball)).alias("k")).select("id", "code", "k.s", "k.v")
+            bits, codes = known.value.codes(_unit(batch.column(2), dim)) if batch.num_rows else (np.zeros((0, BITS), np.uint8), np.zeros((0, 2), np.uint64))
+            values = np.stack([bits[:, cut] @ place for cut in cuts], 1).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, tables), pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.ascontiguousarray(codes.view(np.int64).T)), values], ["id", "c0", "c1", "values"])
+
+    codes = common.durable(spark, vectors.mapInArrow(enter, "id bigint, c0 bigint, c1 bigint, values array<int>"), "codes")
+    row = ["id", "c0", "c1", "s", "v"]
+    members = codes.select("id", "c0", "c1", F.posexplode("values").alias("s", "v"))
+    # values one bit apart have an even and an odd number of bits: the even one is looked up
+    flips = F.array(*[F.col("v").bitwiseXOR(F.lit(1 << b)) for b in range(width)])
+    probes = members.where(F.bit_count("v") % 2 == 0).select("id", "c0", "c1", "s", F.explode(flips).alias("v"))
     # a value of more than CHUNK codes is dealt out: its members by hash, and every look-up goes to all its chunks
     hot = members.groupBy("s", "v").count().where(F.col("count") > CHUNK).select("s", "v", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     hot = common.durable(spark, hot, "hot-values")
     chunks = F.coalesce("chunks", F.lit(1))
-    members = members.join(hot, ["s", "v"], "left").select("id", "code", "s", "v", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(True).alias("member"))
-    probes = probes.join(hot, ["s", "v"], "left").select("id", "code", "s", "v", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("member"))
-    groups = max(8, n * (segments * (width + 2)) // GROUP)
+    members = members.join(hot, ["s", "v"], "left").select(*row, F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
+    # members of one chunk are compared among themselves, with those of later chunks by a look-up
+    later = members.where(F.col("chunk") < F.col("chunks") - 1).select(*row, F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"))
+    members = members.select(*row, "chunk", F.lit(True).alias("member"))
+    probes = probes.join(hot, ["s", "v"], "left").select(*row, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("member"))
+    groups = max(8, n * tables * (width // 2 + 1) // GROUP)
     group = F.pmod(F.xxhash64("s", "v", "chunk"), F.lit(groups)).cast("int").alias("g")
-    most = 2 * segments + 3 * bits // 16
+    most = int(share * BITS + 5 * math.sqrt(share * (1 - share) * BITS)) + 1
 
-    met = members.unionByName(probes).withColumn("g", group).groupBy("g").applyInArrow(_meeting(segments, width, most), "id bigint, code bigint, s int, v bigint, chunk int, member boolean")
+    met = members.unionByName(later).unionByName(probes).withColumn("g", group).groupBy("g").applyInArrow(_meeting(masks, most), "id bigint, c0 bigint, c1 bigint, s int, v int, chunk int, member boolean")
     met = common.durable(spark, met, "meetings")
     with_vectors = met.join(vectors, "id").withColumn("g", group)
-    found = with_vectors.groupBy("g").applyInArrow(_rerank(segments, width, dim, least), "id bigint, links bigint, root bigint")
+    found = with_vectors.groupBy("g").applyInArrow(_rerank(masks, dim, least), "id bigint, links bigint, root bigint")
     found = common.durable(spark, found, "links")
     return found.groupBy("id").agg(F.sum("links").alias("links")), found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
 
 
+def _masks(cuts: np.ndarray) -> np.ndarray:
+    """(tables, BITS / 64) words with the bits of each table."""
+    held = np.zeros((len(cuts), BITS), np.uint8)
+    np.put_along_axis(held, cuts, 1, 1)
+    return np.packbits(held, axis=1, bitorder="little").view("<u8")
+
+
+def _codes(group: pa.Table) -> np.ndarray:
+    return np.stack([group[c].to_numpy() for c in ("c0", "c1")], 1).view(np.uint64)
+
+
 def _values(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the members and of the look-ups of each table value and chunk that has both."""
+    """Row numbers of the members, and of them and the look-ups, of each table value and chunk that has two rows or more."""
     s, v, chunk = (group[c].to_numpy() for c in ("s", "v", "chunk"))
     member = group["member"].to_numpy(zero_copy_only=False)
     order = np.lexsort((~member, chunk, v, s))
     same = (s[order][1:] == s[order][:-1]) & (v[order][1:] == v[order][:-1]) & (chunk[order][1:] == chunk[order][:-1])
     bounds = np.append(np.flatnonzero(np.append(True, ~same)), len(order)) if len(order) else np.zeros(1, int)
     held = np.add.reduceat(member[order].astype(int), bounds[:-1]) if len(order) else np.zeros(0, int)
-    for i in np.flatnonzero((held > 0) & (np.diff(bounds) > held)):
-        yield order[bounds[i] : bounds[i] + held[i]], order[bounds[i] + held[i] : bounds[i + 1]]
+    for i in np.flatnonzero((held > 0) & (np.diff(bounds) > 1)):
+        yield order[bounds[i] : bounds[i] + held[i]], order[bounds[i] : bounds[i + 1]]
+
+
+def _only_first(hit: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, masks: np.ndarray) -> None:
+    """Clears the pairs of a (rows) and b (columns) that a table before this one makes meet."""
+    r, c = np.nonzero(hit)
+    for at in range(0, len(r), 1 << 18):
+        x, y = r[at : at + (1 << 18)], c[at : at + (1 << 18)]
+        apart = a[x] ^ b[y]
+        ok = np.ones(len(x), bool)
+        for t in range(table):
+            ok &= np.bitwise_count(apart & masks[t]).sum(1) > 1
+        hit[x, y] = ok
 
 
-def _first_table(a: np.ndarray, b: np.ndarray, table: int, segments: int, width: int) -> np.ndarray:
-    """Whether no table before this one makes the codes of a (rows) and b (columns) meet."""
-    apart = a[:, None] ^ b[None, :]
-    ok = np.ones(apart.shape, bool)
-    mask = np.uint64((1 << width) - 1)
-    for s in range(table):
-        ok &= np.bitwise_count(apart >> np.uint64(s * width) & mask) > 1
-    return ok
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
 
 
-def _meeting(segments: int, width: int, most: int):
+def _meeting(masks: np.ndarray, most: int):
     """Keeps the look-ups that meet a near code other than their own, and the members that are met."""
 
     def meeting(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        code, ids, s = group["code"].to_numpy().view(np.uint64), group["id"].to_numpy(), group["s"].to_numpy()
+        code, ids, s = _codes(group), group["id"].to_numpy(), group["s"].to_numpy()
         keep = np.zeros(len(code), bool)
         for members, looks in _values(group):
             for at in range(0, len(looks), 1024):
                 part = looks[at : at + 1024]
-                close = (np.bitwise_count(code[part][:, None] ^ code[members][None, :]) <= most) & (ids[part][:, None] != ids[members][None, :])
+                close = (_apart(code[part], code[members]) <= most) & (ids[part][:, None] != ids[members][None, :])
                 if close.any():
-                    close &= _first_table(code[part], code[members], int(s[part[0]]), segments, width)
+                    _only_first(close, code[part], code[members], int(s[part[0]]), masks)
                     keep[part] |= close.any(1)
                     keep[members] |= close.any(0)
-        return group.filter(pa.array(keep)).select(["id", "code", "s", "v", "chunk", "member"])
+        return group.filter(pa.array(keep)).select(["id", "c0", "c1", "s", "v", "chunk", "member"])
 
     return meeting
 
 
-def _rerank(segments: int, width: int, dim: int, least: float):
+def _rerank(masks: np.ndarray, dim: int, least: float):
     def rerank(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        code, ids, s, n = group["code"].to_numpy().view(np.uint64), group["id"].to_numpy(), group["s"].to_numpy(), group["n"].to_numpy()
+        code, ids, s, n = _codes(group), group["id"].to_numpy(), group["s"].to_numpy(), group["n"].to_numpy()
+        member = group["member"].to_numpy(zero_copy_only=False)
         x = _unit(group["vector"], dim)
         out_id, out_links, out_root = [], [], []
         for members, looks in _values(group):
@@ -201,8 +259,11 @@ def _rerank(segments: int, width: int, dim: int, least: float):
                 hit = (x[part] @ x[members].T >= least) & (ids[part][:, None] != ids[members][None, :])
                 if not hit.any():
                     continue
-                hit &= _first_table(code[part], code[members], int(s[part[0]]), segments, width)
+                _only_first(hit, code[part], code[members], int(s[part[0]]), masks)
                 links[pl[at : at + 512]] += hit @ n[members]
+                # members find one another from both sides, a look-up stands for both
+                asked = ~member[part]
+                links[pm] += n[part][asked] @ hit[asked]
                 for r, row in zip(pl[at : at + 512], hit, strict=True):
                     if row.any():  # join the groups of all it is linked with under the smallest
                         roots = np.unique(of[np.append(pm[row], r)])
