@@ -10,6 +10,8 @@ distance is verified. Copies share a fingerprint and are never compared.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,8 +105,8 @@ def components(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id") -> Da
     return named.join(of, "simhash").select("doc_id", "simhash", "component_id")
 
 
-#: Words of 63 bits that similarity is judged by, and how many of them the tables hold.
-WIDE, HELD_WORDS = 4, 2
+#: Words of 63 bits that similarity is judged by, and the share of the pairs at the least similarity that must meet in a table.
+WIDE, RECALL = 4, 0.99
 _STREAMS = (0, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03)
 
 
@@ -129,15 +131,37 @@ def wide(texts: textops.Texts, k: int) -> np.ndarray:
     return out
 
 
+def recall(share: float, width: int, tables: int) -> float:
+    """Part of the pairs that differ in ``share`` of the bits by expectation that some table of ``width`` bits has within 2 bits."""
+    bits, apart = 63 * WIDE, range(63 * WIDE + 1)
+    odds = np.array([math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in apart])
+    met = np.array([sum(math.comb(d, x) * math.comb(bits - d, width - x) for x in range(3)) / math.comb(bits, width) for d in apart])
+    return float((odds * (1 - (1 - met) ** tables)).sum())
+
+
+def plan(n: int, share: float, target: float = RECALL) -> np.ndarray:
+    """(tables, width) places of the bits in the words: log2(n) - 4 or so a table, so that a value
+    holds about 16 random fingerprints, and as many tables as the target asks for at any n."""
+    width = min(max(16, (n - 1).bit_length() - 4), 31)
+    tables = next(t for t in itertools.count(1) if recall(share, width, t) >= target)
+    place = np.arange(63 * WIDE) // 63 * 64 + np.arange(63 * WIDE) % 63
+    rng, cuts = np.random.default_rng(13), []
+    while len(cuts) < tables:  # disjoint ones first, then of another order of the bits
+        cuts += [place[a : a + width] for a in range(0, len(place) - width + 1, width)]
+        place = rng.permutation(place)
+    return np.array(cuts[:tables])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): documents whose shingles of k words have an estimated similarity
     (shared part of the union) of ``similarity`` or more are linked.
 
     For similarity s the cosine is 2s/(1+s) and the share of differing bits its angle over pi;
     a standard deviation is added, so that at 0.8 a pair of 0.8 is linked in 5 of 6 cases, one
-    of 0.85 in 98 of 100 and one of 0.6 in 2 of 100. Segments are as wide as the number of
+    of 0.85 in 98 of 100 and one of 0.6 in 2 of 100. Tables are as wide as the number of
     distinct fingerprints asks for; both sides enter the ball of radius 1, so fingerprints
-    meet that are 2 bits apart in any segment (at 0.8 and 18 bits 99 of 100 pairs). Null and
+    meet that are 2 bits apart in any table. There are as many tables as let 99 of 100 pairs
+    of ``similarity`` meet, whatever that number. Null and
     empty texts are copies of one another; null ids are left out.
     """
     names = [f"w{i}" for i in range(WIDE)]
@@ -152,28 +176,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     prints = common.durable(spark, prints.mapInArrow(sketch, f"doc_id bigint, {typed}"), "wide-simhash")
     classes = prints.groupBy(*names).agg(F.min("doc_id").alias("id"))
     n = max(2, classes.count())
-    width = min(max(16, (n - 1).bit_length()), 31)
-    tables = 63 * HELD_WORDS // width
     share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 63 * WIDE
     most = int(share * bits + np.sqrt(share * (1 - share) * bits))
+    cuts = plan(n, share)
+    tables, width = cuts.shape
     groups = max(8, n * tables * (width + 1) // 100_000)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.array([0, *(1 << x for x in range(width))], np.uint64)
-        mask = np.uint64((1 << width) - 1)
+        weight = 1 << np.arange(width)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                keys = []
-                for t in range(tables):
-                    # bits t*width.. of the first two words, the second's behind the first's 63
-                    low, shift = t * width, np.uint64(t * width % 63)
-                    x, y = (a, b) if low < 63 else (b, np.zeros_like(b))
-                    own = x.view(np.uint64) >> shift | y.view(np.uint64) << (np.uint64(63) - shift)
-                    keys.append(((own & mask)[:, None] ^ flips[None, :]) + np.uint64(t << 32))
+                words = np.stack([batch.column(c).to_numpy() for c in range(WIDE)], 1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                keys = [((bits[:, cut] @ weight).astype(np.uint64)[:, None] ^ flips[None, :]) + np.uint64(t << 32) for t, cut in enumerate(cuts)]
                 key = np.stack(keys, 1).reshape(-1)
-                row = np.repeat(np.arange(len(a)), tables * (width + 1))
+                row = np.repeat(np.arange(len(words)), tables * (width + 1))
                 g = (textops.mix(key) % np.uint64(groups)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in range(WIDE + 1))], ["g", "key", *names, "id"])
 

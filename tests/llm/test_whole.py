@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ravelin.llm import embeddings
+from ravelin.llm import embeddings, simhash
 
 
 @pytest.mark.parametrize("n", [4000, 100_000, 3_000_000, 80_000_000])
@@ -21,3 +21,13 @@ def test_vector_recall_does_not_fall_with_size(spark, monkeypatch, n):
     got = {r["vec_id"]: r for r in embeddings.near(spark, spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
     assert max(r["n_links"] for r in got.values()) == 1
     assert np.mean([got[i]["component_id"] == got[i + 2000]["component_id"] == i and got[i]["n_links"] == 1 for i in range(2000)]) >= 0.975
+
+
+@pytest.mark.parametrize("n", [30_000, 220_000, 12_000_000, 33_000_000])
+def test_fingerprints_of_least_similarity_meet_at_any_size(n):
+    rng = np.random.default_rng(6)
+    share = np.arccos(1.6 / 1.8) / np.pi
+    cuts = simhash.plan(n, share)
+    assert cuts.shape[1] >= (n - 1).bit_length() - 4 and not (cuts % 64 == 63).any()
+    apart = rng.random((4000, 256)) < share
+    assert (apart[:, cuts].sum(2) <= 2).any(1).mean() >= 0.98
