@@ -174,7 +174,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
 
     prints = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     prints = common.durable(spark, prints.mapInArrow(sketch, f"doc_id bigint, {typed}"), "wide-simhash")
-    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("id"))
+    classes = common.durable(spark, prints.groupBy(*names).agg(F.min("doc_id").alias("id")), "wide-classes")
     n = max(2, classes.count())
     share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 63 * WIDE
     most = int(share * bits + np.sqrt(share * (1 - share) * bits))
@@ -182,59 +182,84 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     tables, width = cuts.shape
     groups = max(8, n * tables * (width + 1) // 100_000)
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array([0, *(1 << x for x in range(width))], np.uint64)
-        weight = 1 << np.arange(width)
+    weight = 1 << np.arange(width)
+
+    def own(batch: pa.RecordBatch) -> np.ndarray:
+        """(rows, tables): the value in each table, above it the table's number."""
+        words = np.stack([batch.column(c).to_numpy() for c in range(WIDE)], 1)
+        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+        return np.stack([(bits[:, cut] @ weight) + (t << 32) for t, cut in enumerate(cuts)], 1)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                words = np.stack([batch.column(c).to_numpy() for c in range(WIDE)], 1)
-                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-                keys = [((bits[:, cut] @ weight).astype(np.uint64)[:, None] ^ flips[None, :]) + np.uint64(t << 32) for t, cut in enumerate(cuts)]
-                key = np.stack(keys, 1).reshape(-1)
-                row = np.repeat(np.arange(len(words)), tables * (width + 1))
-                g = (textops.mix(key) % np.uint64(groups)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in range(WIDE + 1))], ["g", "key", *names, "id"])
-
-    entered = classes.select(*names, "id").mapInArrow(enter, f"g int, key bigint, {typed}, id bigint")
+                yield pa.RecordBatch.from_arrays([pa.array(own(whole.slice(at, 2000)).ravel())], ["key"])
+
+    # keys that more than HELD fingerprints enter (those of values of few may add up to HELD more)
+    full = classes.select(*names).mapInArrow(values, "key bigint").groupBy("key").count().where(F.col("count") > HELD // (width + 1))
+    full = full.select(F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(x)) for x in (0, *(1 << b for b in range(width)))])).alias("key"), "count")
+    full = full.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") > HELD).select("key", F.ceil(F.col("n") / HELD).cast("bigint").alias("chunks")).orderBy("key").toArrow()
+    hot = spark.sparkContext.broadcast((full["key"].to_numpy(), full["chunks"].to_numpy()))  # n * tables * (width + 1) / HELD keys at most
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = np.array([0, *(1 << x for x in range(width))], np.int64)
+        step = max(1, 2000 // int(hot.value[1].max(initial=1)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                key = (own(batch)[:, :, None] ^ flips).reshape(-1)
+                row = np.repeat(np.arange(batch.num_rows), tables * (width + 1))
+                key, row, block = _dealt(key, row, batch.column(WIDE).to_numpy(), *hot.value)
+                g = ((textops.mix(key.view(np.uint64)) + textops.mix(block.view(np.uint64))) % np.uint64(groups)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key), pa.array(block), *(batch.column(c).take(pa.array(row)) for c in range(WIDE + 1))], ["g", "key", "block", *names, "id"])
+
+    entered = classes.select(*names, "id").mapInArrow(enter, f"g int, key bigint, block bigint, {typed}, id bigint")
     edges = entered.groupBy("g").applyInArrow(_tied(most), "a bigint, b bigint").distinct()
     found = connected(spark, edges, "near")
     of = classes.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("component_id"))
     return prints.join(of, names).select("doc_id", "component_id")
 
 
-#: Fingerprints under one key that are held together; beyond it only one of each group found so far is.
+#: Fingerprints of a key beyond which it is dealt out in chunks; every two chunks are compared, in a block of their own.
 HELD = 20_000
 
 
+def _dealt(key: np.ndarray, row: np.ndarray, ids: np.ndarray, hot: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with their block: 0, or under a hot key each pair of chunks that the row's own is one of."""
+    parts = np.ones(len(key), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        parts = np.where(hot[at] == key, chunks[at], 1)
+    take = np.repeat(np.arange(len(key)), parts)
+    key, row, parts = key[take], row[take], parts[take]
+    other = np.arange(len(take)) - np.searchsorted(take, take)
+    own = (textops.mix(ids[row].view(np.uint64)) % parts.view(np.uint64)).astype(np.int64)
+    return key, row, np.minimum(own, other) * parts + np.maximum(own, other)
+
+
 def _tied(most: int):
     def tied(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        key, ids = group["key"].to_numpy(), group["id"].to_numpy()
+        key, block, ids = group["key"].to_numpy(), group["block"].to_numpy(), group["id"].to_numpy()
         code = np.stack([group[f"w{i}"].to_numpy() for i in range(WIDE)], 1).view(np.uint64)
-        order = np.lexsort((ids, key))
-        bounds = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, int)
+        order = np.lexsort((ids, block, key))
+        bounds = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (block[order][1:] != block[order][:-1]))) if len(key) else np.zeros(0, int)
         src, dst = [], []
         for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=False):
             if hi - lo < 2:
                 continue
-            heads = np.zeros(0, np.int64)
-            for at in range(lo, hi, HELD):
-                left = np.concatenate([heads, order[at : min(at + HELD, hi)]])
-                heads_now = []
-                while len(left):  # a group: all that is reached from its smallest by steps of few bits
-                    top, queue, left = left[0], [left[0]], left[1:]
-                    heads_now.append(top)
-                    while queue and len(left):
-                        x = queue.pop()
-                        apart = np.bitwise_count(code[left] ^ code[x]).sum(1)
-                        hit = apart <= most
-                        if hit.any():
-                            src.append(ids[left[hit]])
-                            dst.append(np.full(int(hit.sum()), ids[top]))
-                            queue += left[hit].tolist()
-                            left = left[~hit]
-                heads = np.array(heads_now, np.int64)
+            left = order[lo:hi]
+            while len(left):  # a group: all that is reached from its smallest by steps of few bits
+                top, queue, left = left[0], [left[0]], left[1:]
+                while queue and len(left):
+                    x = queue.pop()
+                    apart = np.bitwise_count(code[left] ^ code[x]).sum(1)
+                    hit = apart <= most
+                    if hit.any():
+                        src.append(ids[left[hit]])
+                        dst.append(np.full(int(hit.sum()), ids[top]))
+                        queue += left[hit].tolist()
+                        left = left[~hit]
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"a": join(src), "b": join(dst)}).group_by(["a", "b"]).aggregate([])
 

@@ -1,6 +1,7 @@
 """What must be found whatever the size: recall, large groups, true similarity, parts of candidates."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ravelin.llm import embeddings, simhash
@@ -31,3 +32,28 @@ def test_fingerprints_of_least_similarity_meet_at_any_size(n):
     assert cuts.shape[1] >= (n - 1).bit_length() - 4 and not (cuts % 64 == 63).any()
     apart = rng.random((4000, 256)) < share
     assert (apart[:, cuts].sum(2) <= 2).any(1).mean() >= 0.98
+
+
+def test_hot_keys_lose_no_link():
+    rng = np.random.default_rng(8)
+    n, parts = 120, 5
+    code = np.zeros((n, 256), np.uint8)
+    for i in range(1, n):  # a chain: each differs from the one before in 20 bits
+        code[i] = code[i - 1]
+        code[i, rng.choice(256, 20, replace=False)] ^= 1
+    words = np.packbits(code, axis=1, bitorder="little").view(np.int64)
+    ids = rng.permutation(n).astype(np.int64)
+    key, row, block = simhash._dealt(np.full(n, 5), np.arange(n), ids, np.array([5]), np.array([parts]))
+    assert len(row) == n * parts and np.bincount(block).max() < n
+    made = pa.table({"key": key, "block": block, "id": ids[row], **{f"w{i}": words[row, i] for i in range(4)}})
+    edges = simhash._tied(20)(made)
+    of = {i: i for i in range(n)}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True):
+        of[max(top(a), top(b))] = min(top(a), top(b))
+    assert {top(i) for i in range(n)} == {0}
