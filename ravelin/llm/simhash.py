@@ -110,18 +110,23 @@ WIDE, RECALL = 4, 0.99
 _STREAMS = (0, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03)
 
 
-def wide(texts: textops.Texts, k: int) -> np.ndarray:
-    """(texts, WIDE) words of 63 bits: SimHash over hashes of k-word shingles, fewer words as one shingle."""
-    out = np.zeros((texts.size, WIDE), np.int64)
+def _shingle_sets(texts: textops.Texts, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text's number and the sorted hashes of its distinct k-word shingles; fewer words are one shingle."""
     for first, end in texts.groups():
         starts, ends, first_word = texts.words(first, end)
         words = texts.hashes(starts, ends)
         runs = textops.shingles(words, k)
         for i in range(first, end):
             a, b = first_word[i - first], first_word[i - first + 1]
-            if a == b:
-                continue
-            own = runs[a : b - k + 1] if b - a >= k else textops.shingles(words[a:b], int(b - a))
+            own = runs[a : b - k + 1] if b - a >= k else textops.shingles(words[a:b], int(b - a)) if b > a else runs[:0]
+            yield i, np.unique(own)
+
+
+def wide(texts: textops.Texts, k: int) -> np.ndarray:
+    """(texts, WIDE) words of 63 bits: SimHash over hashes of the distinct k-word shingles."""
+    out = np.zeros((texts.size, WIDE), np.int64)
+    for i, own in _shingle_sets(texts, k):
+        if len(own):
             for word, add in enumerate(_STREAMS):
                 hashes = textops.mix(own + np.uint64(add)) if add else own
                 sums = sum(_bit_sums(hashes[x : x + 8192]) for x in range(0, len(hashes), 8192))
@@ -153,16 +158,17 @@ def plan(n: int, share: float, target: float = RECALL) -> np.ndarray:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents whose shingles of k words have an estimated similarity
+    """(doc_id, component_id): documents whose sets of shingles of k words have a similarity
     (shared part of the union) of ``similarity`` or more are linked.
 
-    For similarity s the cosine is 2s/(1+s) and the share of differing bits its angle over pi;
-    a standard deviation is added, so that at 0.8 a pair of 0.8 is linked in 5 of 6 cases, one
-    of 0.85 in 98 of 100 and one of 0.6 in 2 of 100. Tables are as wide as the number of
-    distinct fingerprints asks for; both sides enter the ball of radius 1, so fingerprints
-    meet that are 2 bits apart in any table. There are as many tables as let 99 of 100 pairs
-    of ``similarity`` meet, whatever that number. Null and
-    empty texts are copies of one another; null ids are left out.
+    For similarity s the cosine is 2s/(1+s) or more and the share of differing bits its angle
+    over pi. Fingerprints with up to three standard deviations more are candidates (998 of
+    1000 pairs at ``similarity``). Tables are about as wide as the number of distinct
+    fingerprints asks for; both sides enter the ball of radius 1, so fingerprints meet that
+    are 2 bits apart in any table. There are as many tables as let 99 of 100 pairs of
+    ``similarity`` meet, whatever that number. Within each component of candidates the
+    shingles themselves decide which texts are linked. Null and empty texts are copies of one
+    another; null ids are left out.
     """
     names = [f"w{i}" for i in range(WIDE)]
     typed = ", ".join(f"{w} bigint" for w in names)
@@ -170,14 +176,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = wide(textops.Texts(batch.column(1)), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w) for w in np.ascontiguousarray(made.T))], ["doc_id", *names])
-
-    prints = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    prints = common.durable(spark, prints.mapInArrow(sketch, f"doc_id bigint, {typed}"), "wide-simhash")
-    classes = common.durable(spark, prints.groupBy(*names).agg(F.min("doc_id").alias("id")), "wide-classes")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3, 4)), *(pa.array(w) for w in np.ascontiguousarray(made.T))], ["doc_id", "t0", "t1", "size", *names])
+
+    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
+    # a text is told apart by 128 bits
+    prints = named.select("*", F.xxhash64("text").alias("t0"), F.xxhash64(F.lit(1), "text").alias("t1"), F.octet_length("text").cast("bigint").alias("size"))
+    prints = common.durable(spark, prints.mapInArrow(sketch, f"doc_id bigint, t0 bigint, t1 bigint, size bigint, {typed}"), "wide-simhash")
+    texts = common.durable(spark, prints.groupBy("t0", "t1", *names).agg(F.min("doc_id").alias("id"), F.max("size").alias("size")), "wide-texts")
+    classes = common.durable(spark, texts.groupBy(*names).agg(F.min("id").alias("id")), "wide-classes")
     n = max(2, classes.count())
     share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 63 * WIDE
-    most = int(share * bits + np.sqrt(share * (1 - share) * bits))
+    most = int(share * bits + 3 * np.sqrt(share * (1 - share) * bits))
     cuts = plan(n, share)
     tables, width = cuts.shape
     groups = max(8, n * tables * (width + 1) // 100_000)
@@ -215,9 +224,72 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
 
     entered = classes.select(*names, "id").mapInArrow(enter, f"g int, key bigint, block bigint, {typed}, id bigint")
     edges = entered.groupBy("g").applyInArrow(_tied(most), "a bigint, b bigint").distinct()
-    found = connected(spark, edges, "near")
-    of = classes.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of, names).select("doc_id", "component_id")
+    loose = connected(spark, edges, "near")
+    of = classes.join(loose, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("loose"))
+    of = common.durable(spark, texts.join(of, names).select("id", "size", "loose"), "candidates")
+    sizes = of.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where("n > 1")
+    sizes = sizes.select("loose", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("bigint").alias("chunks"))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    suspects = of.join(sizes, "loose").select("id", "loose", "chunks", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
+    suspects = suspects.select("id", "loose", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("block"))
+    suspects = common.durable(spark, suspects, "suspects")
+    groups = max(8, suspects.count() // BLOCK_TEXTS)
+    suspects = suspects.withColumn("g", F.pmod(F.xxhash64("loose", "block"), F.lit(groups)).cast("int"))
+    edges = named.join(suspects, F.col("doc_id") == F.col("id")).select("g", "loose", "block", "id", "text").groupBy("g").applyInArrow(_verified(k, similarity), "a bigint, b bigint")
+    found = connected(spark, edges.distinct(), "verified")
+    known = texts.join(found, F.col("id") == F.col("node"), "left").select("t0", "t1", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(known, ["t0", "t1"]).select("doc_id", "component_id")
+
+
+#: Texts and bytes of a component of candidates beyond which it is dealt out in chunks; every two chunks are verified, in a block of their own.
+BLOCK_TEXTS, BLOCK_BYTES = 2000, 32 << 20
+
+
+def _verified(k: int, similarity: float):
+    """Edges to the smallest of each group of texts connected by true similarities."""
+
+    def verified(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        loose, block, ids = (group[c].to_numpy() for c in ("loose", "block", "id"))
+        order = np.lexsort((ids, block, loose))
+        bounds = np.flatnonzero(np.append(True, (loose[order][1:] != loose[order][:-1]) | (block[order][1:] != block[order][:-1]))) if len(ids) else np.zeros(0, int)
+        src, dst = [], []
+        for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=False):
+            rows = order[lo:hi]
+            sets = [own for _, own in _shingle_sets(textops.Texts(group["text"].take(pa.array(rows))), k)]
+            for top, linked in _linked(sets, similarity):
+                src.append(ids[rows[linked]])
+                dst.append(np.full(len(linked), ids[rows[top]]))
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"a": join(src), "b": join(dst)})
+
+    return verified
+
+
+def _linked(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(smallest number of a group, numbers newly connected with it) for sets that share ``similarity`` of their union."""
+    size = np.array([len(x) for x in sets], np.int64)
+    names, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), size)
+    each = np.split(shingle, np.cumsum(size)[:-1])
+    marked, alive = np.zeros(len(names), bool), np.ones(len(sets), bool)
+    left = np.arange(len(sets))
+    while len(left):
+        top, queue, left = int(left[0]), [int(left[0])], left[1:]
+        alive[top] = False
+        while queue and len(left):
+            x = queue.pop()
+            marked[each[x]] = True
+            shared = np.bincount(of[marked[shingle]], minlength=len(sets))[left]
+            marked[each[x]] = False
+            hit = shared >= similarity * (size[x] + size[left] - shared) - 1e-9
+            if hit.any():
+                yield top, left[hit]
+                queue += left[hit].tolist()
+                alive[left[hit]] = False
+                left = left[~hit]
+                rest = alive[of]
+                of, shingle = of[rest], shingle[rest]
 
 
 #: Fingerprints of a key beyond which it is dealt out in chunks; every two chunks are compared, in a block of their own.

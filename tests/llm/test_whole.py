@@ -57,3 +57,23 @@ def test_hot_keys_lose_no_link():
     for a, b in zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True):
         of[max(top(a), top(b))] = min(top(a), top(b))
     assert {top(i) for i in range(n)} == {0}
+
+
+def test_only_true_similarity_links(spark):
+    rng = np.random.default_rng(9)
+    texts, sets = [], []
+    for i in range(60):  # pairs with from 1 to 15 of 300 words changed: similarity from 0.97 to 0.6
+        words = [f"w{i}x{j}" for j in rng.integers(0, 10**6, 300)]
+        other = list(words)
+        for at in rng.choice(300, 1 + i // 4, replace=False):
+            other[at] = "changed" + str(at)
+        texts += [words, other]
+    dull = ["so", "it", "is", "then"] * 200  # texts that one repeated line dominates
+    texts += [dull + [f"a{j}" for j in range(40)], dull + [f"b{j}" for j in range(40)]]
+    for w in texts:
+        sets.append({tuple(w[a : a + 5]) for a in range(len(w) - 4)})
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, docs).collect()}
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.65 < s < 0.8 for s in alike) > 10
+    assert [got[2 * i + 1] == 2 * i for i in range(len(alike))] == [s >= 0.8 for s in alike]
