@@ -57,14 +57,17 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
-def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 4 << 20, most: int = 64 << 20) -> tuple[DataFrame, int]:
-    """df with ``__shard``, the number of a range of doc_id (null ids are in the last one), and the bytes of text.
+def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 4 << 20, most: int = 16 << 20, spread: bool = False) -> tuple[DataFrame, int, int]:
+    """(df with ``__shard``, the number of a range of doc_id; the bytes of text; the number of ranges of ids).
 
     A range holds ``least`` to ``most`` bytes of text, or one longer text and what follows it
-    up to that. The bounds come from a distributed sort of the ids with the sizes of their
-    texts and are broadcast: 8 bytes for each range, 100 TB in ranges of 64 MB make 12 MB.
+    up to that; rows of one id stay together. Null ids are in the last range or, with ``spread``,
+    dealt over ranges of about as many bytes behind it. The bounds come from a distributed sort
+    of the ids with the sizes of their texts and are broadcast: 8 bytes for each range, 100 TB
+    in ranges of 16 MB make 50 MB.
     """
-    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+    length = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint")
+    size, none = df.agg(F.coalesce(F.sum(length), F.lit(0)), F.coalesce(F.sum(F.when(F.col(doc_id).isNull(), length + 64)), F.lit(0))).first()
     each = int(min(max(size // 2048, least), most))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +79,7 @@ def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.flatnonzero(end // each > begin // each)))], ["id"])
                 so_far = int(end[-1])
 
-    ids = df.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint").alias("n")).where("id is not null")
+    ids = df.select(F.col(doc_id).cast("bigint").alias("id"), length.alias("n")).where("id is not null")
     ids = ids.repartitionByRange("id").sortWithinPartitions("id")
     bounds = np.unique(np.array([r[0] for r in ids.mapInArrow(pick, "id bigint").collect()], np.int64))
     known = spark.sparkContext.broadcast(bounds)
@@ -85,4 +88,7 @@ def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least:
     def shard(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(known.value, ids.fill_null(2**63 - 1).to_numpy(zero_copy_only=False), "right"), pa.int32())
 
-    return df.withColumn("__shard", shard(F.col(doc_id).cast("bigint"))), size
+    place, ranges = shard(F.col(doc_id).cast("bigint")), len(bounds) + 1
+    if spread:
+        place = F.when(F.col(doc_id).isNull(), ranges + F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(1 + none // each)).cast("int")).otherwise(place)
+    return df.withColumn("__shard", place), size, ranges

@@ -104,7 +104,7 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     next range, so no task sees more than a range.
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt, _ = common.in_ranges(spark, d, "doc_id", "text")
+    dealt, _, _ = common.in_ranges(spark, d, "doc_id", "text")
     # a row for each range: as many as there are bounds
     largest = F.max(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     used = sorted((r[0], r[1]["doc_id"]) for r in dealt.groupBy("__shard").agg(largest).collect())

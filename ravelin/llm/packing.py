@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, textops
-from .pieces import Table, joined, once
+from .pieces import Table, once
 
 #: Windows in a frame.
 FRAME = 64
@@ -38,7 +38,7 @@ class Encoder:
 
     So a border of pre-tokens lies before every space that stands between two characters
     that are no white space, and each piece from one such space to the next is encoded once.
-    Pieces are told apart by 64-bit hashes. Other texts, and those with strings of special
+    Other texts, and those with strings of special
     tokens, are encoded whole.
     """
 
@@ -68,17 +68,14 @@ class Encoder:
         raw = texts.data[texts.offsets[first] : texts.offsets[end]]
         odd = self._odd(texts, first, end, raw)
         starts, ends, first_word = texts.words(first, end, textops.SPACE)
-        hashes = texts.hashes(starts, ends)
         head = np.isin(starts, texts.offsets[first:end])
-        hashes[head] = textops.mix(hashes[head] + np.uint64(1))
         use = np.ones(len(starts), bool)
         for i in np.flatnonzero(odd):
             use[first_word[i] : first_word[i + 1]] = False
         chosen = np.flatnonzero(use)
         data, lo, hi, plain = texts.data, starts[chosen], ends[chosen], head[chosen]
         fetch = lambda i: ("" if plain[i] else " ") + data[lo[i] : hi[i]].tobytes().decode("utf-8", "replace")
-        at, n = self.table.of(hashes[chosen], fetch)
-        flat = joined(np.frombuffer(self.table.flat, np.uint32) if self.table.flat else np.zeros(0, np.uint32), at, n)
+        flat, n = self.table.of(texts, lo, hi, plain.astype(np.int64), fetch)
         sizes = np.zeros(len(starts) + 1, np.int64)
         sizes[chosen + 1] = n
         cut = np.cumsum(sizes)[first_word]

@@ -2,8 +2,9 @@
 
 The tokenizers used here never join characters across a boundary between a
 non-space character and a single space, so a text's ids are the ids of its
-space-separated pieces in order. A worker keeps what it has encoded, up to
-MOST_KEPT pieces, and hands only new pieces to the library.
+space-separated pieces in order. A worker keeps what it has made of a piece, up to a
+number of bytes, and hands only new pieces to the library. A piece that is found by its hash
+is compared with the one that is kept, byte for byte.
 """
 
 from __future__ import annotations
@@ -13,74 +14,93 @@ from array import array
 
 import numpy as np
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
-#: Pieces that a worker keeps at most; beyond it starts anew (memory, not results).
-MOST_KEPT = 300_000
-
-
-class Kept:
-    """piece -> what ``encode_many`` makes of it."""
-
-    def __init__(self, encode_many):
-        self.known: dict = {}
-        self.encode_many = encode_many
+from . import textops
 
-    def of(self, pieces: list[str]) -> list:
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > MOST_KEPT:
-                self.known.clear()
-                new = list(set(pieces))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                self.known.update(zip(part, self.encode_many(part), strict=True))
-        return list(map(self.known.__getitem__, pieces))
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 class Table:
-    """Ids of pieces by the 64-bit hash of a piece, as sorted arrays: some 40 bytes a piece."""
+    """What ``make_many`` makes of pieces (lists of whole numbers), by the pieces' hashes in sorted arrays: some 50 bytes a piece."""
 
-    #: Pieces held at most, and those that wait to be sorted in among them.
-    MOST, RECENT = 600_000, 60_000
+    #: Bytes held at most (beyond it the table starts anew: memory, not results), pieces that wait to be sorted in
+    #: among the others, and bytes of a piece beyond which it is made anew each time.
+    MOST, RECENT, LONGEST = 48 << 20, 60_000, 256
 
-    def __init__(self, encode_many):
-        self.encode_many = encode_many
+    def __init__(self, make_many):
+        self.make_many = make_many
         self._empty()
 
     def _empty(self) -> None:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        self.sorted, self.recent, self.flat = none, none, array("I")
+        kinds = (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int32)  # hash, two lanes, length, place, number
+        self.sorted = self.recent = tuple(np.zeros(0, k) for k in kinds)
+        self.flat, self.tails = array("I"), {}
+
+    def held(self) -> int:
+        """Bytes, about."""
+        return 52 * (len(self.sorted[0]) + len(self.recent[0])) + 4 * len(self.flat) + sum(len(x) + 100 for x in self.tails.values())
 
     @staticmethod
     def _with(known: tuple, more: tuple) -> tuple:
-        hash_ = np.concatenate([known[0], more[0]])
-        order = np.argsort(hash_, kind="stable")
-        return hash_[order], *(np.concatenate([a, b])[order] for a, b in zip(known[1:], more[1:], strict=True))
-
-    def of(self, hashes: np.ndarray, fetch) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``flat``, number of ids) for each hash; ``fetch(i)`` is the piece of the i-th."""
-        wanted, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.sorted[0]) > self.MOST:
+        order = np.argsort(np.concatenate([known[0], more[0]]), kind="stable")
+        return tuple(np.concatenate([a, b])[order] for a, b in zip(known, more, strict=True))
+
+    def of(self, texts: textops.Texts, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray | None = None, piece=None) -> tuple[np.ndarray, np.ndarray]:
+        """(the results of all pieces starts .. ends of texts one behind the other, how many each has).
+
+        kinds: 0 or 1, told apart from one another where the bytes are the same; ``piece(i)`` is the string
+        that the i-th is made from (the bytes themselves if None). Equal bytes of one kind give equal results.
+        """
+        if self.held() > self.MOST:
             self._empty()
-        at, n = np.zeros(len(wanted), np.int64), np.full(len(wanted), -1, np.int64)
-        for known in (self.sorted, self.recent):
-            if len(known[0]):
-                place = np.minimum(np.searchsorted(known[0], wanted), len(known[0]) - 1)
-                have = known[0][place] == wanted
-                at[have], n[have] = known[1][place[have]], known[2][place[have]]
-        new = np.flatnonzero(n < 0)
-        for some in np.split(new, range(20_000, len(new), 20_000)):
+        hashes, one, two = texts.lanes(starts, ends)
+        size = ends - starts
+        if kinds is not None:
+            hashes, size = np.where(kinds > 0, textops.mix(hashes + np.uint64(1)), hashes), size * 2 + kinds
+        else:
+            size = size * 2
+        piece = piece or (lambda i: texts.data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
+        at, n = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int32)
+        keep = size <= 2 * self.LONGEST + 1
+        for _ in range(2):  # what is known, then with the new ones
+            for known in (self.sorted, self.recent):
+                left = np.flatnonzero((n < 0) & keep)
+                if len(known[0]) and len(left):
+                    place = np.minimum(np.searchsorted(known[0], hashes[left]), len(known[0]) - 1)
+                    same = (known[0][place] == hashes[left]) & (known[1][place] == one[left]) & (known[2][place] == two[left]) & (known[3][place] == size[left])
+                    for i in np.flatnonzero(same & (size[left] > 33)).tolist():  # beyond the lanes
+                        x = left[i]
+                        same[i] = self.tails[int(known[4][place[i]])] == texts.data[starts[x] + 16 : ends[x]].tobytes()
+                    at[left[same]], n[left[same]] = known[4][place[same]], known[5][place[same]]
+            new = np.flatnonzero((n < 0) & keep)
+            if not len(new):
+                break
+            _, first = np.unique(hashes[new], return_index=True)
+            if len(self.sorted[0]) + len(self.recent[0]):  # a hash that another piece has already: made anew each time
+                first = first[~(np.isin(hashes[new[first]], self.sorted[0]) | np.isin(hashes[new[first]], self.recent[0]))]
+            self._learn(texts, starts, ends, new[first], hashes, one, two, size, piece)
+        own = np.flatnonzero(n < 0)
+        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        if len(own):  # long ones, and those that share the hash of another
+            made = [np.array(x, np.uint32) for a in range(0, len(own), 1000) for x in self.make_many([piece(i) for i in own[a : a + 1000].tolist()])]
+            n[own] = [len(x) for x in made]
+            at[own] = len(flat) + np.cumsum(n[own], dtype=np.int64) - n[own]
+            flat = np.concatenate([flat, *made])
+        return joined(flat, at, n.astype(np.int64)).copy(), n.astype(np.int64)
+
+    def _learn(self, texts, starts, ends, which, hashes, one, two, size, piece) -> None:
+        for a in range(0, len(which), 20_000):
+            some = which[a : a + 20_000]
             begin, sizes = len(self.flat), []
-            for ids in self.encode_many([fetch(i) for i in first[some].tolist()]) if len(some) else []:
-                sizes.append(len(ids))
-                self.flat.extend(ids)
-            n[some] = sizes
-            at[some] = begin + np.cumsum(n[some]) - n[some]
-        self.recent = self._with(self.recent, (wanted[new], at[new], n[new].astype(np.int32)))
+            for made in self.make_many([piece(i) for i in some.tolist()]):
+                sizes.append(len(made))
+                self.flat.extend(made)
+            n = np.array(sizes, np.int32)
+            place = begin + np.cumsum(n, dtype=np.int64) - n
+            for i, p in zip(some[size[some] > 33].tolist(), place[size[some] > 33].tolist(), strict=True):
+                self.tails[p] = texts.data[starts[i] + 16 : ends[i]].tobytes()
+            self.recent = self._with(self.recent, (hashes[some], one[some], two[some], size[some], place, n))
         if len(self.recent[0]) > self.RECENT:
             self.sorted, self.recent = self._with(self.sorted, self.recent), tuple(x[:0] for x in self.recent)
-        return at[back], n[back]
 
 
 def joined(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:

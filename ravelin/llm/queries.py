@@ -16,7 +16,7 @@ def vocabulary(name: str) -> str:
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.remove(spark, docs, give=("n_words", "n_removed", "kept_sha256", "factors")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.remove(spark, docs, give=("n_words", "n_removed", "kept_sha256"), keep_text=False)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textops
-from .pieces import Table, joined, once
+from .pieces import Table, once
 
 #: Code points of a chunk; longer documents are split.
 CHUNK = 1 << 15
@@ -283,10 +283,7 @@ def _short(model: Model, texts: textops.Texts, first: int, end: int) -> list[np.
     plain = _plain(texts, first, end)
     starts, ends, first_word = texts.words(first, end, textops.SPACE)
     use = np.repeat(plain, np.diff(first_word))
-    lo, hi = starts[use], ends[use]
-    fetch = lambda i: texts.data[lo[i] : hi[i]].tobytes().decode("utf-8", "replace")
-    at, n = model.table.of(texts.hashes(lo, hi), fetch)
-    flat = joined(np.frombuffer(model.table.flat, np.uint32) if model.table.flat else np.zeros(0, np.uint32), at, n)
+    flat, n = model.table.of(texts, starts[use], ends[use])
     sizes = np.zeros(len(starts) + 1, np.int64)
     sizes[1:][use] = n
     cut = np.cumsum(sizes)[first_word]

@@ -1,15 +1,17 @@
 """Duplicate passages by relative Lempel-Ziv parsing.
 
-The corpus is cut into reference blocks, ranges of ascending doc_id. Each block is indexed
-by the hashes of its runs of k words; the indexes are dealt by hash, so that together they
-answer for every run of every document which is the first block that holds it. A document
-is then parsed against all blocks before it, and against the documents before it in its
-own block: a factor is a longest stretch whose every run of k words stands in one block.
-Where a factor ends, the parse goes back k - 1 words, so a match that crosses the border of
-two factors is found too. Factors of k words or more are duplicate spans; the first
-document that holds a passage keeps it.
-
-Runs are compared by 56 bits of one hash and the bucket number from another.
+The corpus is cut into reference blocks, ranges of ascending doc_id. A document is parsed
+against the blocks up to its own: from a place on, the longest match in a block's words is a
+factor, the next one is sought from k - 1 words before its end, so that a match across the
+border of two factors is found too; a word without a match is a literal. Factors of k words or
+more are duplicate spans, compared with the block's words byte for byte. The first document
+that holds a passage keeps it.
+
+No document is laid beside a block it shares nothing with. An index of all blocks' runs of k
+words, dealt by hash, tells each block which of its runs stand in an earlier one, and in which
+first. The block asks that one for them and gets the passages that hold them, and nothing
+else, as reference text to parse against. The index only routes: what is removed comes from
+the factors alone.
 """
 
 from __future__ import annotations
@@ -27,7 +29,12 @@ from pyspark.sql import types as T
 from . import common, textops
 
 WORDS = 13
+#: Places of a run in one block from which a match is extended; the longest one counts.
+PLACES = 4
+#: Runs asked of one block beyond which the asking ones are dealt over several copies of it.
+ASKED = 4_000_000
 _KEEP = np.uint64((1 << 56) - 1)
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -43,181 +50,352 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-class Block:
-    """The words and runs of one block; documents in ascending order of doc_id, null last."""
+def _joined(parts: list, kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+class Words:
+    """Words and runs of k words of texts: about 40 bytes a word."""
+
+    def __init__(self, texts: textops.Texts, k: int):
+        self.texts, self.k = texts, k
+        begin, end, words, first, base = [], [], [], [np.zeros(1, np.int64)], 0
+        for a, b in texts.groups():
+            starts, ends, first_word = texts.words(a, b)
+            begin.append(starts)
+            end.append(ends)
+            words.append(texts.hashes(starts, ends))
+            first.append(first_word[1:] + base)
+            base += len(starts)
+        self.begin, self.end, self.words = _joined(begin, np.int64), _joined(end, np.int64), _joined(words, np.uint64)
+        self.first = np.concatenate(first)  # of each text, and one more at the end
+        counts = np.diff(self.first)
+        runs = np.maximum(counts - k + 1, 0)
+        #: Word at which each run starts.
+        self.at = np.arange(runs.sum()) + np.repeat(self.first[:-1] - (np.cumsum(runs) - runs), runs)
+        self.run = textops.shingles(self.words, k)[self.at] & _KEEP if len(self.at) else np.zeros(0, np.uint64)
+
+    def text_of(self, word: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, word, "right") - 1
+
+    def plain(self, a: int, b: int) -> bytes:
+        """The words a .. b of one text, joined by one space."""
+        return b" ".join(self.texts.data[self.begin[a] : self.end[b - 1]].tobytes().split()) if a < b else b""
+
+    def sorted(self) -> np.ndarray:
+        """Numbers of the runs by hash, those of one hash by place."""
+        return np.argsort(self.run, kind="stable")
+
 
-    def __init__(self, ids: pa.ChunkedArray, text: pa.ChunkedArray, k: int, buckets: int):
+class Block(Words):
+    """The documents of a range, ascending by doc_id, null last."""
+
+    def __init__(self, group: pa.Table, k: int):
+        ids, text = group["__id"], group["__text"]
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         value = ids.fill_null(0).to_numpy()
         self.order = np.lexsort((value, ~known))
-        self.texts = textops.Texts(text.take(pa.array(self.order)))
+        self.shard = group["__shard"][0].as_py() if group.num_rows else 0
+        super().__init__(textops.Texts(text.take(pa.array(self.order))), k)
         new = np.ones(len(self.order), np.int64)
         if len(new):
             a, b = value[self.order], known[self.order]
-            new[0] = 0
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        rank = np.cumsum(new)  # rows of one doc_id are no references to one another
-        runs, buckets_of, at, ranks, self.first_word = [], [], [], [], [np.zeros(1, np.int64)]
-        base = 0
-        for first, end in self.texts.groups():
-            starts, ends, first_word = self.texts.words(first, end)
-            words = self.texts.hashes(starts, ends)
-            where, doc = textops.within(first_word, k)
-            if len(where):
-                run = textops.shingles(words, k)[where]
-                other = textops.shingles(textops.mix(words + np.uint64(0x5851F42D4C957F2D)), k)[where]
-                runs.append(run & _KEEP)
-                buckets_of.append(((other >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32))
-                at.append(where + base)
-                ranks.append(rank[first + doc])
-            self.first_word.append(first_word[1:] + base)
-            base += len(starts)
-        self.first_word = np.concatenate(self.first_word)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        run, bucket, self.at, self.rank = join(runs, np.uint64), join(buckets_of, np.int32), join(at, np.int64), join(ranks, np.int64)
-        by = np.lexsort((run, bucket))
+        self.rank = np.cumsum(new)  # rows of one doc_id are no references to one another
+
+    def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, run) of the distinct runs, ascending. The bucket comes from another hash of the words."""
+        other = textops.shingles(textops.mix(self.words + _OTHER), self.k)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        bucket = ((other >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        by = np.lexsort((self.run, bucket))
+        run, bucket = self.run[by], bucket[by]
         fresh = np.ones(len(by), bool)
-        fresh[1:] = (run[by][1:] != run[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])
-        self.entry = np.empty(len(by), np.int64)  # of each run, its number among the distinct ones
-        self.entry[by] = np.cumsum(fresh) - 1
-        self.runs, self.buckets = run[by][fresh], bucket[by][fresh]
+        fresh[1:] = (run[1:] != run[:-1]) | (bucket[1:] != bucket[:-1])
+        return bucket[fresh], run[fresh]
 
-    def by_bucket(self) -> Iterator[tuple[int, int, int]]:
-        if not len(self.buckets):
-            return
-        bounds = np.flatnonzero(np.append(True, self.buckets[1:] != self.buckets[:-1]))
-        for a, b in zip(bounds, np.append(bounds[1:], len(self.buckets)), strict=True):
-            yield int(self.buckets[a]), int(a), int(b)
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    bounds = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(bucket)], strict=False):
+        yield int(bucket[a]), a, b
 
 
 def _index(k: int, buckets: int):
     def index(group: pa.Table) -> pa.Table:
-        block = Block(group["__id"], group["__text"], k, buckets)
-        rows = [(bucket, b - a, _pack(block.runs[a:b], 7)) for bucket, a, b in block.by_bucket()]
-        own = group["__shard"][0].as_py() if group.num_rows else 0
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([own] * len(rows), pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "runs": pa.array([r[2] for r in rows], pa.binary())})
+        block = Block(group, k)
+        bucket, run = block.distinct(buckets)
+        rows = [(no, _pack(run[a:b], 7)) for no, a, b in _by_bucket(bucket)]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([block.shard] * len(rows), pa.int32()), "runs": pa.array([r[1] for r in rows], pa.binary())})
 
     return index
 
 
-def _first_blocks(group: pa.Table) -> pa.Table:
-    """For each block's runs of one bucket: a bit for those that an earlier block holds too, and the first such block."""
-    group = group.combine_chunks().sort_by("shard")
-    shard, sizes = group["shard"].to_numpy(), group["n"].to_numpy()
-    runs = np.concatenate([_unpack(x.as_py(), 7) for x in group["runs"]])
-    owner = np.repeat(shard, sizes)
-    order = np.argsort(runs, kind="stable")  # blocks ascending within a run
-    ordered = runs[order]
-    fresh = np.ones(len(ordered), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
-    first = np.empty(len(runs), np.int32)
-    first[order] = owner[order][begin]
-    seen = first < owner
-    cut = np.cumsum(sizes)
-    bits, blocks = [], []
-    for a, b in zip(cut - sizes, cut, strict=True):
-        bits.append(np.packbits(seen[a:b]).tobytes())
-        blocks.append(_pack(first[a:b][seen[a:b]].astype(np.uint64), 4))
-    return pa.table({"shard": group["shard"], "bucket": group["bucket"], "bits": pa.array(bits, pa.binary()), "blocks": pa.array(blocks, pa.binary())})
-
-
-def _parse(k: int, buckets: int, columns: list[str], text: str):
+def _first_blocks(ranges: int):
+    def first_blocks(group: pa.Table) -> pa.Table:
+        """For each block's runs of one bucket: a bit for those that an earlier block holds too, and the first such block."""
+        group = group.combine_chunks().sort_by("shard")
+        shard = group["shard"].to_numpy()
+        known = [_unpack(x.as_py(), 7) for x in group["runs"]]
+        sizes = np.array([len(x) for x in known], np.int64)
+        runs = _joined(known, np.uint64)
+        del known
+        owner = np.repeat(np.minimum(shard, ranges), sizes)  # documents without an id are behind all others, and no reference
+        order = np.argsort(runs, kind="stable")  # blocks ascending within a run
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = runs[order][1:] != runs[order][:-1]
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+        first = np.empty(len(runs), np.int32)
+        first[order] = owner[order][begin]
+        seen = first < owner
+        out = []
+        end = np.cumsum(sizes)
+        for i, (a, b) in enumerate(zip((end - sizes).tolist(), end.tolist(), strict=True)):
+            if seen[a:b].any():
+                out.append((int(shard[i]), group["bucket"][i].as_py(), np.packbits(seen[a:b]).tobytes(), _pack(first[a:b][seen[a:b]].astype(np.uint64), 4)))
+        kinds = {"shard": pa.int32(), "bucket": pa.int32(), "bits": pa.binary(), "blocks": pa.binary()}
+        return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    return first_blocks
+
+
+def _requests(k: int, buckets: int):
+    def requests(group: pa.Table, answers: pa.Table) -> pa.Table:
+        """The runs that a block asks of each earlier one."""
+        kinds = {"block": pa.int32(), "shard": pa.int32(), "n": pa.int64(), "runs": pa.binary()}
+        if not answers.num_rows:
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+        block = Block(group, k)
+        bucket, run = block.distinct(buckets)
+        place = {b: i for i, b in enumerate(answers["bucket"].to_pylist())}
+        wanted, of = [], []
+        for no, a, b in _by_bucket(bucket):
+            if no in place:
+                seen = np.unpackbits(np.frombuffer(answers["bits"][place[no]].as_py(), np.uint8), count=b - a).astype(bool)
+                wanted.append(run[a:b][seen])
+                of.append(_unpack(answers["blocks"][place[no]].as_py(), 4).astype(np.int32))
+        wanted, of = np.concatenate(wanted), np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        wanted, of = wanted[order], of[order]
+        rows = [(no, block.shard, b - a, _pack(np.sort(wanted[a:b]), 7)) for no, a, b in _by_bucket(of)]
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    return requests
+
+
+def _passages(k: int):
+    def passages(group: pa.Table, requests: pa.Table) -> pa.Table:
+        """For each block that asks, the passages of this one that hold what it asks for: words joined by a space, passages by a line feed."""
+        shards, texts = [], []
+        if group.num_rows and requests.num_rows:
+            block = Block(group, k)
+            order = block.sorted()
+            runs, at = block.run[order], block.at[order]
+            for shard, packed in zip(requests["shard"].to_pylist(), requests["runs"], strict=True):
+                wanted = _unpack(packed.as_py(), 7)
+                place = np.minimum(np.searchsorted(runs, wanted), max(len(runs) - 1, 0))  # the first document that has it
+                found = np.sort(at[place[runs[place] == wanted]]) if len(runs) else np.zeros(0, np.int64)
+                cut = np.flatnonzero(np.diff(found) >= k)  # runs that overlap are one passage
+                begin = found[np.append(0, cut + 1)] if len(found) else found
+                end = found[np.append(cut, len(found) - 1)] + k if len(found) else found
+                shards.append(shard)
+                texts.append(b"\n".join(block.plain(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)))
+        own = group["__shard"][0].as_py() if group.num_rows else 0
+        return pa.table({"shard": pa.array(shards, pa.int32()), "block": pa.array([own] * len(shards), pa.int32()), "passages": pa.array(texts, pa.binary())})
+
+    return passages
+
+
+class Parse:
+    """Factors of the documents of a block: (text, start in words, length, block), and the words they cover."""
+
+    def __init__(self, block: Block):
+        self.block = block
+        self.factors: list[tuple[int, int, int, int]] = []
+        self.change = np.zeros(len(block.words) + 1, np.int32)
+        self.inside = np.zeros(len(block.words) + 1, np.int32)  # of runs that a factor holds
+
+    def against(self, reference: Words, sources: np.ndarray, own: bool) -> None:
+        """Parse against reference texts, of which ``sources`` tells the block; ``own`` if they are the documents themselves."""
+        block, k = self.block, self.block.k
+        order = reference.sorted()
+        run, at = reference.run[order], reference.at[order]
+        text = reference.text_of(at)
+        source = sources[text] if not own else np.zeros(len(at), np.int64)
+        if not own:  # places of a run by block
+            by = np.lexsort((at, source, run))
+            run, at, text, source = run[by], at[by], text[by], source[by]
+        fresh = np.ones(len(run), bool)
+        fresh[1:] = (run[1:] != run[:-1]) | (source[1:] != source[:-1])
+        nth = np.arange(len(run)) - np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+        use = nth < PLACES
+        run, at, text, source = run[use], at[use], text[use], source[use]
+        todo = np.flatnonzero(np.cumsum(self.inside[:-1])[block.at] == 0) if own else np.arange(len(block.at))
+        low, high = np.searchsorted(run, block.run[todo], "left"), np.searchsorted(run, block.run[todo], "right")
+        some = np.flatnonzero(high > low)
+        todo, low, n = todo[some], low[some], (high - low)[some]
+        place = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        start = np.repeat(block.at[todo], n)
+        if own:  # earlier documents only
+            earlier = block.rank[text[place]] < block.rank[block.text_of(start)]
+            place, start = place[earlier], start[earlier]
+        by = np.lexsort((place, start, source[place]))
+        place, start = place[by], start[by]
+        blocks = source[place]
+        bounds = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(place) else np.zeros(0, int)
+        until, reference_until = block.first[1:][block.text_of(start)], reference.first[1:][text[place]]
+        place = at[place]
+        for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(place)], strict=False):
+            number = block.shard if own else int(blocks[a])
+            self._greedy(reference, number, start[a:b], place[a:b], until[a:b], reference_until[a:b])
+
+    def _greedy(self, reference: Words, number: int, start, place, until, reference_until) -> None:
+        """One pass over the documents against one block: pairs of places, ascending, that share a run."""
+        block, k, x = self.block, self.block.k, 0
+        while x < len(start):
+            at, best = int(start[x]), 0
+            while x < len(start) and start[x] == at:
+                most = int(min(until[x] - at, reference_until[x] - place[x]))
+                if most > best:
+                    best = max(best, self._longest(reference, at, int(place[x]), most))
+                x += 1
+            if best >= k:
+                text = int(block.text_of(np.array([at]))[0])
+                self.factors.append((text, at - int(block.first[text]), best, number))
+                self.change[at] += 1
+                self.change[at + best] -= 1
+                self.inside[at] += 1
+                self.inside[at + best - k + 1] -= 1
+                x += int(np.searchsorted(start[x:], at + best - k + 1))
+
+    def _longest(self, reference: Words, at: int, place: int, most: int) -> int:
+        """Words from here on that are the same in both, by their bytes."""
+        n, step = 0, 64
+        while n < most:
+            size = min(step, most - n)
+            unlike = self.block.words[at + n : at + n + size] != reference.words[place + n : place + n + size]
+            if unlike.any():
+                n += int(unlike.argmax())
+                break
+            n, step = n + size, step * 4
+        mine, theirs = self.block.plain(at, at + n), reference.plain(place, place + n)
+        if mine == theirs:
+            return n
+        same = next(i for i, (a, b) in enumerate(zip(mine.split(), theirs.split(), strict=True)) if a != b)
+        return same  # words of the same hash
+
+    def removed(self) -> np.ndarray:
+        return np.cumsum(self.change[:-1]) > 0
+
+
+def _parse(k: int, ranges: int, columns: list[str], text: str):
     """columns: those of the result that the rows bring along."""
 
-    def parse(group: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(group["__id"], group["__text"], k, buckets)
+    def parse(group: pa.Table, passages: pa.Table) -> pa.Table:
+        block = Block(group, k)
         group = group.take(pa.array(block.order))
-        own = group["__shard"][0].as_py() if group.num_rows else 0
-        source = np.full(len(block.runs), -1, np.int64)
-        found = {r["bucket"]: r for r in answers.select(["bucket", "bits", "blocks"]).to_pylist()}
-        for bucket, a, b in block.by_bucket():
-            seen = np.unpackbits(np.frombuffer(found[bucket]["bits"], np.uint8), count=b - a).astype(bool)
-            source[a:b][seen] = _unpack(found[bucket]["blocks"], 4).astype(np.int64)
-        least = np.full(len(block.runs), np.iinfo(np.int64).max)
-        np.minimum.at(least, block.entry, block.rank)
-        of = source[block.entry]
-        of[(of < 0) & (block.rank > least[block.entry])] = own  # an earlier document of this block
-        total = int(block.first_word[-1])
-        at = block.at[of >= 0]
-        of = of[of >= 0]
-        change = np.zeros(total + 1, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + k, -1)
-        removed = np.cumsum(change[:-1]) > 0 if total else np.zeros(0, bool)
-        # factors: stretches of runs, one word apart, that one block holds and that stay in one document
-        doc = np.searchsorted(block.first_word, at, "right") - 1
-        split = np.ones(len(at), bool)
-        split[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(split)
-        length = np.diff(np.append(begin, len(at))) + k - 1
-        factor_doc = doc[begin]
-        bounds = np.searchsorted(factor_doc, np.arange(block.texts.size + 1))
-        rows: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": [], "factors": []}
-        for i, (a, b) in enumerate(zip(block.first_word[:-1], block.first_word[1:], strict=True)):
-            gone = removed[a:b]
-            raw = block.texts.bytes_of(i)
-            n = int(gone.sum())
-            if n:
-                starts, ends, _ = block.texts.words(i, i + 1)
-                shift = int(block.texts.offsets[i])
-                starts, ends = starts - shift, ends - shift
-                flat = np.frombuffer(raw, np.uint8)
-                # a removed word goes with the white space behind it
-                until = np.append(starts[1:], len(raw))
-                edge = np.zeros(len(raw) + 1, np.int8)
-                edge[starts[gone]] += 1
-                edge[until[gone]] -= 1
-                kept = flat[np.cumsum(edge[:-1]) == 0].tobytes()
-            else:
-                kept = raw
-            rows["n_words"].append(int(b - a))
-            rows["n_removed"].append(n)
-            rows["kept_sha256"].append(hashlib.sha256(b" ".join(kept.split())).hexdigest())
-            rows["kept_text"].append(kept)
-            p, q = bounds[i], bounds[i + 1]
-            rows["factors"].append([{"start": int(at[x] - a), "length": int(n), "block": int(s)} for x, n, s in zip(begin[p:q], length[p:q], of[begin[p:q]], strict=True)])
-        out = {}
-        for c in columns:
-            if c == text:
-                made = pa.array(rows["kept_text"], pa.binary()).cast(pa.string())
-                null = group["__text"].is_null()
-                out[c] = pa.array(made.to_pylist(), pa.string(), mask=null.to_numpy(zero_copy_only=False)) if null.to_numpy(zero_copy_only=False).any() else made
-            elif c in ("n_words", "n_removed"):
-                out[c] = pa.array(rows[c], pa.int64())
-            elif c == "kept_sha256":
-                out[c] = pa.array(rows[c], pa.string())
-            elif c == "factors":
-                out[c] = pa.array(rows[c], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("block", pa.int64())])))
-            else:
-                out[c] = group[c]
-        return pa.table(out)
+        made = Parse(block)
+        if passages.num_rows:
+            lines = [x.as_py().split(b"\n") for x in passages["passages"]]
+            numbers = passages["block"].to_numpy()
+            numbers = np.repeat(numbers, [len(x) for x in lines])
+            made.against(Words(textops.Texts(pa.array([y for x in lines for y in x], pa.large_binary())), k), numbers, False)
+            del lines
+        if block.shard < ranges:
+            made.against(block, np.zeros(0, int), True)
+        gone = made.removed()
+        factors: dict[int, list] = {}
+        for i, start, length, number in made.factors if "factors" in columns else []:
+            factors.setdefault(i, []).append({"start": start, "length": length, "block": number})
+        n_words, n_removed, marks, texts = np.diff(block.first), [], [], []
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))) if len(gone) else np.zeros(0, int)
+        spans = _in_texts(edges[::2], edges[1::2], block)
+        for i in range(block.texts.size):
+            a, b = int(block.first[i]), int(block.first[i + 1])
+            out = spans.get(i, [])
+            n_removed.append(sum(y - x for x, y in out))
+            if "kept_sha256" in columns:
+                kept, at = [], a
+                for x, y in [*out, (b, b)]:
+                    if x > at:
+                        kept.append(block.plain(at, x))
+                    at = y
+                marks.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            if text in columns:
+                raw, at, parts, shift = block.texts.bytes_of(i), 0, [], int(block.texts.offsets[i])
+                for x, y in out:  # a removed word goes with the white space behind it
+                    parts.append(raw[at : block.begin[x] - shift])
+                    at = int(block.begin[y]) - shift if y < b else len(raw)
+                texts.append(b"".join([*parts, raw[at:]]) if out else raw)
+        null = group["__text"].is_null().to_numpy() if group.num_rows else np.zeros(0, bool)
+        own = {
+            text: lambda: pa.array([None if x else t.decode("utf-8", "replace") for x, t in zip(null, texts, strict=True)], pa.string()),
+            "n_words": lambda: pa.array(n_words, pa.int64()),
+            "n_removed": lambda: pa.array(n_removed, pa.int64()),
+            "kept_sha256": lambda: pa.array(marks, pa.string()),
+            "factors": lambda: pa.array([factors.get(i, []) for i in range(block.texts.size)], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("block", pa.int64())]))),
+        }
+        return pa.table({c: own[c]() if c in own else group[c] for c in columns})
 
     return parse
 
 
-FIELDS = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), "factors": T.ArrayType(T.StructType([T.StructField(f, T.LongType()) for f in ("start", "length", "block")]))}
+def _in_texts(begin: np.ndarray, end: np.ndarray, block: Block) -> dict[int, list[tuple[int, int]]]:
+    """Removed stretches of words by text; one that runs on into the next text is cut there."""
+    out: dict[int, list] = {}
+    for a, b, i in zip(begin.tolist(), end.tolist(), block.text_of(begin).tolist(), strict=True):
+        while a < b:
+            stop = min(b, int(block.first[i + 1]))
+            if stop > a:
+                out.setdefault(i, []).append((a, stop))
+            a, i = max(a, stop), i + 1
+    return out
+
 
+FIELDS = {
+    "n_words": T.LongType(),
+    "n_removed": T.LongType(),
+    "kept_sha256": T.StringType(),
+    "factors": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("block", T.LongType())])),
+}
 
-def remove(spark: SparkSession, docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text: str = "text", give: tuple[str, ...] = ()) -> DataFrame:
+
+def remove(spark: SparkSession, docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text: str = "text", give: tuple[str, ...] = (), keep_text: bool = True) -> DataFrame:
     """docs without the passages of k words or more that a document of smaller doc_id holds.
 
     A row for each row of docs, with its columns and those asked for in ``give``: n_words,
     n_removed, kept_sha256 (kept words joined by one space), factors (start and length in
-    words, reference block). Leave the text out of the result by selecting others. Null text
-    stays null and has no words; rows of one doc_id don't remove one another's passages; a
-    null doc_id counts as larger than any. Columns that clash with those given are replaced; names that begin with __ are
-    the operator's own.
-    Texts without a duplicate passage come back unchanged.
+    words, reference block). Without ``keep_text`` the text is left out. Null text stays null and
+    has no words; rows of one doc_id don't remove one another's passages; a null doc_id counts as larger than any, and such rows
+    are no references. Columns that clash with those given are replaced; names that begin with
+    __ are the operator's own. Texts without a duplicate passage come back unchanged.
+
+    A task holds one range of documents (4 to 16 MB of text, or one longer text) at about ten
+    bytes for a byte of text, with the passages that it asked for; a bucket of the index holds
+    about 8 MB of the corpus. A block of which many runs are asked is copied, once for each
+    ASKED of them. No pair of blocks becomes a row unless one holds a run of the other.
     """
     carried = docs.drop(*give)
-    columns = [*carried.columns, *give]
+    columns = [*(c for c in carried.columns if keep_text or c != text), *give]
     plain = carried.select("*", F.col(doc_id).cast("bigint").alias("__id"), F.col(text).alias("__text")).drop(text)
-    dealt, size = common.in_ranges(spark, plain, "__id", "__text")
+    dealt, size, ranges = common.in_ranges(spark, plain, "__id", "__text", spread=True)
     buckets = max(16, int(size // (8 << 20)))
     blocks = dealt.groupBy("__shard")
-    index = blocks.applyInArrow(_index(k, buckets), "bucket int, shard int, n int, runs binary")
-    answers = index.groupBy("bucket").applyInArrow(_first_blocks, "shard int, bucket int, bits binary, blocks binary")
+    index = blocks.applyInArrow(_index(k, buckets), "bucket int, shard int, runs binary")
+    answers = index.groupBy("bucket").applyInArrow(_first_blocks(ranges), "shard int, bucket int, bits binary, blocks binary")
+    requests = blocks.cogroup(answers.groupBy("shard")).applyInArrow(_requests(k, buckets), "block int, shard int, n bigint, runs binary")
+    requests = common.durable(spark, requests, "requests")
+    given = "shard int, block int, passages binary"
+    hot = requests.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > ASKED).select("block", F.ceil(F.col("n") / ASKED).cast("int").alias("copies"))
+    if hot.isEmpty():
+        found = blocks.cogroup(requests.groupBy("block")).applyInArrow(_passages(k), given)
+    else:
+        hot = common.durable(spark, hot, "hot-blocks")
+        copy = F.pmod(F.xxhash64("shard"), F.col("copies")).cast("int")
+        others = requests.join(hot.select("block"), "block", "left_anti")
+        found = blocks.cogroup(others.groupBy("block")).applyInArrow(_passages(k), given)
+        copies = dealt.join(hot, F.col("__shard") == F.col("block")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("__id", "__text", "__shard", "copy")
+        asked = requests.join(hot, "block").withColumn("copy", copy)
+        found = found.unionByName(copies.groupBy("__shard", "copy").cogroup(asked.groupBy("block", "copy")).applyInArrow(_passages(k), given))
     types = {f.name: f.dataType for f in carried.schema.fields} | FIELDS
     schema = T.StructType([T.StructField(c, types[c]) for c in columns])
-    return blocks.cogroup(answers.groupBy("shard")).applyInArrow(_parse(k, buckets, columns, text), schema)
+    return blocks.cogroup(found.groupBy("shard")).applyInArrow(_parse(k, ranges, columns, text), schema)

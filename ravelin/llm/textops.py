@@ -18,17 +18,12 @@ _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: 0x20 alone.
 SPACE = np.arange(256) == 0x20
 
-_SEGMENT = 1 << 18
+_SEGMENT = 1 << 20
 _ODD = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS = np.empty(_SEGMENT + 1, np.uint64)
-_POWERS[0] = 1
-_POWERS[1:] = np.cumprod(np.full(_SEGMENT, _ODD, np.uint64))
-_BACK = np.empty(_SEGMENT + 1, np.uint64)
-_BACK[0] = 1
-_BACK[1:] = np.cumprod(np.full(_SEGMENT, pow(_ODD, -1, 1 << 64), np.uint64))
-del _rng
+#: Words beyond so many bytes are hashed one by one.
+_LONG = 256
+#: Masks of the first 0 .. 8 bytes of a lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,22 +78,43 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.offsets[first : end + 1])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same wherever it stands."""
-        out = np.empty(len(starts), np.uint64)
+        """A 64-bit hash of each word's bytes, the same wherever it stands: its length and then its lanes of eight bytes, each spread over all bits."""
+        return self.lanes(starts, ends)[0]
+
+    def lanes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first eight bytes, next eight bytes) of each word, short ones filled up with zeros."""
+        out, one, two = (np.zeros(len(starts), np.uint64) for _ in range(3))
         i, n = 0, len(starts)
         while i < n:
             lo = int(starts[i])
-            j = int(np.searchsorted(ends, lo + _SEGMENT, "right"))
-            if j <= i:  # one word longer than a segment
-                out[i] = xxhash.xxh64_intdigest(self.data[lo : ends[i]].tobytes(), 7)
-                i += 1
-                continue
-            s, e = starts[i:j] - lo, ends[i:j] - lo
-            total = np.zeros(int(e[-1]) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data[lo : lo + int(e[-1])]] * _POWERS[: int(e[-1])], out=total[1:])
-            out[i:j] = mix((total[e] - total[s]) * _BACK[s])
+            j = max(int(np.searchsorted(ends, lo + _SEGMENT, "right")), i + 1)
+            hi = int(ends[j - 1])
+            padded = np.zeros(hi - lo + 16, np.uint8)
+            padded[: hi - lo] = self.data[lo:hi]
+            eight = np.ndarray((hi - lo + 9,), "<u8", buffer=padded, strides=(1,))
+            at, size = starts[i:j] - lo, ends[i:j] - starts[i:j]
+            one[i:j] = eight[at] & _FIRST[np.minimum(size, 8)]
+            two[i:j] = eight[np.minimum(at + 8, hi - lo)] & _FIRST[np.clip(size - 8, 0, 8)]
+            h = mix(mix(size.astype(np.uint64) + np.uint64(_ODD)) ^ one[i:j])
+            left = np.flatnonzero((size > 8) & (size <= _LONG))
+            step = 8
+            while len(left):
+                lane = eight[at[left] + step] & _FIRST[np.minimum(size[left] - step, 8)]
+                h[left] = mix(h[left] * np.uint64(_ODD) ^ lane)
+                step += 8
+                left = left[size[left] > step]
+            for k in np.flatnonzero(size > _LONG).tolist():
+                h[k] = xxhash.xxh64_intdigest(self.data[int(starts[i + k]) : int(ends[i + k])].tobytes(), 7)
+            out[i:j] = h
             i = j
-        return out
+        return out, one, two
+
+
+def _beside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a ^ (a >> np.uint64(29))
+    out *= np.uint64(_ODD)
+    out += b
+    return out
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -106,10 +122,15 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = words[:n].copy()
-    for j in range(1, k):
-        out = out * np.uint64(_ODD) + words[j : j + n]
-    return mix(out)
+    power, size, out, done = words, 1, None, 0  # runs of 1, 2, 4 .. words; k is a sum of some of these
+    while True:
+        if k & size:
+            part = power[done : done + n]
+            out = part if out is None else _beside(out, part)
+            done += size
+        if 2 * size > k:
+            return mix(out)
+        power, size = _beside(power[:-size], power[size:]), 2 * size
 
 
 def within(first_word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ravelin.llm import queries
 
@@ -226,9 +228,103 @@ def test_op10(spark, where):
     for i, t in documents(spark, where):
         n = len(library.encode(t, add_special_tokens=False).ids)
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len(t.encode()), n, n > 2048)
-        fit = t[: got[i]["fit_chars"]]
-        assert len(library.encode(fit, add_special_tokens=False).ids) <= 2048
-        assert n > 2048 or fit == t
+        fit = got[i]["fit_chars"]
+        counts = [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(fit, min(len(t), fit + 12) + 1)]
+        assert counts[0] <= 2048 and all(c > 2048 for c in counts[1:]) and (n > 2048 or fit == len(t))
+
+
+def test_op10_every_prefix(spark):
+    from tokenizers import Tokenizer
+
+    from ravelin.llm import token_counts
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = np.random.default_rng(4)
+    letters = list("abcdeèé 'tlsreSTm.,!?0159\n\t<|>中文́🙂")
+    texts = ["It's WE'LL they'REALLY 'sunny don't!!'s", "<|endoftext|> mid!<|startoftext|><|endoftext|x", "İstanbul ΣΑΣ 你好世界 中文没有空格的长文本12345", "", "  ", None, "\x1c a\x85b   nb\u3000sp", "q" * 700]
+    texts += ["".join(rng.choice(letters, 40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("prefix_tokens", F.lit("old"))
+    for r in token_counts.prefix_counts(docs, path).collect():
+        t = texts[r["doc_id"]] or ""
+        assert r["prefix_tokens"] == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)], t
+        counts = np.array(r["prefix_tokens"])
+        for budget in (0, 3, 10):
+            assert token_counts.fitting(counts, budget) == max(k for k in range(len(t) + 1) if counts[k] <= budget)
+
+
+def test_colliding_words_are_told_apart(monkeypatch):
+    """Whatever the hash of words does: here it is their length, then one that sums powers of one base over a Thue-Morse word."""
+    from ravelin.llm import textops
+    from ravelin.llm.pieces import Table
+
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate({97: "b", 98: "a"})
+    texts = textops.Texts(pa.array([f"{morse} {other} {morse}x"]))
+    starts, ends, _ = texts.words(0, 1)
+    assert len(set(texts.hashes(starts, ends).tolist())) == 3
+    monkeypatch.setattr(textops.Texts, "lanes", lambda self, s, e: ((e - s).astype(np.uint64), *(np.zeros(len(s), np.uint64) for _ in range(2))))
+    words = ["aaaaaaaaaaaaaaaaaaaaa", "bbbbbbbbbbbbbbbbbbbbb", "aaaaaaaaaaaaaaaaaaaaa", "c", "ccc"]
+    table = Table(lambda pieces: [list(p.encode()) for p in pieces])
+    line = textops.Texts(pa.array([" ".join(words)]))
+    for _ in range(2):
+        starts, ends, _ = line.words(0, 1)
+        flat, n = table.of(line, starts, ends)
+        assert bytes(flat.astype(np.uint8)).decode() == "".join(words) and n.tolist() == [len(w) for w in words]
+
+
+def test_piece_tables_are_bounded_by_bytes():
+    from ravelin.llm import textops
+    from ravelin.llm.pieces import Table
+
+    table, most = Table(lambda pieces: [[1] * len(p) for p in pieces]), 0
+    table.MOST, table.RECENT = 1 << 20, 500
+    for k in range(60):
+        line = textops.Texts(pa.array([" ".join(f"{k}x{i}" * (1 + i % 90) for i in range(300)) + " " + "y" * 100_000]))
+        starts, ends, _ = line.words(0, 1)
+        flat, n = table.of(line, starts, ends)
+        assert n.tolist() == (ends - starts).tolist()
+        most = max(most, table.held())
+    assert most < 3 << 20
+
+
+def test_op1_factors_decide(spark, monkeypatch):
+    """The spans come from the parse: without factors nothing goes; words of equal hash are compared by their bytes."""
+    from ravelin.llm import substrings, textops
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    base = [list(rng.choice(words, 200)) for _ in range(6)]
+    docs = [*base, base[0][20:60] + base[3][:13] + ["new"] + base[2][100:112], base[1][5:17] + base[4][50:63] + base[4][64:90], base[5]]
+    docs[7][12] += "z"  # 12 words that are the same, then one that isn't
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(None, " ".join(base[1])), (None, " ".join(base[1])), (None, "u " * 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    give = ("n_words", "n_removed", "kept_sha256", "factors")
+    real = substrings.common.in_ranges
+    monkeypatch.setattr(substrings.common, "in_ranges", lambda *a, **b: real(*a, **b, least=2000, most=2000))
+    monkeypatch.setattr(substrings, "ASKED", 60)  # more copies of a block that many ask
+    first = {}
+    for i, d in enumerate(docs):
+        for a in range(len(d) - 12):
+            first.setdefault(tuple(d[a : a + 13]), i)
+    for r in substrings.remove(spark, df, give=give).collect():
+        d = r["text"].split() if r["doc_id"] is None else docs[r["doc_id"]]
+        if r["doc_id"] is None:
+            assert (r["n_removed"], r["n_words"]) in ((200, 200), (0, 30))
+            continue
+        gone = {x for a in range(len(d) - 12) if first[tuple(d[a : a + 13])] < r["doc_id"] for x in range(a, a + 13)}
+        assert r["n_removed"] == len(gone) and r["text"].split() == [w for a, w in enumerate(d) if a not in gone], r["doc_id"]
+        assert {x for f in r["factors"] for x in range(f["start"], f["start"] + f["length"])} == gone and all(f["length"] >= 13 for f in r["factors"])
+        assert r["kept_sha256"] == hashlib.sha256(" ".join(w for a, w in enumerate(d) if a not in gone).encode()).hexdigest()
+    block = substrings.Block(pa.table({"__id": pa.chunked_array([pa.array([1, 2])]), "__text": pa.chunked_array([pa.array([" ".join(base[0]), " ".join(base[0][:30] + ["x"] + base[0][30:])])]), "__shard": pa.chunked_array([pa.array([0, 0])])}), 13)
+    made = substrings.Parse(block)
+    made.against(block, np.zeros(0, int), True)
+    assert [f[:3] for f in made.factors] == [(1, 0, 30), (1, 31, 170)] and made.removed().sum() == 200
+    monkeypatch.setattr(textops.Texts, "hashes", lambda self, s, e: (e - s).astype(np.uint64))  # colliding words
+    other = substrings.Words(textops.Texts(pa.array([" ".join(base[0]).translate(str.maketrans("w", "v"))])), 13)
+    made = substrings.Parse(substrings.Block(pa.table({"__id": pa.chunked_array([pa.array([1])]), "__text": pa.chunked_array([pa.array([" ".join(base[0])])]), "__shard": pa.chunked_array([pa.array([1])])}), 13))
+    made.against(other, np.zeros(1, int), False)
+    assert made.factors == []
 
 
 def test_op2_and_op5(spark, data):
