@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -22,6 +23,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after the group that needed it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(function):
+    """The function, after which freed memory is given back; its parameters stay as many."""
+    import functools
+
+    @functools.wraps(function)
+    def run(*groups):
+        try:
+            return function(*groups)
+        finally:
+            trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,7 +81,7 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
-def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 4 << 20, most: int = 16 << 20, spread: bool = False) -> tuple[DataFrame, int, int]:
+def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 2 << 20, most: int = 16 << 20, spread: bool = False) -> tuple[DataFrame, int, int]:
     """(df with ``__shard``, the number of a range of doc_id; the bytes of text; the number of ranges of ids).
 
     A range holds ``least`` to ``most`` bytes of text, or one longer text and what follows it

@@ -1,11 +1,12 @@
 """Near-duplicate documents by SimHash fingerprints and multi-index hashing.
 
-Two fingerprints within 2 bits share a neighbour within 1 bit of each. So every distinct
-fingerprint is entered, for each of its segments, under all keys of the segment's Hamming
-ball of radius 1 (the other segments unchanged), and all that meet under a key are within
-2 bits of one another: at most 65 fingerprints, whatever the data, so no bucket can grow
-hot and no pair is missed. Each is tied to the smallest under its key, after its complete
-distance is verified. Copies share a fingerprint and are never compared.
+A fingerprint is cut into segments, each with a table of its own. Fingerprints within 2 bits
+are within 2 // segments bits in some segment, so every fingerprint is looked up in each table
+under all values of that Hamming ball around its segment, and the complete distance of what it
+meets there is verified. A value that many fingerprints share (near copies of one document) is
+not looked up: its members are distinct fingerprints, so the other segments tell them apart,
+and they meet under all their bits, with one bit changed, instead. At most 65 fingerprints meet
+so, and each is tied to the smallest. Copies share a fingerprint and are never compared.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from pyspark.sql import types as T
 from . import common, textops
 from .components import connected
 
-SEGMENTS = 4
+SEGMENTS = 2
+#: Bits by which linked fingerprints may differ.
+APART = 2
+#: Members of a table value beyond which they meet under whole fingerprints.
+HOT = 32
 WORDS = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -73,19 +78,44 @@ def fingerprint(df: DataFrame, text: str = "text", k: int = WORDS) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("simhash", T.LongType())]))
 
 
-def links(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+def cuts(segments: int = SEGMENTS) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments."""
+    bounds = [64 * i // segments for i in range(segments + 1)]
+    return [(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def tables(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(simhash, s, v): the value v of each segment s."""
+    value = lambda at, width: F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit(_signed((1 << width) - 1)))
+    return prints.select("simhash", F.posexplode(F.array(*[value(*c) for c in cuts(segments)])).alias("s", "v"))
+
+
+def look_ups(members: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(x, s, v): each fingerprint under every value in the ball around its segment."""
+    balls = []
+    for _, width in cuts(segments):
+        masks = [sum(1 << b for b in some) for r in range(APART // segments + 1) for some in itertools.combinations(range(width), r)]
+        balls.append(F.array(*[F.col("v").bitwiseXOR(F.lit(_signed(m))) for m in masks]))
+    return members.select(F.col("simhash").alias("x"), "s", F.explode(F.get(F.array(*balls), F.col("s"))).alias("v"))
+
+
+def links(prints: DataFrame, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: edges that connect exactly the fingerprints connected by steps of 2 bits or fewer.
 
-    prints: distinct non-null ``simhash``.
+    prints: distinct non-null ``simhash``. Two fingerprints near each other in a segment: if either one's value there has
+    ``hot`` members or fewer, the other's look-up finds it; else both meet under whole fingerprints.
     """
-    width = 64 // segments
-    ball = [F.col("simhash")]
-    for s in range(segments):  # the ball of radius 1 within each segment
-        ball += [F.col("simhash").bitwiseXOR(F.lit(_signed(1 << (s * width + bit)))) for bit in range(width)]
-    entered = prints.select("simhash", F.explode(F.array(*ball)).alias("key"))
+    members = tables(prints, segments)
+    full = members.groupBy("s", "v").count().where(F.col("count") > hot).select("s", "v")
+    members = members.join(full.withColumn("full", F.lit(True)), ["s", "v"], "left")
+    few = members.where("full is null").select("s", "v", F.col("simhash").alias("y")).hint("shuffle_hash")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= APART
+    found = look_ups(members, segments).join(few, ["s", "v"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    crowd = members.where("full").select("simhash").distinct()
+    whole = F.array("simhash", *[F.col("simhash").bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(64)])
     least = F.first("simhash").over(Window.partitionBy("key").orderBy("simhash"))  # of 65 at most
-    met = entered.select(least.alias("a"), F.col("simhash").alias("b"))
-    return met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).distinct()
+    met = crowd.select("simhash", F.explode(whole).alias("key")).select(least.alias("a"), F.col("simhash").alias("b"))
+    return found.unionByName(met).where((F.col("a") != F.col("b")) & near).distinct()
 
 
 def _signed(x: int) -> int:
@@ -97,6 +127,7 @@ def components(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id") -> Da
     doc_id reachable by links. Null ids stay and count as larger than any other."""
     named = df.select(F.col(doc_id).alias("doc_id"), "simhash")
     classes = named.groupBy("simhash").agg(F.min("doc_id").alias("least"))
+    classes = common.durable(spark, classes, "fingerprints")
     groups = connected(spark, links(classes.select("simhash")), "simhash")
     of = classes.join(groups.select(F.col("node").alias("simhash"), "component"), "simhash", "left")
     of = of.select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
@@ -137,17 +168,17 @@ def wide(texts: textops.Texts, k: int) -> np.ndarray:
 
 
 def recall(share: float, width: int, tables: int) -> float:
-    """Part of the pairs that differ in ``share`` of the bits by expectation that some table of ``width`` bits has within 2 bits."""
+    """Part of the pairs that differ in ``share`` of the bits by expectation that some table of ``width`` bits has within one bit."""
     bits, apart = 63 * WIDE, range(63 * WIDE + 1)
     odds = np.array([math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in apart])
-    met = np.array([sum(math.comb(d, x) * math.comb(bits - d, width - x) for x in range(3)) / math.comb(bits, width) for d in apart])
+    met = np.array([sum(math.comb(d, x) * math.comb(bits - d, width - x) for x in range(2)) / math.comb(bits, width) for d in apart])
     return float((odds * (1 - (1 - met) ** tables)).sum())
 
 
 def plan(n: int, share: float, target: float = RECALL) -> np.ndarray:
-    """(tables, width) places of the bits in the words: log2(n) - 4 or so a table, so that a value
-    holds about 16 random fingerprints, and as many tables as the target asks for at any n."""
-    width = min(max(16, (n - 1).bit_length() - 4), 31)
+    """(tables, width) places of the bits in the words: so many bits that a value holds 32 to 64 random
+    fingerprints, and as many tables as the target asks for at any n."""
+    width = max(12, (n - 1).bit_length() - 6)
     tables = next(t for t in itertools.count(1) if recall(share, width, t) >= target)
     place = np.arange(63 * WIDE) // 63 * 64 + np.arange(63 * WIDE) % 63
     rng, cuts = np.random.default_rng(13), []
@@ -163,12 +194,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
 
     For similarity s the cosine is 2s/(1+s) or more and the share of differing bits its angle
     over pi. Fingerprints with up to three standard deviations more are candidates (998 of
-    1000 pairs at ``similarity``). Tables are about as wide as the number of distinct
-    fingerprints asks for; both sides enter the ball of radius 1, so fingerprints meet that
-    are 2 bits apart in any table. There are as many tables as let 99 of 100 pairs of
-    ``similarity`` meet, whatever that number. Within each component of candidates the
-    shingles themselves decide which texts are linked. Null and empty texts are copies of one
-    another; null ids are left out.
+    1000 pairs at ``similarity``). A table holds some bits of the fingerprint; in each a
+    fingerprint is looked up under the values within one bit of its own. There are as many
+    tables as let 99 of 100 pairs of ``similarity`` meet, whatever the number of fingerprints.
+    Within each component of candidates the shingles themselves decide which texts are linked.
+    Null and empty texts are copies of one another; null ids are left out.
     """
     names = [f"w{i}" for i in range(WIDE)]
     typed = ", ".join(f"{w} bigint" for w in names)
@@ -187,43 +217,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     n = max(2, classes.count())
     share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 63 * WIDE
     most = int(share * bits + 3 * np.sqrt(share * (1 - share) * bits))
-    cuts = plan(n, share)
-    tables, width = cuts.shape
-    groups = max(8, n * tables * (width + 1) // 100_000)
-
-    weight = 1 << np.arange(width)
-
-    def own(batch: pa.RecordBatch) -> np.ndarray:
-        """(rows, tables): the value in each table, above it the table's number."""
-        words = np.stack([batch.column(c).to_numpy() for c in range(WIDE)], 1)
-        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-        return np.stack([(bits[:, cut] @ weight) + (t << 32) for t, cut in enumerate(cuts)], 1)
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(own(whole.slice(at, 2000)).ravel())], ["key"])
-
-    # keys that more than HELD fingerprints enter (those of values of few may add up to HELD more)
-    full = classes.select(*names).mapInArrow(values, "key bigint").groupBy("key").count().where(F.col("count") > HELD // (width + 1))
-    full = full.select(F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(x)) for x in (0, *(1 << b for b in range(width)))])).alias("key"), "count")
-    full = full.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") > HELD).select("key", F.ceil(F.col("n") / HELD).cast("bigint").alias("chunks")).orderBy("key").toArrow()
-    hot = spark.sparkContext.broadcast((full["key"].to_numpy(), full["chunks"].to_numpy()))  # n * tables * (width + 1) / HELD keys at most
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array([0, *(1 << x for x in range(width))], np.int64)
-        step = max(1, 2000 // int(hot.value[1].max(initial=1)))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                key = (own(batch)[:, :, None] ^ flips).reshape(-1)
-                row = np.repeat(np.arange(batch.num_rows), tables * (width + 1))
-                key, row, block = _dealt(key, row, batch.column(WIDE).to_numpy(), *hot.value)
-                g = ((textops.mix(key.view(np.uint64)) + textops.mix(block.view(np.uint64))) % np.uint64(groups)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key), pa.array(block), *(batch.column(c).take(pa.array(row)) for c in range(WIDE + 1))], ["g", "key", "block", *names, "id"])
-
-    entered = classes.select(*names, "id").mapInArrow(enter, f"g int, key bigint, block bigint, {typed}, id bigint")
-    edges = entered.groupBy("g").applyInArrow(_tied(most), "a bigint, b bigint").distinct()
+    edges = _candidates(spark, classes, plan(n, share), most)
     loose = connected(spark, edges, "near")
     of = classes.join(loose, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("loose"))
     of = common.durable(spark, texts.join(of, names).select("id", "size", "loose"), "candidates")
@@ -292,48 +286,79 @@ def _linked(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np
                 of, shingle = of[rest], shingle[rest]
 
 
-#: Fingerprints of a key beyond which it is dealt out in chunks; every two chunks are compared, in a block of their own.
-HELD = 20_000
+#: Members of a table value that are compared in one task, and rows of a group of values.
+CHUNK, GROUP = 4096, 100_000
 
 
-def _dealt(key: np.ndarray, row: np.ndarray, ids: np.ndarray, hot: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with their block: 0, or under a hot key each pair of chunks that the row's own is one of."""
-    parts = np.ones(len(key), np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-        parts = np.where(hot[at] == key, chunks[at], 1)
-    take = np.repeat(np.arange(len(key)), parts)
-    key, row, parts = key[take], row[take], parts[take]
-    other = np.arange(len(take)) - np.searchsorted(take, take)
-    own = (textops.mix(ids[row].view(np.uint64)) % parts.view(np.uint64)).astype(np.int64)
-    return key, row, np.minimum(own, other) * parts + np.maximum(own, other)
+def _candidates(spark: SparkSession, classes: DataFrame, cuts: np.ndarray, most: int) -> DataFrame:
+    """(a, b): edges between ids that connect the fingerprints of at most ``most`` differing bits that meet in a table.
+
+    A value of more than CHUNK members is dealt out in chunks, which every look-up goes to: no pair is missed, and the
+    work under such a value grows with the square of its members, spread over tasks. No pair becomes a row: a
+    chunk gives an edge for each look-up and one for each member.
+    """
+    tables, width = cuts.shape
+    weight = 1 << np.arange(width, dtype=np.int64)
+    names = [f"w{i}" for i in range(WIDE)]
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                words = np.stack([batch.column(c).to_numpy() for c in range(WIDE)], 1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                made = np.stack([bits[:, cut] @ weight for cut in cuts], 1)
+                list_ = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, tables), pa.int32()), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, list_], [*batch.schema.names, "values"])
+
+    held = classes.select(*names, "id").mapInArrow(values, ", ".join(f"{w} bigint" for w in names) + ", id bigint, values array<bigint>")
+    held = common.durable(spark, held, "segment-values")
+    row = ["id", *names, "s", "v"]
+    members = held.select("id", *names, F.posexplode("values").alias("s", "v"))
+    # values one bit apart have an even and an odd number of bits: the even one is looked up
+    flips = F.array(*[F.col("v").bitwiseXOR(F.lit(1 << b)) for b in range(width)])
+    looks = members.where(F.bit_count("v") % 2 == 0).select("id", *names, "s", F.explode(flips).alias("v"))
+    hot = held.select(F.posexplode("values").alias("s", "v")).groupBy("s", "v").count().where(F.col("count") > CHUNK)
+    hot = common.durable(spark, hot.select("s", "v", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-values")
+    chunks = F.coalesce("chunks", F.lit(1))
+    members = members.join(hot, ["s", "v"], "left").select(*row, F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
+    # members of one chunk are compared among themselves, with those of later chunks by a look-up
+    later = members.where(F.col("chunk") < F.col("chunks") - 1).select(*row, F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"))
+    members = members.select(*row, "chunk", F.lit(True).alias("member"))
+    looks = looks.join(hot, ["s", "v"], "left").select(*row, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("member"))
+    groups = max(8, classes.count() * tables * (width // 4 + 1) // GROUP)
+    met = members.unionByName(later).unionByName(looks).withColumn("g", F.pmod(F.xxhash64("s", "v", "chunk"), F.lit(groups)).cast("int"))
+    return met.groupBy("g").applyInArrow(_tied(most), "a bigint, b bigint").distinct()
 
 
 def _tied(most: int):
     def tied(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        key, block, ids = group["key"].to_numpy(), group["block"].to_numpy(), group["id"].to_numpy()
+        s, v, chunk, ids = (group[c].to_numpy() for c in ("s", "v", "chunk", "id"))
+        member = group["member"].to_numpy(zero_copy_only=False)
         code = np.stack([group[f"w{i}"].to_numpy() for i in range(WIDE)], 1).view(np.uint64)
-        order = np.lexsort((ids, block, key))
-        bounds = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (block[order][1:] != block[order][:-1]))) if len(key) else np.zeros(0, int)
-        src, dst = [], []
-        for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=False):
-            if hi - lo < 2:
-                continue
-            left = order[lo:hi]
-            while len(left):  # a group: all that is reached from its smallest by steps of few bits
-                top, queue, left = left[0], [left[0]], left[1:]
-                while queue and len(left):
-                    x = queue.pop()
-                    apart = np.bitwise_count(code[left] ^ code[x]).sum(1)
-                    hit = apart <= most
-                    if hit.any():
-                        src.append(ids[left[hit]])
-                        dst.append(np.full(int(hit.sum()), ids[top]))
-                        queue += left[hit].tolist()
-                        left = left[~hit]
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": join(src), "b": join(dst)}).group_by(["a", "b"]).aggregate([])
+        order = np.lexsort((ids, ~member, chunk, v, s))
+        s, v, chunk = s[order], v[order], chunk[order]
+        fresh = np.append(True, (s[1:] != s[:-1]) | (v[1:] != v[:-1]) | (chunk[1:] != chunk[:-1])) if len(order) else np.zeros(0, bool)
+        bounds = np.append(np.flatnonzero(fresh), len(order))
+        held = np.add.reduceat(member[order].astype(int), bounds[:-1]) if len(order) else np.zeros(0, int)
+        edges = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero((held > 0) & (np.diff(bounds) > 1)).tolist():
+            rows = order[bounds[i] : bounds[i + 1]]
+            members, theirs = code[rows[: held[i]]].T.copy(), ids[rows[: held[i]]]
+            for at in range(0, len(rows), 512):
+                part = rows[at : at + 512]
+                mine = code[part].T
+                apart = sum(np.bitwise_count(mine[w][:, None] ^ members[w][None, :]).astype(np.int16) for w in range(WIDE))
+                r, c = np.nonzero((apart <= most) & (ids[part][:, None] != theirs[None, :]))
+                if len(r):  # the first that it meets, to which all others are tied
+                    new = np.append(True, r[1:] != r[:-1])
+                    first = c[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
+                    edges.append(np.stack([ids[part][r[new]], theirs[c[new]]], 1))
+                    edges.append(np.unique(np.stack([theirs[c[~new]], theirs[first[~new]]], 1), axis=0))
+        found = np.concatenate(edges)
+        found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return tied
 

@@ -121,6 +121,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _index(k: int, buckets: int):
+    @common.trimmed
     def index(group: pa.Table) -> pa.Table:
         block = Block(group, k)
         bucket, run = block.distinct(buckets)
@@ -131,6 +132,7 @@ def _index(k: int, buckets: int):
 
 
 def _first_blocks(ranges: int):
+    @common.trimmed
     def first_blocks(group: pa.Table) -> pa.Table:
         """For each block's runs of one bucket: a bit for those that an earlier block holds too, and the first such block."""
         group = group.combine_chunks().sort_by("shard")
@@ -159,6 +161,7 @@ def _first_blocks(ranges: int):
 
 
 def _requests(k: int, buckets: int):
+    @common.trimmed
     def requests(group: pa.Table, answers: pa.Table) -> pa.Table:
         """The runs that a block asks of each earlier one."""
         kinds = {"block": pa.int32(), "shard": pa.int32(), "n": pa.int64(), "runs": pa.binary()}
@@ -183,6 +186,7 @@ def _requests(k: int, buckets: int):
 
 
 def _passages(k: int):
+    @common.trimmed
     def passages(group: pa.Table, requests: pa.Table) -> pa.Table:
         """For each block that asks, the passages of this one that hold what it asks for: words joined by a space, passages by a line feed."""
         shards, texts = [], []
@@ -290,6 +294,7 @@ class Parse:
 def _parse(k: int, ranges: int, columns: list[str], text: str):
     """columns: those of the result that the rows bring along."""
 
+    @common.trimmed
     def parse(group: pa.Table, passages: pa.Table) -> pa.Table:
         block = Block(group, k)
         group = group.take(pa.array(block.order))
@@ -369,7 +374,7 @@ def remove(spark: SparkSession, docs: DataFrame, k: int = WORDS, doc_id: str = "
     are no references. Columns that clash with those given are replaced; names that begin with
     __ are the operator's own. Texts without a duplicate passage come back unchanged.
 
-    A task holds one range of documents (4 to 16 MB of text, or one longer text) at about ten
+    A task holds one range of documents (2 to 16 MB of text, or one longer text) at about ten
     bytes for a byte of text, with the passages that it asked for; a bucket of the index holds
     about 8 MB of the corpus. A block of which many runs are asked is copied, once for each
     ASKED of them. No pair of blocks becomes a row unless one holds a run of the other.

@@ -29,34 +29,63 @@ def test_fingerprints_of_least_similarity_meet_at_any_size(n):
     rng = np.random.default_rng(6)
     share = np.arccos(1.6 / 1.8) / np.pi
     cuts = simhash.plan(n, share)
-    assert cuts.shape[1] >= (n - 1).bit_length() - 4 and not (cuts % 64 == 63).any()
+    assert cuts.shape[1] >= (n - 1).bit_length() - 6 and not (cuts % 64 == 63).any()
     apart = rng.random((4000, 256)) < share
-    assert (apart[:, cuts].sum(2) <= 2).any(1).mean() >= 0.98
+    assert (apart[:, cuts].sum(2) <= 1).any(1).mean() >= 0.98
 
 
-def test_hot_keys_lose_no_link():
-    rng = np.random.default_rng(8)
-    n, parts = 120, 5
-    code = np.zeros((n, 256), np.uint8)
-    for i in range(1, n):  # a chain: each differs from the one before in 20 bits
-        code[i] = code[i - 1]
-        code[i, rng.choice(256, 20, replace=False)] ^= 1
-    words = np.packbits(code, axis=1, bitorder="little").view(np.int64)
-    ids = rng.permutation(n).astype(np.int64)
-    key, row, block = simhash._dealt(np.full(n, 5), np.arange(n), ids, np.array([5]), np.array([parts]))
-    assert len(row) == n * parts and np.bincount(block).max() < n
-    made = pa.table({"key": key, "block": block, "id": ids[row], **{f"w{i}": words[row, i] for i in range(4)}})
-    edges = simhash._tied(20)(made)
-    of = {i: i for i in range(n)}
+def groups_of(pairs, n):
+    of = list(range(n))
 
     def top(i):
         while of[i] != i:
             i = of[i]
         return i
 
-    for a, b in zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True):
+    for a, b in pairs:
         of[max(top(a), top(b))] = min(top(a), top(b))
-    assert {top(i) for i in range(n)} == {0}
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [4096, 30])
+def test_hot_values_lose_no_link(spark, monkeypatch, chunk):
+    """A chain in which each differs from the one before in 20 bits, and all share the tables' values but for a bit."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    n = 150
+    code = np.zeros((n, 256), np.uint8)
+    free = np.flatnonzero(np.arange(256) % 64 < 50)[12:]
+    for i in range(1, n):
+        code[i] = code[i - 1]
+        code[i, rng.choice(free, 20, replace=False)] ^= 1
+        code[i, 0] = i % 2
+    words = np.packbits(code, axis=1, bitorder="little").view(np.int64)
+    rows = [(*map(int, w), int(i)) for i, w in zip(rng.permutation(n), words, strict=True)]
+    classes = spark.createDataFrame(rows, "w0 bigint, w1 bigint, w2 bigint, w3 bigint, id bigint")
+    edges = simhash._candidates(spark, classes, np.arange(12)[None, :], 21).collect()
+    assert set(groups_of([(r["a"], r["b"]) for r in edges], n)) == {0}
+
+
+def test_segments_change_tables_not_links(spark):
+    rng = np.random.default_rng(12)
+    base = [int(x) for x in rng.integers(0, 2**63, 60)]
+    prints = set(base)
+    for x in base:  # far and near ones, and a crowd around one that shares half its bits
+        for _ in range(4):
+            prints.add(x ^ (1 << int(rng.integers(63))) ^ (1 << int(rng.integers(63))) ^ (1 << int(rng.integers(63))))
+    for _ in range(300):
+        prints.add(base[0] ^ sum(1 << int(b) for b in rng.choice(30, int(rng.integers(1, 5)), replace=False)))
+    prints = sorted(prints)
+    df = spark.createDataFrame([(x,) for x in prints], "simhash bigint")
+    want = groups_of([(i, j) for i, x in enumerate(prints) for j, y in enumerate(prints[:i]) if (x ^ y).bit_count() <= 2], len(prints))
+    place = {x: i for i, x in enumerate(prints)}
+    seen = set()
+    for segments, hot in ((1, 32), (2, 32), (2, 3), (3, 4), (4, 10**9)):
+        made = simhash.links(df, segments, hot).collect()
+        assert all((r["a"] ^ r["b"]).bit_count() <= 2 for r in made)
+        assert groups_of([(place[r["a"]], place[r["b"]]) for r in made], len(prints)) == want, (segments, hot)
+        seen.add(tuple(sorted(r["v"] for r in simhash.tables(df, segments).collect())))
+    assert len(seen) == 4
 
 
 def test_only_true_similarity_links(spark):
