@@ -32,18 +32,22 @@ def trim() -> None:
         pass
 
 
-def trimmed(function):
-    """The function, after which freed memory is given back; its parameters stay as many."""
-    import functools
+def trimmed(function, groups: int = 1):
+    """A function of one group, or two, after which freed memory is given back."""
 
-    @functools.wraps(function)
-    def run(*groups):
+    def one(group: pa.Table) -> pa.Table:
         try:
-            return function(*groups)
+            return function(group)
         finally:
             trim()
 
-    return run
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(left, right)
+        finally:
+            trim()
+
+    return one if groups == 1 else two
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -121,18 +121,16 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _index(k: int, buckets: int):
-    @common.trimmed
     def index(group: pa.Table) -> pa.Table:
         block = Block(group, k)
         bucket, run = block.distinct(buckets)
         rows = [(no, _pack(run[a:b], 7)) for no, a, b in _by_bucket(bucket)]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([block.shard] * len(rows), pa.int32()), "runs": pa.array([r[1] for r in rows], pa.binary())})
 
-    return index
+    return common.trimmed(index)
 
 
 def _first_blocks(ranges: int):
-    @common.trimmed
     def first_blocks(group: pa.Table) -> pa.Table:
         """For each block's runs of one bucket: a bit for those that an earlier block holds too, and the first such block."""
         group = group.combine_chunks().sort_by("shard")
@@ -157,11 +155,10 @@ def _first_blocks(ranges: int):
         kinds = {"shard": pa.int32(), "bucket": pa.int32(), "bits": pa.binary(), "blocks": pa.binary()}
         return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds.items())})
 
-    return first_blocks
+    return common.trimmed(first_blocks)
 
 
 def _requests(k: int, buckets: int):
-    @common.trimmed
     def requests(group: pa.Table, answers: pa.Table) -> pa.Table:
         """The runs that a block asks of each earlier one."""
         kinds = {"block": pa.int32(), "shard": pa.int32(), "n": pa.int64(), "runs": pa.binary()}
@@ -182,11 +179,10 @@ def _requests(k: int, buckets: int):
         rows = [(no, block.shard, b - a, _pack(np.sort(wanted[a:b]), 7)) for no, a, b in _by_bucket(of)]
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
 
-    return requests
+    return common.trimmed(requests, 2)
 
 
 def _passages(k: int):
-    @common.trimmed
     def passages(group: pa.Table, requests: pa.Table) -> pa.Table:
         """For each block that asks, the passages of this one that hold what it asks for: words joined by a space, passages by a line feed."""
         shards, texts = [], []
@@ -206,7 +202,7 @@ def _passages(k: int):
         own = group["__shard"][0].as_py() if group.num_rows else 0
         return pa.table({"shard": pa.array(shards, pa.int32()), "block": pa.array([own] * len(shards), pa.int32()), "passages": pa.array(texts, pa.binary())})
 
-    return passages
+    return common.trimmed(passages, 2)
 
 
 class Parse:
@@ -294,7 +290,6 @@ class Parse:
 def _parse(k: int, ranges: int, columns: list[str], text: str):
     """columns: those of the result that the rows bring along."""
 
-    @common.trimmed
     def parse(group: pa.Table, passages: pa.Table) -> pa.Table:
         block = Block(group, k)
         group = group.take(pa.array(block.order))
@@ -341,7 +336,7 @@ def _parse(k: int, ranges: int, columns: list[str], text: str):
         }
         return pa.table({c: own[c]() if c in own else group[c] for c in columns})
 
-    return parse
+    return common.trimmed(parse, 2)
 
 
 def _in_texts(begin: np.ndarray, end: np.ndarray, block: Block) -> dict[int, list[tuple[int, int]]]:
