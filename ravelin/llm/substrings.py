@@ -213,59 +213,80 @@ class Parse:
         self.factors: list[tuple[int, int, int, int]] = []
         self.change = np.zeros(len(block.words) + 1, np.int32)
         self.inside = np.zeros(len(block.words) + 1, np.int32)  # of runs that a factor holds
-
-    def against(self, reference: Words, sources: np.ndarray, own: bool) -> None:
-        """Parse against reference texts, of which ``sources`` tells the block; ``own`` if they are the documents themselves."""
-        block, k = self.block, self.block.k
+        self.order = block.sorted()
+        run = block.run[self.order]
+        fresh = np.append(True, run[1:] != run[:-1]) if len(run) else np.zeros(0, bool)
+        self.heads = np.flatnonzero(fresh)  # of each distinct run, its first place in the order
+        self.named = np.empty(len(run), np.int32)
+        self.named[self.order] = np.cumsum(fresh) - 1
+        self.distinct = run[self.heads]
+
+    def against(self, reference: Words, sources: np.ndarray) -> None:
+        """Parse against reference texts, of which ``sources`` tells the block. Of a run that several hold, the first one counts."""
+        block = self.block
         order = reference.sorted()
         run, at = reference.run[order], reference.at[order]
-        text = reference.text_of(at)
-        source = sources[text] if not own else np.zeros(len(at), np.int64)
-        if not own:  # places of a run by block
-            by = np.lexsort((at, source, run))
-            run, at, text, source = run[by], at[by], text[by], source[by]
-        fresh = np.ones(len(run), bool)
-        fresh[1:] = (run[1:] != run[:-1]) | (source[1:] != source[:-1])
-        nth = np.arange(len(run)) - np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+        source = sources[reference.text_of(at)]
+        low, high = np.searchsorted(run, self.distinct, "left"), np.searchsorted(run, self.distinct, "right")
+        met = np.flatnonzero(high > low)
+        first, place = np.full(len(low), -1, np.int64), np.zeros((len(low), PLACES), np.int64) - 1
+        if len(met):
+            first[met] = np.minimum.reduceat(np.append(source, 0), np.stack([low[met], high[met]], 1).ravel())[::2]
+        own = np.repeat(met, (high - low)[met])  # of each place that is met, the run
+        inner = np.arange(len(own)) + np.repeat(low[met] - (np.cumsum((high - low)[met]) - (high - low)[met]), (high - low)[met])
+        good = source[inner] == first[own]
+        own, inner = own[good], inner[good]
+        nth = np.arange(len(own)) - np.searchsorted(own, own)
         use = nth < PLACES
-        run, at, text, source = run[use], at[use], text[use], source[use]
-        todo = np.flatnonzero(np.cumsum(self.inside[:-1])[block.at] == 0) if own else np.arange(len(block.at))
-        low, high = np.searchsorted(run, block.run[todo], "left"), np.searchsorted(run, block.run[todo], "right")
-        some = np.flatnonzero(high > low)
-        todo, low, n = todo[some], low[some], (high - low)[some]
-        place = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-        start = np.repeat(block.at[todo], n)
-        if own:  # earlier documents only
-            earlier = block.rank[text[place]] < block.rank[block.text_of(start)]
-            place, start = place[earlier], start[earlier]
-        by = np.lexsort((place, start, source[place]))
-        place, start = place[by], start[by]
-        blocks = source[place]
-        bounds = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(place) else np.zeros(0, int)
-        until, reference_until = block.first[1:][block.text_of(start)], reference.first[1:][text[place]]
-        place = at[place]
-        for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(place)], strict=False):
-            number = block.shard if own else int(blocks[a])
-            self._greedy(reference, number, start[a:b], place[a:b], until[a:b], reference_until[a:b])
-
-    def _greedy(self, reference: Words, number: int, start, place, until, reference_until) -> None:
-        """One pass over the documents against one block: pairs of places, ascending, that share a run."""
+        place[own[use], nth[use]] = at[inner[use]]
+        starts = np.flatnonzero(first[self.named] >= 0)
+        number = first[self.named[starts]]
+        by = np.argsort(number, kind="stable")  # by block, then by place
+        starts, number = starts[by], number[by]
+        bounds = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.zeros(0, int)
+        for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(number)], strict=False):
+            some = starts[a:b]
+            self._greedy(reference, int(number[a]), block.at[some], place[self.named[some]])
+
+    def against_own(self) -> None:
+        """Parse what is left against the earlier documents of the block itself."""
+        block = self.block
+        left = np.cumsum(self.inside[:-1])[block.at] == 0 if len(block.at) else np.zeros(0, bool)
+        place = np.full((len(self.heads), PLACES), -1, np.int64)
+        ends = np.append(self.heads[1:], len(self.order))
+        for nth in range(PLACES):
+            has = self.heads + nth < ends
+            place[has, nth] = block.at[self.order[self.heads[has] + nth]]
+        rank = block.rank[block.text_of(block.at)]
+        first = rank[self.order[self.heads]] if len(self.heads) else rank
+        starts = np.flatnonzero(left & (first[self.named] < rank)) if len(rank) else np.zeros(0, int)
+        self._greedy(block, block.shard, block.at[starts], place[self.named[starts]])
+
+    def _greedy(self, reference: Words, number: int, start: np.ndarray, places: np.ndarray) -> None:
+        """One pass over the documents against one block: places, ascending, at which a run begins that the block holds."""
         block, k, x = self.block, self.block.k, 0
+        text = block.text_of(start)
+        own = reference is block
         while x < len(start):
-            at, best = int(start[x]), 0
-            while x < len(start) and start[x] == at:
-                most = int(min(until[x] - at, reference_until[x] - place[x]))
+            at, best, i = int(start[x]), 0, int(text[x])
+            for place in places[x].tolist():
+                if place < 0:
+                    break
+                there = int(reference.text_of(place))
+                if own and block.rank[there] >= block.rank[i]:
+                    break
+                most = int(min(block.first[i + 1] - at, reference.first[there + 1] - place))
                 if most > best:
-                    best = max(best, self._longest(reference, at, int(place[x]), most))
-                x += 1
+                    best = max(best, self._longest(reference, at, place, most))
             if best >= k:
-                text = int(block.text_of(np.array([at]))[0])
-                self.factors.append((text, at - int(block.first[text]), best, number))
+                self.factors.append((i, at - int(block.first[i]), best, number))
                 self.change[at] += 1
                 self.change[at + best] -= 1
                 self.inside[at] += 1
                 self.inside[at + best - k + 1] -= 1
                 x += int(np.searchsorted(start[x:], at + best - k + 1))
+            else:
+                x += 1
 
     def _longest(self, reference: Words, at: int, place: int, most: int) -> int:
         """Words from here on that are the same in both, by their bytes."""
@@ -298,10 +319,10 @@ def _parse(k: int, ranges: int, columns: list[str], text: str):
             lines = [x.as_py().split(b"\n") for x in passages["passages"]]
             numbers = passages["block"].to_numpy()
             numbers = np.repeat(numbers, [len(x) for x in lines])
-            made.against(Words(textops.Texts(pa.array([y for x in lines for y in x], pa.large_binary())), k), numbers, False)
+            made.against(Words(textops.Texts(pa.array([y for x in lines for y in x], pa.large_binary())), k), numbers)
             del lines
         if block.shard < ranges:
-            made.against(block, np.zeros(0, int), True)
+            made.against_own()
         gone = made.removed()
         factors: dict[int, list] = {}
         for i, start, length, number in made.factors if "factors" in columns else []:

@@ -220,6 +220,40 @@ def test_op9(spark, where):
         assert n > 0
 
 
+def test_op9_long_texts(spark):
+    """A key-like run of 200,000 characters and 4000 secrets in one text, in time that grows with their size."""
+    import time
+
+    from ravelin.llm import secrets
+
+    rng = np.random.default_rng(6)
+    run = "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 200_000))
+    many = " ".join(f"password=Ab3defghijkl{i}" for i in range(4000))
+    began = time.time()
+    got = {r["doc_id"]: r["secrets"] for r in secrets.find(spark.createDataFrame([(1, run), (2, many)], "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 60
+    assert len(got[2]) == 4000 and all(many[s["start"] : s["end"]] == f"password=Ab3defghijkl{i}" for i, s in enumerate(got[2]))
+    want, end = [], -1
+    for i in range(len(run) - 19):  # the plain entropy of each window
+        n = np.unique(list(run[i : i + 20]), return_counts=True)[1] if i < 3000 else None
+        if n is None:
+            break
+        if np.log2(20) - (n * np.log2(n)).sum() / 20 >= 3.9 - 1e-9:
+            if i <= end:
+                want[-1][1] = i + 20
+            else:
+                want.append([i, i + 20])
+            end = i + 20
+    mine = [[s["start"], s["end"]] for s in got[1] if s["kind"] == 3 and s["end"] < 2900]
+    assert mine == [w for w in want if w[1] < 2900] and mine
+
+
+def test_op9_paths_are_no_cover():
+    from ravelin.llm import secrets
+
+    assert re.search(secrets.ALLOWED, "com/some/path/file12") and not re.search(secrets.ALLOWED, "com/services/hooks/aZ93kfLq02mZx8TqPwL1")
+
+
 def test_op10(spark, where):
     from tokenizers import Tokenizer
 
@@ -318,12 +352,12 @@ def test_op1_factors_decide(spark, monkeypatch):
         assert r["kept_sha256"] == hashlib.sha256(" ".join(w for a, w in enumerate(d) if a not in gone).encode()).hexdigest()
     block = substrings.Block(pa.table({"__id": pa.chunked_array([pa.array([1, 2])]), "__text": pa.chunked_array([pa.array([" ".join(base[0]), " ".join(base[0][:30] + ["x"] + base[0][30:])])]), "__shard": pa.chunked_array([pa.array([0, 0])])}), 13)
     made = substrings.Parse(block)
-    made.against(block, np.zeros(0, int), True)
+    made.against_own()
     assert [f[:3] for f in made.factors] == [(1, 0, 30), (1, 31, 170)] and made.removed().sum() == 200
     monkeypatch.setattr(textops.Texts, "hashes", lambda self, s, e: (e - s).astype(np.uint64))  # colliding words
     other = substrings.Words(textops.Texts(pa.array([" ".join(base[0]).translate(str.maketrans("w", "v"))])), 13)
     made = substrings.Parse(substrings.Block(pa.table({"__id": pa.chunked_array([pa.array([1])]), "__text": pa.chunked_array([pa.array([" ".join(base[0])])]), "__shard": pa.chunked_array([pa.array([1])])}), 13))
-    made.against(other, np.zeros(1, int), False)
+    made.against(other, np.zeros(1, int))
     assert made.factors == []
 
 
