@@ -20,22 +20,42 @@ def cut(v: Column, begin: Column, end: Column) -> Column:
     return F.slice(v, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: a lambda function works an outer expression out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gather(v: Column, source: Column) -> Column:
     """v[source[i]]; null where the index is out of range."""
-    return F.transform(source, lambda i: F.get(v, i))
+    return let(v, lambda v: F.transform(source, lambda i: F.get(v, i)))
 
 
 def scatter(v: Column, base: Column, source: Column, target: Column) -> Column:
-    """base with base[target[i]] = v[source[i]]. Sizes must agree; a target named twice is an error."""
-    same = F.size(source) == F.size(target)
-    new = F.map_from_arrays(F.when(same, target).otherwise(F.raise_error(F.lit("source and target differ in size"))), gather(v, source))
-    return F.transform(base, lambda old, i: F.when(F.map_contains_key(new, i), F.element_at(new, i)).otherwise(old))
+    """base with base[target[i]] = v[source[i]]. Sizes must agree; a target named twice is an error, one out of range is left out.
+
+    Old and new elements are sorted by place, and of each place the last one is taken.
+    """
+    fits = F.when(F.size(source) != F.size(target), F.raise_error(F.lit("source and target differ in size")))
+    fits = fits.when(F.size(F.array_distinct(target)) != F.size(target), F.raise_error(F.lit("a target is named twice"))).otherwise(target)
+
+    def placed(base: Column) -> Column:
+        old = F.transform(base, lambda x, i: F.struct(i.alias("at"), F.lit(0).alias("new"), x.alias("x")))
+        new = F.zip_with(fits, gather(v, source), lambda i, x: F.struct(i.cast("int").alias("at"), F.lit(1).alias("new"), x.alias("x")))
+        inside = F.filter(new, lambda x: (x["at"] >= 0) & (x["at"] < F.size(base)))
+        return F.array_sort(F.concat(old, inside))
+
+    def last(all_: Column) -> Column:
+        after = F.slice(all_, F.lit(2), F.size(all_))
+        pairs = F.zip_with(all_, after, lambda x, y: F.struct(x.alias("x"), y["at"].alias("next")))
+        return F.transform(F.filter(pairs, lambda p: p["next"].isNull() | (p["next"] != p["x"]["at"])), lambda p: p["x"]["x"])
+
+    return let(base, lambda base: F.when(base.isNotNull(), let(placed(base), last)))
 
 
 def count_bits(bits: Column, starts: Column, ends: Column) -> Column:
     """True values in each half-open range."""
     pairs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    return F.transform(pairs, lambda r: F.size(F.filter(cut(bits, r["s"], r["e"]), lambda b: b)).cast("bigint"))
+    return let(bits, lambda bits: F.transform(pairs, lambda r: F.size(F.filter(cut(bits, r["s"], r["e"]), lambda b: b)).cast("bigint")))
 
 
 def argsort(v: Column) -> Column:
@@ -60,22 +80,26 @@ def pad(v: Column, filler: Column, length: int) -> Column:
 
 def run_starts(v: Column) -> Column:
     """Where a value differs from the one before it; the first is always a start."""
-    return F.filter(iota(F.size(v)), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+    return let(v, lambda v: F.filter(iota(F.size(v)), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1))))
+
+
+def _ends(starts: Column, n: Column) -> Column:
+    return F.when(n > 0, F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n))).otherwise(F.array().cast("array<int>"))
 
 
 def run_ends(v: Column) -> Column:
-    starts = run_starts(v)
-    return F.when(F.size(v) > 0, F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(v)))).otherwise(F.array().cast("array<int>"))
+    return let(v, lambda v: let(run_starts(v), lambda starts: _ends(starts, F.size(v))))
 
 
 def run_lengths(v: Column) -> Column:
     """[(value, length)] of the runs."""
-    return F.zip_with(run_starts(v), run_ends(v), lambda s, e: F.struct(F.get(v, s).alias("value"), (e - s).cast("bigint").alias("length")))
+    pairs = lambda v, starts: F.zip_with(starts, _ends(starts, F.size(v)), lambda s, e: F.struct(F.get(v, s).alias("value"), (e - s).cast("bigint").alias("length")))
+    return let(v, lambda v: let(run_starts(v), lambda starts: pairs(v, starts)))
 
 
 def unfold(flat: Column) -> Column:
     """[a, b, c, d] as [(a, b), (c, d)]."""
-    return F.transform(iota(F.floor(F.size(flat) / 2).cast("int")), lambda i: F.struct(F.get(flat, 2 * i).alias("term"), F.get(flat, 2 * i + 1).alias("cnt")))
+    return let(flat, lambda flat: F.transform(iota(F.floor(F.size(flat) / 2).cast("int")), lambda i: F.struct(F.get(flat, 2 * i).alias("term"), F.get(flat, 2 * i + 1).alias("cnt"))))
 
 
 def fold(pairs: Column) -> Column:

@@ -1,7 +1,8 @@
 """Exchanges: contiguous slices, key-aligned range slices, routing by ownership.
 
 Row numbers and running totals are made in two levels, within ranges of the key and over
-the totals of the ranges, so no global window gathers the rows in one task.
+the totals of the ranges, so no global window gathers the rows in one task. The ranges hold
+about as many rows each, whatever the keys are: their bounds are quantiles.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoints
 
-#: Ranges of the key; their totals are all that one task sees together.
-RANGES = 1024
+#: Ranges of the key, in two levels of LEVEL each; their totals are all that one task sees together.
+LEVEL = 32
+RANGES = LEVEL * LEVEL
+#: Slices that route() takes at most: their last keys are part of the plan.
+MOST_SLICES = 100_000
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -21,29 +25,44 @@ def once(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _below(bounds: Column, key: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b < key))
+
+
 def _ranged(df: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """df with the range of each key, and its number of rows."""
-    low, high, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // RANGES))
-    return df.withColumn("__range", F.floor((F.col(key) - low) / width).cast("int")), rows
+    """df with the range of each key, ascending with it, and its number of rows. Null keys have a range of their own, before all others."""
+    bounds, rows = df.agg(F.expr(f"approx_percentile({_quoted(key)}, array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))}))"), F.count(F.lit(1))).first()
+    bounds = sorted(set(bounds or []))
+    parts = [bounds[i : i + LEVEL] for i in range(0, len(bounds), LEVEL)] or [[]]
+    kind = df.schema[key].dataType.simpleString()
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
+    part = F.least(_below(lit([p[-1] for p in parts if p]), F.col(key)), F.lit(len(parts) - 1))
+    inside = _below(F.get(F.array(*[lit(p) for p in parts]), part), F.col(key))
+    return df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(part * (LEVEL + 1) + inside).cast("int")), rows
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def running_total(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
-    """df with the sum of value over all smaller keys and its own (keys whole numbers and unique)."""
+    """df with the sum of value over all smaller keys and its own (keys whole numbers and unique).
+
+    Rows without a key come before all others, in no order of their own. No row, no result.
+    """
     return _total(_ranged(df, key)[0], key, value, to)
 
 
 def _total(ranged: DataFrame, key: str, value: str, to: str) -> DataFrame:
     totals = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__base"))  # RANGES rows
+    base = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__base"))  # RANGES rows or so
     own = F.sum(value).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("__own", own).join(F.broadcast(base), "__range").withColumn(to, F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")
 
 
 def row_numbers(df: DataFrame, key: str, to: str = "row_number") -> DataFrame:
-    """df with 1 .. n by ascending unique key."""
+    """df with 1 .. n by ascending unique key, rows without a key first."""
     return running_total(df.withColumn("__one", F.lit(1).cast("bigint")), key, "__one", to).drop("__one")
 
 
@@ -66,38 +85,64 @@ def range_starts(counts: DataFrame, key: str, n: str, slices: int) -> DataFrame:
 
     start_0 = 0; start_i is the first place after 0 where a new key begins at or behind i * (E div slices), else E.
     """
-    counts = once(counts)
-    places = running_total(counts, key, n, "__end").select((F.col("__end") - F.col(n)).alias("pos"))
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    step = total // slices
-    numbers = counts.sparkSession.range(slices).select(F.col("id").cast("int").alias("i"))
+    return range_starts_of(running_total(once(counts), key, n, "__end").select((F.col("__end") - F.col(n)).alias("pos"), F.col(n).alias("n")), slices)
+
+
+def range_starts_of(placed: DataFrame, slices: int) -> DataFrame:
+    """The same from (pos, n) of each key, already summed up."""
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    step, places = total // slices, placed.where("pos > 0")
     # for each place, the largest slice whose start it may be; the least place of this or a later slice is the start
-    if step:
-        able = places.where("pos > 0").groupBy(F.least(F.floor(F.col("pos") / step), F.lit(slices - 1)).cast("int").alias("upto")).agg(F.min("pos").alias("pos"))
-    else:
-        able = places.where("pos > 0").groupBy(F.lit(slices - 1).alias("upto")).agg(F.min("pos").alias("pos"))
-    found = numbers.join(F.broadcast(able), F.col("upto") >= F.col("i"), "left").groupBy("i").agg(F.min("pos").alias("pos"))
+    upto = F.least(F.floor(F.col("pos") / step), F.lit(slices - 1)).cast("int") if step else F.lit(slices - 1)
+    able = places.groupBy(upto.alias("i")).agg(F.min("pos").alias("pos"))  # a row a slice at most
+    numbers = placed.sparkSession.range(slices).select(F.col("id").cast("int").alias("i"))
+    later = Window.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    found = numbers.join(F.broadcast(able), "i", "left").select("i", F.min("pos").over(later).alias("pos"))
     return found.select("i", F.when(F.col("i") == 0, 0).otherwise(F.coalesce("pos", F.lit(total))).cast("bigint").alias("start"))
 
 
+def slice_of(pos: Column, starts: DataFrame) -> Column:
+    """The last slice that starts at or before a place; ``starts`` has a row for each slice."""
+    known = [r["start"] for r in starts.orderBy("i").select("start").collect()]
+    return (F.size(F.filter(F.array(*[F.lit(x) for x in known]), lambda s: s <= pos)) - 1).cast("int")
+
+
 def by_range(df: DataFrame, key: str, slices: int) -> DataFrame:
     """Rows dealt to about equal key ranges, sorted inside; equal keys stay together."""
     return df.repartitionByRange(slices, key).sortWithinPartitions(key)
 
 
 def route(ids: DataFrame, last: DataFrame, key: str = "node_id", slice_column: str = "clique_idx") -> DataFrame:
-    """Each id to the slice that owns it: the one of smallest last key not below the id. ``last`` has a row for each slice."""
-    window = Window.orderBy("last_node")
-    spans = last.withColumn("__prev", F.lag("last_node").over(window))
-    owned = (F.coalesce(F.col(key) > F.col("__prev"), F.lit(True))) & (F.col(key) <= F.col("last_node"))
-    return ids.join(F.broadcast(spans), owned).drop("__prev", "last_node")
+    """Each id to the slice that owns it: the one of smallest last key not below the id.
+
+    ``last`` has a row for each slice, MOST_SLICES at most. An id above all last keys, and a null one, has no owner: null.
+    """
+    rows = last.select(slice_column, "last_node").where("last_node is not null").orderBy("last_node", slice_column).limit(MOST_SLICES + 1).collect()
+    if len(rows) > MOST_SLICES:
+        raise ValueError(f"more than {MOST_SLICES} slices")
+    owners = [int(r[0]) for r in rows]
+    parts = [rows[i : i + 64] for i in range(0, len(rows), 64)] or [[]]
+    lit = lambda xs: F.array(*[F.lit(x[1]) for x in xs]).cast("array<bigint>")
+    part = _below(lit([p[-1] for p in parts if p]), F.col(key))
+    inside = _below(F.coalesce(F.get(F.array(*[lit(p) for p in parts]), part), F.array().cast("array<bigint>")), F.col(key))
+    owner = F.get(F.array(*[F.lit(x) for x in owners]).cast("array<int>"), part * 64 + inside)
+    return ids.withColumn(slice_column, F.when(F.col(key).isNotNull(), owner))
 
 
 def inbox(messages: DataFrame, key: str = "node_id", message: str = "message") -> DataFrame:
-    """All messages of each receiver as a sorted array. The combined form, where one is enough, never gathers them."""
+    """All messages of each receiver as a sorted array, which one task holds; the combined form, where one message is enough, never gathers them."""
     return messages.groupBy(key).agg(F.array_sort(F.collect_list(message)).alias("messages"))
 
 
+def union(*tables: DataFrame, slice_column: str = "clique_idx") -> DataFrame:
+    """All rows of the workers' tables, each with its worker's number; columns are matched by name."""
+    numbered = [t.withColumn(slice_column, F.lit(i)) for i, t in enumerate(tables)]
+    out = numbered[0]
+    for t in numbered[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in an order that depends on key and seed alone."""
     return df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("__h", key).drop("__h")

@@ -17,7 +17,10 @@ _NONE = "array<struct<term:bigint,cnt:bigint>>"
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
-    """(row_id, term, cnt) from rows (row_id, term); term 0 is padding and never counted."""
+    """(row_id, term, cnt) from rows (row_id, term); term 0 is padding and never counted.
+
+    Dealt by row_id, the counts need no further exchange to be put together by row or joined with one another.
+    """
     return terms.where(F.col("term") != PAD).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -47,12 +50,17 @@ def by_stripes(terms: DataFrame, length: int | None = None, pad: bool = False, w
     """With pad, a key has a row (key, 0, 0) if any of its stripes was shorter than ``length``."""
 
     def emit(rows: DataFrame) -> DataFrame:
-        out = stripes(term_counts(rows), length)
+        out = stripes(term_counts(rows.repartition("row_id")), length)
         return padded(out, length) if pad else out
 
     return mapreduce(terms, emit, lambda e: reduce_stripes(e, wrap), partitions)
 
 
+def without_padding(counts: DataFrame) -> DataFrame:
+    """What a consumer of padded counts keeps."""
+    return counts.where(F.col("right") != PAD)
+
+
 def pairs(counts: DataFrame) -> DataFrame:
     """(row_id, left, right, cnt): each term of a row beside every other of the row."""
     left = counts.select("row_id", F.col("term").alias("left"))
@@ -61,4 +69,4 @@ def pairs(counts: DataFrame) -> DataFrame:
 
 
 def by_pairs(terms: DataFrame) -> DataFrame:
-    return pairs(term_counts(terms)).groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
+    return pairs(term_counts(terms.repartition("row_id"))).groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..operators.partition import by_range
+from ..profile import section
+
 
 def mapreduce(rows: DataFrame, emit: Callable[[DataFrame], DataFrame], reduce: Callable[[DataFrame], DataFrame], partitions: int | None = None, key: str = "key") -> DataFrame:
     """``emit`` makes rows with a key, ``reduce`` groups them; Catalyst combines before the exchange.
 
     partitions: deal the emissions by key ranges first, for output that is ordered across files.
     """
-    emitted = emit(rows)
+    with section("map"):
+        emitted = emit(rows)
     if partitions:
-        emitted = emitted.repartitionByRange(partitions, key)
-    return reduce(emitted)
+        with section("partition", partitions):
+            emitted = by_range(emitted, key, partitions)
+    with section("reduce"):
+        return reduce(emitted)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-SECTIONS: list[tuple[str, int, float]] = []
+#: The last sections, oldest first.
+SECTIONS: deque[tuple[str, int, float]] = deque(maxlen=10_000)
 
 
 @contextmanager

@@ -133,10 +133,10 @@ def range_bounds(spark, sf_dir):
 
 def part_sorted(spark, sf_dir):
     """Each key's place in the sorted emissions and the slice that holds it."""
-    counts = _key_counts(spark, sf_dir)
-    placed = P.running_total(counts, "key", "n", "stop").select("key", "n", (F.col("stop") - F.col("n")).alias("pos"))
-    starts = P.range_starts(counts, "key", "n", R)
-    return placed.join(F.broadcast(starts), F.col("start") <= F.col("pos")).groupBy("key", "n", "pos").agg(F.max("i").alias("part"))
+    counts = P.once(_key_counts(spark, sf_dir))
+    placed = P.once(P.running_total(counts, "key", "n", "stop").select("key", "n", (F.col("stop") - F.col("n")).alias("pos")))
+    starts = P.range_starts_of(placed, R)
+    return placed.withColumn("part", P.slice_of(F.col("pos"), starts))
 
 
 def _stripes(spark, sf_dir):
@@ -253,10 +253,6 @@ def share_sum(spark, sf_dir):
     return sums.select("p_brand", shares.reconstruct("size").alias("size"))
 
 
-def keyed_shuffle(spark, sf_dir):
-    return P.shuffled(vertices(spark, sf_dir), "node_id", 17)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -264,7 +260,7 @@ QUERIES = {
         contig_split, graph_split, clique_last_nodes, emission_counts, range_bounds, part_sorted,
         stripe_emit, stripe_padded, stripe_unfold, cooc_pairs, cooc, cooc_by_pairs, cooc_padded, cooc_wrapped,
         adjacency, sssd_init, bsp_messages, bsp_inbox, bsp_combine, bsp_route, bsp_update, bsp_votes, bsp_step1, bsp_step2, bsp_step3, sssd,
-        share_reconstruct, share_sum, keyed_shuffle,
+        share_reconstruct, share_sum,
     )
 }
 

@@ -8,21 +8,42 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def session(master: str | None = None, name: str = "ravelin", **conf: str) -> SparkSession:
-    """ANSI arithmetic, UTC and adaptive execution on; further settings by keyword with dots as double underscores."""
+def session(master: str | None = None, name: str = "ravelin", elastic: tuple[int, int] | None = None, **conf: str) -> SparkSession:
+    """ANSI arithmetic, UTC and adaptive execution on; further settings by keyword with dots as double underscores.
+
+    elastic: (least, most) executors of a cluster that grows when tasks wait and gives executors back after a minute idle.
+    """
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
     settings = {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    if elastic:  # executors come and go with the work, between the two bounds
+        least, most = elastic
+        settings |= {"spark.dynamicAllocation.enabled": "true", "spark.dynamicAllocation.shuffleTracking.enabled": "true", "spark.dynamicAllocation.minExecutors": str(least), "spark.dynamicAllocation.maxExecutors": str(most), "spark.dynamicAllocation.executorIdleTimeout": "60s"}
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine in local mode, else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "ravelin-shared")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; only where nothing is set (tests) to a folder of this machine."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "ravelin-checkpoints"))
+    """Checkpoints go to the shared folder."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -33,6 +33,15 @@ def column(spark: SparkSession, name: str, which: str | int) -> DataFrame:
     return table.select(which if isinstance(which, str) else table.columns[which])
 
 
+def append_columns(spark: SparkSession, name: str, columns: dict[str, DataFrame], key: str) -> None:
+    """Append whole columns, each a frame of (key, its name): rows are put together by key."""
+    frames = list(columns.values())
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.join(f, key)
+    append(rows.select(*spark.table(name).columns), name)
+
+
 def counts(spark: SparkSession, name: str) -> tuple[int, int]:
     """(rows, columns)."""
     table = spark.table(name)
@@ -53,7 +62,12 @@ def create_graph(spark: SparkSession, state: str, graph: str) -> None:
 
 
 def upload_graph(rows: DataFrame, state: str, graph: str) -> None:
-    """Append (node_id, edges, weights, state); edge and weight lists of different size are an error."""
-    sound = rows.withColumn("edges", F.when(F.size("edges") == F.size("weights"), F.col("edges")).otherwise(F.raise_error(F.lit("edges and weights differ in size"))))
-    append(sound.select("node_id", "edges", "weights"), graph)
+    """Append (node_id, edges, weights, state); edge and weight lists of different size are an error.
+
+    The rows are checked as a whole before either table is written, so a bad row leaves both as they were.
+    """
+    wrong = rows.where(F.coalesce(F.size("edges") != F.size("weights"), F.lit(True))).select("node_id").limit(1).collect()
+    if wrong:
+        raise ValueError(f"edges and weights differ in size at {wrong[0][0]}")
+    append(rows.select("node_id", "edges", "weights"), graph)
     append(rows.select("node_id", "state"), state)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE, INF, PAD
 from ..operators.partition import contiguous
+from ..plans.graph import checked
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -14,6 +15,30 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.transform(F.split("value", ","), lambda x: F.trim(x).cast("bigint")).alias("terms"))
 
 
+def numbered_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, terms): as read_vectors, with the lines counted from 0 through all files in the order of their names.
+
+    The places of the splits are summed up over one row a split; no line is moved.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__n"))
+    blocks = lines.groupBy("__file", "__block").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    before = F.sum("__rows").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("__file", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__base"))
+    row = (F.col("__base") + F.col("__n") - F.col("__first")).alias("row_id")
+    return lines.join(blocks, ["__file", "__block"]).select(row, F.transform(F.split("value", ","), lambda x: F.trim(x).cast("bigint")).alias("terms"))
+
+
+def write_vectors(df: DataFrame, path: str, order: str = "row_id", mode: str = "overwrite") -> None:
+    """Lines of comma-separated terms, by ascending ``order`` through the files."""
+    df.repartitionByRange(order).sortWithinPartitions(order).select(F.array_join(F.transform("terms", lambda t: t.cast("string")), ",")).write.mode(mode).text(path)
+
+
+def write_graph(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Lines ``v:dst|w,dst|w`` from (node_id, edges)."""
+    edges = F.array_join(F.transform("edges", lambda e: F.concat_ws("|", e["dst"].cast("string"), e["w"].cast("string"))), ",")
+    df.select(F.concat(F.col("node_id").cast("string"), F.lit(":"), edges)).write.mode(mode).text(path)
+
+
 def without_padding(terms: DataFrame) -> DataFrame:
     """Term 0 is reserved: such terms are dropped on the way in."""
     return terms.withColumn("terms", F.filter("terms", lambda t: t != PAD))
@@ -28,7 +53,7 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(df: DataFrame, key: str, parts: int, path: str, mode: str = "overwrite") -> None:
-    """JSON lines in folders part=0 .. parts-1: contiguous slices by key, the last takes the rest."""
+    """JSON lines in folders part=0 .. parts-1: contiguous slices by key, the last takes the rest. An empty slice writes no folder."""
     contiguous(df, key, parts, "part").write.mode(mode).partitionBy("part").json(path)
 
 
@@ -37,6 +62,11 @@ def read_vector_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("row_id bigint, terms array<bigint>, part int").json(path)
 
 
+def chunk_args(chunks: DataFrame) -> DataFrame:
+    """(part, num_entries, overwrite): what the upload of each chunk is called with; the first one starts the table anew."""
+    return chunks.groupBy("part").agg(F.count(F.lit(1)).alias("num_entries")).select("part", "num_entries", (F.col("part") == 0).alias("overwrite"))
+
+
 def with_state(graph: DataFrame, source: int) -> DataFrame:
     """A graph with its start state: 0 at the source, elsewhere unreachable."""
     return graph.withColumn("state", F.when(F.col("node_id") == source, 0).otherwise(INF).cast("bigint"))
@@ -46,16 +76,45 @@ def read_graph_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"node_id bigint, edges array<{EDGE.simpleString()}>, state bigint, part int").json(path)
 
 
-def read_flat_graph(spark: SparkSession, path: str) -> DataFrame:
-    """(node_id, edges, state) from whole-file JSON objects with keys nid_i, nid_i_edges, nid_i_weights, nid_i_state."""
+def write_flat_graph(graph: DataFrame, parts: int, path: str, mode: str = "overwrite") -> None:
+    """One JSON object for each slice of (node_id, edges, state), with keys nid_i, nid_i_edges, nid_i_weights and nid_i_state.
+
+    Slices are contiguous by node_id, the last takes the rest; i counts from 0 in each. A slice is written by
+    one task, line by line: nothing is gathered.
+    """
+    dealt = contiguous(graph, "node_id", parts, "part")
+    order = Window.partitionBy("part").orderBy("node_id")
+    i, last = F.row_number().over(order) - 1, F.lead("node_id").over(order).isNull()
+    name = lambda what: F.concat(F.lit('"nid_'), F.col("i").cast("string"), F.lit(what + '": '))
+    listed = lambda field: F.concat(F.lit("["), F.array_join(F.transform("edges", lambda e: e[field].cast("string")), ", "), F.lit("]"))
+    fields = [("", F.col("node_id").cast("string")), ("_edges", listed("dst")), ("_weights", listed("w")), ("_state", F.col("state").cast("string"))]
+    body = F.concat_ws(",\n  ", *[F.concat(name(what), value) for what, value in fields])
+    line = F.concat(F.when(F.col("i") == 0, "{\n  ").otherwise("  "), body, F.when(F.col("last"), "\n}").otherwise(","))
+    rows = dealt.select("part", "node_id", "edges", "state", i.alias("i"), last.alias("last"))
+    rows.repartition(parts, "part").sortWithinPartitions("part", "i").select("part", line.alias("value")).write.mode(mode).partitionBy("part").text(path)
+
+
+def _flat_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, what, v): the keys of whole-file JSON objects, by kind."""
     fields = F.from_json(F.col("value"), "map<string,string>")
-    pairs = spark.read.text(path, wholetext=True).select(F.explode(fields).alias("k", "v"))
-    named = pairs.select(F.regexp_extract("k", r"^nid_(\d+)", 1).cast("bigint").alias("i"), F.regexp_extract("k", r"^nid_\d+(?:_(edges|weights|state))?$", 1).alias("what"), "v")
+    pairs = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(fields).alias("k", "v"))
+    return pairs.select("file", F.regexp_extract("k", r"^nid_(\d+)", 1).cast("bigint").alias("i"), F.regexp_extract("k", r"^nid_\d+(?:_(edges|weights|state))?$", 1).alias("what"), "v")
+
+
+def flat_graph_args(spark: SparkSession, path: str) -> DataFrame:
+    """(file, num_nodes): what the upload of each object is called with, a quarter of its keys."""
+    return _flat_fields(spark, path).groupBy("file").agg(F.floor(F.count(F.lit(1)) / 4).alias("num_nodes"))
+
+
+def read_flat_graph(spark: SparkSession, path: str) -> DataFrame:
+    """(node_id, edges, state) from whole-file JSON objects with keys nid_i, nid_i_edges, nid_i_weights, nid_i_state.
+
+    i is a number within its file: every file counts from 0.
+    """
     ints = "array<bigint>"
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col("v")))
-    rows = named.groupBy("i").agg(pick("").cast("bigint").alias("node_id"), F.from_json(pick("edges"), ints).alias("e"), F.from_json(pick("weights"), ints).alias("w"), pick("state").cast("bigint").alias("state"))
-    same = F.when(F.size("e") == F.size("w"), F.zip_with("e", "w", lambda d, w: F.struct(d.alias("dst"), w.alias("w")))).otherwise(F.raise_error(F.lit("edges and weights differ in size")))
-    return rows.select("node_id", same.alias("edges"), "state")
+    rows = _flat_fields(spark, path).groupBy("file", "i").agg(pick("").cast("bigint").alias("node_id"), F.from_json(pick("edges"), ints).alias("e"), F.from_json(pick("weights"), ints).alias("w"), pick("state").cast("bigint").alias("state"))
+    return rows.select("node_id", checked("node_id", "e", "w").alias("edges"), "state")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -76,7 +76,7 @@ def test_vector_primitives(spark):
     assert sorted(get(V.keyed_shuffle(v, F.lit(5)))) == [1, 2, 3, 3] and get(V.keyed_shuffle(v, F.lit(5))) == get(V.keyed_shuffle(v, F.lit(5)))
     with pytest.raises(Exception, match="differ in size"):
         get(V.scatter(v, v, F.array(F.lit(0)), F.array(F.lit(0), F.lit(1))))
-    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+    with pytest.raises(Exception, match="named twice"):
         get(V.scatter(v, v, F.array(F.lit(0), F.lit(1)), F.array(F.lit(0), F.lit(0))))
 
 
@@ -213,3 +213,108 @@ def test_incremental_upload(spark, tmp_path):
         rows.write.mode("append").json(source)
         ingest.append_chunks(spark, source, to, mark).awaitTermination()
         assert spark.read.parquet(to).count() == n
+
+
+def test_ranges_follow_the_keys(spark):
+    """One outlier, null keys and keys that span all 64 bits: every row comes back, numbered in order, and no range holds most of them."""
+    keys = [*range(1000), 2**62, -(2**63), 2**63 - 1, None, None]
+    df = spark.createDataFrame([(k,) for k in keys], "id bigint").repartition(3)
+    got = rows_of_numbers(P.row_numbers(df, "id"))
+    assert sorted(n for _, n in got) == list(range(1, len(keys) + 1))
+    assert [k for k, _ in got if k is not None] == sorted(k for k in keys if k is not None)
+    ranged, rows = P._ranged(df, "id")
+    assert rows == len(keys) and max(r["count"] for r in ranged.groupBy("__range").count().collect()) <= 8
+    assert P.row_numbers(df.limit(0), "id").count() == 0
+    assert sum(r["s"] == 3 for r in P.contiguous(df, "id", 4, "s").collect()) == 1005 - 3 * 251
+
+
+def rows_of_numbers(df):
+    return sorted(((r["id"], r["row_number"]) for r in df.collect()), key=lambda r: r[1])
+
+
+def test_routing_without_owner(spark):
+    last = spark.createDataFrame([(i, 10 * i + 9) for i in range(200)], "clique_idx int, last_node bigint")
+    ids = spark.createDataFrame([(0,), (9,), (10,), (1999,), (2000,), (None,)], "node_id bigint")
+    got = {r["node_id"]: r["clique_idx"] for r in P.route(ids, last).collect()}
+    assert got == {0: 0, 9: 0, 10: 1, 1999: 199, 2000: None, None: None}
+
+
+def test_flat_graph_of_several_parts(spark, tmp_path):
+    """Every part numbers its vertices from 0 again."""
+    for part, ids in enumerate(([10, 11], [20, 21])):
+        flat = {}
+        for i, n in enumerate(ids):
+            flat |= {f"nid_{i}": n, f"nid_{i}_edges": [n + 1, n + 2][: i + 1], f"nid_{i}_weights": [5, 6][: i + 1], f"nid_{i}_state": part}
+        (tmp_path / f"{part}.json").write_text(json.dumps(flat, indent=2))
+    read = text.read_flat_graph(spark, str(tmp_path))
+    assert rows_of(read.select("node_id", "state")) == [(10, 0), (11, 0), (20, 1), (21, 1)]
+    assert rows_of(graph.edges_of(read)) == [(10, 11, 5), (11, 12, 5), (11, 13, 6), (20, 21, 5), (21, 22, 5), (21, 23, 6)]
+    text.write_flat_graph(read, 2, str(tmp_path / "out"))
+    found = [json.loads(p.read_text()) for p in sorted((tmp_path / "out").glob("part=*/part-*"))]
+    assert [f["nid_1"] for f in found] == [11, 21] and found[1]["nid_1_edges"] == [22, 23] and len(found[0]) == 8
+
+
+def test_numbered_lines(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("".join(f"{i},{j}\n" for j in range(40 * i + 1)))
+    got = rows_of(text.numbered_vectors(spark, str(tmp_path)).select("row_id", F.col("terms")[0].alias("a"), F.col("terms")[1].alias("b")))
+    assert got == [(n, *t) for n, t in enumerate((i, j) for i in range(3) for j in range(40 * i + 1))]
+
+
+def test_scatter_is_linear(spark):
+    import time
+
+    n = 20_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("bigint")).alias("v")).cache()
+    turned = F.transform("v", lambda i: F.lit(n - 1) - i)
+    began = time.time()
+    out = df.select(V.scatter(F.col("v"), V.fill(F.lit(-1).cast("bigint"), F.lit(n)), F.col("v"), turned).alias("x")).first()["x"]
+    assert out == list(range(n - 1, -1, -1)) and time.time() - began < 20
+
+
+def test_exact_random_graphs(spark):
+    for n, m in ((30, 0), (30, 100), (30, 500), (30, 870)):
+        made = generators.graph(spark, n, m, seed=2).collect()
+        assert len({(r["src"], r["dst"]) for r in made}) == len(made) == m and all(r["src"] != r["dst"] for r in made)
+    with pytest.raises(ValueError):
+        generators.graph(spark, 3, 7)
+
+
+def test_registry_from_text_and_types(spark, monkeypatch):
+    engine = jobs.Engine(spark, max_parallelism=2)
+    engine.load("a:\n  function: builtins:dict\n  kind: single\n")
+    assert engine.programs["a"].run is dict
+    monkeypatch.setitem(__import__("sys").modules, "yaml", None)  # without the library
+    assert jobs._parsed("# programs\na:\n  function: builtins:dict\n  arguments:\n    x: int\nb:\n  kind: 'multi'\n") == {"a": {"function": "builtins:dict", "arguments": {"x": "int"}}, "b": {"kind": "multi"}}
+    engine.register("typed", lambda s, x: {"y": x}, "single", {"x": "int"}, {"y": "int"})
+    assert engine.run("typed", {"x": 3}) == {"y": 3}
+    for bad in ({"x": "3"}, {"x": True}, {}, {"x": 1, "z": 2}):
+        with pytest.raises(TypeError):
+            engine.run("typed", bad)
+    engine.register("liar", lambda s: {"y": "no"}, "single", {}, {"y": "int"})
+    with pytest.raises(TypeError):
+        engine.run("liar")
+    with pytest.raises(ValueError):
+        engine.register("odd", dict, "single", {"x": "matrix"})
+
+
+def test_bad_graph_rows_leave_the_tables_alone(spark):
+    tables.create_graph(spark, "st2", "gr2")
+    rows = spark.createDataFrame([(1, [1], [3], 0), (2, [1, 2], [3], 0)], "node_id bigint, edges array<bigint>, weights array<bigint>, state bigint")
+    with pytest.raises(ValueError, match="differ in size at 2"):
+        tables.upload_graph(rows, "st2", "gr2")
+    assert tables.counts(spark, "st2")[0] == tables.counts(spark, "gr2")[0] == 0
+    for t in ("st2", "gr2"):
+        tables.delete(spark, t)
+
+
+def test_entry_without_the_text_operators(tmp_path):
+    """A missing library behind the text operators costs their queries only."""
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'cooc' in q and set(q) == set(e.oracle_sql()), q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
