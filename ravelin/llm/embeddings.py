@@ -103,42 +103,69 @@ def fit(spark: SparkSession, vectors: DataFrame, dim: int, most_rows: int = 8192
     return learn(_unit(rows["vector"], dim)) if rows.num_rows else None
 
 
+#: Distinct vectors of one length up to which all of them are compared, in one task.
+FEW = 2000
+
+
 def near(spark: SparkSession, df: DataFrame, least: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept): the vectors linked directly with each by a cosine of
     ``least`` or more, and the smallest id reachable by links, itself included.
 
-    A row for each row of df. Vectors that are null, zero, hold a null or a component that
-    isn't finite, or have another length than most link with nothing. Other columns are not
+    A row for each row of df. Vectors that are null, zero or hold a null or a component that isn't finite link with
+    nothing; vectors link with those of their own length. Rows without an id link with nothing and are kept. Other columns are not
     read. Links that are missed are those of more than one bit's difference in every table, at
-    the least cosine about 1 - RECALL of them.
+    the least cosine about 1 - RECALL of them; of a length of FEW or fewer distinct vectors none is missed.
     """
     raw = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     fine = F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    sizes = raw.where(fine).groupBy(F.size("e").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = sizes["dim"] if sizes else 0
-    sound = F.coalesce(fine & (F.size("e") == dim), F.lit(False))
-    classes = raw.where(sound & F.col("vec_id").isNotNull()).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id"))
+    sound = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
+    classes = raw.where(sound).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.asarray(batch.column(2).flatten(), "<f8").reshape(-1, dim or 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in flat], pa.binary())], ["id", "n", "vector"])
-
-    vectors = common.durable(spark, classes.select("id", "n", "e").mapInArrow(pack, "id bigint, n bigint, vector binary"), "vectors")
-    counted, edges = _links(spark, vectors, dim, least)
+            made = [np.asarray(batch.column(2)[i].values, "<f8") for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v) for v in made], pa.int32()), pa.array([v.tobytes() for v in made], pa.binary())], ["id", "n", "dim", "vector"])
+
+    vectors = common.durable(spark, classes.select("id", "n", "e").mapInArrow(pack, "id bigint, n bigint, dim int, vector binary"), "vectors")
+    sizes = vectors.groupBy("dim").count().where(F.col("count") > FEW).orderBy("dim").collect()  # a row for each length of many vectors
+    rest = vectors.where(~F.col("dim").isin([r["dim"] for r in sizes])) if sizes else vectors
+    found = common.durable(spark, rest.groupBy("dim").applyInArrow(_all_links(least), "id bigint, links bigint, root bigint"), "links")
+    for r in sizes:
+        found = found.unionByName(_links(spark, vectors.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], least))
+    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
+    edges = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
     groups = connected(spark, edges, "vectors")
     of = vectors.select("id", "n").join(counted.withColumnRenamed("id", "x"), F.col("id") == F.col("x"), "left")
     of = of.join(groups, F.col("id") == F.col("node"), "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     # each row's class by the vector itself; a vector that a third of the rows share is one row on the other side
     named = classes.select(F.col("e").alias("ce"), F.col("id").alias("class"))
-    rows = raw.withColumn("e", F.when(sound & F.col("vec_id").isNotNull(), F.col("e"))).join(named, F.col("e") == F.col("ce"), "left").select("vec_id", "class")
+    rows = raw.withColumn("e", F.when(sound, F.col("e"))).join(named, F.col("e") == F.col("ce"), "left").select("vec_id", "class")
     out = rows.join(of, F.col("class") == F.col("id"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _all_links(least: float):
+    """All links among the vectors of a length that few have."""
+
+    def links(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("id")
+        ids, n = group["id"].to_numpy(), group["n"].to_numpy()
+        x = _unit(group["vector"], group["dim"][0].as_py()) if group.num_rows else np.zeros((0, 1))
+        hit = x @ x.T >= least
+        np.fill_diagonal(hit, False)
+        of = np.arange(len(ids))
+        for i, row in enumerate(hit):
+            if row.any():
+                roots = np.unique(of[np.append(np.flatnonzero(row), i)])
+                of[np.isin(of, roots)] = roots[0]
+        return pa.table({"id": ids, "links": hit @ n, "root": ids[of]})
+
+    return links
 
 
-def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(id, links: rows of other classes linked with it) and edges (a, b) between linked classes."""
+def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> DataFrame:
+    """(id, links: rows of other classes linked with it, root: an id that it is linked with, or its own), several rows an id."""
     n = vectors.count()
     model = fit(spark, vectors, dim)
     share = model.share(least) if n else 0.0
@@ -178,8 +205,7 @@ def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> t
     met = common.durable(spark, met, "meetings")
     with_vectors = met.join(vectors, "id").withColumn("g", group)
     found = with_vectors.groupBy("g").applyInArrow(_rerank(masks, dim, least), "id bigint, links bigint, root bigint")
-    found = common.durable(spark, found, "links")
-    return found.groupBy("id").agg(F.sum("links").alias("links")), found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
+    return common.durable(spark, found, "links")
 
 
 def _masks(cuts: np.ndarray) -> np.ndarray:

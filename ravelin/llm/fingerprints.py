@@ -4,6 +4,10 @@ A shingle is five consecutive words (a shorter text is one shingle). Its 64-bit
 kept if it lies below a fixed fraction of the hash space, whatever the length of the
 document. So the sketch of a union is the union of sketches, and for documents of very
 unequal length the share of the smaller sketch found in the larger estimates containment.
+
+Of a text of few shingles hardly a hash would be kept. Its sketch is whole: all hashes are kept.
+Two whole sketches are compared as they are, exactly; of a whole one and a scaled one, or in a
+union, the hashes below the fraction count.
 """
 
 from __future__ import annotations
@@ -20,44 +24,64 @@ from . import common, textops
 
 WORDS = 5
 FRACTION = 1 / 8
+#: Distinct shingles up to which a sketch is whole.
+FEW = 128
+
 
+def _most(fraction: float) -> np.uint64:
+    return np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))
 
-def sketches(texts: textops.Texts, k: int = WORDS, fraction: float = FRACTION) -> list[np.ndarray]:
-    """The sorted distinct retained hashes of each text. A text without a word has none."""
-    most = np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))
+
+def sketches(texts: textops.Texts, k: int = WORDS, fraction: float = FRACTION, few: int = FEW) -> list[np.ndarray]:
+    """The sorted distinct retained hashes of each text: all of ``few`` or fewer, else those below the fraction. A text without a word has none."""
+    most = _most(fraction)
     out: list[np.ndarray] = []
     for first, end in texts.groups():
         starts, ends, first_word = texts.words(first, end)
         words = texts.hashes(starts, ends)
         at, text = textops.within(first_word, k)
         hashes = textops.shingles(words, k)[at] if len(at) else np.zeros(0, np.uint64)
-        few = np.flatnonzero((np.diff(first_word) > 0) & (np.diff(first_word) < k))
-        if len(few):
-            own = np.array([textops.shingles(words[first_word[i] : first_word[i + 1]], int(first_word[i + 1] - first_word[i]))[0] for i in few], np.uint64)
-            hashes, text = np.concatenate([hashes, own]), np.concatenate([text, few])
-        keep = hashes <= most
-        hashes, text = hashes[keep], text[keep]
+        short = np.flatnonzero((np.diff(first_word) > 0) & (np.diff(first_word) < k))
+        if len(short):
+            own = np.array([textops.shingles(words[first_word[i] : first_word[i + 1]], int(first_word[i + 1] - first_word[i]))[0] for i in short], np.uint64)
+            hashes, text = np.concatenate([hashes, own]), np.concatenate([text, short])
         order = np.lexsort((hashes, text))
         hashes, text = hashes[order], text[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
         hashes, text = hashes[new], text[new]
+        keep = (np.bincount(text, minlength=end - first) <= few)[text] | (hashes <= most)
+        hashes, text = hashes[keep], text[keep]
         out += np.split(hashes, np.searchsorted(text, np.arange(1, end - first)))
     return out
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller sketch that the other holds; 1 for two empty sketches, 0 if only one is empty."""
+def _comparable(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both as they are if both are whole, else their hashes below the fraction."""
+    most = _most(fraction)
+    if len(a) and len(b) and (a[-1] <= most or b[-1] <= most):
+        return a[: np.searchsorted(a, most, "right")], b[: np.searchsorted(b, most, "right")]
+    return a, b
+
+
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Share of the smaller sketch that the other holds. 1 for two texts without a word, 0 if one has none or no hash can be compared; equal sketches: 1."""
+    if len(a) == len(b) and (a == b).all():
+        return 1.0
+    a, b = _comparable(a, b, fraction)
     if not len(a) or not len(b):
-        return float(len(a) == len(b))
+        return 0.0
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the union of two sketches that both hold; 1 for two empty sketches."""
+def resemblance(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Share of the union of two sketches that both hold; 1 for equal ones."""
+    if len(a) == len(b) and (a == b).all():
+        return 1.0
+    a, b = _comparable(a, b, fraction)
     both = len(np.intersect1d(a, b, assume_unique=True))
     union = len(a) + len(b) - both
-    return both / union if union else 1.0
+    return both / union if union else 0.0
 
 
 def as_text(sketch: np.ndarray) -> str:
@@ -69,15 +93,19 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
 
 
-def merge(*many: np.ndarray) -> np.ndarray:
-    """The sketch of the texts together (shingles that span two texts aside)."""
-    return np.unique(np.concatenate(many)) if many else np.zeros(0, np.uint64)
+def merge(*many: np.ndarray, fraction: float = FRACTION, few: int = FEW) -> np.ndarray:
+    """The sketch of the texts together (shingles that span two texts aside): that of their union, whole if it has few hashes and all are whole."""
+    union = np.unique(np.concatenate(many)) if many else np.zeros(0, np.uint64)
+    most = _most(fraction)
+    scaled = any(len(x) and x[-1] <= most for x in many)
+    return union[: np.searchsorted(union, most, "right")] if scaled or len(union) > few else union
 
 
 def fingerprint(df: DataFrame, text: str = "text", k: int = WORDS, fraction: float = FRACTION) -> DataFrame:
     """df with a column ``sketch`` array<bigint>: the retained hashes (as signed 64-bit, in unsigned order).
 
-    Null and empty texts have an empty sketch, repeated rows equal ones. A column of that
+    Null texts and those without a word have an empty sketch, repeated rows equal ones. A task holds a batch of texts, read
+    in groups of about 1 MB or one longer text. A column of that
     name in df is replaced; no other column is touched.
     """
     from pyspark.sql import types as T

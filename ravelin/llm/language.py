@@ -8,7 +8,9 @@ and the language of the least wins.
 
 The automata are laid out as one transition table in which a failing step leads to where
 the next phrase starts and is marked, so many texts are parsed side by side with one table
-look-up a letter.
+look-up a letter. The commonest letters of all languages have a column each; the steps of any
+other letter are looked up in a sorted list, so that scripts of thousands of letters need no
+wide table.
 """
 
 from __future__ import annotations
@@ -28,25 +30,31 @@ from .pieces import once
 
 #: Letters parsed in a stretch; a longer text is parsed stretch by stretch and its phrases add up.
 BLOCK = 1024
+#: Letters with a column in the table.
+COLUMNS = 96
 NONE = "und"
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    alphabet: str  # letter classes 1..; 0 is everything that is no letter
-    table: np.ndarray  # int32, next * width * 2 + (1 if a new phrase starts)
+    alphabet: str  # all letters, the commonest first; letter i is of class i + 1, 0 is everything that is no letter
+    width: int  # columns: no letter, the commonest letters, padding
+    table: np.ndarray  # next * width * 2 + (1 if a new phrase starts)
+    keys: np.ndarray  # state * rare letters + letter, ascending, of the steps by other letters
+    steps: np.ndarray  # where they lead, as in the table
     roots: np.ndarray
     scale: np.ndarray  # log2 of each language's text length
 
     @property
-    def width(self) -> int:
-        return len(self.alphabet) + 3  # no letter, the alphabet, other letters, padding
+    def rare(self) -> int:
+        """Letters without a column, and one that stands for all that no language has."""
+        return len(self.alphabet) + 1 - (self.width - 2)
 
 
 def classes(alphabet: str) -> np.ndarray:
     """Class of every code point: 0 no letter, 1.. the alphabet in either case, the next one any other letter."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.int32)
     known = {c: i + 1 for i, c in enumerate(alphabet)}
     for cp in range(0x110000):
         c = chr(cp)
@@ -95,30 +103,54 @@ def learn(samples: dict[str, str]) -> Model:
         for c in text.lower():
             if c.isalpha():
                 letters[c] = letters.get(c, 0) + 1
-    alphabet = "".join(sorted(sorted(letters, key=lambda c: (-letters[c], c))[:200]))
+    alphabet = "".join(sorted(letters, key=lambda c: (-letters[c], c)))
     known = {c: i + 1 for i, c in enumerate(alphabet)}
-    width = len(alphabet) + 3
+    common = min(len(alphabet), COLUMNS)
+    width, rare = common + 2, len(alphabet) + 1 - common
     pad, parts, roots, scale, base = width - 1, [], [], [], 0
+    keys, leads = [], []
     for language in languages:
-        seq = np.array([known.get(c, len(alphabet) + 1) if c.isalpha() else 0 for c in samples[language].lower()], np.uint8)
+        seq = np.array([known.get(c, len(alphabet) + 1) if c.isalpha() else 0 for c in samples[language].lower()], np.int32)
         seq = _single_gaps(seq) if len(seq) else seq
         steps = suffix_automaton(seq)
         n = len(steps)
         root = np.full(width, base, np.int64)
         for c, to in steps[0].items():
-            root[c] = base + to
+            if c <= common:
+                root[c] = base + to
         part = np.tile(root * 2 * width + 1, (n, 1))
         for s, out in enumerate(steps):
             for c, to in out.items():
-                part[s, c] = (base + to) * 2 * width
-        part[:, len(alphabet) + 1] = base * 2 * width + 1  # a letter never seen is a phrase of its own
+                if c <= common:
+                    part[s, c] = (base + to) * 2 * width
+                else:
+                    keys.append((base + s) * rare + c - common - 1)
+                    leads.append((base + to) * 2 * width)
         part[:, pad] = (base + np.arange(n)) * 2 * width
         parts.append(part)
         roots.append(base * 2 * width)
         scale.append(math.log2(max(2, len(seq))))
         base += n
-    table = np.concatenate(parts).ravel().astype(np.int32) if parts else np.zeros(0, np.int32)
-    return Model(languages, alphabet, table, np.array(roots, np.int32), np.array(scale))
+    kind = np.int32 if 2 * width * base < 2**31 else np.int64
+    table = np.concatenate(parts).ravel().astype(kind) if parts else np.zeros(0, np.int32)
+    order = np.argsort(np.array(keys, np.int64))
+    return Model(languages, alphabet, width, table, np.array(keys, np.int64)[order], np.array(leads, kind)[order], np.array(roots, kind), np.array(scale))
+
+
+def _by_rare(model: Model, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """(languages, texts): the steps by letters that have no column. A letter that doesn't follow starts a new phrase, one never seen is a phrase of its own."""
+    if not len(model.keys):
+        return np.repeat(model.roots[:, None] + 1, state.shape[1], 1)
+    place = 2 * model.width
+
+    def found(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = at.astype(np.int64) // place * model.rare + letter[None, :]
+        i = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+        return model.keys[i] == key, model.steps[i]
+
+    on, to = found(state)
+    fresh, first = found(np.repeat(model.roots[:, None], state.shape[1], 1))
+    return np.where(on, to, np.where(fresh, first, model.roots[:, None]) + 1)
 
 
 def _single_gaps(seq: np.ndarray) -> np.ndarray:
@@ -151,14 +183,22 @@ def phrases(model: Model, texts: textops.Texts, first: int, end: int, kinds: np.
     size = np.minimum(start[1:][owner] - begin, BLOCK)
     steps = int(size.max()) if len(size) else 0
     at = begin[None, :] + np.arange(steps)[:, None]
-    grid = np.where(np.arange(steps)[:, None] < size[None, :], kind[np.minimum(at, max(len(kind) - 1, 0))], model.width - 1) if steps else np.zeros((0, len(owner)), np.uint8)
+    grid = np.where(np.arange(steps)[:, None] < size[None, :], kind[np.minimum(at, max(len(kind) - 1, 0))], -1) if steps else np.zeros((0, len(owner)), np.int32)
     state = np.repeat(model.roots[:, None], len(owner), 1)
     count = np.zeros(state.shape, np.int32)
     index, bit = np.empty_like(state), np.empty_like(state)
-    for row in grid:
+    last = model.width - 2
+    other = (grid > last).any(1) if steps else np.zeros(0, bool)
+    grid_columns = np.where(grid < 0, model.width - 1, np.minimum(grid, last)).astype(state.dtype)
+    for row, letters_, some in zip(grid_columns, grid, other, strict=True):
+        if some:
+            rare = np.flatnonzero(letters_ > last)
+            before = state[:, rare] & ~np.array(1, state.dtype)
         np.right_shift(state, 1, out=index)
         index += row
         np.take(model.table, index, out=state, mode="clip")
+        if some:
+            state[:, rare] = _by_rare(model, before, letters_[rare] - last - 1)
         np.bitwise_and(state, 1, out=bit)
         count += bit
     count += size > 0
@@ -167,15 +207,30 @@ def phrases(model: Model, texts: textops.Texts, first: int, end: int, kinds: np.
 
 
 def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 64, most_chars: int = 24_000) -> Model:
-    """Learn from at most ``most_rows`` documents of each non-null lang, of which no more than
-    ``most_chars`` code points in all; held-out rows, null texts and null langs are not used."""
+    """Learn from a bounded sample of the documents of each non-null lang; held-out rows, null texts and null langs are not used.
+
+    The sample: of the ``most_rows`` documents of smallest hash of their id, those of ``most_chars`` / 4 code points or
+    fewer first, as many as have ``most_chars`` in all, or the first one if that is longer. A document in
+    it is used whole. Of more than 16 languages each has its part of 16 * ``most_chars``.
+    """
     known = docs.where(~common.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most_rows)
-    rows = known.select("doc_id", "lang", F.substring("text", 1, most_chars).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "rank", "text").collect()
+    sized = known.select("doc_id", "lang", F.char_length("text").alias("n"))
+    long = F.when(F.col("n") > most_chars // 4, F.col("n")).otherwise(0)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(long, F.xxhash64("doc_id"), "doc_id"))
+    ranked = sized.withColumn("rank", rank).where(F.col("rank") <= most_rows).toArrow().to_pylist()  # ids and lengths, most_rows of a language
+    languages = {r["lang"] for r in ranked}
+    share = min(most_chars, 16 * most_chars // max(1, len(languages)))
+    chosen, so_far = [], dict.fromkeys(languages, 0)
+    for r in sorted(ranked, key=lambda r: (r["lang"], r["rank"])):
+        if r["rank"] == 1 or so_far[r["lang"]] + r["n"] <= share:
+            so_far[r["lang"]] += r["n"]
+            chosen.append((r["doc_id"], r["lang"], r["rank"]))
+    schema = T.StructType([known.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("rank", T.IntegerType())])
+    picked = F.broadcast(spark.createDataFrame(chosen, schema))
+    rows = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("lang", "rank", "text").collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
-        samples[r["lang"]] = (samples.get(r["lang"], "") + " " + r["text"])[:most_chars]
+        samples[r["lang"]] = samples.get(r["lang"], "") + " " + r["text"]
     return learn(samples)
 
 

@@ -30,6 +30,8 @@ from .pieces import Table, once
 FRAME = 64
 #: A served piece is no shorter, unless a window, a quota or a document ends.
 LEAST = 128
+#: Queues of a source of its own at most, and queues that the documents of all other sources are dealt to.
+MOST_QUEUES, SHARED_QUEUES = 1024, 64
 _ONE = 1 << 64
 
 
@@ -244,7 +246,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = 1024, en
 
     Every row of docs is packed, null text as the end id alone, null source as a queue of its
     own, repeated rows each for themselves. A document may be cut anywhere. mix: target
-    tokens of each source (those not named: their own tokens). An empty table gives no row.
+    tokens of each source (those not named: their own tokens). Beyond the MOST_QUEUES largest, sources share
+    SHARED_QUEUES queues, each mixed in as one. An empty table gives no row.
     The documents are encoded once, into a table in the shared folder; queue places are sums
     over (task, source), so no document is shuffled.
     """
@@ -270,25 +273,31 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = 1024, en
     made = common.durable(spark, made.mapInArrow(encode, f"doc_id {kind}, source string, part int, before bigint, tokens bigint, ids binary"), "tokens")
     sums = made.groupBy("source", "part").agg(F.sum("tokens").alias("n"))
     sums = common.durable(spark, sums, "token-sums")  # a row for each source and task
-    queues = sorted(((r["source"], r["t"]) for r in sums.groupBy("source").agg(F.sum("n").alias("t")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
-    numbers = {s: i for i, (s, _) in enumerate(queues)}
+    # the largest sources (and all that mix names) have a queue each; a queue is named by a letter and the source
+    own = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
+    largest = sums.groupBy("source").agg(F.sum("n").alias("t")).withColumn("named", F.coalesce(F.col("source").isin(list(mix or {})), F.lit(False)))
+    largest = largest.orderBy(F.desc("named"), F.desc("t"), "source").limit(MOST_QUEUES + len(mix or {})).select(own.alias("queue"), F.lit(True).alias("large"))
+    shared = F.concat(F.lit("z"), F.pmod(F.xxhash64("source"), F.lit(SHARED_QUEUES)).cast("string"))
+    sums = sums.withColumn("queue", own).join(F.broadcast(largest), "queue", "left").select("source", "part", "n", F.when(F.col("large"), F.col("queue")).otherwise(shared).alias("queue"))
+    queues = sorted((r["queue"], r["t"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("t")).collect())  # MOST_QUEUES and a few
+    numbers = {q: i for i, (q, _) in enumerate(queues)}
     totals = [t for _, t in queues]
-    weights = [mix.get(s, t) for s, t in queues] if mix else None
-    base = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sums.select("source", "part", F.coalesce(base, F.lit(0)).alias("base"))
-    if sums.count() <= 100_000:  # rows of about 40 bytes
+    weights = [mix.get(q[1:], t) if q[0] == "s" else t for q, t in queues] if mix else None
+    base = F.sum("n").over(Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select("source", "part", "queue", F.coalesce(base, F.lit(0)).alias("base"))
+    if sums.count() <= 100_000:  # rows of about 60 bytes
         bases = F.broadcast(bases)
     placed = made.alias("m").join(bases.alias("b"), F.col("m.source").eqNullSafe(F.col("b.source")) & (F.col("m.part") == F.col("b.part")))
-    placed = placed.select("m.doc_id", "m.source", (F.col("base") + F.col("before")).alias("at"), "tokens", "ids")
+    placed = placed.select("m.doc_id", "m.source", (F.col("base") + F.col("before")).alias("at"), "tokens", "ids", "queue")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(totals, window, weights)
         for batch in batches:
             rows: list[tuple] = []
-            for i, (s, at, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+            for i, (at, n, ids, queue) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
                 ids = np.frombuffer(ids, "<u2").astype("<u4") if len(ids) == 2 * n else np.frombuffer(ids, "<u4", offset=1)
                 ids = ids.tobytes()
-                for begin, length, sequence, offset in schedule.pieces(numbers[s], at, at + n):
+                for begin, length, sequence, offset in schedule.pieces(numbers[queue], at, at + n):
                     a = begin - at
                     rows.append((i, a, length, ids[4 * a : 4 * (a + length)], n, sequence, offset))
                 if len(rows) >= 4096:

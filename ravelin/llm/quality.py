@@ -97,12 +97,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "q
                 key, n = np.unique(owner.astype(np.int64) << BITS | rows, return_counts=True)
                 cut = np.searchsorted(key >> BITS, np.arange(end - first + 1))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    blobs.append((key[a:b] & ((1 << BITS) - 1)).astype("<u2").tobytes() + np.minimum(n[a:b], 65535).astype("<u2").tobytes())
+                    blobs.append((key[a:b] & ((1 << BITS) - 1)).astype("<u4").tobytes() + n[a:b].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], ["doc_id", "label", "counts"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["doc_id"], r["counts"]))
-        model = descend([(np.frombuffer(r["counts"], "<u2").reshape(2, -1), r["label"]) for r in seen], dim, epochs, rate, seed)
+        model = descend([(np.frombuffer(r["counts"], "<u4").reshape(2, -1), r["label"]) for r in seen], dim, epochs, rate, seed)
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (model.vectors, model.layer, model.bias)], ["vectors", "layer", "bias"])
 
     counted = sample.select("doc_id", "text", "label").mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, counts binary")

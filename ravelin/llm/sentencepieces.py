@@ -29,6 +29,8 @@ from .pieces import Table, once
 
 #: Code points of a chunk; longer documents are split.
 CHUNK = 1 << 15
+#: Chunks whose matrices one task combines.
+SPAN = 64
 SPACE = "▁"
 _NEVER = -np.inf
 
@@ -235,23 +237,29 @@ def combined(a: dict, b: dict) -> dict:
     return shape | {"into": a["into"] + (a["out"] + into).max(), "out": b["out"]}
 
 
-def borders(matrices: list[dict]) -> list[tuple]:
-    """(entry, exit) of each chunk on the best path: products of all prefixes, then from the last chunk back."""
+def _value(m: dict, i: int, j: int) -> float:
+    return m["whole"][i, j] if "whole" in m else m["into"][i] + m["out"][j]
+
+
+def borders(matrices: list[dict], entry=None, leave=None) -> list[tuple]:
+    """(entry, exit) of each chunk on the best path from ``entry`` (the start of the text if None) to ``leave`` (the best
+    one if None): products of all prefixes, then from the last chunk back."""
     before = [matrices[0]]
     for m in matrices[1:]:
         before.append(combined(before[-1], m))
-    value = lambda m, i, j: m["whole"][i, j] if "whole" in m else m["into"][i] + m["out"][j]
+    first = matrices[0]["entries"].index(entry) if entry is not None else 0
+    last = matrices[-1]["exits"]
+    leave = last.index(leave) if leave is not None else max(range(len(last)), key=lambda j: _value(before[-1], first, j))
     out = []
-    leave = max(range(len(before[-1]["exits"])), key=lambda j: value(before[-1], 0, j))
     for k in range(len(matrices) - 1, -1, -1):
         m = matrices[k]
         if k:
             prefix = before[k - 1]
             met = {s: i for i, s in enumerate(m["entries"])}
-            able = [(value(prefix, 0, j) + value(m, met[s], leave), j, met[s]) for j, s in enumerate(prefix["exits"]) if s in met]
+            able = [(_value(prefix, first, j) + _value(m, met[s], leave), j, met[s]) for j, s in enumerate(prefix["exits"]) if s in met]
             _, j, i = max(able, key=lambda x: x[0])
         else:
-            i, j = 0, -1
+            i, j = first, -1
         out.append((m["entries"][i], m["exits"][leave]))
         leave = j
     return out[::-1]
@@ -290,7 +298,7 @@ def _short(model: Model, texts: textops.Texts, first: int, end: int) -> list[np.
     return [flat[cut[i] : cut[i + 1]] if plain[i] else np.array(model.library.encode(texts.bytes_of(first + i).decode("utf-8", "replace")), np.uint32) for i in range(end - first)]
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, path: str, chunk: int = CHUNK, span: int = SPAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, text): a row for each row of docs, the ids that the library gives without begin and end.
 
     Null text stays null and has no ids; repeated rows and null ids stay. Documents of more
@@ -339,9 +347,23 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, chunk: int = CHUNK,
             made = [pickle.dumps(Chunk(model, r["part"], r["begin"], r["end"], r["first"], r["last"]).matrix()) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["key", "no", "matrix"])
 
-    def scan(group: pa.Table) -> pa.Table:
+    # the scan in three steps: the product of each SPAN of chunks, the pieces at the borders of the spans, those inside each
+    def product(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("no")
+        made = [pickle.loads(x.as_py()) for x in group["matrix"]]
+        total = made[0]
+        for m in made[1:]:
+            total = combined(total, m)
+        return pa.table({"key": group["key"][:1], "span": group["span"][:1], "matrix": pa.array([pickle.dumps(total)], pa.binary())})
+
+    def scan(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("span")
         found = borders([pickle.loads(x.as_py()) for x in group["matrix"]])
+        return pa.table({"key": group["key"], "span": group["span"], "ends": pa.array([pickle.dumps(x) for x in found], pa.binary())})
+
+    def inside(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("no")
+        found = borders([pickle.loads(x.as_py()) for x in group["matrix"]], *pickle.loads(group["ends"][0].as_py()))
         return pa.table({"key": group["key"], "no": group["no"], "states": pa.array([pickle.dumps(x) for x in found], pa.binary())})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +375,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, chunk: int = CHUNK,
                 ids.append(Chunk(model, r["part"], r["begin"], r["end"], r["first"], r["last"]).ids(entry, leave))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["key", "no", "ids"])
 
-    states = chunks.mapInArrow(matrices, "key bigint, no int, matrix binary").groupBy("key").applyInArrow(scan, "key bigint, no int, states binary")
+    made = chunks.mapInArrow(matrices, "key bigint, no int, matrix binary").withColumn("span", F.floor(F.col("no") / span).cast("int"))
+    made = common.durable(spark, made, "matrices")
+    ends = made.groupBy("key", "span").applyInArrow(product, "key bigint, span int, matrix binary").groupBy("key").applyInArrow(scan, "key bigint, span int, ends binary")
+    states = made.join(ends, ["key", "span"]).groupBy("key", "span").applyInArrow(inside, "key bigint, no int, states binary")
     traced = chunks.join(states, ["key", "no"]).select("key", "no", "part", "begin", "end", "first", "last", "states").mapInArrow(trace, "key bigint, no int, ids array<int>")
     whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts")).select("key", F.flatten("parts.ids").alias("ids"))
     return small.unionByName(large.join(whole, "key").select("doc_id", "ids", "text"))

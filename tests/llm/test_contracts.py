@@ -105,9 +105,9 @@ def test_op3(spark, where):
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     # every document as a giant one
     table = spark.read.parquet(f"{where}/documents.parquet").where("doc_id % 4 = 0")
-    split = {r["doc_id"]: r["ids"] for r in sentencepieces.encode(spark, table, path, chunk=200).collect()}
+    split = {r["doc_id"]: r["ids"] for r in sentencepieces.encode(spark, table, path, chunk=200, span=3).collect()}
     assert split == {i: library.encode(t) for i, t in docs if i % 4 == 0}
-    back = sentencepieces.decode(sentencepieces.encode(spark, table, path, chunk=200), path).collect()
+    back = sentencepieces.decode(sentencepieces.encode(spark, table, path, chunk=200, span=3), path).collect()
     assert all(r["decoded"] == library.decode(r["ids"]) for r in back)
 
 
