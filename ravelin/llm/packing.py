@@ -169,7 +169,10 @@ class Schedule:
 
     def _served(self, frame: int) -> tuple[int, ...]:
         """Tokens of each queue in the frames before this one; their sum is that of the frames."""
-        n = min(frame * self.frame_tokens, self.all)
+        return self._first(min(frame * self.frame_tokens, self.all))
+
+    def _first(self, n: int) -> tuple[int, ...]:
+        """Tokens of each queue among the first n."""
         low, high = 0, self.last
         while high - low > 1:
             mid = (low + high) // 2
@@ -188,11 +191,15 @@ class Schedule:
         quota = np.array(end, np.int64) - np.array(begin, np.int64)
         size = int(quota.sum())
         given = np.zeros(len(quota), np.int64)
+        ends = any(b < t <= e for b, e, t in zip(begin, end, self.totals, strict=True))  # a queue runs out: the proportions change on the way
         out: list[tuple[list[int], list[tuple[int, int]]]] = [([], []) for _ in quota]
         place = 0
         while place < size:
             room = min(self.window, size - place)
-            due = quota * ((place + room) / size) - given  # deficits with this window's shares
+            if ends:  # deficits with this window's shares
+                due = np.array(self._first(frame * self.frame_tokens + place + room), np.float64) - begin - given
+            else:
+                due = quota * ((place + room) / size) - given
             while room:
                 due[given >= quota] = -np.inf
                 s = int(np.argmax(due))
