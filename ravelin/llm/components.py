@@ -1,18 +1,39 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a group-by minimum and a join, so a hub of any degree is combined before the
-shuffle and its edges can be split. Each round is written to the shared folder: no growing
-lineage, and nothing is gathered on the driver but one count.
+Every step is a group-by minimum, combined before the shuffle, and a join of the edges with
+the minima; where a hub has many edges, adaptive execution splits its side of the join. Each
+round is written to the shared folder: no growing lineage, and nothing is gathered on the
+driver but one count. Tasks that find edges hand on a spanning forest of theirs (``spanning``),
+so a node has about one edge for each task that saw it, whatever its group's size.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest node of its component, node) that connect just what the edges a[i] - b[i] connect."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    of = np.arange(len(nodes))
+    while True:
+        low = np.minimum(of[x], of[y])
+        new = of.copy()
+        np.minimum.at(new, of[x], low)  # the roots first, then what hangs on them
+        np.minimum.at(new, of[y], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, of):
+            other = np.flatnonzero(of != np.arange(len(nodes)))
+            return nodes[of[other]], nodes[other]
+        of = new
+
+
 def connected(spark: SparkSession, edges: DataFrame, name: str, most_rounds: int = 100) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the smallest node reachable.
 

@@ -33,11 +33,11 @@ class Table:
     def _empty(self) -> None:
         kinds = (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int32)  # hash, two lanes, length, place, number
         self.sorted = self.recent = tuple(np.zeros(0, k) for k in kinds)
-        self.flat, self.tails = array("I"), {}
+        self.flat, self.tails, self.tail_bytes = array("I"), {}, 0
 
     def held(self) -> int:
         """Bytes, about."""
-        return 52 * (len(self.sorted[0]) + len(self.recent[0])) + 4 * len(self.flat) + sum(len(x) + 100 for x in self.tails.values())
+        return 52 * (len(self.sorted[0]) + len(self.recent[0])) + 4 * len(self.flat) + self.tail_bytes + 150 * len(self.tails)
 
     @staticmethod
     def _with(known: tuple, more: tuple) -> tuple:
@@ -59,25 +59,34 @@ class Table:
         else:
             size = size * 2
         piece = piece or (lambda i: texts.data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
-        at, n = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int32)
-        keep = size <= 2 * self.LONGEST + 1
+        # of equal hashes the first stands for all that have its bytes
+        _, rep, back = np.unique(hashes, return_index=True, return_inverse=True)
+        alike = (size == size[rep][back]) & (one == one[rep][back]) & (two == two[rep][back])
+        long = np.flatnonzero(alike & (size > 33))
+        if len(long):
+            theirs = rep[back[long]]
+            alike[long] = texts.same(starts[long] + 16, starts[theirs] + 16, ends[long] - starts[long] - 16)
+        at, n = np.zeros(len(rep), np.int64), np.full(len(rep), -1, np.int32)
+        keep = size[rep] <= 2 * self.LONGEST + 1
         for _ in range(2):  # what is known, then with the new ones
             for known in (self.sorted, self.recent):
                 left = np.flatnonzero((n < 0) & keep)
                 if len(known[0]) and len(left):
-                    place = np.minimum(np.searchsorted(known[0], hashes[left]), len(known[0]) - 1)
-                    same = (known[0][place] == hashes[left]) & (known[1][place] == one[left]) & (known[2][place] == two[left]) & (known[3][place] == size[left])
-                    for i in np.flatnonzero(same & (size[left] > 33)).tolist():  # beyond the lanes
-                        x = left[i]
+                    which = rep[left]
+                    place = np.minimum(np.searchsorted(known[0], hashes[which]), len(known[0]) - 1)
+                    same = (known[0][place] == hashes[which]) & (known[1][place] == one[which]) & (known[2][place] == two[which]) & (known[3][place] == size[which])
+                    for i in np.flatnonzero(same & (size[which] > 33)).tolist():  # beyond the lanes
+                        x = which[i]
                         same[i] = self.tails[int(known[4][place[i]])] == texts.data[starts[x] + 16 : ends[x]].tobytes()
                     at[left[same]], n[left[same]] = known[4][place[same]], known[5][place[same]]
-            new = np.flatnonzero((n < 0) & keep)
+            new = rep[(n < 0) & keep]
+            for known in (self.sorted, self.recent):  # a hash that another piece has already: made anew each time
+                if len(known[0]) and len(new):
+                    new = new[known[0][np.minimum(np.searchsorted(known[0], hashes[new]), len(known[0]) - 1)] != hashes[new]]
             if not len(new):
                 break
-            _, first = np.unique(hashes[new], return_index=True)
-            if len(self.sorted[0]) + len(self.recent[0]):  # a hash that another piece has already: made anew each time
-                first = first[~(np.isin(hashes[new[first]], self.sorted[0]) | np.isin(hashes[new[first]], self.recent[0]))]
-            self._learn(texts, starts, ends, new[first], hashes, one, two, size, piece)
+            self._learn(texts, starts, ends, new, hashes, one, two, size, piece)
+        at, n = at[back], np.where(alike, n[back], -1)
         own = np.flatnonzero(n < 0)
         flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
         if len(own):  # long ones, and those that share the hash of another
@@ -98,6 +107,7 @@ class Table:
             place = begin + np.cumsum(n, dtype=np.int64) - n
             for i, p in zip(some[size[some] > 33].tolist(), place[size[some] > 33].tolist(), strict=True):
                 self.tails[p] = texts.data[starts[i] + 16 : ends[i]].tobytes()
+                self.tail_bytes += int(ends[i] - starts[i])
             self.recent = self._with(self.recent, (hashes[some], one[some], two[some], size[some], place, n))
         if len(self.recent[0]) > self.RECENT:
             self.sorted, self.recent = self._with(self.sorted, self.recent), tuple(x[:0] for x in self.recent)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, textops
-from .components import connected
+from .components import connected, spanning
 
 SEGMENTS = 2
 #: Bits by which linked fingerprints may differ.
@@ -221,43 +221,97 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     loose = connected(spark, edges, "near")
     of = classes.join(loose, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("loose"))
     of = common.durable(spark, texts.join(of, names).select("id", "size", "loose"), "candidates")
-    sizes = of.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where("n > 1")
-    sizes = sizes.select("loose", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("bigint").alias("chunks"))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    suspects = of.join(sizes, "loose").select("id", "loose", "chunks", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
-    suspects = suspects.select("id", "loose", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("block"))
-    suspects = common.durable(spark, suspects, "suspects")
-    groups = max(8, suspects.count() // BLOCK_TEXTS)
-    suspects = suspects.withColumn("g", F.pmod(F.xxhash64("loose", "block"), F.lit(groups)).cast("int"))
-    edges = named.join(suspects, F.col("doc_id") == F.col("id")).select("g", "loose", "block", "id", "text").groupBy("g").applyInArrow(_verified(k, similarity), "a bigint, b bigint")
+    edges = _verified(spark, named, of, k, similarity)
     found = connected(spark, edges.distinct(), "verified")
     known = texts.join(found, F.col("id") == F.col("node"), "left").select("t0", "t1", F.coalesce("component", "id").alias("component_id"))
     return prints.join(known, ["t0", "t1"]).select("doc_id", "component_id")
 
 
-#: Texts and bytes of a component of candidates beyond which it is dealt out in chunks; every two chunks are verified, in a block of their own.
+#: Texts and bytes of a component of candidates beyond which it is dealt out in chunks.
 BLOCK_TEXTS, BLOCK_BYTES = 2000, 32 << 20
 
 
-def _verified(k: int, similarity: float):
-    """Edges to the smallest of each group of texts connected by true similarities."""
+def _verified(spark: SparkSession, named: DataFrame, of: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): edges that connect, within each component ``loose`` of candidates, just the texts connected by true similarities.
+
+    named: (doc_id, text), of: (id, size, loose). A small component is one block. Of a larger one, every text is
+    first compared with the component's first: near copies of one text are then done, in work that grows with
+    their number. Only texts that are unlike the first one are compared with all others, in a block for
+    each two chunks, which connects what they are like.
+    """
+    sizes = of.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where("n > 1")
+    sizes = sizes.select("loose", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("bigint").alias("chunks"))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    suspects = common.durable(spark, of.join(sizes, "loose").select("id", "loose", "chunks", own.alias("own")), "suspects")
+    if suspects.isEmpty():
+        return spark.createDataFrame([], "a bigint, b bigint")
+    texts = named.join(suspects, F.col("doc_id") == F.col("id")).select("id", "loose", "chunks", "own", "text")
+    texts = common.durable(spark, texts, "suspect-texts")
+    groups = max(8, suspects.count() // BLOCK_TEXTS)
 
-    def verified(group: pa.Table) -> pa.Table:
+    def compared(rows: DataFrame) -> DataFrame:
+        """rows: (id, text, loose, block, asks): of each block the texts that ask are compared with all, or, if none does, all with one another."""
+        g = F.pmod(F.xxhash64("loose", "block"), F.lit(groups)).cast("int")
+        return rows.withColumn("g", g).groupBy("g").applyInArrow(_blocks(k, similarity), "a bigint, b bigint")
+
+    small = texts.where("chunks = 1").select("id", "text", "loose", F.lit(0).cast("bigint").alias("block"), F.lit(False).alias("asks"))
+    large = texts.where("chunks > 1")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+    # the first text goes to every chunk, and asks there
+    first = large.where("id = loose").select("id", "text", "loose", each.alias("block"), F.lit(True).alias("asks"))
+    others = large.where("id <> loose").select("id", "text", "loose", F.col("own").alias("block"), F.lit(False).alias("asks"))
+    edges = common.durable(spark, compared(small.unionByName(first).unionByName(others)), "similar")
+    left = large.where("id <> loose").join(edges.where("a <> b").select(F.col("b").alias("id"), F.col("a").alias("loose")), ["id", "loose"], "left_anti")
+    left = common.durable(spark, left, "unlike-the-first")
+    if left.isEmpty():
+        return edges
+    # each of these against every chunk
+    parts = left.groupBy("loose").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("bigint").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))
+    asking = left.join(parts, "loose").select("id", "text", "loose", part.alias("part"), "chunks", "parts", each.alias("chunk"))
+    asking = asking.select("id", "text", "loose", (F.col("part") * F.col("chunks") + F.col("chunk")).alias("block"), F.lit(True).alias("asks"))
+    asked = large.join(parts, "loose").select("id", "text", "loose", "own", "chunks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    asked = asked.select("id", "text", "loose", (F.col("part") * F.col("chunks") + F.col("own")).alias("block"), F.lit(False).alias("asks"))
+    groups = max(8, (asking.count() + asked.count()) // BLOCK_TEXTS)
+    return edges.unionByName(compared(asking.unionByName(asked)))
+
+
+def _blocks(k: int, similarity: float):
+    def blocks(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         loose, block, ids = (group[c].to_numpy() for c in ("loose", "block", "id"))
-        order = np.lexsort((ids, block, loose))
+        asks = group["asks"].to_numpy(zero_copy_only=False)
+        order = np.lexsort((ids, ~asks, block, loose))
         bounds = np.flatnonzero(np.append(True, (loose[order][1:] != loose[order][:-1]) | (block[order][1:] != block[order][:-1]))) if len(ids) else np.zeros(0, int)
-        src, dst = [], []
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=False):
             rows = order[lo:hi]
             sets = [own for _, own in _shingle_sets(textops.Texts(group["text"].take(pa.array(rows))), k)]
-            for top, linked in _linked(sets, similarity):
+            n = int(asks[rows].sum())
+            for top, linked in _asked(sets, n, similarity) if n else _linked(sets, similarity):
                 src.append(ids[rows[linked]])
                 dst.append(np.full(len(linked), ids[rows[top]]))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": join(src), "b": join(dst)})
+        a, b = np.concatenate(src), np.concatenate(dst)
+        root, node = spanning(a[a != b], b[a != b])
+        return pa.table({"a": root, "b": node})
+
+    return common.trimmed(blocks)
+
 
-    return verified
+def _asked(sets: list[np.ndarray], n: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, numbers of the sets that share ``similarity`` of the union with it) for each of the first n sets."""
+    size = np.array([len(x) for x in sets], np.int64)
+    names, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), size)
+    each = np.split(shingle, np.cumsum(size)[:-1])
+    order = np.argsort(shingle, kind="stable")  # sets by shingle
+    begin = np.searchsorted(shingle[order], np.arange(len(names) + 1))
+    holders = of[order]
+    for x in range(n):
+        low, many = begin[each[x]], begin[each[x] + 1] - begin[each[x]]
+        at = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+        shared = np.bincount(holders[at], minlength=len(sets))
+        yield x, np.flatnonzero(shared >= similarity * (size[x] + size - shared) - 1e-9)
 
 
 def _linked(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -295,7 +349,7 @@ def _candidates(spark: SparkSession, classes: DataFrame, cuts: np.ndarray, most:
 
     A value of more than CHUNK members is dealt out in chunks, which every look-up goes to: no pair is missed, and the
     work under such a value grows with the square of its members, spread over tasks. No pair becomes a row: a
-    chunk gives an edge for each look-up and one for each member.
+    task gives a spanning forest of what it finds, an edge for each fingerprint at most.
     """
     tables, width = cuts.shape
     weight = 1 << np.arange(width, dtype=np.int64)
@@ -357,8 +411,8 @@ def _tied(most: int):
                     edges.append(np.stack([ids[part][r[new]], theirs[c[new]]], 1))
                     edges.append(np.unique(np.stack([theirs[c[~new]], theirs[first[~new]]], 1), axis=0))
         found = np.concatenate(edges)
-        found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        root, node = spanning(found[:, 0], found[:, 1])
+        return pa.table({"a": root, "b": node})
 
     return tied
 

@@ -77,6 +77,24 @@ class Texts:
         starts, ends = starts + lo, ends + lo
         return starts, ends, np.searchsorted(starts, self.offsets[first : end + 1])
 
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes from a on and from b on are the same, ``size`` of them each."""
+        out = np.ones(len(a), bool)
+        if not len(a):
+            return out
+        lo, hi = int(min(a.min(), b.min())), int(max((a + size).max(), (b + size).max()))
+        padded = np.zeros(hi - lo + 16, np.uint8)
+        padded[: hi - lo] = self.data[lo:hi]
+        eight = np.ndarray((hi - lo + 9,), "<u8", buffer=padded, strides=(1,))
+        left, step = np.flatnonzero(size > 0), 0
+        while len(left):
+            masks = _FIRST[np.minimum(size[left] - step, 8)]
+            unlike = ((eight[a[left] - lo + step] ^ eight[b[left] - lo + step]) & masks) != 0
+            out[left[unlike]] = False
+            step += 8
+            left = left[~unlike & (size[left] > step)]
+        return out
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same wherever it stands: its length and then its lanes of eight bytes, each spread over all bits."""
         return self.lanes(starts, ends)[0]

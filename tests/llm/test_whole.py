@@ -106,3 +106,47 @@ def test_only_true_similarity_links(spark):
     alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
     assert sum(0.65 < s < 0.8 for s in alike) > 10
     assert [got[2 * i + 1] == 2 * i for i in range(len(alike))] == [s >= 0.8 for s in alike]
+
+
+@pytest.mark.parametrize("block", [2000, 9])
+def test_large_components_of_candidates_lose_no_link(spark, monkeypatch, block):
+    """Copies of one text, a chain that leads away from it and texts alike to none: in one block, or dealt over chunks."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    rng = np.random.default_rng(14)
+    base = [f"w{j}" for j in rng.integers(0, 10**6, 250)]
+    texts = [base]
+    for _ in range(25):
+        copy = list(base)
+        copy[int(rng.integers(250))] = f"c{rng.integers(10**6)}"
+        texts.append(copy)
+    for _ in range(25):  # each differs from the one before by few words, from the first by many
+        step = list(texts[-1])
+        for at in rng.choice(250, 4, replace=False):
+            step[at] = f"s{rng.integers(10**6)}"
+        texts.append(step)
+    for _ in range(12):  # too far from all
+        far = list(base)
+        for at in rng.choice(250, 11, replace=False):
+            far[at] = f"f{rng.integers(10**6)}"
+        texts.append(far)
+    order = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(i), " ".join(t)) for i, t in zip(order, texts, strict=True)], "doc_id bigint, text string")
+    sets = {int(i): {tuple(t[a : a + 5]) for a in range(len(t) - 4)} for i, t in zip(order, texts, strict=True)}
+    want = groups_of([(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], len(sets))
+    monkeypatch.setattr(simhash, "plan", lambda n, share: np.arange(250)[None, :1])  # all are candidates of one another
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, docs).collect()}
+    assert len(set(want)) > 3 and [got[i] for i in range(len(sets))] == want
+
+
+def test_spanning_forests():
+    from ravelin.llm.components import spanning
+
+    rng = np.random.default_rng(15)
+    for n, m in ((1, 0), (50, 30), (50, 200), (2000, 1500)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        root, node = spanning(a, b)
+        want = groups_of(list(zip(a.tolist(), b.tolist())), n)
+        assert groups_of(list(zip(root.tolist(), node.tolist())), n) == want and len(set(node.tolist())) == len(node)
+        assert all(want[y] == x for x, y in zip(root.tolist(), node.tolist()))
+    line = np.arange(5000)
+    assert set(spanning(line[1:], line[:-1])[0].tolist()) == {0}
