@@ -7,6 +7,8 @@ about as many rows each, whatever the keys are: their bounds are quantiles.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,16 @@ def _ranged(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     bounds = sorted(set(bounds or []))
     parts = [bounds[i : i + LEVEL] for i in range(0, len(bounds), LEVEL)] or [[]]
     kind = df.schema[key].dataType.simpleString()
-    lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
-    part = F.least(_below(lit([p[-1] for p in parts if p]), F.col(key)), F.lit(len(parts) - 1))
-    inside = _below(F.get(F.array(*[lit(p) for p in parts]), part), F.col(key))
+    part = F.least(_below(F.expr(_numbers([p[-1] for p in parts if p], kind)), F.col(key)), F.lit(len(parts) - 1))
+    inside = _below(F.get(F.expr(f"array({', '.join(_numbers(p, kind) for p in parts)})"), part), F.col(key))
     return df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(part * (LEVEL + 1) + inside).cast("int")), rows
 
 
+def _numbers(values: list, kind: str = "bigint") -> str:
+    """SQL of an array of whole numbers: one expression to parse, not one object for each number."""
+    return f"cast(array({', '.join(f'{v}BD' if isinstance(v, Decimal) else f'{v}L' for v in values)}) as array<{kind}>)"
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -104,7 +110,7 @@ def range_starts_of(placed: DataFrame, slices: int) -> DataFrame:
 def slice_of(pos: Column, starts: DataFrame) -> Column:
     """The last slice that starts at or before a place; ``starts`` has a row for each slice."""
     known = [r["start"] for r in starts.orderBy("i").select("start").collect()]
-    return (F.size(F.filter(F.array(*[F.lit(x) for x in known]), lambda s: s <= pos)) - 1).cast("int")
+    return (F.size(F.filter(F.expr(_numbers(known)), lambda s: s <= pos)) - 1).cast("int")
 
 
 def by_range(df: DataFrame, key: str, slices: int) -> DataFrame:
@@ -122,10 +128,10 @@ def route(ids: DataFrame, last: DataFrame, key: str = "node_id", slice_column: s
         raise ValueError(f"more than {MOST_SLICES} slices")
     owners = [int(r[0]) for r in rows]
     parts = [rows[i : i + 64] for i in range(0, len(rows), 64)] or [[]]
-    lit = lambda xs: F.array(*[F.lit(x[1]) for x in xs]).cast("array<bigint>")
-    part = _below(lit([p[-1] for p in parts if p]), F.col(key))
-    inside = _below(F.coalesce(F.get(F.array(*[lit(p) for p in parts]), part), F.array().cast("array<bigint>")), F.col(key))
-    owner = F.get(F.array(*[F.lit(x) for x in owners]).cast("array<int>"), part * 64 + inside)
+    part = _below(F.expr(_numbers([p[-1][1] for p in parts if p])), F.col(key))
+    all_ = F.expr(f"array({', '.join(_numbers([x[1] for x in p]) for p in parts)})")
+    inside = _below(F.coalesce(F.get(all_, part), F.array().cast("array<bigint>")), F.col(key))
+    owner = F.get(F.expr(_numbers(owners, "int")), part * 64 + inside)
     return ids.withColumn(slice_column, F.when(F.col(key).isNotNull(), owner))
 
 

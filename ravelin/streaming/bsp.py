@@ -1,12 +1,11 @@
 """Bulk-synchronous supersteps over a graph: emit, combine by receiver, apply, vote.
 
-The driver loop decides only on whether a vertex changed. State is written to the shared folder
-each superstep, so the plan doesn't grow and a lost executor costs one superstep.
+The driver loop decides only on whether a vertex changed. State is checkpointed each
+superstep, so the plan doesn't grow and a lost executor costs one superstep.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from ..model import INF
 from ..operators.partition import with_default
 from ..profile import section
-from ..session import delete_folder, shared_folder
+from ..session import ensure_checkpoints
 
 
 @dataclass(frozen=True)
@@ -66,13 +65,13 @@ def run(state: DataFrame, edges: DataFrame, program: Program, max_supersteps: in
     """
     spark = state.sparkSession
     edges = edges.repartition("src").persist()  # dealt by source once: no superstep exchanges them again
-    kept = Steps(spark)
+    ensure_checkpoints(spark)
     try:
-        now = kept.write(state.select("node_id", "state", (F.col("state") < INF).alias("changed")))
+        now = _kept(state.select("node_id", "state", (F.col("state") < INF).alias("changed")))
         for step in range(2, max_supersteps + 1):
             with section("superstep", step):
                 senders = now.where("changed") if frontier else now
-                now = kept.write(update(now, combine(messages(senders, edges, program), program), program))
+                now = _kept(update(now, combine(messages(senders, edges, program), program), program))
                 halt = now.where("changed").isEmpty()
             if halt:
                 return now.select("node_id", "state"), step
@@ -81,15 +80,10 @@ def run(state: DataFrame, edges: DataFrame, program: Program, max_supersteps: in
     raise RuntimeError(f"no halt within {max_supersteps} supersteps")
 
 
-class Steps:
-    """States of a run as Parquet in the shared folder; those before the last two are deleted."""
-
-    def __init__(self, spark):
-        self.spark, self.paths, self.root = spark, [], f"{shared_folder(spark)}/ravelin-bsp-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.paths.append(f"{self.root}/{len(self.paths)}")
-        df.write.parquet(self.paths[-1])
-        if len(self.paths) > 2:
-            delete_folder(self.spark, self.paths[-3])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+def _kept(df: DataFrame) -> DataFrame:
+    """df in the checkpoint folder, worked out once: the checkpoint reads what the first pass leaves in the executors' storage."""
+    held = df.persist()
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()
