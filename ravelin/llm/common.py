@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_folder, shared_folder
+
+_AT_END: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,39 +54,48 @@ def trimmed(function, groups: int = 1):
     return one if groups == 1 else two
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else os.path.join(tempfile.gettempdir(), "ravelin-shared")
-    return path
+#: Rows of a file of a small table.
+FILE_ROWS = 50_000
 
 
-def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends in replicated files."""
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+def durable(spark: SparkSession, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends in replicated files.
+
+    rows: how many there are at most, where that is known: a small table then makes few files, not one for
+    each shuffle partition. The files go when the Python process ends with its session alive, or by ``clean``.
+    """
+    own = _own_dir(spark)
+    if own not in _AT_END:
+        _AT_END.add(own)
+        atexit.register(_clean_at_end, spark)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    few = df if rows is None else df.coalesce(max(8, rows // FILE_ROWS))
+    few.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _clean_at_end(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc:
+        try:
+            clean(spark)
+        except (Py4JError, OSError):  # the JVM ended first
+            pass
+
+
 def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/ravelin-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/ravelin-{spark.sparkContext.applicationId}"
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all that durable() wrote in this application: once the results are written, nothing reads it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, _own_dir(spark))
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a frame that durable() made, once nothing reads it any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/ravelin-" in parent:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(hadoop).delete(path, True)
+            delete_folder(spark, parent)
 
 
 def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least: int = 2 << 20, most: int = 16 << 20, spread: bool = False) -> tuple[DataFrame, int, int]:

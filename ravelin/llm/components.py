@@ -34,17 +34,17 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of = new
 
 
-def connected(spark: SparkSession, edges: DataFrame, name: str, most_rounds: int = 100) -> DataFrame:
+def connected(spark: SparkSession, edges: DataFrame, name: str, most_rounds: int = 100, rows: int | None = None) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the smallest node reachable.
 
-    Repeated edges, either direction and loops are allowed; no edge, no row.
+    Repeated edges, either direction and loops are allowed; no edge, no row. rows: how many edges there are at most, where known.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    now = common.durable(spark, now, f"edges-{name}")
-    known = None
+    now = common.durable(spark, now, f"edges-{name}", rows)
+    known, rows = None, now.count()
     for _ in range(most_rounds):
         stars = _small_star(_large_star(now))
-        done = common.durable(spark, stars, f"edges-{name}")
+        done = common.durable(spark, stars, f"edges-{name}", rows)
         # a star forest is reached when no step changes the edges
         mark = tuple(done.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         common.dropped(spark, now)

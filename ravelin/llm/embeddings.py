@@ -190,7 +190,7 @@ def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> D
     probes = members.where(F.bit_count("v") % 2 == 0).select("id", "c0", "c1", "s", F.explode(flips).alias("v"))
     # a value of more than CHUNK codes is dealt out: its members by hash, and every look-up goes to all its chunks
     hot = members.groupBy("s", "v").count().where(F.col("count") > CHUNK).select("s", "v", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    hot = common.durable(spark, hot, "hot-values")
+    hot = common.durable(spark, hot, "hot-values", n * tables // CHUNK)
     chunks = F.coalesce("chunks", F.lit(1))
     members = members.join(hot, ["s", "v"], "left").select(*row, F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
     # members of one chunk are compared among themselves, with those of later chunks by a look-up

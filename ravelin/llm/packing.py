@@ -75,9 +75,7 @@ class Encoder:
         for i in np.flatnonzero(odd):
             use[first_word[i] : first_word[i + 1]] = False
         chosen = np.flatnonzero(use)
-        data, lo, hi, plain = texts.data, starts[chosen], ends[chosen], head[chosen]
-        fetch = lambda i: ("" if plain[i] else " ") + data[lo[i] : hi[i]].tobytes().decode("utf-8", "replace")
-        flat, n = self.table.of(texts, lo, hi, plain.astype(np.int64), fetch)
+        flat, n = self.table.of(texts, starts[chosen], ends[chosen], (~head[chosen]).astype(np.int64))  # with the space before
         sizes = np.zeros(len(starts) + 1, np.int64)
         sizes[chosen + 1] = n
         cut = np.cumsum(sizes)[first_word]

@@ -24,7 +24,7 @@ class Table:
 
     #: Bytes held at most (beyond it the table starts anew: memory, not results), pieces that wait to be sorted in
     #: among the others, and bytes of a piece beyond which it is made anew each time.
-    MOST, RECENT, LONGEST = 48 << 20, 60_000, 256
+    MOST, RECENT, LONGEST = 96 << 20, 60_000, 256
 
     def __init__(self, make_many):
         self.make_many = make_many
@@ -44,11 +44,11 @@ class Table:
         order = np.argsort(np.concatenate([known[0], more[0]]), kind="stable")
         return tuple(np.concatenate([a, b])[order] for a, b in zip(known, more, strict=True))
 
-    def of(self, texts: textops.Texts, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray | None = None, piece=None) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, texts: textops.Texts, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(the results of all pieces starts .. ends of texts one behind the other, how many each has).
 
-        kinds: 0 or 1, told apart from one another where the bytes are the same; ``piece(i)`` is the string
-        that the i-th is made from (the bytes themselves if None). Equal bytes of one kind give equal results.
+        kinds: 0 for pieces as they stand, 1 for those that are made together with the byte before them, which is the same
+        for all. Equal bytes of one kind give equal results.
         """
         if self.held() > self.MOST:
             self._empty()
@@ -58,7 +58,11 @@ class Table:
             hashes, size = np.where(kinds > 0, textops.mix(hashes + np.uint64(1)), hashes), size * 2 + kinds
         else:
             size = size * 2
-        piece = piece or (lambda i: texts.data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
+        lo = max(int(starts[0]) - 1, 0) if len(starts) else 0
+        blob = texts.data[lo : int(ends[-1])].tobytes() if len(starts) else b""
+        begin = (starts - lo if kinds is None else starts - lo - kinds).tolist()
+        until = (ends - lo).tolist()
+        piece = lambda i: blob[begin[i] : until[i]].decode("utf-8", "replace")
         # of equal hashes the first stands for all that have its bytes
         _, rep, back = np.unique(hashes, return_index=True, return_inverse=True)
         alike = (size == size[rep][back]) & (one == one[rep][back]) & (two == two[rep][back])

@@ -220,7 +220,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     edges = _candidates(spark, classes, plan(n, share), most)
     loose = connected(spark, edges, "near")
     of = classes.join(loose, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("loose"))
-    of = common.durable(spark, texts.join(of, names).select("id", "size", "loose"), "candidates")
+    of = common.durable(spark, texts.join(of, names).select("id", "size", "loose"), "candidates", texts.count())
     edges = _verified(spark, named, of, k, similarity)
     found = connected(spark, edges.distinct(), "verified")
     known = texts.join(found, F.col("id") == F.col("node"), "left").select("t0", "t1", F.coalesce("component", "id").alias("component_id"))
@@ -242,12 +242,13 @@ def _verified(spark: SparkSession, named: DataFrame, of: DataFrame, k: int, simi
     sizes = of.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where("n > 1")
     sizes = sizes.select("loose", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("bigint").alias("chunks"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    suspects = common.durable(spark, of.join(sizes, "loose").select("id", "loose", "chunks", own.alias("own")), "suspects")
-    if suspects.isEmpty():
+    suspects = common.durable(spark, of.join(sizes, "loose").select("id", "loose", "chunks", own.alias("own")), "suspects", of.count())
+    many = suspects.count()
+    if not many:
         return spark.createDataFrame([], "a bigint, b bigint")
     texts = named.join(suspects, F.col("doc_id") == F.col("id")).select("id", "loose", "chunks", "own", "text")
     texts = common.durable(spark, texts, "suspect-texts")
-    groups = max(8, suspects.count() // BLOCK_TEXTS)
+    groups = max(8, many // BLOCK_TEXTS)
 
     def compared(rows: DataFrame) -> DataFrame:
         """rows: (id, text, loose, block, asks): of each block the texts that ask are compared with all, or, if none does, all with one another."""
@@ -351,7 +352,7 @@ def _candidates(spark: SparkSession, classes: DataFrame, cuts: np.ndarray, most:
     work under such a value grows with the square of its members, spread over tasks. No pair becomes a row: a
     task gives a spanning forest of what it finds, an edge for each fingerprint at most.
     """
-    tables, width = cuts.shape
+    n, (tables, width) = classes.count(), cuts.shape
     weight = 1 << np.arange(width, dtype=np.int64)
     names = [f"w{i}" for i in range(WIDE)]
 
@@ -373,14 +374,14 @@ def _candidates(spark: SparkSession, classes: DataFrame, cuts: np.ndarray, most:
     flips = F.array(*[F.col("v").bitwiseXOR(F.lit(1 << b)) for b in range(width)])
     looks = members.where(F.bit_count("v") % 2 == 0).select("id", *names, "s", F.explode(flips).alias("v"))
     hot = held.select(F.posexplode("values").alias("s", "v")).groupBy("s", "v").count().where(F.col("count") > CHUNK)
-    hot = common.durable(spark, hot.select("s", "v", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-values")
+    hot = common.durable(spark, hot.select("s", "v", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-values", n * tables // CHUNK)
     chunks = F.coalesce("chunks", F.lit(1))
     members = members.join(hot, ["s", "v"], "left").select(*row, F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
     # members of one chunk are compared among themselves, with those of later chunks by a look-up
     later = members.where(F.col("chunk") < F.col("chunks") - 1).select(*row, F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"))
     members = members.select(*row, "chunk", F.lit(True).alias("member"))
     looks = looks.join(hot, ["s", "v"], "left").select(*row, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("member"))
-    groups = max(8, classes.count() * tables * (width // 4 + 1) // GROUP)
+    groups = max(8, n * tables * (width // 4 + 1) // GROUP)
     met = members.unionByName(later).unionByName(looks).withColumn("g", F.pmod(F.xxhash64("s", "v", "chunk"), F.lit(groups)).cast("int"))
     return met.groupBy("g").applyInArrow(_tied(most), "a bigint, b bigint").distinct()
 

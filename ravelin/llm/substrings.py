@@ -410,7 +410,7 @@ def remove(spark: SparkSession, docs: DataFrame, k: int = WORDS, doc_id: str = "
     if hot.isEmpty():
         found = blocks.cogroup(requests.groupBy("block")).applyInArrow(_passages(k), given)
     else:
-        hot = common.durable(spark, hot, "hot-blocks")
+        hot = common.durable(spark, hot, "hot-blocks", ranges)
         copy = F.pmod(F.xxhash64("shard"), F.col("copies")).cast("int")
         others = requests.join(hot.select("block"), "block", "left_anti")
         found = blocks.cogroup(others.groupBy("block")).applyInArrow(_passages(k), given)

@@ -450,8 +450,19 @@ def test_components(spark):
     assert got == {i: top(i) for i in of if i not in loose}
 
 
+def test_durable_tables_go(spark):
+    import os
+
+    from ravelin.llm import common
+
+    where = common.durable(spark, spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(where)
+    common.clean(spark)
+    assert not os.path.exists(where)
+
+
 def test_extra_and_clashing_columns(spark, awkward):
-    from ravelin.llm import fingerprints, language, quality, secrets, simhash, substrings
+    from ravelin.llm import embeddings, fingerprints, language, packing, quality, secrets, sentencepieces, simhash, substrings, token_counts
 
     docs = spark.read.parquet(f"{awkward}/documents.parquet")
     for c in ("score", "simhash", "sketch", "secrets", "lang_pred", "shard", "factors", "id", "key", "w0"):
@@ -467,3 +478,11 @@ def test_extra_and_clashing_columns(spark, awkward):
     assert secrets.find(twice).count() == n
     assert substrings.remove(spark, twice, give=("factors",)).count() == n
     assert simhash.deduplicate(spark, twice).columns == twice.columns
+    for c in ("ids", "vector", "n", "n_tokens", "fit_chars", "dim", "kept", "link", "queue", "part", "span"):
+        twice = twice.withColumn(c, twice["doc_id"].cast("string"))
+    made = sentencepieces.encode(spark, twice, queries.vocabulary("piece_bpe_32k.model"), chunk=50)
+    assert made.count() == n and sentencepieces.digest(made, queries.vocabulary("piece_bpe_32k.model")).count() == n
+    assert token_counts.count_tokens(twice, queries.vocabulary("word_bpe_49k.json")).count() == n
+    assert packing.pack(spark, twice, queries.vocabulary("byte_bpe_50k.json")).select("doc_id").distinct().count() == n // 2
+    vectors = twice.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), "id", "n", "dim", "vector", "kept")
+    assert embeddings.near(spark, vectors).count() == n
