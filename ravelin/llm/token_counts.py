@@ -19,13 +19,14 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import textops
+from . import bpe, textops
 from .pieces import Table, once
 
 #: Characters that the tokenizer's notion of white space may not share with Python's.
@@ -33,6 +34,9 @@ _DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
 #: The pattern of words of the known vocabulary, and what it finds in lower-case ASCII without white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Latin letters, and marks behind them that are a word of their own.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?)]*)")
 #: Pairs of tokens and words that a worker remembers at most (memory, not results).
 MOST_PAIRS, MOST_WORDS = 400_000, 200_000
 
@@ -66,7 +70,8 @@ class PrefixCounts:
         self._char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
         self._fits: dict[tuple[str, str, bool], bool] = {}
         self._words: dict[str, bytes] = {}
-        self._table = Table(lambda pieces: list(map(self.piece, pieces)))
+        self._merges = bpe.Merges(list(model["vocab"]), list(self._rank), self._mark, {c: b for b, c in self._char.items()})
+        self._table = Table(self._pieces)
 
     def _tokens(self, units: list[str]) -> list[str]:
         """The model's merges on a few units."""
@@ -95,6 +100,10 @@ class PrefixCounts:
         """Tokens of the first 1 .. n code points of one word."""
         if word in self._words:
             return self._words[word]
+        return self._slowly(word)
+
+    def _slowly(self, word: str) -> bytes | list[int]:
+        """One word by itself, of any length."""
         if word.isascii():
             text, ends = word, None
         else:
@@ -126,6 +135,40 @@ class PrefixCounts:
             out = self._words[word] = bytes(out)
         return out
 
+    def _prepare(self, words: set[str]) -> None:
+        """Short words all at once."""
+        if not self._merges.sound:
+            return
+        if len(self._words) + len(words) > MOST_WORDS:
+            self._words.clear()
+        new = [(w, b) for w in words if w not in self._words and len(b := w.encode()) <= bpe.LONGEST]
+        if len(new) > 50:
+            found = self._merges.along([b for _, b in new]).astype(np.uint8).tobytes()
+            for at, (w, b) in zip(range(0, len(found), bpe.LONGEST), new, strict=True):
+                if len(w) == len(b):
+                    self._words[w] = found[at : at + len(b)]
+                else:
+                    self._words[w] = bytes(found[at + e - 1] for e in accumulate(len(c.encode()) for c in w))
+
+    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+        plain = [_PLAIN.fullmatch(p) for p in pieces]
+        low = [m and m[1].lower() for m in plain]
+        words = set(filter(None, low))
+        for p, m in zip(pieces, plain, strict=True):
+            if not m:
+                words.update(_LETTERS.findall(p.lower()))
+        self._prepare(words)
+        known, out = self._words, []
+        for p, m, w in zip(pieces, plain, low, strict=True):
+            if w in known and len(w) == len(m[1]):
+                made = [0, *known[w]]
+                if m[2]:
+                    made += [made[-1] + n for n in self._along(m[2])]
+                out.append(made)
+            else:
+                out.append(self.piece(p))
+        return out
+
     def _encoded(self, text: str) -> int:
         return len(self._library.encode(text, add_special_tokens=False).ids)
 
@@ -198,7 +241,7 @@ def _each(df: DataFrame, path: str, columns: list[str], schema, row) -> DataFram
         prefix = once(("prefix counts", path), lambda: PrefixCounts(path))
         for batch in batches:
             texts = textops.Texts(batch.column(batch.num_columns - 1))
-            for first, end in texts.groups(1 << 19):
+            for first, end in texts.groups(2 << 20):
                 counts, bounds = prefix.table(texts, first, end)
                 made = [row(int(texts.offsets[first + i + 1] - texts.offsets[first + i]), counts[bounds[i] : bounds[i + 1]]) for i in range(end - first)]
                 own = batch.slice(first, end - first)
