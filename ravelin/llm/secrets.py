@@ -176,16 +176,22 @@ def as_text(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with every span of secrets in the text replaced by the mark, overlapping ones by one mark."""
+    """df with every span of secrets in the text replaced by the mark, overlapping ones by one mark. Texts without a secret, null ones among them, stay as they are."""
     found = find(df.select(F.col(text).alias("__text"), F.struct(*df.columns).alias("__row")), "__text")
     t = F.col("__text")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("gaps"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        joined = (s["start"] < acc["at"]) & (acc["at"] > 0)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(joined, acc["out"]).otherwise(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])).alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end")))
+        fresh = (s["start"] >= acc["at"]) | (acc["at"] == 0)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"))
 
-    rest = F.aggregate(F.col("secrets"), zero, step, lambda acc: F.concat(acc["out"], F.substr(t, (acc["at"] + 1).cast("int"))))
-    return found.select(*[F.when(F.size("secrets") > 0, rest).otherwise(t).alias(c) if c == text else F.col("__row")[c].alias(c) for c in df.columns])
+    def kept(chars: Column, begin: Column, length: Column) -> Column:
+        return F.array_join(F.slice(chars, (begin + 1).cast("int"), length.cast("int")), "")
+
+    def joined(chars: Column, acc: Column) -> Column:
+        gaps = F.transform(acc["gaps"], lambda g: F.concat(kept(chars, g["start"], g["end"] - g["start"]), F.lit(mark)))
+        return F.concat(F.array_join(gaps, ""), kept(chars, acc["at"], F.size(chars) - acc["at"]))
+
+    whole = _let(F.aggregate(F.col("secrets"), zero, step), lambda acc: _let(F.split(t, ""), lambda chars: joined(chars, acc)))
+    return found.select(*[F.when(F.size("secrets") > 0, whole).otherwise(t).alias(c) if c == text else F.col("__row")[c].alias(c) for c in df.columns])

@@ -61,6 +61,15 @@ def test_masks_follow_the_spans(spark, data):
         assert r["text"] == out + t[at:]
 
 
+def test_masks_in_odd_texts(spark):
+    key = "password=Zq8kL2mN4pR6"
+    texts = [key, f"🙂é{key}", f"{key}🙂", f"a {key} b {key}", key + "\n" + key, "🙂 no secret", "", None, f"token={'aZ9+' * 8} x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    want = [t and t.replace(key, "[SECRET]") for t in texts]
+    assert [got[i] for i in range(8)] == want[:8] and got[8] == "[SECRET] x"
+
+
 def test_whole_run(spark, data):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
