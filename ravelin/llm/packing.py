@@ -198,15 +198,16 @@ class Schedule:
                 due = np.array(self._first(frame * self.frame_tokens + place + room), np.float64) - begin - given
             else:
                 due = quota * ((place + room) / size) - given
+            due[given >= quota] = -np.inf
             while room:
-                due[given >= quota] = -np.inf
-                s = int(np.argmax(due))
-                take = int(min(room, quota[s] - given[s], max(LEAST, round(due[s]))))
+                s = int(due.argmax())
+                there = int(given[s])
+                take = min(room, int(quota[s]) - there, max(LEAST, round(float(due[s]))))
                 starts, places = out[s]
-                starts.append(begin[s] + int(given[s]))
+                starts.append(begin[s] + there)
                 places.append((place, take))
-                given[s] += take
-                due[s] -= take
+                given[s] = there + take
+                due[s] = due[s] - take if there + take < quota[s] else -np.inf
                 place += take
                 room -= take
         return out
