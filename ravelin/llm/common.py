@@ -130,6 +130,9 @@ def in_ranges(spark: SparkSession, df: DataFrame, doc_id: str, text: str, least:
         return pa.array(np.searchsorted(known.value, ids.fill_null(2**63 - 1).to_numpy(zero_copy_only=False), "right"), pa.int32())
 
     place, ranges = shard(F.col(doc_id).cast("bigint")), len(bounds) + 1
-    if spread:
-        place = F.when(F.col(doc_id).isNull(), ranges + F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(1 + none // each)).cast("int")).otherwise(place)
-    return df.withColumn("__shard", place), size, ranges
+    if not (spread and none):
+        return df.withColumn("__shard", place), size, ranges
+    # dealt by place, once: a row must not change its range when a lost task is run again
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 + none // each))
+    others = durable(spark, df.where(F.col(doc_id).isNull()).withColumn("__shard", (ranges + number).cast("int")), "without-ids")
+    return df.where(F.col(doc_id).isNotNull()).withColumn("__shard", place).unionByName(others), size, ranges

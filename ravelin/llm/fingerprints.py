@@ -129,7 +129,8 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     document (or all it has). After the last document comes the first. Rows of one doc_id
     follow one another by descending text, null ids come first (as the largest); null text is empty text.
     Rows are dealt by ranges of doc_id; each range gets one further row, the first of the
-    next range, so no task sees more than a range.
+    next range, so no task sees more than a range (rows without an id, which are in order of
+    their texts, share one).
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt, _, _ = common.in_ranges(spark, d, "doc_id", "text")
