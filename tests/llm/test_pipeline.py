@@ -100,3 +100,58 @@ def test_stages_keep_columns_and_bear_nulls(spark, data):
             assert kept == 0 if held is not docs else kept >= 3
         pieces = pipeline.STAGES[-1][1](spark, held, data)
         assert pieces.count() >= (6 if held is docs else 0)
+
+
+def test_whole_run_against_plain_stages(spark, data):
+    """All stages by plain loops, but for the learned classifier (what it keeps is taken) and the masks of secrets (held elsewhere)."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    from ravelin.llm import queries
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    good = pipeline.quality_classifier(spark, docs, data)
+    texts = {r["doc_id"]: r["text"] for r in good.select("doc_id", "text").collect()}
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def shingles(t):
+        w = word.findall(t or "")
+        return {tuple(w[a : a + 5]) for a in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    of = {i: i for i in texts}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    ids = sorted(texts)
+    for b in ids:
+        for a in ids:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                of[max(top(a), top(b))] = min(top(a), top(b))
+    kept = [i for i in ids if top(i) == i]
+    assert 0 < len(kept) < len(ids) < docs.count()
+    k, first, plain = pipeline.PASSAGE_WORDS, {}, {}
+    places = {i: [m.span() for m in word.finditer(texts[i] or "")] for i in kept}
+    runs = {i: [tuple((texts[i] or "")[s:e] for s, e in places[i][a : a + k]) for a in range(len(places[i]) - k + 1)] for i in kept}
+    for i in kept:
+        for run in runs[i]:
+            first.setdefault(run, i)
+    for i in kept:
+        t, gone = texts[i], {a + x for a, run in enumerate(runs[i]) if first[run] < i for x in range(k)}
+        ends = [s for s, _ in places[i][1:]] + [len(t or "")]
+        out, at = "", 0
+        for a in sorted(gone):
+            out, at = out + t[at : places[i][a][0]], ends[a]
+        plain[i] = t if t is None else out + t[at:]
+    masked = secrets.redact(spark.createDataFrame(sorted(plain.items()), "doc_id bigint, text string"))
+    library = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    want = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in masked.collect()}
+    got: dict = {}
+    for r in sorted(pipeline.run(spark, data).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == len(got.setdefault(r["doc_id"], [])) and len(r["ids"]) == 4 * r["length"]
+        got[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert got == want
