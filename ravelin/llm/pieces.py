@@ -24,7 +24,7 @@ class Table:
 
     #: Bytes held at most (beyond it the table starts anew: memory, not results), pieces that wait to be sorted in
     #: among the others, and bytes of a piece beyond which it is made anew each time.
-    MOST, RECENT, LONGEST = 96 << 20, 60_000, 256
+    MOST, RECENT, LONGEST = 128 << 20, 60_000, 256
 
     def __init__(self, make_many):
         self.make_many = make_many
