@@ -7,6 +7,7 @@ about as many rows each, whatever the keys are: their bounds are quantiles.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoints
 
-#: Ranges of the key, in two levels of LEVEL each; their totals are all that one task sees together.
-LEVEL = 32
-RANGES = LEVEL * LEVEL
+#: Ranges of the key for each shuffle partition, about; they are found in two levels, LEAST to MOST a level. Their totals are all that one task sees together.
+EACH, LEAST, MOST = 4, 8, 64
 #: Slices that route() takes at most: their last keys are part of the plan.
 MOST_SLICES = 100_000
 
@@ -33,13 +33,15 @@ def _below(bounds: Column, key: Column) -> Column:
 
 def _ranged(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     """df with the range of each key, ascending with it, and its number of rows. Null keys have a range of their own, before all others."""
-    bounds, rows = df.agg(F.expr(f"approx_percentile({_quoted(key)}, array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))}))"), F.count(F.lit(1))).first()
+    level = min(max(math.isqrt(EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), LEAST), MOST)
+    shares = ", ".join(f"{i / level**2}D" for i in range(1, level**2))
+    bounds, rows = df.agg(F.expr(f"approx_percentile({_quoted(key)}, array({shares}))"), F.count(F.lit(1))).first()
     bounds = sorted(set(bounds or []))
-    parts = [bounds[i : i + LEVEL] for i in range(0, len(bounds), LEVEL)] or [[]]
+    parts = [bounds[i : i + level] for i in range(0, len(bounds), level)] or [[]]
     kind = df.schema[key].dataType.simpleString()
     part = F.least(_below(F.expr(_numbers([p[-1] for p in parts if p], kind)), F.col(key)), F.lit(len(parts) - 1))
     inside = _below(F.get(F.expr(f"array({', '.join(_numbers(p, kind) for p in parts)})"), part), F.col(key))
-    return df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(part * (LEVEL + 1) + inside).cast("int")), rows
+    return df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(part * (level + 1) + inside).cast("int")), rows
 
 
 def _numbers(values: list, kind: str = "bigint") -> str:
@@ -62,7 +64,7 @@ def running_total(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
 def _total(ranged: DataFrame, key: str, value: str, to: str) -> DataFrame:
     totals = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__base"))  # RANGES rows or so
+    base = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__base"))  # a row a range
     own = F.sum(value).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("__own", own).join(F.broadcast(base), "__range").withColumn(to, F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")
 
