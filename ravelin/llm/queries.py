@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, fingerprints, language, oracles, packing, quality, secrets, sentencepieces, simhash, substrings, token_counts
+from . import chat, common, embeddings, fingerprints, language, merkle, oracles, packing, quality, secrets, sentencepieces, simhash, structure, substrings, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -74,6 +74,42 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    made = merkle.build(spark, docs, ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": tampered})
+    found = merkle.proofs(spark, made)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(more)
+    template = chat.Template()
+    return chat.read_back(chat.format_conversations(rows, template.render), template)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations as transport may leave them: by the checksum of ``conv_id:turn`` rows are dropped, emptied, stripped of
+    their sentence ends, repeated or given to the user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    by = (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20).alias("by")
+    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), by).where("by <> 0")
+    role = F.when(F.col("by") == 4, "user").otherwise(F.col("role")).alias("role")
+    left = F.when(F.col("by") == 1, "").when(F.col("by") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text")
+    times = F.sequence(F.lit(1), F.when(F.col("by") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role, left, F.explode(times).alias("copy")).drop("copy")
+
+
+def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations")
+    return structure.audit(spark, damaged(rows), of=rows)
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_quality": op2_quality,
@@ -85,7 +121,17 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
+    "op11_chat": op11_chat,
+    "op12_merkle": op12_merkle,
+    "op13_structure": op13_structure,
 }
 
 #: The others hash, tokenize or learn in ways that SQL has no functions for; the tests hold them against plain versions.
-ORACLES = {"op1_substrings": oracles.SUBSTRINGS, "op7_embeddings": oracles.EMBEDDINGS, "op9_secrets": oracles.SECRETS}
+ORACLES = {
+    "op1_substrings": oracles.SUBSTRINGS,
+    "op7_embeddings": oracles.EMBEDDINGS,
+    "op9_secrets": oracles.SECRETS,
+    "op11_chat": oracles.CHAT,
+    "op12_merkle": oracles.MERKLE,
+    "op13_structure": oracles.STRUCTURE,
+}

@@ -9,7 +9,7 @@ from ravelin.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_operator(spark, data, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     got = queries.QUERIES[name](spark, data)
     want = db.sql(queries.ORACLES[name])
