@@ -1,13 +1,17 @@
 """Exchanges: contiguous slices, key-aligned range slices, routing by ownership.
 
-Row numbers and running totals are made in two levels, within ranges of the key and over
-the totals of the ranges, so no global window gathers the rows in one task. The ranges hold
-about as many rows each, whatever the keys are: their bounds are quantiles.
+Row numbers and running totals are made within ranges of the key and over the totals of the
+ranges, so no window gathers more than ROWS rows in a task. The ranges are quantiles of
+quantiles, FAN to a level and as many levels as the number of rows asks for, whatever the keys
+are; totals of more ranges than ROWS are summed up in the same way.
+
+Ownership, a last key for each slice, is a table that is looked up like a search tree: its
+keys in order are bins of FAN, the bins' last keys are bins of FAN again, up to one. A key goes down by one equi-join on
+the bin a level and a filter inside it, so any number of slices is served and none is collected.
 """
 
 from __future__ import annotations
 
-import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,10 +19,10 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoints
 
-#: Ranges of the key for each shuffle partition, about; they are found in two levels, LEAST to MOST a level. Their totals are all that one task sees together.
-EACH, LEAST, MOST = 4, 8, 64
-#: Slices that route() takes at most: their last keys are part of the plan.
-MOST_SLICES = 100_000
+#: Rows of a range, about; what one level splits a range or a bin into.
+ROWS, FAN = 1 << 18, 64
+#: Rows up to which ranges or bins are broadcast: numbers of ranges (16 bytes a row), bins (about 1 kB a row).
+FEW_TOTALS, FEW_BINS = 1 << 16, FAN**2
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -31,17 +35,40 @@ def _below(bounds: Column, key: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: b < key))
 
 
-def _ranged(df: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """df with the range of each key, ascending with it, and its number of rows. Null keys have a range of their own, before all others."""
-    level = min(max(math.isqrt(EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), LEAST), MOST)
-    shares = ", ".join(f"{i / level**2}D" for i in range(1, level**2))
-    bounds, rows = df.agg(F.expr(f"approx_percentile({_quoted(key)}, array({shares}))"), F.count(F.lit(1))).first()
-    bounds = sorted(set(bounds or []))
-    parts = [bounds[i : i + level] for i in range(0, len(bounds), level)] or [[]]
-    kind = df.schema[key].dataType.simpleString()
-    part = F.least(_below(F.expr(_numbers([p[-1] for p in parts if p], kind)), F.col(key)), F.lit(len(parts) - 1))
-    inside = _below(F.get(F.expr(f"array({', '.join(_numbers(p, kind) for p in parts)})"), part), F.col(key))
-    return df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(part * (level + 1) + inside).cast("int")), rows
+def _few(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _quantiles(key: str, parts: int = FAN) -> Column:
+    """The values between so many parts of about as many rows, ascending and each once. Of keys that occur once a part is a fifth too large at most."""
+    shares = ", ".join(f"{i / parts}D" for i in range(1, parts))
+    return F.array_sort(F.array_distinct(F.expr(f"approx_percentile({_quoted(key)}, array({shares}), {10 * FAN})")))
+
+
+def _ranged(df: DataFrame, key: str, most: int) -> tuple[DataFrame, int, int]:
+    """(df with the range of each key, ascending with it; the number of rows; the number of ranges, at most).
+
+    Null keys come before all others: they have ranges of their own, by a hash of the row. A row is read once
+    for each level of ranges, and once more.
+    """
+    rows, named = df.agg(F.count(F.lit(1)), F.count(F.col(_quoted(key)))).first()
+    place, out, ranges = F.lit(0).cast("bigint"), df, 1
+    while named > ranges * most:  # the quantiles of each range of the level above, a row a range
+        parts = min(FAN, -(-named // (ranges * most)))
+        if ranges == 1:
+            bounds = df.agg(_quantiles(key, parts)).first()[0]
+            out = df.withColumn("__range", _below(F.expr(_numbers(bounds or [], df.schema[key].dataType.simpleString())), F.col(key)).cast("bigint"))
+        else:
+            inner = out.where(F.col(key).isNotNull()).groupBy("__range").agg(_quantiles(key, parts).alias("__bounds"))
+            out = out.join(_few(inner, ranges <= FEW_BINS), "__range", "left")
+            out = out.withColumn("__range", F.col("__range") * parts + _below("__bounds", F.col(key))).drop("__bounds")
+        ranges *= parts
+    if ranges == 1:
+        out = df.withColumn("__range", place)
+    if rows == named:
+        return out, rows, ranges
+    loose = -1 - F.pmod(F.xxhash64(*[F.col(_quoted(c)) for c in df.columns]), F.lit(1 + (rows - named) // most))
+    return out.withColumn("__range", F.when(F.col(key).isNull(), loose).otherwise(F.col("__range"))), rows, ranges + 1 + (rows - named) // most
 
 
 def _numbers(values: list, kind: str = "bigint") -> str:
@@ -53,33 +80,42 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def running_total(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
+def running_total(df: DataFrame, key: str, value: str, to: str, most: int = ROWS) -> DataFrame:
     """df with the sum of value over all smaller keys and its own (keys whole numbers and unique).
 
-    Rows without a key come before all others, in no order of their own. No row, no result.
+    Rows without a key come before all others, in no order of their own. No row, no result. df is read once for each
+    level of ranges and twice more. most: rows that a task sees together, about; 8 at least.
     """
-    return _total(_ranged(df, key)[0], key, value, to)
+    ranged, rows, ranges = _ranged(df, key, most)
+    return _total(ranged, rows, ranges, key, value, to, most)
 
 
-def _total(ranged: DataFrame, key: str, value: str, to: str) -> DataFrame:
+def _total(ranged: DataFrame, rows: int, ranges: int, key: str, value: str, to: str, most: int) -> DataFrame:
+    if rows <= most:  # one range, of most rows at most; null keys come first
+        return ranged.withColumn(to, F.sum(value).over(Window.orderBy(F.asc_nulls_first(key)).rowsBetween(Window.unboundedPreceding, 0))).drop("__range")
     totals = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    before = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__base"))  # a row a range
+    if ranges > most:
+        upto = running_total(once(totals.withColumnRenamed("__range", "__inner")), "__inner", "__sum", "__upto", most)
+        base = upto.select(F.col("__inner").alias("__range"), (F.col("__upto") - F.col("__sum")).alias("__base"))
+    else:
+        before = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+        base = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__base"))
     own = F.sum(value).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__own", own).join(F.broadcast(base), "__range").withColumn(to, F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")
+    met = ranged.withColumn("__own", own).join(_few(base, ranges <= FEW_TOTALS), "__range")
+    return met.withColumn(to, F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")
 
 
-def row_numbers(df: DataFrame, key: str, to: str = "row_number") -> DataFrame:
+def row_numbers(df: DataFrame, key: str, to: str = "row_number", most: int = ROWS) -> DataFrame:
     """df with 1 .. n by ascending unique key, rows without a key first."""
-    return running_total(df.withColumn("__one", F.lit(1).cast("bigint")), key, "__one", to).drop("__one")
+    return running_total(df.withColumn("__one", F.lit(1).cast("bigint")), key, "__one", to, most).drop("__one")
 
 
-def contiguous(df: DataFrame, key: str, slices: int, to: str = "clique_idx") -> DataFrame:
+def contiguous(df: DataFrame, key: str, slices: int, to: str = "clique_idx", most: int = ROWS) -> DataFrame:
     """df with a slice number: n div k rows each by ascending key, the last one takes the rest; all in the last if n < k."""
-    ranged, rows = _ranged(df.withColumn("__one", F.lit(1).cast("bigint")), key)
+    ranged, rows, ranges = _ranged(df.withColumn("__one", F.lit(1).cast("bigint")), key, most)
     each = rows // slices
     number = F.floor((F.col("__rn") - 1) / each) if each else F.lit(slices - 1)
-    numbered = _total(ranged, key, "__one", "__rn")
+    numbered = _total(ranged, rows, ranges, key, "__one", "__rn", most)
     return numbered.withColumn(to, F.least(number, F.lit(slices - 1)).cast("int")).drop("__rn", "__one")
 
 
@@ -109,10 +145,34 @@ def range_starts_of(placed: DataFrame, slices: int) -> DataFrame:
     return found.select("i", F.when(F.col("i") == 0, 0).otherwise(F.coalesce("pos", F.lit(total))).cast("bigint").alias("start"))
 
 
-def slice_of(pos: Column, starts: DataFrame) -> Column:
-    """The last slice that starts at or before a place; ``starts`` has a row for each slice."""
-    known = [r["start"] for r in starts.orderBy("i").select("start").collect()]
-    return (F.size(F.filter(F.expr(_numbers(known)), lambda s: s <= pos)) - 1).cast("int")
+def slice_cuts(starts: DataFrame, slice_column: str = "clique_idx") -> DataFrame:
+    """The last place of each slice that isn't empty, as route() takes it, from the slices' starts (a row a slice)."""
+    end = F.coalesce(F.lead("start").over(Window.orderBy("i")), F.lit(2**63 - 1))
+    return starts.withColumn("end", end).where("start < end").select(F.col("i").alias(slice_column), (F.col("end") - 1).alias("last_node"))
+
+
+def slice_ends(placed: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """(clique_idx, last_node): the last key of each slice that isn't empty, from (key, pos) of each key and the slices' starts."""
+    keys = placed.select(F.col(key).alias("__key"), "pos")
+    return route(keys, slice_cuts(starts), "pos").groupBy("clique_idx").agg(F.max("__key").alias("last_node"))
+
+
+def dealt(rows: DataFrame, ends: DataFrame, key: str, slices: int, to: str = "slice") -> DataFrame:
+    """rows physically dealt to the slices that own their keys, slice i in partition i, sorted by key; ``to`` is the slice.
+
+    The number of the slice is the number of the partition: one exchange, none of samples, and what is grouped by ``to`` later moves no more.
+    A key lies in one slice as a whole; null keys are in the first.
+    """
+    owned = route(rows, ends.withColumnRenamed("clique_idx", to), key, to).withColumn(to, F.coalesce(to, F.lit(0)))
+    return owned.repartitionById(slices, to).sortWithinPartitions(key)
+
+
+def by_slices(rows: DataFrame, key: str, slices: int, to: str = "slice") -> DataFrame:
+    """rows dealt to exact key-aligned slices of about as many rows each (see range_starts); rows are kept on the way."""
+    kept = once(rows)
+    counts = once(kept.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    placed = once(running_total(counts, key, "n", "__stop").select(key, "n", (F.col("__stop") - F.col("n")).alias("pos")))
+    return dealt(kept, slice_ends(placed, range_starts_of(placed, slices), key), key, slices, to)
 
 
 def by_range(df: DataFrame, key: str, slices: int) -> DataFrame:
@@ -123,18 +183,27 @@ def by_range(df: DataFrame, key: str, slices: int) -> DataFrame:
 def route(ids: DataFrame, last: DataFrame, key: str = "node_id", slice_column: str = "clique_idx") -> DataFrame:
     """Each id to the slice that owns it: the one of smallest last key not below the id.
 
-    ``last`` has a row for each slice, MOST_SLICES at most. An id above all last keys, and a null one, has no owner: null.
+    ``last`` has a row for each slice, however many; of slices with one last key the smallest number counts. An id
+    above all last keys, and a null one, has no owner: null. ``last`` is read twice.
     """
-    rows = last.select(slice_column, "last_node").where("last_node is not null").orderBy("last_node", slice_column).limit(MOST_SLICES + 1).collect()
-    if len(rows) > MOST_SLICES:
-        raise ValueError(f"more than {MOST_SLICES} slices")
-    owners = [int(r[0]) for r in rows]
-    parts = [rows[i : i + 64] for i in range(0, len(rows), 64)] or [[]]
-    part = _below(F.expr(_numbers([p[-1][1] for p in parts if p])), F.col(key))
-    all_ = F.expr(f"array({', '.join(_numbers([x[1] for x in p]) for p in parts)})")
-    inside = _below(F.coalesce(F.get(all_, part), F.array().cast("array<bigint>")), F.col(key))
-    owner = F.get(F.expr(_numbers(owners, "int")), part * 64 + inside)
-    return ids.withColumn(slice_column, F.when(F.col(key).isNotNull(), owner))
+    owners = last.where("last_node IS NOT NULL").groupBy("last_node").agg(F.min(slice_column).alias("__owner"))
+    n = owners.count()
+    bins = row_numbers(owners if n <= ROWS else once(owners), "last_node", "__no").select("last_node", "__owner", F.floor((F.col("__no") - 1) / FAN).alias("__bin"))
+    bins = bins.groupBy("__bin").agg(F.array_sort(F.collect_list(F.struct("last_node", "__owner"))).alias("__bounds"))
+    tree, count = [bins], -(-n // FAN)
+    while count > 1:
+        above = tree[-1].select(F.element_at("__bounds", -1)["last_node"].alias("last_node"), "__bin")
+        above = above.groupBy(F.floor(F.col("__bin") / FAN).alias("__up")).agg(F.array_sort(F.collect_list(F.struct("last_node", "__bin"))).alias("__bounds"))
+        tree.append(above.withColumnRenamed("__up", "__bin"))
+        count = -(-count // FAN)
+    out = ids.withColumn("__bin", F.lit(0).cast("bigint"))  # from the one bin of the uppermost level down
+    for depth, level in enumerate(reversed(tree)):
+        few = FAN**depth <= FEW_BINS
+        out = out.join(_few(level.withColumnRenamed("__bin", "__b"), few), F.col("__bin") == F.col("__b"), "left")
+        found = F.get("__bounds", F.size(F.filter("__bounds", lambda b: b["last_node"] < F.col(key))))
+        inner = found["__owner" if depth == len(tree) - 1 else "__bin"]
+        out = out.withColumn("__bin", F.when(F.col(key).isNotNull(), inner)).drop("__b", "__bounds")
+    return out.withColumn(slice_column, F.col("__bin").cast(last.schema[slice_column].dataType)).drop("__bin")
 
 
 def inbox(messages: DataFrame, key: str = "node_id", message: str = "message") -> DataFrame:

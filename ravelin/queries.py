@@ -135,8 +135,38 @@ def part_sorted(spark, sf_dir):
     """Each key's place in the sorted emissions and the slice that holds it."""
     counts = P.once(_key_counts(spark, sf_dir))
     placed = P.once(P.running_total(counts, "key", "n", "stop").select("key", "n", (F.col("stop") - F.col("n")).alias("pos")))
-    starts = P.range_starts_of(placed, R)
-    return placed.withColumn("part", P.slice_of(F.col("pos"), starts))
+    return P.route(placed, P.slice_cuts(P.range_starts_of(placed, R), "part"), "pos", "part")
+
+
+def part_dealt(spark, sf_dir):
+    """The emissions dealt to the exact slices: of each key in each partition how many rows lie there, and where the first and last do.
+
+    Places are counted in the partitions as they were dealt, behind where the slice starts.
+    """
+    emitted = P.once(row_distinct(spark, sf_dir).select("row_id", F.col("term").alias("key")))
+    lies = (F.col("__n") - F.shiftleft(F.col("part").cast("bigint"), 33)).alias("at")
+    rows = P.once(P.by_slices(emitted, "key", R).select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("__n")))
+    starts = P.range_starts(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "n", R)
+    runs = rows.select("key", "part", lies).groupBy("key", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("at").alias("a"), F.max("at").alias("b"))
+    met = runs.join(F.broadcast(starts), F.col("part") == F.col("i"))  # a row a slice
+    return met.select(F.col("part").alias("slice"), "key", "n_rows", (F.col("start") + F.col("a")).alias("first_pos"), (F.col("start") + F.col("b")).alias("last_pos"))
+
+
+def _orders(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("node_id"))
+
+
+def route_many(spark, sf_dir):
+    """Items to the owners of their orders: 300 slices, looked up in a tree of two levels."""
+    last = P.last_keys(P.contiguous(P.once(_orders(spark, sf_dir).distinct()), "node_id", 300), "node_id")
+    items = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("node_id"), "l_linenumber")
+    return P.route(items, last).groupBy("clique_idx").agg(F.count(F.lit(1)).alias("n_items"), F.min("node_id").alias("least"), F.max("node_id").alias("most"))
+
+
+def running_items(spark, sf_dir):
+    """Items up to each order, by a scan in as many levels as ranges of about 200 orders take."""
+    items = terms(spark, sf_dir).groupBy("row_id").agg(F.count(F.lit(1)).alias("n"))
+    return P.running_total(P.once(items), "row_id", "n", "upto", most=200)
 
 
 def _stripes(spark, sf_dir):
@@ -257,7 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_vectors, vector_stats, row_term_counts, row_distinct, run_lengths, run_bounds, count_bits, array_slice, gather, scatter, argsort,
-        contig_split, graph_split, clique_last_nodes, emission_counts, range_bounds, part_sorted,
+        contig_split, graph_split, clique_last_nodes, emission_counts, range_bounds, part_sorted, part_dealt, route_many, running_items,
         stripe_emit, stripe_padded, stripe_unfold, cooc_pairs, cooc, cooc_by_pairs, cooc_padded, cooc_wrapped,
         adjacency, sssd_init, bsp_messages, bsp_inbox, bsp_combine, bsp_route, bsp_update, bsp_votes, bsp_step1, bsp_step2, bsp_step3, sssd,
         share_reconstruct, share_sum,
@@ -293,6 +323,9 @@ ORACLES = {
     "emission_counts": f"WITH {_RC}, {_ROWS}, c AS (SELECT slice, count(*) AS n FROM rc JOIN split USING (row_id) GROUP BY ALL) SELECT slice, n, CAST(sum(n) OVER (ORDER BY slice) AS BIGINT) AS stop FROM c",
     "range_bounds": f"WITH {_KEYS} SELECT * FROM starts",
     "part_sorted": f"WITH {_KEYS} SELECT key, n, pos, max(i) AS part FROM placed JOIN starts ON start <= pos GROUP BY ALL",
+    "part_dealt": f"WITH {_KEYS} SELECT CAST(max(i) AS INTEGER) AS slice, key, n AS n_rows, pos AS first_pos, pos + n - 1 AS last_pos FROM placed JOIN starts ON start <= pos GROUP BY key, n, pos",
+    "route_many": "WITH ids AS (SELECT DISTINCT o_orderkey AS k FROM orders), split AS (SELECT k, CAST(least(CASE WHEN n // 300 = 0 THEN 299 ELSE (rn - 1) // (n // 300) END, 299) AS INTEGER) AS clique_idx FROM (SELECT k, row_number() OVER (ORDER BY k) AS rn, count(*) OVER () AS n FROM ids)), last AS (SELECT clique_idx, max(k) AS last_node FROM split GROUP BY ALL), item AS (SELECT l_orderkey AS node_id FROM lineitem) SELECT clique_idx, count(*) AS n_items, min(node_id) AS least, max(node_id) AS most FROM item ASOF LEFT JOIN last ON node_id <= last_node GROUP BY ALL",
+    "running_items": f"WITH {_TV} SELECT row_id, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY row_id) AS BIGINT) AS upto FROM tv GROUP BY row_id",
     "stripe_emit": f"WITH {_CUT} SELECT row_id, key, pos, term, cnt FROM cut",
     "stripe_padded": f"WITH {_PADDED} SELECT * FROM padded",
     "stripe_unfold": f"WITH {_PADDED} SELECT * FROM padded",

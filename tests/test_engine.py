@@ -222,7 +222,7 @@ def test_ranges_follow_the_keys(spark):
     got = rows_of_numbers(P.row_numbers(df, "id"))
     assert sorted(n for _, n in got) == list(range(1, len(keys) + 1))
     assert [k for k, _ in got if k is not None] == sorted(k for k in keys if k is not None)
-    ranged, rows = P._ranged(df, "id")
+    ranged, rows, _ = P._ranged(df, "id", 30)
     assert rows == len(keys) and max(r["count"] for r in ranged.groupBy("__range").count().collect()) <= 40
     assert P.row_numbers(df.limit(0), "id").count() == 0
     assert sum(r["s"] == 3 for r in P.contiguous(df, "id", 4, "s").collect()) == 1005 - 3 * 251
