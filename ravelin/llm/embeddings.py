@@ -54,10 +54,16 @@ class Model:
         return float(np.arccos(max(1 - (1 - least) / max(self.spread, 1e-9), 0.0)) / np.pi)
 
 
-def learn(x: np.ndarray, rounds: int = 30, seed: int = 7) -> Model:
-    """x: rows of length 1. One rotation is learned, the others are random; each has as many bits as x has dimensions, 64 at most."""
+def learn(x: np.ndarray, rounds: int = 30, seed: int = 7, least: float = 0.95) -> Model:
+    """x: rows of length 1. One rotation is learned, the others are random; each has as many bits as x has dimensions, 64 at most.
+
+    The vectors are centred for balanced bits, unless many lie so near to their mean that it would cut apart what is linked:
+    seen from it, links would have wide angles. Their angles at the origin never have.
+    """
     bits = min(64, x.shape[1])
     mean = x.mean(0)
+    if np.quantile(((x - mean) ** 2).sum(1), 0.1) < 4 * (1 - least):
+        mean = np.zeros_like(mean)
     _, basis = np.linalg.eigh((x - mean).T @ (x - mean))
     basis = basis[:, ::-1][:, :bits]
     z = (x - mean) @ basis
@@ -97,14 +103,10 @@ def _unit(blobs: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(spark: SparkSession, vectors: DataFrame, dim: int, most_rows: int = 8192) -> Model | None:
+def fit(spark: SparkSession, vectors: DataFrame, dim: int, most_rows: int = 8192, least: float = 0.95) -> Model | None:
     """From at most ``most_rows`` vectors, those of smallest hash of their id."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(most_rows).select("vector").toArrow()
-    return learn(_unit(rows["vector"], dim)) if rows.num_rows else None
-
-
-#: Distinct vectors of one length up to which all of them are compared, in one task.
-FEW = 2000
+    return learn(_unit(rows["vector"], dim), least=least) if rows.num_rows else None
 
 
 def near(spark: SparkSession, df: DataFrame, least: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -114,7 +116,8 @@ def near(spark: SparkSession, df: DataFrame, least: float = 0.95, vec_id: str =
     A row for each row of df. Vectors that are null, zero or hold a null or a component that isn't finite link with
     nothing; vectors link with those of their own length. Rows without an id link with nothing and are kept. Other columns are not
     read. Links that are missed are those of more than one bit's difference in every table, at
-    the least cosine about 1 - RECALL of them; of a length of FEW or fewer distinct vectors none is missed.
+    the least cosine about 1 - RECALL of them, of few vectors as of many. An empty table gives no row. Equal vectors, however many
+    rows have them, are one entry; of equal ids each row counts.
     """
     raw = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     fine = F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
@@ -127,9 +130,8 @@ def near(spark: SparkSession, df: DataFrame, least: float = 0.95, vec_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v) for v in made], pa.int32()), pa.array([v.tobytes() for v in made], pa.binary())], ["id", "n", "dim", "vector"])
 
     vectors = common.durable(spark, classes.select("id", "n", "e").mapInArrow(pack, "id bigint, n bigint, dim int, vector binary"), "vectors")
-    sizes = vectors.groupBy("dim").count().where(F.col("count") > FEW).orderBy("dim").collect()  # a row for each length of many vectors
-    rest = vectors.where(~F.col("dim").isin([r["dim"] for r in sizes])) if sizes else vectors
-    found = common.durable(spark, rest.groupBy("dim").applyInArrow(_all_links(least), "id bigint, links bigint, root bigint"), "links")
+    sizes = vectors.groupBy("dim").count().where("count > 1").orderBy("dim").collect()  # a row for each length that two vectors or more have
+    found = spark.createDataFrame([], "id bigint, links bigint, root bigint")
     for r in sizes:
         found = found.unionByName(_links(spark, vectors.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], least))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -145,29 +147,10 @@ def near(spark: SparkSession, df: DataFrame, least: float = 0.95, vec_id: str =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _all_links(least: float):
-    """All links among the vectors of a length that few have."""
-
-    def links(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("id")
-        ids, n = group["id"].to_numpy(), group["n"].to_numpy()
-        x = _unit(group["vector"], group["dim"][0].as_py()) if group.num_rows else np.zeros((0, 1))
-        hit = x @ x.T >= least
-        np.fill_diagonal(hit, False)
-        of = np.arange(len(ids))
-        for i, row in enumerate(hit):
-            if row.any():
-                roots = np.unique(of[np.append(np.flatnonzero(row), i)])
-                of[np.isin(of, roots)] = roots[0]
-        return pa.table({"id": ids, "links": hit @ n, "root": ids[of]})
-
-    return links
-
-
 def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> DataFrame:
     """(id, links: rows of other classes linked with it, root: an id that it is linked with, or its own), several rows an id."""
     n = vectors.count()
-    model = fit(spark, vectors, dim)
+    model = fit(spark, vectors, dim, least=least)
     share = model.share(least) if n else 0.0
     cuts = plan(n, share)
     tables, width = cuts.shape
@@ -178,15 +161,15 @@ def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> D
         place = 1 << np.arange(width)
         for batch in batches:
             bits, codes = known.value.codes(_unit(batch.column(2), dim)) if batch.num_rows else (np.zeros((0, BITS), np.uint8), np.zeros((0, 2), np.uint64))
-            values = np.stack([bits[:, cut] @ place for cut in cuts], 1).astype(np.int32)
+            values = np.stack([bits[:, cut] @ place for cut in cuts], 1).astype(np.int64)
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, tables), pa.int32()), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.ascontiguousarray(codes.view(np.int64).T)), values], ["id", "c0", "c1", "values"])
 
-    codes = common.durable(spark, vectors.mapInArrow(enter, "id bigint, c0 bigint, c1 bigint, values array<int>"), "codes")
+    codes = common.durable(spark, vectors.mapInArrow(enter, "id bigint, c0 bigint, c1 bigint, values array<bigint>"), "codes")
     row = ["id", "c0", "c1", "s", "v"]
     members = codes.select("id", "c0", "c1", F.posexplode("values").alias("s", "v"))
     # values one bit apart have an even and an odd number of bits: the even one is looked up
-    flips = F.array(*[F.col("v").bitwiseXOR(F.lit(1 << b)) for b in range(width)])
+    flips = F.array(*[F.col("v").bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(width)])
     probes = members.where(F.bit_count("v") % 2 == 0).select("id", "c0", "c1", "s", F.explode(flips).alias("v"))
     # a value of more than CHUNK codes is dealt out: its members by hash, and every look-up goes to all its chunks
     hot = members.groupBy("s", "v").count().where(F.col("count") > CHUNK).select("s", "v", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
@@ -201,7 +184,7 @@ def _links(spark: SparkSession, vectors: DataFrame, dim: int, least: float) -> D
     group = F.pmod(F.xxhash64("s", "v", "chunk"), F.lit(groups)).cast("int").alias("g")
     most = int(share * BITS + 5 * math.sqrt(share * (1 - share) * BITS)) + 1
 
-    met = members.unionByName(later).unionByName(probes).withColumn("g", group).groupBy("g").applyInArrow(_meeting(masks, most), "id bigint, c0 bigint, c1 bigint, s int, v int, chunk int, member boolean")
+    met = members.unionByName(later).unionByName(probes).withColumn("g", group).groupBy("g").applyInArrow(_meeting(masks, most), "id bigint, c0 bigint, c1 bigint, s int, v bigint, chunk int, member boolean")
     met = common.durable(spark, met, "meetings")
     with_vectors = met.join(vectors, "id").withColumn("g", group)
     found = with_vectors.groupBy("g").applyInArrow(_rerank(masks, dim, least), "id bigint, links bigint, root bigint")

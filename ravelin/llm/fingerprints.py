@@ -5,9 +5,9 @@ kept if it lies below a fixed fraction of the hash space, whatever the length of
 document. So the sketch of a union is the union of sketches, and for documents of very
 unequal length the share of the smaller sketch found in the larger estimates containment.
 
-Of a text of few shingles hardly a hash would be kept. Its sketch is whole: all hashes are kept.
-Two whole sketches are compared as they are, exactly; of a whole one and a scaled one, or in a
-union, the hashes below the fraction count.
+The fraction is one for all texts. A text none of whose hashes lies below it is known by its
+smallest hash alone: such a sketch equals that of an equal text, is unlike all others, and gives
+way in a union that has a hash below the fraction.
 """
 
 from __future__ import annotations
@@ -23,17 +23,15 @@ from pyspark.sql import functions as F
 from . import common, textops
 
 WORDS = 5
-FRACTION = 1 / 8
-#: Distinct shingles up to which a sketch is whole.
-FEW = 128
+FRACTION = 1 / 4
 
 
 def _most(fraction: float) -> np.uint64:
     return np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))
 
 
-def sketches(texts: textops.Texts, k: int = WORDS, fraction: float = FRACTION, few: int = FEW) -> list[np.ndarray]:
-    """The sorted distinct retained hashes of each text: all of ``few`` or fewer, else those below the fraction. A text without a word has none."""
+def sketches(texts: textops.Texts, k: int = WORDS, fraction: float = FRACTION) -> list[np.ndarray]:
+    """The sorted distinct retained hashes of each text: those below the fraction, or else the smallest. A text without a word has none."""
     most = _most(fraction)
     out: list[np.ndarray] = []
     for first, end in texts.groups():
@@ -50,38 +48,36 @@ def sketches(texts: textops.Texts, k: int = WORDS, fraction: float = FRACTION, f
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
         hashes, text = hashes[new], text[new]
-        keep = (np.bincount(text, minlength=end - first) <= few)[text] | (hashes <= most)
+        least = np.ones(len(text), bool)
+        least[1:] = text[1:] != text[:-1]
+        keep = least | (hashes <= most)
         hashes, text = hashes[keep], text[keep]
         out += np.split(hashes, np.searchsorted(text, np.arange(1, end - first)))
     return out
 
 
-def _comparable(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
-    """Both as they are if both are whole, else their hashes below the fraction."""
+def _shared(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[int, int, int]:
+    """Hashes below the fraction that both hold, and how many each has."""
     most = _most(fraction)
-    if len(a) and len(b) and (a[-1] <= most or b[-1] <= most):
-        return a[: np.searchsorted(a, most, "right")], b[: np.searchsorted(b, most, "right")]
-    return a, b
+    a, b = a[: np.searchsorted(a, most, "right")], b[: np.searchsorted(b, most, "right")]
+    return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
 
 
 def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
-    """Share of the smaller sketch that the other holds. 1 for two texts without a word, 0 if one has none or no hash can be compared; equal sketches: 1."""
-    if len(a) == len(b) and (a == b).all():
+    """Share of the smaller sketch that the other holds: 1 for equal sketches, those of two texts without a word included, 0 if
+    one of two different ones has no hash below the fraction."""
+    if np.array_equal(a, b):
         return 1.0
-    a, b = _comparable(a, b, fraction)
-    if not len(a) or not len(b):
-        return 0.0
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    both, n, m = _shared(a, b, fraction)
+    return both / min(n, m) if n and m else 0.0
 
 
 def resemblance(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
     """Share of the union of two sketches that both hold; 1 for equal ones."""
-    if len(a) == len(b) and (a == b).all():
+    if np.array_equal(a, b):
         return 1.0
-    a, b = _comparable(a, b, fraction)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    union = len(a) + len(b) - both
-    return both / union if union else 0.0
+    both, n, m = _shared(a, b, fraction)
+    return both / (n + m - both) if n and m else 0.0
 
 
 def as_text(sketch: np.ndarray) -> str:
@@ -93,12 +89,10 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
 
 
-def merge(*many: np.ndarray, fraction: float = FRACTION, few: int = FEW) -> np.ndarray:
-    """The sketch of the texts together (shingles that span two texts aside): that of their union, whole if it has few hashes and all are whole."""
+def merge(*many: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of the texts together (shingles that span two texts aside)."""
     union = np.unique(np.concatenate(many)) if many else np.zeros(0, np.uint64)
-    most = _most(fraction)
-    scaled = any(len(x) and x[-1] <= most for x in many)
-    return union[: np.searchsorted(union, most, "right")] if scaled or len(union) > few else union
+    return union[: max(1, np.searchsorted(union, _most(fraction), "right"))]
 
 
 def fingerprint(df: DataFrame, text: str = "text", k: int = WORDS, fraction: float = FRACTION) -> DataFrame:
@@ -129,11 +123,11 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     document (or all it has). After the last document comes the first. Rows of one doc_id
     follow one another by descending text, null ids come first (as the largest); null text is empty text.
     Rows are dealt by ranges of doc_id; each range gets one further row, the first of the
-    next range, so no task sees more than a range (rows without an id, which are in order of
-    their texts, share one).
+    next range, so no task sees more than a range. Rows without an id are dealt over ranges of
+    their own and follow one another by descending text in each. An empty table gives no row; other columns, whatever their names, are not read.
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt, _, _ = common.in_ranges(spark, d, "doc_id", "text")
+    dealt, _, _ = common.in_ranges(spark, d, "doc_id", "text", spread=True)
     # a row for each range: as many as there are bounds
     largest = F.max(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     used = sorted((r[0], r[1]["doc_id"]) for r in dealt.groupBy("__shard").agg(largest).collect())

@@ -430,6 +430,21 @@ def test_op7(spark, tmp_path):
     assert all((got[400 + k]["n_links"], got[400 + k]["component_id"]) == (0, 400 + k) for k in range(len(bad)))
 
 
+def test_op7_on_clustered_vectors(spark, tmp_path):
+    """3600 vectors in clusters around a common mean: at least nine tenths of all links of 0.95 and more, and none below."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(120, 48)) + 1.5 * rng.normal(size=48)
+    rows = [(k, (centres[k % 120] + rng.normal(size=48) * (0.15 + 0.2 * (k % 4))).tolist()) for k in range(3600)]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r for r in result(spark, "op7_embeddings", str(tmp_path))}
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    there, found = want.sum(), sum(r["n_links"] for r in got.values())
+    assert there > 10_000 and 0.9 * there <= found <= there
+    assert all(got[i]["n_links"] <= want[i] for i in got)
+
+
 def test_components(spark):
     from ravelin.llm.components import connected
 

@@ -146,13 +146,12 @@ def test_fingerprints_are_plain_sets(spark):
         hashes = set()
         for g in grams:
             hashes.add(int(textops.shingles(np.array([hash_of(x) for x in g], np.uint64), len(g))[0]))
-        return hashes if len(hashes) <= 128 else {h for h in hashes if h <= 2**61}
+        return {h for h in hashes if h <= 2**62} or set(sorted(hashes)[:1])
 
     def like(a, b):
         if a == b:
             return 1.0
-        if a and b and (max(a) <= 2**61 or max(b) <= 2**61):
-            a, b = {h for h in a if h <= 2**61}, {h for h in b if h <= 2**61}
+        a, b = {h for h in a if h <= 2**62}, {h for h in b if h <= 2**62}
         return len(a & b) / min(len(a), len(b)) if a and b else 0.0
 
     docs = spark.createDataFrame([(i, t) for i, t in rows.items()], "doc_id bigint, text string")
@@ -182,13 +181,43 @@ def test_merged_sketches_are_those_of_the_union():
         parts = [" ".join(rng.choice(words, n)) for n in sizes]
         made = fingerprints.sketches(textops.Texts(pa.array(parts)))
         union = fingerprints.merge(*made)
-        whole = [fingerprints.sketches(textops.Texts(pa.array([p])), few=10**9)[0] for p in parts]
+        whole = [fingerprints.sketches(textops.Texts(pa.array([p])), fraction=1)[0] for p in parts]
         want = np.unique(np.concatenate(whole))
-        want = want if all(len(w) <= 128 for w in whole) and len(want) <= 128 else want[want <= np.uint64(2**61)]
+        want = want[want <= np.uint64(2**62)]
         assert np.array_equal(union, want) and np.array_equal(fingerprints.from_text(fingerprints.as_text(union)), union)
         assert fingerprints.containment(made[0], union) == 1.0
 
 
+def test_small_sketches_against_plain_sets():
+    """All pairs of small sets of hashes, low and high ones: of what lies below the fraction the likeness is that of sets."""
+    low, high = [5, 6, 7], [2**63, 2**63 + 1]
+    sets = [[x for k, x in enumerate(low + high) if bits >> k & 1] for bits in range(32)]
+    kept = [sorted(x for x in s if x in low) or s[:1] for s in sets]
+    for a, x in zip(kept, sets, strict=True):
+        for b in kept:
+            p, q = (np.array(v, np.uint64) for v in (a, b))
+            m, n = set(a) & set(low), set(b) & set(low)
+            want = (len(m & n) / len(m | n), len(m & n) / min(len(m), len(n))) if m and n else (1.0, 1.0) if a == b else (0.0, 0.0)
+            assert (fingerprints.resemblance(p, q), fingerprints.containment(p, q)) == want, (x, a, b)
+            union = fingerprints.merge(p, q).tolist()
+            assert union == (sorted(m | n) or sorted({*a, *b})[:1])
+
+
+def test_rows_without_ids_stand_in_ranges(spark, monkeypatch):
+    """Many rows without an id: each is compared with one other, in descending order of their texts within a range, and none is lost."""
+    real = fingerprints.common.in_ranges
+    monkeypatch.setattr(fingerprints.common, "in_ranges", lambda *a, **b: real(*a, **b, least=3000, most=3000))
+    texts = [f"row {k} " + "of many words " * 10 for k in range(300)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(k, f"with id {k} " * 30) for k in range(40)], "doc_id bigint, text string").repartition(4)
+    got = fingerprints.compare_with_next(spark, df).collect()
+    assert len(got) == 340 and sum(r["doc_id"] is None for r in got) == 300
+    by_id = {r["doc_id"]: r["edited_sha256"] for r in got if r["doc_id"] is not None}
+    for k in range(1, 40):
+        t, after = f"with id {k} " * 30, f"with id {k - 1} " * 30
+        half = len(t) // 2
+        assert by_id[k] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+
+
 def test_vectors_of_every_length_link(spark, tmp_path):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(20)] + [(100 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(4)] + [(200, [1.0, 2.0, 3.0, 4.001]), (201, [5.0]), (202, [2.0]), (None, [1.0, 2.0, 3.0, 4.0])]
