@@ -206,6 +206,10 @@ def phrases(model: Model, texts: textops.Texts, first: int, end: int, kinds: np.
     return total, letters
 
 
+#: Stretches that stand for a text too long to learn from whole.
+STRETCHES = 16
+
+
 def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 64, most_chars: int = 24_000) -> Model:
     """Learn from a bounded sample of the documents of each non-null lang; held-out rows, null texts and null langs are not used.
 
@@ -223,11 +227,14 @@ def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 64, most_chars: i
     chosen, so_far = [], dict.fromkeys(languages, 0)
     for r in sorted(ranked, key=lambda r: (r["lang"], r["rank"])):
         if r["rank"] == 1 or so_far[r["lang"]] + r["n"] <= share:
-            so_far[r["lang"]] += r["n"]
+            so_far[r["lang"]] += min(r["n"], share)
             chosen.append((r["doc_id"], r["lang"], r["rank"]))
     schema = T.StructType([known.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("rank", T.IntegerType())])
     picked = F.broadcast(spark.createDataFrame(chosen, schema))
-    rows = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("lang", "rank", "text").collect()
+    n, each = F.char_length("text"), max(1, share // STRETCHES)
+    step = (n - each) / (STRETCHES - 1)
+    stretches = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring("text", (i * step).cast("int") + 1, F.lit(each))), " ")
+    rows = known.join(picked, ["doc_id", "lang"]).select("lang", "rank", F.when(n > share, stretches).otherwise(F.col("text")).alias("text")).distinct().collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
         samples[r["lang"]] = samples.get(r["lang"], "") + " " + r["text"]

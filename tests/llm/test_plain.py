@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +126,14 @@ def test_language_samples_are_whole_documents(spark, monkeypatch):
     language.fit(spark, docs)
     texts = {lang: {t for _, t, own in rows if own == lang and t} for lang in ("l0", "l1", "l2", "only-long")}
     assert set(seen) == set(texts)
+    stretches = seen.pop("only-long").split()  # longer than the whole sample may be: parts of one text, from its beginning to its end
+    assert len(stretches) == language.STRETCHES and len({x[0] for x in stretches}) == 1 and 23_000 < sum(map(len, stretches)) <= 24_000
     for lang, sample in seen.items():
         rest, used = sample, 0
         while rest:
             t = max((t for t in texts[lang] if rest[1:] == t or rest[1:].startswith(t + " ")), key=len)
             rest, used = rest[1 + len(t) :], used + 1
-        assert used == 1 if lang == "only-long" else used >= 4 and len(sample) <= 24_000 + 64
+        assert used >= 4 and len(sample) <= 24_000 + 64
 
 
 def test_fingerprints_are_plain_sets(spark):
@@ -188,6 +191,21 @@ def test_merged_sketches_are_those_of_the_union():
         assert fingerprints.containment(made[0], union) == 1.0
 
 
+def test_languages_of_one_giant_text(spark):
+    """Of a language with a single text of 5 million characters the driver gets a bounded part, from all over it."""
+    rng = np.random.default_rng(13)
+    stock = {"aa": ["toki", "pona", "jan", "suli", "kama"], "bb": ["ghrx", "vlod", "zemn", "krtek", "smrt"], "cc": ["lumea", "noua", "este", "mare", "azi"]}
+    giant = {k: " ".join(rng.choice(v, 900_000)) + f" end{k}" for k, v in stock.items()}
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(ids[k], giant[lang], lang) for k, lang in enumerate(giant)], "doc_id bigint, text string, lang string")
+    model = language.fit(spark, docs)
+    assert model.languages and all(len(giant[lang]) > 4_000_000 for lang in giant)
+    texts = [(lang, " ".join(rng.choice(v, 12))) for lang, v in stock.items() for _ in range(5)]
+    asked = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in sorted(language.predict(spark, asked, model).collect(), key=lambda r: r["doc_id"])] == [lang for lang, _ in texts]
+    assert model.table.nbytes < 64 << 20
+
+
 def test_small_sketches_against_plain_sets():
     """All pairs of small sets of hashes, low and high ones: of what lies below the fraction the likeness is that of sets."""
     low, high = [5, 6, 7], [2**63, 2**63 + 1]
