@@ -39,6 +39,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?)]*)")
 #: Pairs of tokens and words that a worker remembers at most (memory, not results).
 MOST_PAIRS, MOST_WORDS = 400_000, 200_000
+#: Code points of a word up to which other endings are put to the library.
+SHORT = 48
+
+
+def _kind(c: str) -> str:
+    """Letters, digits and others make words of their own."""
+    kind = unicodedata.category(c)[0]
+    return kind if kind in "LN" else "O"
 
 
 class PrefixCounts:
@@ -191,7 +199,7 @@ class PrefixCounts:
     def _ordinary(self, text: str, base: int) -> list[int]:
         low = "".join(map(str.lower, text))
         if len(low) != len(text) or _DOUBTFUL.search(text) or not unicodedata.is_normalized("NFC", text):
-            return [base + self._encoded(text[:k]) for k in range(1, len(text) + 1)]  # letters that change one another
+            return self._changing(text, base)
         out: list[int] = []
         words = _ASCII.findall(low) if self._pattern and low.isascii() else [low[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(low)]
         for word in words:
@@ -204,6 +212,112 @@ class PrefixCounts:
                 out += [before + n for n in self._along(word)]
         return out
 
+    def _changing(self, text: str, base: int) -> list[int]:
+        """As _ordinary, of characters that change one another or become several.
+
+        The text is cut into clusters, each of which changes by itself: a prefix that ends with a cluster is a prefix of
+        the changed text, and is counted along its words. One that ends inside a cluster ends in other letters, which
+        go on from the states of the word before them, so nothing before them is encoded again.
+        """
+        made, bounds = self._clusters(text)
+        whole = "".join(made)
+        if not self._pattern or not self._library.normalizer or self._library.normalizer.normalize_str(text) != whole:
+            return [base + self._encoded(text[:k]) for k in range(1, len(text) + 1)]  # white space that is no space to all
+        counts, words = [base], []  # counts: of each prefix of the changed text; words: where each begins, its states
+        for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(whole):
+            counts += [counts[-1]] * (a + 1 - len(counts))  # what isn't in a word counts nothing
+            word, before = whole[a:b], counts[-1]
+            if len(word) > 2 and word[0] == "'" and word[1].isalpha():
+                states, along = None, [self._encoded(word[:k]) for k in range(1, len(word) + 1)]
+            else:
+                states, along = self._stated(word)
+            words.append((a, before, states))
+            counts += [before + n for n in along]
+        counts += [counts[-1]] * (len(whole) + 1 - len(counts))
+        out, at, of = [], 0, -1
+        for k, cluster in enumerate(made):
+            own = text[bounds[k] : bounds[k + 1]]
+            while of + 1 < len(words) and words[of + 1][0] < at:
+                of += 1
+            for n in range(1, len(own)):  # before the cluster's end
+                out.append(self._ending(whole, at, self._normal(own[:n]), words[of] if of >= 0 else (0, base, None)))
+            at += len(cluster)
+            out.append(counts[at])
+        return out
+
+    def _normal(self, text: str) -> str:
+        return self._library.normalizer.normalize_str(text) if self._library.normalizer else text
+
+    def _clusters(self, text: str) -> tuple[list[str], list[int]]:
+        """The changed text of each cluster, and where each begins (and the last one ends)."""
+        made, bounds, now = [], [0], text[:1]
+        for i, c in enumerate(text[1:], 1):
+            if not unicodedata.combining(c) and self._normal(now[-8:] + c) == self._normal(now[-8:]) + self._normal(c):
+                made.append(self._normal(now))
+                bounds.append(i)
+                now = c
+            else:
+                now += c
+        return [*made, self._normal(now)], [*bounds, len(text)]
+
+    def _stated(self, word: str) -> tuple[tuple, list[int]]:
+        """(the states along a word, tokens of its first 1 .. n code points)."""
+        units = [self._char[b] for b in word.encode()]
+        ends = np.cumsum([len(c.encode()) for c in word]).tolist()
+        count, last = [0], [""]
+        found = self._on("".join(units), count, last, set(ends))
+        return (units, [0, *ends], count, last), found
+
+    def _on(self, text: str, count: list[int], last: list[str], ends: set[int]) -> list[int]:
+        """Goes on along text from the states of its beginning; tokens of what ends at each of ``ends``."""
+        out = []
+        for i in range(len(count), len(text) + 1):
+            inner, tail, n = 0, "", 0
+            for j in range(max(0, i - self._longest), i):
+                token, before = text[j:i], last[j]
+                if not inner and token in self._vocab and self._known((before, token, False)):
+                    inner, tail = count[j] + 1, token
+                if i in ends and not n and token in self._marked and self._known((before, token, True)):
+                    n = count[j] + 1
+                if inner and (n or i not in ends):
+                    break
+            count.append(inner)
+            last.append(tail)
+            if i in ends:
+                out.append(n)
+        return out
+
+    def _known(self, key: tuple[str, str, bool]) -> bool:
+        fit = self._fits.get(key)
+        return self._fit(key) if fit is None else fit
+
+    def _ending(self, whole: str, at: int, other: str, word: tuple) -> int:
+        """Tokens of whole[:at] with other letters behind it; word: the one that letter at - 1 is in, or the last before it."""
+        begin, before, states = word
+        if at - begin <= SHORT or states is None:
+            return before + self._encoded(whole[begin:at] + other)
+        units, ends, count, last = states
+        end = at - begin
+        if end >= len(ends):  # behind the word, and what isn't in one
+            return before + self._encoded_word(states) + self._encoded(whole[begin + len(ends) - 1 : at] + other)
+        kind, same = _kind(whole[at - 1]), 0
+        while same < len(other) and _kind(other[same]) == kind:
+            same += 1
+        more = "".join(self._char[b] for b in other[:same].encode())
+        low, high = max(0, ends[end] - self._longest), ends[end]
+        text = "".join(units[low:high]) + more
+        tail = self._on(text, count[low : high + 1], last[low : high + 1], {len(text)}) if same else [self._at(states, end)]
+        return before + tail[0] + (self._encoded(other[same:]) if same < len(other) else 0)
+
+    def _at(self, states: tuple, end: int) -> int:
+        """Tokens of the first ``end`` code points of a word."""
+        units, ends, count, last = states
+        low, high = max(0, ends[end] - self._longest), ends[end]
+        return self._on("".join(units[low:high]), count[low:high], last[low:high], {high - low})[0]
+
+    def _encoded_word(self, states: tuple) -> int:
+        return self._at(states, len(states[1]) - 1)
+
     def table(self, texts: textops.Texts, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of every prefix of texts first .. end, from 0 code points to all, one text behind the other; where each begins, and one more)."""
         starts, ends, _ = texts.words(first, end, textops.SPACE)

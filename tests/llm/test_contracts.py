@@ -289,6 +289,34 @@ def test_op10_every_prefix(spark):
             assert token_counts.fitting(counts, budget) == max(k for k in range(len(t) + 1) if counts[k] <= budget)
 
 
+def test_op10_letters_that_change_one_another():
+    """Long texts without spaces whose letters compose, decompose or become several: in time that grows with them."""
+    import time
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from ravelin.llm import token_counts
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library, made = Tokenizer.from_file(path), token_counts.PrefixCounts(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = np.random.default_rng(9)
+    letters = ["\uf900", "文", "e\u0301", "e", "\u0301", "İ", "ß", "\u0958", "\u1100\u1161\u11a8", "\u1100", "a\u0323\u0307", "ﬁ", "!", "7", "'s", "'", "\u200b", "Å", "ό", "\u0345"]
+    for n in (3, 12, 90, 160):
+        for _ in range(25):
+            few = rng.choice(letters, 5)
+            text = "".join(rng.choice(few, n))
+            assert made.counts(text).tolist() == [count(text[:k]) for k in range(len(text) + 1)], text
+    for text in ("\uf900" + "\u6587" * 100_000, unicodedata.normalize("NFD", "éàü" * 12_000), "İ" * 30_000):
+        began = time.time()
+        got = made.counts(text)
+        assert time.time() - began < 60, (text[:3], time.time() - began)
+        assert got[-1] == count(text)
+        for k in (1, 2, 3, 777, len(text) // 2, len(text) - 1):
+            assert got[k] == count(text[:k])
+
+
 def test_colliding_words_are_told_apart(monkeypatch):
     """Whatever the hash of words does: here it is their length, then one that sums powers of one base over a Thue-Morse word."""
     from ravelin.llm import textops
