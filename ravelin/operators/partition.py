@@ -167,9 +167,9 @@ def dealt(rows: DataFrame, ends: DataFrame, key: str, slices: int, to: str = "sl
     return owned.repartitionById(slices, to).sortWithinPartitions(key)
 
 
-def by_slices(rows: DataFrame, key: str, slices: int, to: str = "slice") -> DataFrame:
-    """rows dealt to exact key-aligned slices of about as many rows each (see range_starts); rows are kept on the way."""
-    kept = once(rows)
+def by_slices(rows: DataFrame, key: str, slices: int, to: str = "slice", kept: bool = False) -> DataFrame:
+    """rows dealt to exact key-aligned slices of about as many rows each (see range_starts); rows are kept on the way, unless they are by now."""
+    kept = rows if kept else once(rows)
     counts = once(kept.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")))
     placed = once(running_total(counts, key, "n", "__stop").select(key, "n", (F.col("__stop") - F.col("n")).alias("pos")))
     return dealt(kept, slice_ends(placed, range_starts_of(placed, slices), key), key, slices, to)

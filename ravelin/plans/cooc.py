@@ -1,19 +1,22 @@
 """Term co-occurrence: count(j, k) = the multiplicity of k summed over the rows that hold j, for j <> k.
 
 Two plans: stripes (a row's counts travel with each of its terms, with truncation and
-padding as options) and pairs.
+padding as options) and pairs. A hot row, one of very many terms, is no array in one task: cut
+stripes need its first terms only, and whole ones are made tile by tile, a task a pair of tiles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..model import PAD, wrap32
+from ..operators.partition import once
 from .mapreduce import mapreduce
 
-_NONE = "array<struct<term:bigint,cnt:bigint>>"
+#: Terms of a tile of a hot row; one row in SAMPLED is looked at to find hot ones; hot rows up to which their table is broadcast.
+TILE, SAMPLED, FEW_ROWS = 1 << 16, 64, 1 << 16
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
@@ -33,6 +36,51 @@ def stripes(counts: DataFrame, length: int | None = None) -> DataFrame:
     return rows.select("row_id", "kv", F.explode("kv.term").alias("key")).select("row_id", "key", others.alias("stripe"))
 
 
+def hot_rows(terms: DataFrame, tile: int = TILE) -> tuple[DataFrame | None, bool]:
+    """(row_id of rows that may have more than ``tile`` terms, whether they are few); None if there is none.
+
+    A sample tells: of a row beyond the bound it has at least half the rows expected, but for odds of 1 in 10**30 at the
+    usual bound. Which plan a row takes changes nothing in its result.
+    """
+    found = terms.sample(1 / SAMPLED, 7).groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile / SAMPLED / 2)
+    found = once(found.select("row_id").where(F.col("row_id").isNotNull()))
+    many = found.count()
+    return (found if many else None), many <= FEW_ROWS
+
+
+def tiled(counts: DataFrame, length: int | None = None, tile: int = TILE) -> DataFrame:
+    """stripes() for hot rows: (row_id, key, stripe). Whole stripes come in pieces, one for each tile of the row's terms.
+
+    Whole: the terms of a row are dealt to tiles by hash, and each pair of tiles meets once: the keys of the one
+    with the other's counts as an array. Cut: the first length + 1 terms of a row, which Spark selects before it
+    exchanges any, are all that its stripes can hold.
+    """
+    pair = F.struct("term", "cnt")
+    if length is not None:
+        first = counts.withColumn("rank", F.row_number().over(Window.partitionBy("row_id").orderBy("term"))).where(F.col("rank") <= length + 1)
+        heads = first.groupBy("row_id").agg(F.array_sort(F.collect_list(pair)).alias("kv"))  # a row a hot row
+        others = F.slice(F.filter("kv", lambda x: x["term"] != F.col("key")), 1, length)
+        return counts.select("row_id", F.col("term").alias("key")).join(heads, "row_id").select("row_id", "key", others.alias("stripe"))
+    sizes = counts.groupBy("row_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    dealt = counts.join(sizes, "row_id").withColumn("tile", F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    keys = dealt.select("row_id", F.col("tile").alias("a"), F.col("term").alias("key"), every.alias("b"))
+    side = dealt.groupBy("row_id", F.col("tile").alias("b"), "tiles").agg(F.array_sort(F.collect_list(pair)).alias("kv")).select("row_id", "b", "kv", every.alias("a"))
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_pair = lambda df: df.repartition(tasks, "row_id", "a", "b")  # noqa: E731  their work is in what they make, not in the bytes that adaptive execution would put together
+    met = by_pair(keys).join(by_pair(side), ["row_id", "a", "b"])
+    return met.select("row_id", "key", F.filter("kv", lambda x: x["term"] != F.col("key")).alias("stripe")).where(F.size("stripe") > 0)
+
+
+def _split(terms: DataFrame, tile: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that aren't hot, counts of those that are)."""
+    hot, few = hot_rows(terms, tile) if tile else (None, True)
+    if hot is None:
+        return terms, None
+    hot = F.broadcast(hot) if few else hot
+    return terms.join(hot, "row_id", "left_anti"), term_counts(terms.join(hot, "row_id", "left_semi"))
+
+
 def padded(emitted: DataFrame, length: int) -> DataFrame:
     """Stripes filled up with (0, 0) to a fixed length."""
     zero = F.struct(F.lit(PAD).cast("bigint").alias("term"), F.lit(0).cast("bigint").alias("cnt"))
@@ -46,14 +94,17 @@ def reduce_stripes(emitted: DataFrame, wrap: bool = False) -> DataFrame:
     return pairs.groupBy("left", F.col("s.term").alias("right")).agg((wrap32(total) if wrap else total).alias("cnt"))
 
 
-def by_stripes(terms: DataFrame, length: int | None = None, pad: bool = False, wrap: bool = False, partitions: int | None = None) -> DataFrame:
-    """With pad, a key has a row (key, 0, 0) if any of its stripes was shorter than ``length``."""
+def by_stripes(terms: DataFrame, length: int | None = None, pad: bool = False, wrap: bool = False, partitions: int | None = None, tile: int | None = TILE, phases: bool = False) -> DataFrame:
+    """With pad, a key has a row (key, 0, 0) if any of its stripes was shorter than ``length``. tile: terms above which a row is hot; None: no row is."""
 
     def emit(rows: DataFrame) -> DataFrame:
-        out = stripes(term_counts(rows.repartition("row_id")), length)
+        plain, hot = _split(rows, tile)
+        out = stripes(term_counts(plain.repartition("row_id")), length)
+        if hot is not None:
+            out = out.unionByName(tiled(hot, length, tile))
         return padded(out, length) if pad else out
 
-    return mapreduce(terms, emit, lambda e: reduce_stripes(e, wrap), partitions)
+    return mapreduce(terms, emit, lambda e: reduce_stripes(e, wrap), partitions, phases=phases)
 
 
 def without_padding(counts: DataFrame) -> DataFrame:
@@ -68,5 +119,9 @@ def pairs(counts: DataFrame) -> DataFrame:
     return left.join(right, "row_id").where("left <> right").select("row_id", "left", "right", "cnt")
 
 
-def by_pairs(terms: DataFrame) -> DataFrame:
-    return pairs(term_counts(terms.repartition("row_id"))).groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
+def by_pairs(terms: DataFrame, tile: int | None = TILE) -> DataFrame:
+    plain, hot = _split(terms, tile)
+    out = pairs(term_counts(plain.repartition("row_id"))).select("left", "right", "cnt")
+    if hot is not None:
+        out = out.unionByName(tiled(hot, None, tile).select(F.col("key").alias("left"), F.explode("stripe").alias("s")).select("left", F.col("s.term").alias("right"), F.col("s.cnt").alias("cnt")))
+    return out.groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))

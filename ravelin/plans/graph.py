@@ -33,6 +33,6 @@ def checked(node_id: str = "node_id", edges: str = "edges", weights: str = "weig
     return F.when(same, pairs).otherwise(F.raise_error(F.concat(F.lit("edges and weights differ at "), F.col(node_id).cast("string"))))
 
 
-def shortest_distances(vertices: DataFrame, edges: DataFrame, source: int, max_supersteps: int = 10_000, frontier: bool = True) -> tuple[DataFrame, int]:
+def shortest_distances(vertices: DataFrame, edges: DataFrame, source: int, max_supersteps: int = 10_000, frontier: bool = True, hub: int = bsp.HUB) -> tuple[DataFrame, int]:
     """(node_id, state) with 2147483647 for unreachable vertices, and the supersteps taken."""
-    return bsp.run(start(vertices, source), edges.select("src", "dst", "w"), bsp.shortest(), max_supersteps, frontier)
+    return bsp.run(start(vertices, source), edges.select("src", "dst", "w"), bsp.shortest(), max_supersteps, frontier, hub)

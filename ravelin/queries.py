@@ -207,6 +207,15 @@ def cooc_padded(spark, sf_dir):
     return C.by_stripes(terms(spark, sf_dir), L, pad=True)
 
 
+def cooc_tiled(spark, sf_dir):
+    """The same with rows of more than two terms, of those that a sample shows, as hot ones: tile by tile."""
+    return C.by_stripes(terms(spark, sf_dir), tile=2)
+
+
+def cooc_padded_tiled(spark, sf_dir):
+    return C.by_stripes(terms(spark, sf_dir), L, pad=True, tile=2)
+
+
 def cooc_wrapped(spark, sf_dir):
     return C.by_stripes(terms(spark, sf_dir), L, wrap=True, partitions=R)
 
@@ -270,6 +279,11 @@ def sssd(spark, sf_dir):
     return G.shortest_distances(vertices(spark, sf_dir), edges(spark, sf_dir), 0)[0]
 
 
+def sssd_hubs(spark, sf_dir):
+    """The same with every vertex of more than three edges mirrored."""
+    return G.shortest_distances(vertices(spark, sf_dir), edges(spark, sf_dir), 0, hub=3)[0]
+
+
 def share_reconstruct(spark, sf_dir):
     part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_size").cast("bigint").alias("size"))
     shared = shares.share(part, "size", ["node_id"])
@@ -288,8 +302,8 @@ QUERIES = {
     for f in (
         term_vectors, vector_stats, row_term_counts, row_distinct, run_lengths, run_bounds, count_bits, array_slice, gather, scatter, argsort,
         contig_split, graph_split, clique_last_nodes, emission_counts, range_bounds, part_sorted, part_dealt, route_many, running_items,
-        stripe_emit, stripe_padded, stripe_unfold, cooc_pairs, cooc, cooc_by_pairs, cooc_padded, cooc_wrapped,
-        adjacency, sssd_init, bsp_messages, bsp_inbox, bsp_combine, bsp_route, bsp_update, bsp_votes, bsp_step1, bsp_step2, bsp_step3, sssd,
+        stripe_emit, stripe_padded, stripe_unfold, cooc_pairs, cooc, cooc_by_pairs, cooc_padded, cooc_tiled, cooc_padded_tiled, cooc_wrapped,
+        adjacency, sssd_init, bsp_messages, bsp_inbox, bsp_combine, bsp_route, bsp_update, bsp_votes, bsp_step1, bsp_step2, bsp_step3, sssd, sssd_hubs,
         share_reconstruct, share_sum,
     )
 }
@@ -348,5 +362,6 @@ ORACLES = {
     "share_reconstruct": "SELECT p_partkey AS node_id, CAST(p_size AS BIGINT) AS size FROM part",
     "share_sum": "SELECT p_brand, CAST(sum(p_size) % 4294967296 AS BIGINT) AS size FROM part GROUP BY ALL",
 }
-ORACLES["cooc_by_pairs"] = ORACLES["cooc"]
+ORACLES["cooc_by_pairs"] = ORACLES["cooc_tiled"] = ORACLES["cooc"]
+ORACLES["cooc_padded_tiled"], ORACLES["sssd_hubs"] = ORACLES["cooc_padded"], ORACLES["sssd"]
 assert INF == 2147483647  # as in the SQL above

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
@@ -47,3 +50,48 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Tables of this process that go when it ends, by application.
+_SCRATCH: dict[str, set[str]] = {}
+
+
+def _own(spark: SparkSession) -> set[str]:
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = set()
+        atexit.register(_clean_at_end, spark)
+    return _SCRATCH[app]
+
+
+def scratch_folder(spark: SparkSession, name: str = "scratch") -> str:
+    """A path of its own in the shared folder; what is written there goes when the process ends with its session alive, or by clean_scratch."""
+    _own(spark)
+    return f"{shared_folder(spark)}/ravelin-scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_table(spark: SparkSession) -> str:
+    """The name of a table that no one else has; it goes as scratch folders do."""
+    name = f"ravelin_{uuid.uuid4().hex}"
+    _own(spark).add(name)
+    return name
+
+
+def drop_scratch(spark: SparkSession, *names: str) -> None:
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _own(spark).discard(name)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables and folders of this application: once the results are written, nothing reads them."""
+    drop_scratch(spark, *list(_own(spark)))
+    delete_folder(spark, f"{shared_folder(spark)}/ravelin-scratch-{spark.sparkContext.applicationId}")
+
+
+def _clean_at_end(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc:
+        try:
+            clean_scratch(spark)
+        except (Py4JError, OSError):  # the JVM ended first
+            pass

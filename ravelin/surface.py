@@ -6,8 +6,6 @@ the shared one or a table of a name of their own, and read them back.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from .operators import partition as P
 from .plans import cooc as C
 from .plans import graph as G
 from .plans import jobs
-from .session import shared_folder
+from .session import scratch_folder, scratch_table
 from .sources import generators, tables, text
 from .streaming import ingest
 
@@ -26,11 +24,7 @@ K = Q.K
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/ravelin-surface-{uuid.uuid4().hex}"
-
-
-def _name() -> str:
-    return f"ravelin_{uuid.uuid4().hex}"
+    return scratch_folder(spark, "surface")
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -101,7 +95,7 @@ def flat_graph_args(spark, sf_dir):
 
 def upload_vectors(spark, sf_dir):
     """Text to chunks to a table: the first chunk starts it anew, the others are appended."""
-    name, chunks = _name(), P.once(_chunks(spark, sf_dir))
+    name, chunks = scratch_table(spark), P.once(_chunks(spark, sf_dir))
     tables.upload_vectors(spark.createDataFrame([(-1, [1])], model.VECTORS), name, overwrite=True)  # is gone after the first chunk
     for part, _, overwrite in sorted(tuple(r) for r in text.chunk_args(chunks).collect()):
         tables.upload_vectors(chunks.where(F.col("part") == part), name, overwrite)
@@ -110,7 +104,7 @@ def upload_vectors(spark, sf_dir):
 
 def upload_cooc(spark, sf_dir):
     """Co-occurrence all the way: text, numbered lines, chunks, table, pairs."""
-    at, name = _folder(spark), _name()
+    at, name = _folder(spark), scratch_table(spark)
     text.write_vectors(_vectors(spark, sf_dir), at)
     text.write_chunks(text.without_padding(text.numbered_vectors(spark, at)), "row_id", K, f"{at}-chunks")
     tables.upload_vectors(text.read_vector_chunks(spark, f"{at}-chunks"), name, overwrite=True)
@@ -131,7 +125,7 @@ def _halves(rows: DataFrame) -> list[DataFrame]:
 
 
 def create_tables(spark, sf_dir):
-    state, graph = _name(), _name()
+    state, graph = scratch_table(spark), scratch_table(spark)
     tables.create_graph(spark, state, graph)
     tables.upload_graph(spark.createDataFrame([(1, [2], [3], 0)], "node_id bigint, edges array<bigint>, weights array<bigint>, state bigint"), state, graph)
     tables.create_graph(spark, state, graph)  # anew: empty again
@@ -140,7 +134,7 @@ def create_tables(spark, sf_dir):
 
 
 def preupload(spark, sf_dir):
-    state, graph = _name(), _name()
+    state, graph = scratch_table(spark), scratch_table(spark)
     tables.create_graph(spark, state, graph)
     rows = text.with_state(_graph(spark, sf_dir), 0).select("node_id", F.transform("edges", lambda e: e["dst"]).alias("edges"), F.transform("edges", lambda e: e["w"]).alias("weights"), "state")
     for half in (rows.where("node_id % 2 = 0"), rows.where("node_id % 2 = 1")):
@@ -150,14 +144,14 @@ def preupload(spark, sf_dir):
 
 
 def column_by_ordinal(spark, sf_dir):
-    name = _name()
+    name = scratch_table(spark)
     tables.upload_vectors(_vectors(spark, sf_dir), name, overwrite=True)
     return tables.column(spark, name, 1).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def insert_rows(spark, sf_dir):
     """Batches of rows appended one after the other."""
-    name, nodes = _name(), Q.sssd_init(spark, sf_dir)
+    name, nodes = scratch_table(spark), Q.sssd_init(spark, sf_dir)
     tables.create(spark, name, model.STATE)
     for i in range(3):
         tables.append(nodes.where(F.col("node_id") % 3 == i), name)
@@ -166,14 +160,14 @@ def insert_rows(spark, sf_dir):
 
 def insert_columns(spark, sf_dir):
     """Whole columns put together by key."""
-    name, nodes = _name(), Q.sssd_init(spark, sf_dir)
+    name, nodes = scratch_table(spark), Q.sssd_init(spark, sf_dir)
     tables.create(spark, name, model.STATE)
     tables.append_columns(spark, name, {"node_id": nodes.select("node_id"), "state": nodes.select("node_id", "state")}, "node_id")
     return spark.table(name)
 
 
 def catalog(spark, sf_dir):
-    name = _name()
+    name = scratch_table(spark)
     seen = [("before", tables.exists(spark, name))]
     tables.create(spark, name, model.STATE)
     seen.append(("created", tables.exists(spark, name)))
@@ -183,7 +177,7 @@ def catalog(spark, sf_dir):
 
 
 def table_counts(spark, sf_dir):
-    name = _name()
+    name = scratch_table(spark)
     tables.upload_vectors(_vectors(spark, sf_dir), name, overwrite=True)
     return spark.createDataFrame([tables.counts(spark, name)], "n_rows bigint, n_columns bigint")
 
@@ -322,14 +316,16 @@ def disclosed(spark, sf_dir):
 
 
 def profiled(spark, sf_dir):
-    """The sections that a run names, with their numbers."""
+    """The sections of a run in phases and of a graph run: what each counted, and that it ran tasks, for some time, and moved bytes where it should."""
     profile.SECTIONS.clear()
-    with profile.section("upload"):
-        rows, seen = profile.counted(Q.terms(spark, sf_dir), "surface-rows")
-        rows.write.format("noop").mode("overwrite").save()
-    G.shortest_distances(Q.vertices(spark, sf_dir), Q.edges(spark, sf_dir).limit(0), 0)
-    named = [(name, n, seen.get["rows"] if name == "upload" else None) for name, n, _ in profile.SECTIONS]
-    return spark.createDataFrame(named, "section string, n int, n_rows bigint")
+    with profile.section("upload") as made:
+        made.seen(Q.terms(spark, sf_dir)).write.format("noop").mode("overwrite").save()
+    C.by_stripes(Q.terms(spark, sf_dir), Q.L, partitions=Q.R, phases=True)
+    G.shortest_distances(Q.vertices(spark, sf_dir), Q.edges(spark, sf_dir), 0)
+    seen = [s for s in profile.SECTIONS if s.name != "superstep" or s.n == 2]
+    moved = {"map", "partition", "reduce", "superstep"}
+    named = [(s.name, s.n, s.rows, bool(s.jobs and s.tasks and s.task_seconds > 0 and s.seconds > 0 and (s.name not in moved or s.shuffle_written > 0))) for s in seen]
+    return spark.createDataFrame(named, "section string, n int, n_rows bigint, ran boolean")
 
 
 QUERIES = {
@@ -378,5 +374,5 @@ ORACLES = {
     "merged_results": "SELECT 'rows_' || p AS name, count(*) AS value FROM (SELECT p_partkey % 3 AS p FROM part) GROUP BY ALL UNION ALL SELECT 'last', 2",
     "registry": "SELECT 'rows' AS name, count(*) AS value FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT * FROM (VALUES ('refused', 1), ('mistyped', 1), ('missing', 1)) t(name, value)",
     "disclosed": f"WITH {Q._TV} SELECT CAST(sum(term) AS BIGINT) AS total, 1 AS refused, 1 AS disclosures FROM tv",
-    "profiled": "SELECT 'upload' AS section, 1 AS n, count(*) AS n_rows FROM lineitem UNION ALL SELECT 'superstep', 2, NULL",
+    "profiled": f"WITH {Q._CUT}, sums AS (SELECT key, term FROM cut GROUP BY ALL), keys AS (SELECT DISTINCT row_id, term FROM rc) SELECT 'upload' AS section, 1 AS n, count(*) AS n_rows, true AS ran FROM tv UNION ALL SELECT 'map', 1, count(*), true FROM keys UNION ALL SELECT 'partition', 6, count(*), true FROM keys UNION ALL SELECT 'reduce', 6, count(*), true FROM sums UNION ALL SELECT 'superstep', 2, (SELECT count(*) FROM part), true",
 }
