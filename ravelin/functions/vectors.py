@@ -68,10 +68,50 @@ def permute(v: Column, order: Column) -> Column:
     return gather(v, order)
 
 
+#: Fixed values of keyed permutations: the prime of their arithmetic, and of each half-round a multiplier of the key, a summand and a multiplier.
+PRIME = 2**31 - 1
+ROUNDS = [(pow(7, 3 * k + 1, PRIME), pow(7, 3 * k + 2, PRIME), pow(7, 3 * k + 3, PRIME)) for k in range(8)]
+#: Times that a place outside the domain is mixed again; it lies outside again in less than half of all cases, and in few of large domains.
+WALK = 64
+
+
+def permuted(i: Column, n: Column, key: Column) -> Column:
+    """Where place i of 0 .. n-1 goes: a permutation that depends on n and key alone, worked out for each place by itself.
+
+    A Feistel network over pairs (l, r) of a rectangle of about sqrt(n) by sqrt(n); its half-rounds add a squared and
+    multiplied half to the other. A place that falls outside n is mixed again until it falls inside. It scatters; it hides nothing.
+    """
+    i, n, key = (c.cast("bigint") for c in (i, n, key))
+    key = F.pmod(key, F.lit(PRIME))
+    constants = F.array(*[F.struct(*[F.lit(c).cast("bigint").alias(name) for c, name in zip(r, "abc", strict=True)]) for r in ROUNDS])
+
+    def mixed(x: Column, rows: Column, columns: Column) -> Column:
+        half = F.struct(F.call_function("div", x, columns).alias("l"), (x % columns).alias("r"))
+
+        def half_round(s: Column, k: Column) -> Column:
+            c = F.get(constants, k)
+            t = (s["r"] + (key * c["a"] + c["b"]) % PRIME) % PRIME
+            added = s["l"] + t * t % PRIME * c["c"] % PRIME
+            return F.struct(s["r"].alias("l"), (added % F.when(k % 2 == 0, rows).otherwise(columns)).alias("r"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(ROUNDS) - 1)), half, half_round, lambda s: s["l"] * columns + s["r"])
+
+    def walked(rows: Column) -> Column:
+        columns = F.call_function("div", n + rows - 1, rows)
+        again = lambda x, _: F.when(x < n, x).otherwise(mixed(x, rows, columns))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), mixed(i, rows, columns), again, lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a place left its domain"))))
+
+    return let(F.floor(F.sqrt(n)).cast("bigint") + 1, walked)
+
+
 def keyed_shuffle(v: Column, key: Column) -> Column:
     """A permutation that depends only on key and size: equal keys move vectors of a size alike."""
-    ranked = F.transform(v, lambda x, i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i")))
-    return gather(v, F.transform(F.array_sort(ranked), lambda s: s["i"]))
+
+    def moved(v: Column) -> Column:
+        placed = F.transform(v, lambda x, i: F.struct(permuted(i, F.size(v), key).alias("at"), x.alias("x")))
+        return F.transform(F.array_sort(placed), lambda s: s["x"])
+
+    return let(v, moved)
 
 
 def pad(v: Column, filler: Column, length: int) -> Column:

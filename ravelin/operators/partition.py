@@ -17,6 +17,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import permuted
 from ..session import ensure_checkpoints
 
 #: Rows of a range, about; what one level splits a range or a bin into.
@@ -220,9 +221,22 @@ def union(*tables: DataFrame, slice_column: str = "clique_idx") -> DataFrame:
     return out
 
 
-def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows in an order that depends on key and seed alone."""
-    return df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("__h", key).drop("__h")
+def shuffled(df: DataFrame, key: str, seed: int, to: str = "position", slices: int | None = None, most: int = ROWS) -> DataFrame:
+    """df with a new place 0 .. n-1 for each row: the rows in order of their unique key moved by a permutation that depends on n and seed alone.
+
+    So tables of a size move alike under one seed, whatever their keys and values. Nothing is sorted as a whole: the place
+    in key order comes from a scan, the new one from it. slices: deal the rows to that many partitions
+    by their new place, ascending from one to the next and inside.
+    """
+    placed = row_numbers(df, key, "__from", most)
+    n = placed.count() if slices else None
+    size = F.lit(n) if slices else F.col("__n")
+    if not slices:
+        placed = placed.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("__n"))))  # one row
+    out = placed.withColumn(to, permuted(F.col("__from") - 1, size, F.lit(seed))).drop("__from", "__n")
+    if not slices:
+        return out
+    return out.repartitionById(slices, F.floor(F.col(to) * slices / max(n, 1)).cast("int")).sortWithinPartitions(to)
 
 
 def with_default(left: DataFrame, right: DataFrame, on: str, column: str, default: Column) -> DataFrame:

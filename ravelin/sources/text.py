@@ -94,6 +94,33 @@ def write_flat_graph(graph: DataFrame, parts: int, path: str, mode: str = "overw
     rows.repartition(parts, "part").sortWithinPartitions("part", "i").select("part", line.alias("value")).write.mode(mode).partitionBy("part").text(path)
 
 
+#: What a line of a flat graph's pretty-printed object is: the braces, a key with what stands behind it, a number, the end of a list.
+_KEY, _NUMBER, _REST = r'^\s*"nid_(\d+)(?:_(edges|weights|state))?"\s*:\s*(.*?),?\s*$', r"^\s*(-?\d+)\s*,?\s*$", r"^\s*[{}\]]?\s*,?\s*$"
+
+
+def _flat_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, what, at, v): the numbers behind each key of pretty-printed objects, in order of ``at``; v is null for an empty list.
+
+    Lines are read in splits, so a file may be of any size. A number on a line of its own belongs to the last key before it,
+    in its split or, over one row a split, in those before.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    key, number = F.regexp_extract("value", _KEY, 1), F.regexp_extract("value", _NUMBER, 1)
+    known = (key != "") | (number != "") | F.col("value").rlike(_REST)
+    lines = lines.withColumn("value", F.when(known, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no line of a pretty-printed flat graph, read it with pretty=False: "), F.substring("value", 1, 80)))))
+    named = F.struct(key.cast("bigint").alias("i"), F.regexp_extract("value", _KEY, 2).alias("what"))
+    lines = lines.withColumn("key", F.when(key != "", named)).withColumn("rest", F.when(F.col("key").isNotNull(), F.regexp_extract("value", _KEY, 3)).otherwise(number))
+    lines = lines.where("key IS NOT NULL OR rest <> ''")
+    split = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("own", F.last("key", ignorenulls=True).over(split))
+    ends = lines.groupBy("file", "block").agg(F.max(F.struct("n", "own"))["own"].alias("end"))  # a row a split
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    met = lines.join(ends.select("file", "block", before.alias("before")), ["file", "block"]).withColumn("own", F.coalesce("own", "before"))
+    numbers = F.filter(F.split(F.translate("rest", "[] ", ""), ","), lambda x: x != "")
+    return met.select("file", "own.i", "own.what", "block", "n", F.posexplode_outer(F.transform(numbers, lambda x: x.cast("bigint"))).alias("pos", "v")).select("file", "i", "what", F.struct("block", "n", "pos").alias("at"), "v")
+
+
 def _flat_fields(spark: SparkSession, path: str) -> DataFrame:
     """(file, i, what, v): the keys of whole-file JSON objects, by kind."""
     fields = F.from_json(F.col("value"), "map<string,string>")
@@ -101,16 +128,24 @@ def _flat_fields(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("file", F.regexp_extract("k", r"^nid_(\d+)", 1).cast("bigint").alias("i"), F.regexp_extract("k", r"^nid_\d+(?:_(edges|weights|state))?$", 1).alias("what"), "v")
 
 
-def flat_graph_args(spark: SparkSession, path: str) -> DataFrame:
+def flat_graph_args(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
     """(file, num_nodes): what the upload of each object is called with, a quarter of its keys."""
-    return _flat_fields(spark, path).groupBy("file").agg(F.floor(F.count(F.lit(1)) / 4).alias("num_nodes"))
+    keys = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.col("value").rlike(_KEY)) if pretty else _flat_fields(spark, path)
+    return keys.groupBy("file").agg(F.floor(F.count(F.lit(1)) / 4).alias("num_nodes"))
 
 
-def read_flat_graph(spark: SparkSession, path: str) -> DataFrame:
-    """(node_id, edges, state) from whole-file JSON objects with keys nid_i, nid_i_edges, nid_i_weights, nid_i_state.
+def read_flat_graph(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
+    """(node_id, edges, state) from JSON objects with keys nid_i, nid_i_edges, nid_i_weights and nid_i_state.
 
-    i is a number within its file: every file counts from 0.
+    i is a number within its file: every file counts from 0. pretty: the objects are printed with a line for each key, or for each number of a list,
+    and are read line by line, in splits; else each file is read whole, as one row.
     """
+    if pretty:
+        rows = _flat_lines(spark, path)
+        one = lambda what: F.max(F.when(F.col("what") == what, F.col("v")))
+        many = lambda what: F.transform(F.array_sort(F.collect_list(F.when((F.col("what") == what) & F.col("v").isNotNull(), F.struct("at", "v")))), lambda x: x["v"])
+        rows = rows.groupBy("file", "i").agg(one("").alias("node_id"), many("edges").alias("e"), many("weights").alias("w"), one("state").alias("state"))
+        return rows.select("node_id", checked("node_id", "e", "w").alias("edges"), "state")
     ints = "array<bigint>"
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col("v")))
     rows = _flat_fields(spark, path).groupBy("file", "i").agg(pick("").cast("bigint").alias("node_id"), F.from_json(pick("edges"), ints).alias("e"), F.from_json(pick("weights"), ints).alias("w"), pick("state").cast("bigint").alias("state"))

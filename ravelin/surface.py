@@ -124,6 +124,18 @@ def _halves(rows: DataFrame) -> list[DataFrame]:
     return [rows.where(F.col("row_id") % 2 == i) for i in (0, 1)]
 
 
+def upload_replayed(spark, sf_dir):
+    """Chunks as a stream: 0 and 1, 0 again, the others, the batch of these once more, and 3 once more. What is left has no chunk 1 and no row twice."""
+    at, chunks = _folder(spark), P.once(_chunks(spark, sf_dir))
+    for no, parts in enumerate(([0, 1], [0], list(range(2, K)), [3])):
+        sent = chunks.where(F.col("part").isin(parts))
+        sent.write.json(f"{at}/in/{no}")
+        ingest.upsert_chunks(spark, f"{at}/in/*", f"{at}/table", f"{at}/mark").awaitTermination()
+        ingest.apply_batch(chunks.withColumn("terms", F.array(F.lit(-1).cast("bigint"))), no, f"{at}/table")  # that batch has been
+    rows = ingest.table(spark, f"{at}/table")
+    return rows.select("row_id", "part", F.posexplode("terms").alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def create_tables(spark, sf_dir):
     state, graph = scratch_table(spark), scratch_table(spark)
     tables.create_graph(spark, state, graph)
@@ -230,16 +242,19 @@ def permutation(spark, sf_dir):
 
 
 def keyed_shuffle(spark, sf_dir):
-    """The rows in an order that depends on the key alone."""
-    return P.shuffled(Q.vertices(spark, sf_dir), "node_id", 17)
+    """Two tables of a size in an order that depends on the seed alone: what lies at each place, and whether both moved there from one place."""
+    nodes = Q.vertices(spark, sf_dir)
+    other = nodes.select((F.col("node_id") * 3 + 5).alias("other"))
+    moved = P.shuffled(nodes, "node_id", 17)
+    return moved.join(P.shuffled(other, "other", 17), "position").select("position", "node_id", "other")
 
 
 def vector_shuffle(spark, sf_dir):
     """Two vectors shuffled under one key move alike."""
     v = Q.vectors(spark, sf_dir)
-    pairs = F.zip_with(V.keyed_shuffle(F.col("v"), F.lit(7)), V.keyed_shuffle(F.transform("v", lambda x: x * 3), F.lit(7)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    moved = v.select("row_id", F.explode(pairs).alias("p"))
-    return moved.groupBy("row_id").agg(F.sum("p.x").alias("total"), F.min((F.col("p.y") == F.col("p.x") * 3)).alias("alike"))
+    pairs = F.zip_with(V.keyed_shuffle(F.col("v"), F.lit(7)), V.keyed_shuffle(V.iota(F.size("v")), F.lit(7)), lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i")))
+    moved = v.select("row_id", F.posexplode(pairs).alias("pos", "p"))
+    return moved.select("row_id", F.col("pos").cast("bigint").alias("pos"), F.col("p.x").alias("term"), F.col("p.i").alias("came_from"))
 
 
 def union_tables(spark, sf_dir):
@@ -332,7 +347,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_vectors, source_graph, sink_vector_chunks, vector_chunk_args, sink_graph_chunks, sink_flat_graph, flat_graph_args,
-        upload_vectors, upload_cooc, upload_stream, create_tables, preupload, column_by_ordinal, insert_rows, insert_columns, catalog, table_counts,
+        upload_vectors, upload_cooc, upload_stream, upload_replayed, create_tables, preupload, column_by_ordinal, insert_rows, insert_columns, catalog, table_counts,
         csv_round, random_vectors, random_graph, padding_filter, asserted, permutation, keyed_shuffle, vector_shuffle, union_tables, row_numbers,
         range_sorted, merged_results, registry, disclosed, profiled,
     )
@@ -342,6 +357,25 @@ _ADJACENCY = f"WITH {Q._EDGES}"
 _PART = "CAST(least(CASE WHEN n // 6 = 0 THEN 5 ELSE (rn - 1) // (n // 6) END, 5) AS INTEGER)"
 _STATES = f"{_ADJACENCY}, graph AS (SELECT node_id, dst, w, state FROM s1 LEFT JOIN edges ON src = node_id)"
 
+
+
+def _moved(rows: str, key: int) -> str:
+    """CTEs (moved): where place x of 0 .. n - 1 goes, of rows(k, x, n), by the half-rounds of vectors.permuted; k names the rows that move together."""
+    rounds = ", ".join(f"({i}, {(key % V.PRIME * a + b) % V.PRIME}, {c})" for i, (a, b, c) in enumerate(V.ROUNDS))
+    half = f"(((r + add) % {V.PRIME}) * ((r + add) % {V.PRIME}) % {V.PRIME} * times % {V.PRIME})"
+    return f"""half_rounds(i, add, times) AS (VALUES {rounds}),
+domain AS (SELECT k, x, n, h, (n + h - 1) // h AS w FROM (SELECT *, CAST(floor(sqrt(n)) AS BIGINT) + 1 AS h FROM ({rows}))),
+walk(k, x, n, h, w, i, l, r) AS (
+  SELECT k, x, n, h, w, 0, x // w, x % w FROM domain
+  UNION ALL SELECT k, x, n, h, w, i + 1, l, r FROM (
+    SELECT k, x, n, h, w, walk.i, r AS l, (l + {half}) % CASE WHEN walk.i % 2 = 0 THEN h ELSE w END AS r FROM walk JOIN half_rounds q ON q.i = walk.i % {len(V.ROUNDS)}
+    WHERE walk.i = 0 OR walk.i % {len(V.ROUNDS)} > 0 OR l * w + r >= n)),
+moved AS (SELECT k, x, l * w + r AS place FROM walk WHERE i > 0 AND i % {len(V.ROUNDS)} = 0 AND l * w + r < n)"""
+
+
+_MOVED_NODES = _moved("SELECT 0 AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS x, count(*) OVER () AS n FROM part", 17)
+_MOVED_TERMS = _moved("SELECT row_id AS k, pos AS x, n FROM sv", 7)
+
 ORACLES = {
     "source_vectors": f"WITH {Q._TV}, ids AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS line FROM (SELECT DISTINCT row_id FROM tv)) SELECT line AS row_id, pos, term FROM sv JOIN ids USING (row_id)",
     "source_graph": f"{_ADJACENCY} SELECT node_id, dst, w FROM s1 LEFT JOIN edges ON src = node_id",
@@ -353,6 +387,7 @@ ORACLES = {
     "upload_vectors": f"WITH {Q._TV} SELECT row_id, pos, term FROM sv",
     "upload_cooc": Q.ORACLES["cooc"],
     "upload_stream": f"WITH {Q._TV} SELECT row_id, pos, term FROM sv",
+    "upload_replayed": f"WITH {Q._TV}, {Q._ROWS} SELECT sv.row_id, slice AS part, pos, term FROM sv JOIN split USING (row_id) WHERE slice <> 1",
     "create_tables": "SELECT * FROM (VALUES ('graph', CAST(0 AS BIGINT), CAST(3 AS BIGINT)), ('state', 0, 2)) t(name, n_rows, n_columns)",
     "preupload": f"{_STATES} SELECT * FROM graph",
     "column_by_ordinal": f"WITH {Q._TV} SELECT term, count(*) AS n FROM tv GROUP BY ALL",
@@ -366,8 +401,8 @@ ORACLES = {
     "padding_filter": f"WITH {Q._CUT} SELECT key AS \"left\", term AS \"right\", CAST(sum(cnt) AS BIGINT) AS cnt FROM cut GROUP BY ALL",
     "asserted": f"{_ADJACENCY} SELECT node_id, dst, w, true AS raised FROM s1 LEFT JOIN edges ON src = node_id",
     "permutation": f"WITH {Q._TV} SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY term DESC, pos) - 1 AS pos, term, pos AS came_from FROM sv",
-    "keyed_shuffle": "SELECT CAST(p_partkey AS BIGINT) AS node_id FROM part",
-    "vector_shuffle": f"WITH {Q._TV} SELECT row_id, CAST(sum(term) AS BIGINT) AS total, true AS alike FROM tv GROUP BY ALL",
+    "keyed_shuffle": f"WITH RECURSIVE {_MOVED_NODES}, node AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, row_number() OVER (ORDER BY p_partkey) - 1 AS x FROM part) SELECT place AS position, node_id, node_id * 3 + 5 AS other FROM moved JOIN node USING (x)",
+    "vector_shuffle": f"WITH RECURSIVE {Q._TV}, {_MOVED_TERMS} SELECT row_id, place AS pos, term, pos AS came_from FROM sv JOIN moved ON k = row_id AND x = pos",
     "union_tables": f"WITH {Q._NODES} SELECT * FROM nodes",
     "row_numbers": "SELECT CAST(p_partkey AS BIGINT) AS node_id, row_number() OVER (ORDER BY p_partkey) AS row_number FROM part",
     "range_sorted": f"WITH {Q._TV} SELECT count(*) AS n, CAST(1 AS BIGINT) AS parts, true AS ordered FROM (SELECT DISTINCT row_id, term FROM tv)",
