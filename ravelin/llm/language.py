@@ -246,7 +246,7 @@ def predict(spark: SparkSession, df: DataFrame, model: Model, text: str = "text"
 
     ``und`` with score 0 where the text is null or has no letter, or the model knows no
     language. Ties go to the first language by name. Only the text is read; columns of
-    these names in df are replaced, other columns and repeated rows stay.
+    these names in df are replaced, other columns and repeated rows stay; an empty table gives no row. Texts are parsed whole, in stretches.
     """
     kept = df.drop("lang_pred", "score")
     at = kept.columns.index(text)

@@ -253,7 +253,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = 1024, en
     Every row of docs is packed, null text as the end id alone, null source as a queue of its
     own, repeated rows each for themselves. A document may be cut anywhere. mix: target
     tokens of each source (those not named: their own tokens). Beyond the MOST_QUEUES largest, sources share
-    SHARED_QUEUES queues, each mixed in as one. An empty table gives no row.
+    SHARED_QUEUES queues, each mixed in as one. An empty table gives no row; other columns are not read. Texts are encoded in groups of about
+    1 MB or one longer text, so a task needs memory in proportion to its longest text.
     The documents are encoded once, into a table in the shared folder; queue places are sums
     over (task, source), so no document is shuffled.
     """

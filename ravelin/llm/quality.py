@@ -82,7 +82,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "q
     """Learn from at most ``most_rows`` labelled documents (those of smallest hash of their id), never from held-out ones.
 
     labels: doc_id and a column of 0 and 1; rows with null in either are not used, of repeated
-    ids the largest label counts. Without both labels present the model is constant.
+    ids the largest label counts. Ties of the order go by doc_id, and rows are learned in an order of their own, so a table
+    gives one model however it is dealt. Without both labels present, in an empty table too, the model is constant.
     """
     chosen = labels.where(~common.held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -146,7 +147,8 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
     """df with a column ``to`` double: the probability of label 1. Null and empty texts get the model's constant.
 
     Nothing but the text is read for the score; other columns and repeated rows stay as they
-    are, a column of that name in df is replaced. Texts are read whole.
+    are, a column of that name in df is replaced. Texts are read whole, in groups of about 1 MB or one longer text, so a task
+    needs memory in proportion to its longest text. An empty table gives no row.
     """
     from pyspark.sql import types as T
 

@@ -135,7 +135,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     """df with ``secrets`` array<struct<start, kind, end>>, by start and kind, and ``base_secrets`` (kinds 0-2 only).
 
     Places are code points, end exclusive; kind is an index of KINDS. The work on a candidate grows with its length. Null and empty texts
-    have none. Columns of these names are replaced, all others and repeated rows stay. Only
+    have none, an empty table gives no row. Columns of these names are replaced, all others and repeated rows stay. Only
     texts that hold a match at all are taken apart; texts are read whole.
     """
     t = F.coalesce(F.col(text), F.lit(""))

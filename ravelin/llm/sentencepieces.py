@@ -301,7 +301,8 @@ def _short(model: Model, texts: textops.Texts, first: int, end: int) -> list[np.
 def encode(spark: SparkSession, docs: DataFrame, path: str, chunk: int = CHUNK, span: int = SPAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, text): a row for each row of docs, the ids that the library gives without begin and end.
 
-    Null text stays null and has no ids; repeated rows and null ids stay. Documents of more
+    Null text stays null and has no ids, an empty one has none; repeated rows and null ids stay; an empty table gives no row; other
+    columns are not read. Documents of more
     than ``chunk`` code points are encoded chunk by chunk on any number of tasks.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -66,7 +66,11 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(df: DataFrame, text: str = "text", k: int = WORDS) -> DataFrame:
-    """df with ``simhash`` bigint (the 64 bits). Null and empty texts get 0; a column of that name is replaced."""
+    """df with ``simhash`` bigint (the 64 bits). Null and empty texts get 0; a column of that name is replaced.
+
+    Other columns, whatever their names, and repeated rows stay as they are; an empty table gives no row. Texts are read whole, in groups of about
+    1 MB or one longer text.
+    """
     kept = df.drop("simhash")
     at = kept.columns.index(text)
 
@@ -124,7 +128,8 @@ def _signed(x: int) -> int:
 
 def components(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, simhash, component_id) for a frame with ``simhash``; component_id is the smallest
-    doc_id reachable by links. Null ids stay and count as larger than any other."""
+    doc_id reachable by links. Null ids stay and count as larger than any other; repeated rows each stay; an empty table gives no row; other
+    columns are not read."""
     named = df.select(F.col(doc_id).alias("doc_id"), "simhash")
     classes = named.groupBy("simhash").agg(F.min("doc_id").alias("least"))
     classes = common.durable(spark, classes, "fingerprints")
@@ -419,6 +424,10 @@ def _tied(most: int):
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near copies: of each component the rows of its smallest doc_id stay; rows without an id all stay."""
+    """docs without near copies: of each component the rows of its smallest doc_id stay; rows without an id all stay.
+
+    Null and empty texts are copies of one another; repeated rows of an id stay or go together. An empty table gives no row, and other columns, whatever
+    their names, are those of docs.
+    """
     gone = near_duplicates(spark, docs, k, similarity, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs[doc_id].cast("bigint") == F.col("__gone"), "left_anti")

@@ -388,7 +388,7 @@ def remove(spark: SparkSession, docs: DataFrame, k: int = WORDS, doc_id: str = "
     words, reference block). Without ``keep_text`` the text is left out. Null text stays null and
     has no words; rows of one doc_id don't remove one another's passages; a null doc_id counts as larger than any, and such rows
     are no references. Columns that clash with those given are replaced; names that begin with
-    __ are the operator's own. Texts without a duplicate passage come back unchanged.
+    __ are the operator's own. Texts without a duplicate passage come back unchanged; repeated rows are each a row, an empty table gives none.
 
     A task holds one range of documents (2 to 16 MB of text, or one longer text) at about ten
     bytes for a byte of text, with the passages that it asked for; a bucket of the index holds

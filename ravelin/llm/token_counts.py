@@ -381,7 +381,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048, text: str = "text"
     """One row for each row of df: doc_id, n_bytes (UTF-8), n_tokens, over_limit
     (n_tokens > limit), fit_chars (code points of the longest prefix of at most ``limit`` tokens).
 
-    Null text is empty text: 0 tokens. Repeated rows and null ids are kept as they are;
+    Null text is empty text: 0 tokens. Repeated rows and null ids are kept as they are; an empty table gives no row;
     other columns of df are not read. Special-token strings inside a text are handled as
     the library does by default. Very long texts need memory in proportion to themselves.
     """
