@@ -1,4 +1,7 @@
-"""Documents to packed training sequences: one operator a stage, each on what the last one kept."""
+"""Documents to packed training sequences: one operator a stage, each on what the last one kept.
+
+Tables may be empty, texts of any length, and further columns have any names but those that begin with ``__``; all stages but the last hand them on.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +17,40 @@ PASSAGE_WORDS = 40
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones, doesn't reject; texts unchanged."""
+    """Documents that the classifier, learned from the labelled ones, doesn't reject; texts unchanged.
+
+    Null and empty texts get the model's constant score; repeated rows stay or go together; without both labels nothing is rejected.
+    """
     model = quality.fit(spark, docs, common.table(spark, sf_dir, "labels"))
     return quality.score(docs, model, to="__quality").where(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity 0.8) the document of smallest id."""
+    """Of each group of near copies (shingles of five words, similarity 0.8) the document of smallest id.
+
+    Null and empty texts are copies of one another; rows of that smallest id all stay, and so do rows without an id.
+    """
     return simhash.deduplicate(spark, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that an earlier one holds."""
+    """Every document, without the passages that an earlier one holds.
+
+    Null texts stay null; rows of one id don't take from one another; n_chars follows the text (null for a null one).
+    """
     return _measured(substrings.remove(spark, docs, k=PASSAGE_WORDS))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text masked."""
+    """Every document, with the secrets in its text masked; null and empty texts stay, n_chars follows the text."""
     return _measured(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens, sources mixed in their proportions."""
+    """The pieces of all documents in sequences of 1024 tokens, sources mixed in their proportions.
+
+    A null text is its end token alone, a null source a queue of its own; repeated rows are packed each for themselves.
+    """
     return packing.pack(spark, docs, queries.vocabulary("byte_bpe_50k.json"))
 
 
