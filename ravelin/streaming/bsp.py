@@ -49,6 +49,10 @@ class Edges:
     tables: tuple[str, ...] = ()
     few: bool = True
 
+    def seen_by(self, spark: SparkSession) -> Edges:
+        """The same tables, read in another session."""
+        return Edges(*(spark.table(t) for t in self.tables), tables=self.tables, few=self.few)
+
 
 def bucketed(df: DataFrame, buckets: int, *keys: str) -> str:
     """df written as a bucketed, sorted table, a file a bucket; its name."""
@@ -116,6 +120,17 @@ def superstep(state: DataFrame, edges: DataFrame | Edges, program: Program) -> D
     return update(state, combine(messages(state, edges, program), program), program)
 
 
+def _planned_once(spark: SparkSession) -> SparkSession:
+    """A session of the same tables and settings whose plans are made before they run: a superstep reads tables of known sizes and fixed
+    buckets, so there is nothing to put together or split on the way, and planning stage by stage costs more than small steps do."""
+    made = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            made.conf.set(key, value)
+    made.conf.set("spark.sql.adaptive.enabled", "false")
+    return made
+
+
 def run(state: DataFrame, edges: DataFrame, program: Program, max_supersteps: int = 10_000, frontier: bool = True, hub: int = HUB) -> tuple[DataFrame, int]:
     """The final (node_id, state) and the number of supersteps (the first only emits, the last changes nothing).
 
@@ -123,12 +138,13 @@ def run(state: DataFrame, edges: DataFrame, program: Program, max_supersteps: in
     combine and apply are monotone and idempotent (minimum). hub: edges above which a source is mirrored.
     """
     spark = state.sparkSession
-    known, n = dealt(edges, hub), _buckets(spark)
+    once, known, n = _planned_once(spark), dealt(edges, hub), _buckets(spark)
+    known = known.seen_by(once)
     table = bucketed(state.select("node_id", "state", (F.col("state") < INF).alias("changed")), n, "node_id")
     try:
         for step in range(2, max_supersteps + 1):
             with section("superstep", step) as timed:
-                now = spark.table(table)
+                now = once.table(table)
                 seen, new = Observation(f"changed-{table}-{step}"), scratch_table(spark)
                 made = update(now, combine(messages(now.where("changed") if frontier else now, known, program), program), program)
                 made = made.observe(seen, F.count_if("changed").alias("changed"))
