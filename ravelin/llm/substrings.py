@@ -125,37 +125,120 @@ def _index(k: int, buckets: int):
         block = Block(group, k)
         bucket, run = block.distinct(buckets)
         rows = [(no, _pack(run[a:b], 7)) for no, a, b in _by_bucket(bucket)]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([block.shard] * len(rows), pa.int32()), "runs": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([block.shard] * len(rows), pa.int32()), "runs": pa.array([r[1] for r in rows], pa.binary())})
 
     return common.trimmed(index)
 
 
-def _first_blocks(ranges: int):
-    def first_blocks(group: pa.Table) -> pa.Table:
-        """For each block's runs of one bucket: a bit for those that an earlier block holds too, and the first such block."""
+class Held:
+    """Runs of several blocks, or spans of blocks, in one bucket: which are the same, and the first block that holds each."""
+
+    def __init__(self, group: pa.Table, ranges: int):
         group = group.combine_chunks().sort_by("shard")
-        shard = group["shard"].to_numpy()
+        self.shard, self.bucket = group["shard"].to_numpy(), group["bucket"].to_numpy()
         known = [_unpack(x.as_py(), 7) for x in group["runs"]]
         sizes = np.array([len(x) for x in known], np.int64)
-        runs = _joined(known, np.uint64)
+        self.ends = np.cumsum(sizes)
+        self.runs = _joined(known, np.uint64)
         del known
-        owner = np.repeat(np.minimum(shard, ranges), sizes)  # documents without an id are behind all others, and no reference
-        order = np.argsort(runs, kind="stable")  # blocks ascending within a run
+        if "firsts" in group.column_names:
+            self.own = _joined([_unpack(x.as_py(), 4).astype(np.int32) for x in group["firsts"]], np.int32)
+        else:  # documents without an id are behind all others, and no reference
+            self.own = np.repeat(np.minimum(self.shard, ranges).astype(np.int32), sizes)
+        order = np.argsort(self.runs, kind="stable")  # blocks ascending within a run
         fresh = np.ones(len(order), bool)
-        fresh[1:] = runs[order][1:] != runs[order][:-1]
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
-        first = np.empty(len(runs), np.int32)
-        first[order] = owner[order][begin]
-        seen = first < owner
-        out = []
-        end = np.cumsum(sizes)
-        for i, (a, b) in enumerate(zip((end - sizes).tolist(), end.tolist(), strict=True)):
+        fresh[1:] = self.runs[order][1:] != self.runs[order][:-1]
+        self.distinct, self.first = self.runs[order][fresh], self.own[order][fresh]
+        self.named = np.empty(len(order), np.int32)
+        self.named[order] = np.cumsum(fresh) - 1
+
+    def parts(self, fan: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order of the distinct runs by finer bucket, that bucket of each), from another hash at each level."""
+        mixed = textops.mix(self.distinct + np.uint64(int(_OTHER) * (level + 1) % 2**64))
+        part = ((mixed >> np.uint64(32)) * np.uint64(fan) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return order, part[order]
+
+    def answers(self) -> pa.Table:
+        """For each row a bit for those of its runs that an earlier block holds too, and the first such block."""
+        first, out = self.first[self.named], []
+        seen = first < self.own
+        for i, (a, b) in enumerate(zip([0, *self.ends[:-1].tolist()], self.ends.tolist(), strict=True)):
             if seen[a:b].any():
-                out.append((int(shard[i]), group["bucket"][i].as_py(), np.packbits(seen[a:b]).tobytes(), _pack(first[a:b][seen[a:b]].astype(np.uint64), 4)))
-        kinds = {"shard": pa.int32(), "bucket": pa.int32(), "bits": pa.binary(), "blocks": pa.binary()}
+                out.append((int(self.shard[i]), int(self.bucket[i]), np.packbits(seen[a:b]).tobytes(), _pack(first[a:b][seen[a:b]].astype(np.uint64), 4)))
+        kinds = {"shard": pa.int32(), "bucket": pa.int64(), "bits": pa.binary(), "blocks": pa.binary()}
         return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds.items())})
 
-    return common.trimmed(first_blocks)
+
+def _first_blocks(ranges: int):
+    return common.trimmed(lambda group: Held(group, ranges).answers())
+
+
+def _raised(ranges: int, fan: int, level: int):
+    def raised(group: pa.Table) -> pa.Table:
+        """The distinct runs of a span of rows of one bucket, cut into finer buckets."""
+        held = Held(group, ranges)
+        order, part = held.parts(fan, level)
+        runs, first = held.distinct[order], held.first[order].astype(np.uint64)
+        span, bucket = int(held.shard[0]) // fan, int(held.bucket[0]) * fan
+        rows = [(bucket + no, span, _pack(runs[a:b], 7), _pack(first[a:b], 4)) for no, a, b in _by_bucket(part)]
+        kinds = {"bucket": pa.int64(), "shard": pa.int32(), "runs": pa.binary(), "firsts": pa.binary()}
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    return common.trimmed(raised)
+
+
+def _lowered(ranges: int, fan: int, level: int):
+    def lowered(group: pa.Table, answers: pa.Table) -> pa.Table:
+        """What the finer buckets answered a span, told to each of its rows."""
+        held = Held(group, ranges)
+        order, part = held.parts(fan, level)
+        bounds = {no: (a, b) for no, a, b in _by_bucket(part)}
+        for bucket, bits, blocks in zip(answers["bucket"].to_pylist(), answers["bits"], answers["blocks"], strict=True):
+            a, b = bounds[bucket % fan]
+            seen = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=b - a).astype(bool)
+            held.first[order[a:b][seen]] = _unpack(blocks.as_py(), 4).astype(np.int32)
+        return held.answers()
+
+    return common.trimmed(lowered, 2)
+
+
+#: Buckets that a block's runs are cut into at most, bytes of the corpus that a bucket holds
+#: in the end, and the blocks of a span, which is also the number of finer buckets of a bucket.
+BUCKETS, BUCKET_BYTES, FAN = 8192, 8 << 20, 2048
+
+
+def index_levels(spark: SparkSession, blocks, k: int, size: int, ranges: int) -> tuple[list[DataFrame], int]:
+    """(the levels of the index, the buckets of the lowest): rows (bucket, shard, runs) of ``size`` bytes of text.
+
+    The lowest level has a row for each block and bucket. Where BUCKETS are too few for buckets of
+    BUCKET_BYTES, the rows of a bucket are merged in spans of FAN blocks and cut into FAN finer buckets,
+    (bucket, span, runs, firsts: the first block of each), and so on until buckets are small. So blocks of
+    16 MB have rows of 330 runs on the average at any size, and there is one more level from 64 GB and from 134 TB on.
+    """
+    wanted = max(16, int(size // BUCKET_BYTES))
+    buckets = min(wanted, BUCKETS)
+    levels = [blocks.applyInArrow(_index(k, buckets), "bucket bigint, shard int, runs binary")]
+    reach = buckets
+    while reach < wanted:
+        levels[-1] = common.durable(spark, levels[-1], f"index-{len(levels)}")
+        spans = levels[-1].groupBy("bucket", (F.col("shard") / FAN).cast("int").alias("span"))
+        levels.append(spans.applyInArrow(_raised(ranges, FAN, len(levels)), "bucket bigint, shard int, runs binary, firsts binary"))
+        reach *= FAN
+    if len(levels) > 1:
+        levels[-1] = common.durable(spark, levels[-1], f"index-{len(levels)}")
+    return levels, buckets
+
+
+def _answers(levels: list[DataFrame], ranges: int) -> DataFrame:
+    """(shard, bucket, bits, blocks) for the rows of the lowest level of the index: asked at the highest, told downwards."""
+    told = "shard int, bucket bigint, bits binary, blocks binary"
+    answers = levels[-1].groupBy("bucket").applyInArrow(_first_blocks(ranges), told)
+    for level in range(len(levels) - 1, 0, -1):
+        rows = levels[level - 1].groupBy("bucket", (F.col("shard") / FAN).cast("int").alias("span"))
+        above = answers.groupBy((F.col("bucket") / FAN).cast("bigint").alias("coarse"), F.col("shard").alias("span"))
+        answers = rows.cogroup(above).applyInArrow(_lowered(ranges, FAN, level), told)
+    return answers
 
 
 def _requests(k: int, buckets: int):
@@ -392,17 +475,17 @@ def remove(spark: SparkSession, docs: DataFrame, k: int = WORDS, doc_id: str = "
 
     A task holds one range of documents (2 to 16 MB of text, or one longer text) at about ten
     bytes for a byte of text, with the passages that it asked for; a bucket of the index holds
-    about 8 MB of the corpus. A block of which many runs are asked is copied, once for each
+    about 8 MB of the corpus, and the index is merged in as many levels as that takes, so that
+    its rows stay a stated part of the text (``index_levels``). A block of which many runs are asked is copied, once for each
     ASKED of them. No pair of blocks becomes a row unless one holds a run of the other.
     """
     carried = docs.drop(*give)
     columns = [*(c for c in carried.columns if keep_text or c != text), *give]
     plain = carried.select("*", F.col(doc_id).cast("bigint").alias("__id"), F.col(text).alias("__text")).drop(text)
     dealt, size, ranges = common.in_ranges(spark, plain, "__id", "__text", spread=True)
-    buckets = max(16, int(size // (8 << 20)))
     blocks = dealt.groupBy("__shard")
-    index = blocks.applyInArrow(_index(k, buckets), "bucket int, shard int, runs binary")
-    answers = index.groupBy("bucket").applyInArrow(_first_blocks(ranges), "shard int, bucket int, bits binary, blocks binary")
+    levels, buckets = index_levels(spark, blocks, k, size, ranges)
+    answers = _answers(levels, ranges)
     requests = blocks.cogroup(answers.groupBy("shard")).applyInArrow(_requests(k, buckets), "block int, shard int, n bigint, runs binary")
     requests = common.durable(spark, requests, "requests")
     given = "shard int, block int, passages binary"

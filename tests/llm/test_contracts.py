@@ -391,6 +391,45 @@ def test_op1_factors_decide(spark, monkeypatch):
     assert made.factors == []
 
 
+def test_op1_index_in_levels(spark, monkeypatch):
+    """Merged in several levels the index gives the words that brute force removes, and its rows grow with the blocks alone."""
+    from ravelin.llm import substrings
+
+    rng = np.random.default_rng(8)
+    real = substrings.common.in_ranges
+    monkeypatch.setattr(substrings.common, "in_ranges", lambda *a, **b: real(*a, **b, least=2000, most=2000))
+    for name, value in (("BUCKETS", 4), ("FAN", 3), ("BUCKET_BYTES", 700)):
+        monkeypatch.setattr(substrings, name, value)
+    made, rows, blocks = substrings.index_levels, [], []
+
+    def counted(*args):
+        levels, buckets = made(*args)
+        rows.append([x.count() for x in levels])
+        blocks.append(levels[0].select("shard").distinct().count())
+        return levels, buckets
+
+    monkeypatch.setattr(substrings, "index_levels", counted)
+    for n in (20, 80):
+        docs = [[f"w{x}" for x in rng.integers(0, 5000, 160)] for _ in range(n)]
+        for i in range(3, n):  # passages of any earlier document, near and far, and one that a third of all hold
+            a, j = int(rng.integers(0, 100)), int(rng.integers(0, i))
+            docs[i][a : a + 20] = docs[j][a : a + 20]
+            if i % 3 == 0:
+                docs[i][130:150] = docs[2][130:150]
+        df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(None, " ".join(docs[1])), (None, "u " * 30)], "doc_id bigint, text string").repartition(3)
+        first = {}
+        for i, d in enumerate(docs):
+            for a in range(len(d) - 12):
+                first.setdefault(tuple(d[a : a + 13]), i)
+        gone = {i: len({x for a in range(len(d) - 12) if first[tuple(d[a : a + 13])] < i for x in range(a, a + 13)}) for i, d in enumerate(docs)}
+        got = substrings.remove(spark, df, give=("n_removed", "n_words")).select("doc_id", "n_removed", "n_words").collect()
+        assert {r[0]: r[1] for r in got if r[0] is not None} == gone
+        assert sorted(r[1:] for r in got if r[0] is None) == [(0, 30), (160, 160)]
+    assert [len(x) for x in rows] == [3, 4] and blocks[1] > 3 * blocks[0]  # 26 and 104 buckets asked for, of 4, 12, 36, 108
+    for counts, of in zip(rows, blocks, strict=True):
+        assert all(n <= 4 * (of + 2 * 3**level) for level, n in enumerate(counts)), (counts, of)
+
+
 def test_op2_and_op5(spark, data):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
