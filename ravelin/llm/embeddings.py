@@ -115,35 +115,35 @@ def near(spark: SparkSession, df: DataFrame, least: float = 0.95, vec_id: str =
 
     A row for each row of df. Vectors that are null, zero or hold a null or a component that isn't finite link with
     nothing; vectors link with those of their own length. Rows without an id link with nothing and are kept. Other columns are not
-    read. Links that are missed are those of more than one bit's difference in every table, at
+    read. Equal vectors are one by their components, rows find theirs again by 128 bits of hash. Links that are missed are those of more than one bit's difference in every table, at
     the least cosine about 1 - RECALL of them, of few vectors as of many. An empty table gives no row. Equal vectors, however many
     rows have them, are one entry; of equal ids each row counts.
     """
     raw = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     fine = F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     sound = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
-    classes = raw.where(sound).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id"))
+    key = [F.xxhash64("e").alias("h0"), F.xxhash64(F.lit(1), "e").alias("h1")]
+    classes = raw.where(sound).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id")).select("id", "n", "e", *key)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.asarray(batch.column(2)[i].values, "<f8") for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v) for v in made], pa.int32()), pa.array([v.tobytes() for v in made], pa.binary())], ["id", "n", "dim", "vector"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 3, 4)), pa.array([len(v) for v in made], pa.int32()), pa.array([v.tobytes() for v in made], pa.binary())], ["id", "n", "h0", "h1", "dim", "vector"])
 
-    vectors = common.durable(spark, classes.select("id", "n", "e").mapInArrow(pack, "id bigint, n bigint, dim int, vector binary"), "vectors")
+    vectors = common.durable(spark, classes.mapInArrow(pack, "id bigint, n bigint, h0 bigint, h1 bigint, dim int, vector binary"), "vectors")
     sizes = vectors.groupBy("dim").count().where("count > 1").orderBy("dim").collect()  # a row for each length that two vectors or more have
     found = spark.createDataFrame([], "id bigint, links bigint, root bigint")
     for r in sizes:
-        found = found.unionByName(_links(spark, vectors.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], least))
+        found = found.unionByName(_links(spark, vectors.where(F.col("dim") == r["dim"]).select("id", "n", "vector"), r["dim"], least))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
     groups = connected(spark, edges, "vectors")
-    of = vectors.select("id", "n").join(counted.withColumnRenamed("id", "x"), F.col("id") == F.col("x"), "left")
-    of = of.join(groups, F.col("id") == F.col("node"), "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    # each row's class by the vector itself; a vector that a third of the rows share is one row on the other side
-    named = classes.select(F.col("e").alias("ce"), F.col("id").alias("class"))
-    rows = raw.withColumn("e", F.when(sound, F.col("e"))).join(named, F.col("e") == F.col("ce"), "left").select("vec_id", "class")
-    out = rows.join(of, F.col("class") == F.col("id"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of = vectors.select("id", "n", "h0", "h1").join(counted.withColumnRenamed("id", "x"), F.col("id") == F.col("x"), "left")
+    of = of.join(groups, F.col("id") == F.col("node"), "left").select("h0", "h1", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    # each row's class by the hash of its vector; a vector that a third of the rows share is one row on the other side
+    out = raw.where(sound).select("vec_id", *key).join(of, ["h0", "h1"], "left").select("vec_id", "n_links", "component_id")
+    alone = raw.where(~sound).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

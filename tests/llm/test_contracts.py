@@ -497,6 +497,17 @@ def test_op7(spark, tmp_path):
     assert all((got[400 + k]["n_links"], got[400 + k]["component_id"]) == (0, 400 + k) for k in range(len(bad)))
 
 
+def test_op7_zeros_of_both_signs(spark):
+    """Rows find the class of their vector whichever sign its zeros have, in doubles and floats, and unsound ones have none."""
+    from ravelin.llm import embeddings
+
+    rows = [(5, [1.0, 0.0, 2.0]), (3, [1.0, -0.0, 2.0]), (3, [1.0, 0.0, 2.0]), (9, [0.0, -0.0, 0.0]), (8, None), (None, [1.0, 0.0, 2.0]), (7, [1.0, -0.0])]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+        got = sorted(embeddings.near(spark, df).collect(), key=lambda r: (r[0] is None, r[0]))
+        assert [tuple(r) for r in got] == [(3, 2, 3, True), (3, 2, 3, True), (5, 2, 3, False), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (None, 0, None, True)]
+
+
 def test_op7_on_clustered_vectors(spark, tmp_path):
     """3600 vectors in clusters around a common mean: at least nine tenths of all links of 0.95 and more, and none below."""
     rng = np.random.default_rng(12)
