@@ -36,6 +36,12 @@ def test_no_task_of_a_scan_sees_many_rows(spark):
     assert len(re.findall(r"Exchange SinglePartition", plan)) <= 2 and "rangepartitioning" not in plan
 
 
+def test_every_pass_sees_the_same_ranges(spark):
+    """Approximate quantiles differ with the order of arrival: a plan that works them out again for its totals and for its rows adds what doesn't belong together."""
+    ranged, _, ranges = P._ranged(spark.range(20_000).repartition(5), "id", 50)
+    assert ranges > 64 and "percentile" not in ranged._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_many_owners(spark):
     """Over 200,000 slices: nothing is collected, the keys go down a tree of three levels."""
     n = 210_000
