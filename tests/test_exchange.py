@@ -80,3 +80,17 @@ def test_null_keys_are_dealt(spark):
     df = spark.createDataFrame([(None, 1), (5, 2), (7, 3), (None, 4)], "key bigint, row int")
     assert sorted((r["row"], r["slice"]) for r in P.by_slices(df, "key", 2).collect()) == [(1, 0), (2, 0), (3, 1), (4, 0)]
     assert P.by_slices(df.limit(0), "key", 2).count() == 0
+
+
+def test_slices_of_many_rows_are_several_tasks(spark):
+    """The same slices, cut further where keys begin; partitions follow each other as keys do, and none has many rows."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.randrange(200), i) for i in range(4000)] + [(None, -1)], "key bigint, row bigint").repartition(3)
+    want = {r["key"]: r["slice"] for r in P.by_slices(df, "key", 3).collect()}
+    got = P.by_slices(df, "key", 3, most=100).withColumn("at", F.spark_partition_id()).collect()
+    assert len(got) == 4001 and all(r["slice"] == want[r["key"]] and r[P.PART] == r["at"] for r in got)
+    in_order = sorted({(r["at"], r["key"]) for r in got if r["key"] is not None})
+    assert [k for _, k in in_order] == sorted(want.keys() - {None})
+    sizes = [sum(r["at"] == i for r in got) for i in range(max(r["at"] for r in got) + 1)]
+    assert len(sizes) >= 36 and max(sizes) < 200
+    assert P.by_slices(df.limit(0), "key", 3, most=100).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ravelin import profile
 from ravelin import session as S
-from ravelin.plans import cooc, graph
+from ravelin.plans import cooc, graph, mapreduce
 from ravelin.streaming import bsp
 
 
@@ -98,6 +98,17 @@ def test_hot_rows_are_dealt(spark):
     assert cooc.hot_rows(terms_of(spark, [[1, 2, 3]] * 50))[0] is None
 
 
+@pytest.mark.parametrize("make", [cooc.by_stripes, cooc.by_pairs, lambda t: cooc.by_stripes(t, tile=2), lambda t: cooc.by_stripes(t, 4, pad=True, tile=2), lambda t: cooc.by_stripes(t, 4, wrap=True, partitions=2)])
+def test_tasks_grow_with_the_pairs(spark, monkeypatch, make):
+    """Few bytes of terms make many pairs: the sums are dealt over as many tasks as these ask for, whatever the session's number is."""
+    monkeypatch.setattr(cooc, "PAIRS", 1 << 10)
+    monkeypatch.setattr(mapreduce, "ROWS", 1 << 9)
+    rng = random.Random(4)
+    made = make(terms_of(spark, [rng.sample(range(1, 3000), 6) for _ in range(1500)]))
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 0.2 * sum(sizes)
+
+
 def test_sections_tell_what_ran(spark):
     with profile.section("lazy") as made:
         df = made.seen(spark.range(100).repartition(3))
