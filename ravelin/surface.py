@@ -251,8 +251,8 @@ def keyed_shuffle(spark, sf_dir):
 
 def vector_shuffle(spark, sf_dir):
     """Two vectors shuffled under one key move alike."""
-    v = Q.vectors(spark, sf_dir)
-    pairs = F.zip_with(V.keyed_shuffle(F.col("v"), F.lit(7)), V.keyed_shuffle(V.iota(F.size("v")), F.lit(7)), lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i")))
+    v = P.vector_orders(Q.vectors(spark, sf_dir), "v", 7)
+    pairs = F.zip_with(V.permute(F.col("v"), F.col("order")), V.permute(V.iota(F.size("v")), F.col("order")), lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i")))
     moved = v.select("row_id", F.posexplode(pairs).alias("pos", "p"))
     return moved.select("row_id", F.col("pos").cast("bigint").alias("pos"), F.col("p.x").alias("term"), F.col("p.i").alias("came_from"))
 

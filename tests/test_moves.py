@@ -109,3 +109,11 @@ def test_compact_flat_graphs(spark, tmp_path):
     assert [(r["node_id"], [tuple(e) for e in r["edges"]], r["state"]) for r in text.read_flat_graph(spark, str(tmp_path), pretty=False).collect()] == [(4, [(1, 3), (2, 4)], 0)]
     with pytest.raises(Exception, match="pretty=False"):
         text.read_flat_graph(spark, str(tmp_path)).collect()
+
+
+def test_orders_of_short_vectors_are_worked_out_once(spark):
+    """A table of them, by size; longer vectors, empty and null ones move as keyed_shuffle moves them."""
+    rows = [(i, list(range(100, 100 + n))) for i, n in enumerate((0, 1, 2, 5, P.SHORT, P.SHORT + 1, 150))] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, v array<int>")
+    made = P.vector_orders(df, "v", 7).select("id", "v", V.permute(F.col("v"), F.col("order")).alias("a"), V.keyed_shuffle(F.col("v"), F.lit(7)).alias("b")).collect()
+    assert len(made) == len(rows) and all(r["a"] == r["b"] and (r["v"] is None) == (r["a"] is None) and sorted(r["a"] or []) == (r["v"] or []) for r in made)
