@@ -23,6 +23,8 @@ from ..session import drop_scratch, scratch_table
 
 #: Edges of a part of a hub; hubs up to which their table is broadcast (16 bytes a row).
 HUB, FEW_HUBS = 1_000_000, 1 << 18
+#: Vertices that send up to which they are broadcast to the edges (16 bytes a row), which then needn't be sorted.
+FEW_SENDERS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -86,18 +88,19 @@ def dealt(edges: DataFrame, hub: int = HUB) -> Edges:
     return Edges(spark.table(rest), hubs, spark.table(spread), (rest, heads, spread), many <= FEW_HUBS)
 
 
-def messages(state: DataFrame, edges: DataFrame | Edges, program: Program) -> DataFrame:
-    """(node_id, message): one for each edge whose source has a state."""
+def messages(state: DataFrame, edges: DataFrame | Edges, program: Program, few: bool = False) -> DataFrame:
+    """(node_id, message): one for each edge whose source has a state. few: these are FEW_SENDERS at most."""
+    near = F.broadcast if few else lambda df: df
     senders = state.select(F.col("node_id").alias("src"), "state")
     sent = lambda met: met.select(F.col("dst").alias("node_id"), program.message().alias("message"))
     if not isinstance(edges, Edges):
         return sent(senders.join(edges, "src"))
-    out = sent(senders.join(edges.plain, "src"))
+    out = sent(near(senders).join(edges.plain, "src"))
     if edges.hubs is None:
         return out
     mirrors = senders.join(F.broadcast(edges.hubs) if edges.few else edges.hubs, "src")
     mirrors = mirrors.select("src", "state", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return out.unionByName(sent(mirrors.join(edges.spread, ["src", "part"])))
+    return out.unionByName(sent(near(mirrors).join(edges.spread, ["src", "part"])))
 
 
 def combine(sent: DataFrame, program: Program) -> DataFrame:
@@ -142,16 +145,18 @@ def run(state: DataFrame, edges: DataFrame, program: Program, max_supersteps: in
     known = known.seen_by(once)
     table = bucketed(state.select("node_id", "state", (F.col("state") < INF).alias("changed")), n, "node_id")
     try:
+        sending = once.table(table).where("changed").count()
         for step in range(2, max_supersteps + 1):
             with section("superstep", step) as timed:
                 now = once.table(table)
                 seen, new = Observation(f"changed-{table}-{step}"), scratch_table(spark)
-                made = update(now, combine(messages(now.where("changed") if frontier else now, known, program), program), program)
+                made = update(now, combine(messages(now.where("changed") if frontier else now, known, program, frontier and sending <= FEW_SENDERS), program), program)
                 made = made.observe(seen, F.count_if("changed").alias("changed"))
                 timed.seen(made).write.bucketBy(n, "node_id").sortBy("node_id").saveAsTable(new)
                 drop_scratch(spark, table)
                 table = new
-            if not seen.get["changed"]:
+            sending = seen.get["changed"]
+            if not sending:
                 return spark.table(table).select("node_id", "state"), step
     finally:
         drop_scratch(spark, *known.tables)

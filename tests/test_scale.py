@@ -59,6 +59,16 @@ def test_supersteps_exchange_messages_only(spark, hub_edges):
     assert len(exchanges) == 1 and "partial_min" in plan.split("Exchange")[1] and plan.count("Bucketed: true") == 3
 
 
+def test_few_senders_leave_edges_unsorted(spark, hub_edges):
+    """A small frontier is sent to the edges, hubs' too; the same messages without a sort or an exchange of edges."""
+    for edges in (bsp.dealt(hub_edges), bsp.dealt(hub_edges, hub=150)):
+        state = graph.start(spark.range(3001).withColumnRenamed("id", "node_id"), 0)
+        few = bsp.messages(state, edges, bsp.shortest(), few=True)
+        assert rows_of(few) == rows_of(bsp.messages(state, edges, bsp.shortest()))
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 1
+
+
 def test_scratch_tables_go(spark):
     name = bsp.bucketed(spark.range(5), 2, "id")
     folder = S.scratch_folder(spark)
