@@ -42,6 +42,14 @@ def test_every_pass_sees_the_same_ranges(spark):
     assert ranges > 64 and "percentile" not in ranged._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_scans_are_dealt_over_tasks_that_grow(spark):
+    """A task of a scan holds a few ranges, however many there are: the session's number of tasks is no bound."""
+    df = spark.range(5000).withColumn("v", F.lit(1))
+    for made in (P.running_total(df, "id", "v", "t", most=100), P.contiguous(df, "id", 6, most=100)):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 5000 and len(sizes) > 20 and max(sizes) < 5 * 100
+
+
 def test_many_owners(spark):
     """Over 200,000 slices: nothing is collected, the keys go down a tree of three levels."""
     n = 210_000
