@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ravelin import profile
 from ravelin import session as S
 from ravelin.plans import cooc, graph, mapreduce
+from ravelin.sources import text
 from ravelin.streaming import bsp
 
 
@@ -119,6 +120,29 @@ def test_tasks_grow_with_the_pairs(spark, monkeypatch, make):
     assert len(sizes) > 12 and max(sizes) < 0.2 * sum(sizes)
 
 
+def _csv_of(terms, folder):
+    text.write_csv(cooc.by_stripes(terms), str(folder))
+    return terms.sparkSession.read.option("header", True).csv(str(folder)).select(F.col("_metadata.file_path").alias("task"))
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda t, _: cooc.by_stripes(t, 4, partitions=2, phases=True),
+    ],
+    ids=["phases"],
+)
+def test_padded_and_written_sums_are_dealt_too(spark, monkeypatch, tmp_path, make):
+    """Filled up stripes, their filter, runs in phases and files: sums over as many tasks as the pairs ask for."""
+    monkeypatch.setattr(cooc, "PAIRS", 1 << 10, raising=False)
+    monkeypatch.setattr(mapreduce, "ROWS", 1 << 9, raising=False)
+    rng = random.Random(4)
+    made = make(terms_of(spark, [rng.sample(range(1, 3000), 6) for _ in range(1500)]), tmp_path / "csv")
+    task = F.col("task") if "task" in made.columns else F.spark_partition_id()
+    sizes = [r["count"] for r in made.groupBy(task.alias("task")).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 0.2 * sum(sizes)
+
+
 def test_sections_tell_what_ran(spark):
     with profile.section("lazy") as made:
         df = made.seen(spark.range(100).repartition(3))
