@@ -131,8 +131,9 @@ def _csv_of(terms, folder):
         lambda t, _: cooc.by_stripes(t, 4, pad=True),
         lambda t, _: cooc.without_padding(cooc.by_stripes(t, 4, pad=True)),
         lambda t, _: cooc.by_stripes(t, 4, partitions=2, phases=True),
+        _csv_of,
     ],
-    ids=["padded", "filtered", "phases"],
+    ids=["padded", "filtered", "phases", "csv"],
 )
 def test_padded_and_written_sums_are_dealt_too(spark, monkeypatch, tmp_path, make):
     """Filled up stripes, their filter, runs in phases and files: sums over as many tasks as the pairs ask for."""
